@@ -2,20 +2,75 @@
 
 from __future__ import annotations
 
+import io
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from marlstone.llm import gif, packing
 from marlstone.llm.ngram_join import jaccard_classes
-from marlstone.llm.shared import read
+from marlstone.llm.shared import materialize, read
+
+ROOT = Path(__file__).resolve().parents[2]
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python workers, where PYTHONPATH doesn't already lead to it."""
+    context = spark.sparkContext
+    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(":") or getattr(context, "_marlstone_sent", False):
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted((ROOT / "marlstone").rglob("*.py")):
+            archive.write(file, file.relative_to(ROOT))
+    path = Path(tempfile.mkdtemp(prefix="marlstone-")) / "marlstone.zip"
+    path.write_bytes(packed.getvalue())
+    context.addPyFile(str(path))
+    context._marlstone_sent = True
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read(spark, sf_dir, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = materialize(gif.store(read(spark, sf_dir, "documents")), "gif")
+    frames = F.col("frames")
+    total = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.aggregate(frames, F.lit(0).cast("long"), lambda a, f: a + f["histogram"][k]))
+    duration = F.aggregate(frames, F.lit(0), lambda a, f: a + f["delay"])
+    return gif.features(stored).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", F.size("frames"), duration, F.array_join(total.cast("array<string>"), ",")).alias("feature"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_ngram_jaccard,)}
+    def sent(f):
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        return run
+
+    return {f.__name__: sent(f) for f in (op6_ngram_jaccard, op8_packing, op10_gif)}
 
 
 def oracle_sql() -> dict[str, str]:
