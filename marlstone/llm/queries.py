@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import gif, packing
+from marlstone.llm import gif, language, packing, quality
 from marlstone.llm.ngram_join import jaccard_classes
 from marlstone.llm.shared import materialize, read
 
@@ -35,6 +35,14 @@ def ship(spark: SparkSession) -> None:
     context._marlstone_sent = True
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read(spark, sf_dir, "documents"))
 
@@ -70,7 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {f.__name__: sent(f) for f in (op6_ngram_jaccard, op8_packing, op10_gif)}
+    return {f.__name__: sent(f) for f in (op1_quality, op7_language, op6_ngram_jaccard, op8_packing, op10_gif)}
 
 
 def oracle_sql() -> dict[str, str]:
