@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import gif, language, packing, quality
+from marlstone.llm import decontaminate, gif, language, licenses, packing, quality, sharding
 from marlstone.llm.ngram_join import jaccard_classes
 from marlstone.llm.shared import materialize, read
 
@@ -39,6 +39,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(read(spark, sf_dir, "documents")))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
@@ -69,6 +77,10 @@ def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(read(spark, sf_dir, "documents").select("doc_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def sent(f):
         @wraps(f)
@@ -78,8 +90,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {f.__name__: sent(f) for f in (op1_quality, op7_language, op6_ngram_jaccard, op8_packing, op10_gif)}
+    return {f.__name__: sent(f) for f in (op1_quality, op3_decontaminate, op5_licenses, op6_ngram_jaccard, op7_language, op8_packing, op9_sharding, op10_gif)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_sharding": sharding.oracle()}
