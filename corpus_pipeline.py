@@ -1,21 +1,74 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input.
+
+A stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of
+`documents`; the last returns the packed pieces. Documents with a null id are judged by their texts
+alone and are never near copies. Rows of one id are one document: they go together.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm import decontaminate, language, packing, quality
 from marlstone.llm.ngram_join import jaccard_classes
+from marlstone.llm.queries import ship
 from marlstone.llm.shared import materialize, read
 
+#: A text nearer to a language's profile than this is taken as written in it.
+LEAST_LANGUAGE = 0.3
+
+
+def _named(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't got."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold stay."""
+    ship(spark)
+    found = _named(docs, "found")
+    scored = docs.withColumn(found, quality.scored(F.col("text"), quality.fit(docs)))
+    return scored.filter(F.col(f"{found}.score") >= quality.LEAST).select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay whose text is near enough to the profile of a language; what has no letters goes."""
+    ship(spark)
+    found = _named(docs, "found")
+    taught = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~language.held_out()).select("lang", "text")
+    known = docs.withColumn(found, language.identified(F.col("text"), language.profiles(taught)))
+    return known.filter((F.col(f"{found}.lang") != "und") & (F.col(f"{found}.score") >= LEAST_LANGUAGE)).select(docs.columns)
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest id."""
+    ship(spark)
     others = jaccard_classes(docs).filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item stay."""
+    held = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(held, docs.doc_id.eqNullSafe(held.doc_id), "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the token windows that hold the documents."""
+    ship(spark)
+    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", pack),
+]
 
 #: Stages of this pipeline are models and similarity joins, which SQL can't express.
 ORACLE_SQL = None

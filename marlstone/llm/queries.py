@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from functools import wraps
@@ -13,9 +14,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, gif, language, licenses, packing, quality, sharding
+from marlstone.llm import chat, decontaminate, gif, language, licenses, packing, quality, sharding, warc
 from marlstone.llm.ngram_join import jaccard_classes
-from marlstone.llm.shared import materialize, read
+from marlstone.llm.shared import materialize, read, shared_dir
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -39,6 +40,25 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").union(more)
+    return chat.digests(chat.format_conversations(rows))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.archive(read(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path).select(
+        warc.page_number("record_id").alias("page_id"),
+        F.coalesce(F.octet_length("payload").cast("long"), "payload_length").alias("payload_bytes"),
+        F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
+        "record_type",
+        warc.page_number("refers_to").alias("refers_to"),
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -90,7 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {f.__name__: sent(f) for f in (op1_quality, op3_decontaminate, op5_licenses, op6_ngram_jaccard, op7_language, op8_packing, op9_sharding, op10_gif)}
+    return {f.__name__: sent(f) for f in (op1_quality, op2_chat, op3_decontaminate, op4_warc, op5_licenses, op6_ngram_jaccard, op7_language, op8_packing, op9_sharding, op10_gif)}
 
 
 def oracle_sql() -> dict[str, str]:
