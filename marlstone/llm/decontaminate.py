@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.shared import materialize
+
 #: Words of a window, the share of an item's windows that a text must hold, and the most windows that are broadcast.
 WIDTH, COVERAGE, BROADCAST = 8, 0.5, 200_000
 
@@ -88,7 +90,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     few = keyed.limit(BROADCAST + 1).count() <= BROADCAST
     total = sought.groupBy("item_id").agg(F.countDistinct("place").alias("windows"))
     met = _exploded(texts, "doc_id", True, width).join(F.broadcast(keyed) if few else keyed, "key")
-    hits = met.select("doc_id", "slots", F.explode("items").alias("i")).select("doc_id", "slots", "i.*")
+    hits = materialize(met.select("doc_id", "slots", F.explode("items").alias("i")).select("doc_id", "slots", "i.*"), "hits")  # both counts below read them
     unchanged = F.when(F.col("slots") == F.col("item_slots"), F.col("item_place"))
     pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots"))))
     found = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("item_place").alias("found"), F.count_distinct(unchanged).alias("same"))
