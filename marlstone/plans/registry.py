@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import retrieval
+from marlstone.plans import market, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, market)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
