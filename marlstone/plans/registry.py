@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import market, retrieval
+from marlstone.plans import market, retrieval, trading
 
-MODULES = (retrieval, market)
+MODULES = (retrieval, market, trading)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
