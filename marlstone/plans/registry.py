@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import content, market, retrieval, trading
+from marlstone.plans import content, market, reports, retrieval, trading
 
-MODULES = (retrieval, market, trading, content)
+MODULES = (retrieval, market, trading, content, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
