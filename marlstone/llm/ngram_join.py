@@ -59,10 +59,11 @@ def paths(sketch: np.ndarray, runs: int) -> np.ndarray:
             key = mix(key * np.uint64(0xA24BAED4963EE407) + sketch[rows, at])
             out[:, run, level] = key
             at = (at + 1 + (key % np.uint64(COORDINATES - 1)).astype(np.int64)) % COORDINATES
-    return signed(out.reshape(len(sketch), -1))
+    return signed(out.reshape(len(sketch), runs * LEVELS))
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as one binary column."""
     width = rows.shape[1] * rows.itemsize
     data = np.ascontiguousarray(rows).view(np.uint8).reshape(-1)
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(data)])
