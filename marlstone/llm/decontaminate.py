@@ -30,8 +30,8 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def cells(text: Column, names: bool = True) -> Column:
-    """array<struct<word, slot>>: the template of a text, and what each placeholder stands for (null for a word)."""
+def template(text: Column, names: bool = True) -> Column:
+    """struct<words, slots>: the template of a text, and what each placeholder stands for; slots are null where there is none."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKENS), F.lit(0))
 
     def number(x: Column) -> Column:
@@ -40,37 +40,39 @@ def cells(text: Column, names: bool = True) -> Column:
     def mark(x: Column) -> Column:
         return x.isin(".", "!", "?", "\n")
 
-    def named(tokens: Column) -> Column:
-        def cell(x: Column, k: Column) -> Column:
-            before, low = F.get(tokens, k - 1), F.lower(x)
-            kind = F.when(mark(x), None).when(number(x), "#number").when(number(before) & low.isin(*UNITS), "#unit")
+    def words(tokens: Column) -> Column:
+        def word(x: Column, k: Column) -> Column:
+            before = F.get(tokens, k - 1)
+            kind = F.when((x >= "a") & (x < "{") & ~F.coalesce(number(before), F.lit(False)), F.lower(x))  # most words: the rest needn't be tried
+            kind = kind.when(mark(x), None).when(number(x), "#number").when(number(before) & F.lower(x).isin(*UNITS), "#unit")
             if names:
-                kind = kind.when((low != x) & ~F.coalesce(mark(before), F.lit(True)) & x.rlike(r"^\p{Lu}[\p{Ll}\p{M}]+$"), "#name")
-            kind = kind.otherwise(low)
-            return F.struct(kind.alias("word"), F.when(kind.startswith("#"), low).alias("slot"))
+                kind = kind.when(x.rlike(r"^\p{Lu}[\p{Ll}\p{M}]+$") & ~F.coalesce(mark(before), F.lit(True)), "#name")
+            return kind.otherwise(F.lower(x))
 
-        return F.transform(tokens, cell)
+        return F.transform(tokens, word)
 
-    return F.filter(let(found, named), lambda c: c["word"].isNotNull())
+    def parts(tokens: Column, made: Column) -> Column:
+        slots = F.transform(F.filter(F.arrays_zip(made.alias("w"), tokens.alias("t")), lambda z: z["w"].isNotNull()), lambda z: F.when(z["w"].startswith("#"), F.lower(z["t"])))
+        return F.struct(F.filter(made, lambda w: w.isNotNull()).alias("words"), F.when(F.exists(made, lambda w: w.startswith("#")), slots).alias("slots"))
 
+    return let(found, lambda tokens: let(words(tokens), lambda made: parts(tokens, made)))
 
-def windows(template: Column, width: int = WIDTH) -> Column:
+
+def windows(made: Column, width: int = WIDTH) -> Column:
     """array<struct<place, key, slots>> of a template's windows; none where it has fewer words."""
-    def cut(words: Column, slots: Column, filled: Column) -> Column:
+
+    def cut(words: Column, slots: Column) -> Column:
         def window(k: Column) -> Column:
-            own = F.when(filled, F.filter(F.slice(slots, k, width), lambda s: s.isNotNull()))
+            own = F.when(slots.isNotNull(), F.filter(F.slice(slots, k, width), lambda s: s.isNotNull()))
             return F.struct(k.alias("place"), F.xxhash64(F.slice(words, k, width)).alias("key"), own.alias("slots"))
 
         return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), window))
 
-    def parts(c: Column) -> Column:
-        return F.struct(c["word"].alias("words"), c["slot"].alias("slots"), F.exists(c["slot"], lambda s: s.isNotNull()).alias("filled"))
-
-    return let(template, lambda c: let(parts(c), lambda t: cut(t["words"], t["slots"], t["filled"])))
+    return let(made, lambda t: let(t["words"], lambda words: let(t["slots"], lambda slots: cut(words, slots))))
 
 
 def _exploded(rows: DataFrame, id_column: str, names: bool, width: int) -> DataFrame:
-    cut = rows.select(id_column, F.explode(windows(cells(F.col("text"), names), width)).alias("w"))
+    cut = rows.select(id_column, F.explode(windows(template(F.col("text"), names), width)).alias("w"))
     return cut.select(id_column, "w.place", "w.key", F.coalesce("w.slots", F.array().cast("array<string>")).alias("slots"))
 
 
