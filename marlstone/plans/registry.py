@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import content, market, reports, retrieval, streams, trading
+from marlstone.plans import content, knowledge, market, reports, retrieval, streams, trading
 
-MODULES = (retrieval, market, trading, content, reports, streams)
+MODULES = (retrieval, market, trading, content, reports, streams, knowledge)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
