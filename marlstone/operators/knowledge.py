@@ -74,7 +74,7 @@ def heading_paths(lines: DataFrame, key: str) -> DataFrame:
     last = [F.last(F.when(F.col("level") == k, F.struct("line", "title")), ignorenulls=True).over(w) for k in range(1, 7)]
     held = found.withColumn("_last", F.array(*last))
     # a level stands while nothing of its own or a higher level came after it
-    stands = F.filter(F.transform("_last", lambda h, k: F.struct(h.alias("h"), k.alias("k"))), lambda x: x["h"].isNotNull() & (x["k"] < F.col("level")) & ~F.exists(F.slice("_last", 1, x["k"]), lambda o: F.coalesce(o["line"] > x["h"]["line"], F.lit(False))))
+    stands = F.filter(F.transform("_last", lambda h, k: F.struct(h.alias("h"), k.alias("k"))), lambda x: x["h"].isNotNull() & (x["k"] + 1 < F.col("level")) & ~F.exists(F.slice("_last", 1, x["k"]), lambda o: F.coalesce(o["line"] > x["h"]["line"], F.lit(False))))
     return held.select(key, "line", "level", "title", F.array_append(F.transform(stands, lambda x: x["h"]["title"]), F.col("title")).alias("path"))
 
 
