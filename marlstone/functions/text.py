@@ -18,7 +18,7 @@ STOP_WORDS = (
 def tokens(text: Column) -> Column:
     """Search tokens in order: runs of letters and numbers in lower case; of a run with ASCII parts, these parts and
     what is left of it; at least three long and no stop words. Null counts as empty."""
-    runs = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    low = F.lower(F.coalesce(text, F.lit("")))
 
     def parts(run: Column) -> Column:
         left = F.trim(F.regexp_replace(run, "[a-z0-9]+", " "))
@@ -26,7 +26,12 @@ def tokens(text: Column) -> Column:
         more = F.when((left != "") & (F.length(left) != F.length(run)), F.array(left)).otherwise(F.array().cast("array<string>"))
         return F.when(run.rlike("^[a-z0-9]+$"), F.array(run)).when(F.size(plain) == 0, F.array(run)).otherwise(F.concat(plain, more))
 
-    return F.filter(F.flatten(F.transform(runs, parts)), lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS))
+    def sought(words: Column) -> Column:
+        return F.filter(words, lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS))
+
+    mixed = F.flatten(F.transform(F.split(low, r"[^\p{L}\p{N}]+"), parts))
+    # a text of ASCII characters has no mixed runs
+    return F.when(F.octet_length(low) == F.length(low), sought(F.split(low, "[^a-z0-9]+"))).otherwise(sought(mixed))
 
 
 def normal_title(text: Column) -> Column:

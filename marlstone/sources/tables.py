@@ -7,8 +7,15 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables whose rows take long to work on.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table. Texts that lie in fewer splits than there are cores, such as one row group, are dealt to all cores; a large
+    table has more splits than that, and is read where it lies."""
+    found, cores = spark.read.parquet(f"{folder}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if name in TEXTS and found.rdd.getNumPartitions() < cores else found
 
 
 def shared_dir(spark: SparkSession) -> str:
