@@ -31,11 +31,11 @@ def fifo(trades: DataFrame) -> DataFrame:
     w = Window.partitionBy("symbol", "side").orderBy("day", "id").rowsBetween(Window.unboundedPreceding, 0)
     ends = trades.withColumn("end", F.sum("qty").over(w))
     by_end = Window.partitionBy("symbol").orderBy("end", F.col("side").desc(), "day", "id")
-    ahead = by_end.rowsBetween(0, Window.unboundedFollowing)
+    backwards = Window.partitionBy("symbol").orderBy(F.desc("end"), "side", F.desc("day"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)  # running, where a frame that looks ahead is quadratic
     buy, sell = F.col("side") == "buy", F.col("side") == "sell"
     cut = ends.select(
         "symbol", (F.col("end") - F.coalesce(F.lag("end").over(by_end), F.lit(0.0))).alias("qty"),
-        F.first(F.when(buy, F.struct("id", "price")), ignorenulls=True).over(ahead).alias("lot"), F.first(F.when(sell, F.struct("id", "price")), ignorenulls=True).over(ahead).alias("sale"),
+        F.last(F.when(buy, F.struct("id", "price")), ignorenulls=True).over(backwards).alias("lot"), F.last(F.when(sell, F.struct("id", "price")), ignorenulls=True).over(backwards).alias("sale"),
     ).filter((F.col("qty") > EPS) & F.col("lot").isNotNull() & F.col("sale").isNotNull())
     return cut.select("symbol", F.col("sale.id").alias("sell_id"), F.col("lot.id").alias("buy_id"), "qty", (F.col("qty") * F.col("lot.price")).alias("cost"), (F.col("qty") * F.col("sale.price")).alias("proceeds"))
 
@@ -56,6 +56,30 @@ def average_cost(trades: DataFrame) -> DataFrame:
     return series.select("symbol", F.aggregate("t", zero, step).alias("r")).select("symbol", "r.*")
 
 
+def with_actions(trades: DataFrame, actions: DataFrame) -> DataFrame:
+    """All events of trades and of actions (symbol, day, id, ratio, per_share) with `factor`, `before` and `cash`.
+
+    factor is how many shares of the end a share of the event's time became by later splits; before is what was held then, in
+    shares of that time; cash is what a dividend paid on it. A day's actions come before its trades. A ratio that isn't above 0 is
+    an error where there is one; a null ratio or per_share is none. Two running windows share one shuffle by symbol.
+    """
+    ratio = F.when(F.col("ratio").isNull(), 1.0).when(F.col("ratio") > 0, F.col("ratio")).otherwise(F.raise_error(F.lit("a split's ratio must be above 0")).cast("double"))
+    traded = trades.select("symbol", "day", F.lit(1).alias("kind"), "id", "side", "qty", "price", F.lit(1.0).alias("ratio"), F.lit(0.0).alias("per_share"))
+    acted = actions.select("symbol", "day", F.lit(0).alias("kind"), "id", *(F.lit(None).cast(t).alias(c) for c, t in (("side", "string"), ("qty", "double"), ("price", "double"))), ratio.alias("ratio"), F.coalesce("per_share", F.lit(0.0)).alias("per_share"))
+    before = Window.unboundedPreceding, -1
+    later = Window.partitionBy("symbol").orderBy(F.desc("day"), F.desc("kind"), F.desc("id")).rowsBetween(*before)
+    earlier = Window.partitionBy("symbol").orderBy("day", "kind", "id").rowsBetween(*before)
+    events = traded.unionByName(acted).withColumn("factor", F.coalesce(F.product("ratio").over(later), F.lit(1.0)))
+    signed = F.when(F.col("side") == "sell", -F.col("qty")).when(F.col("side") == "buy", F.col("qty")).otherwise(0.0) * F.col("factor")
+    held = events.withColumn("before", F.coalesce(F.sum(signed).over(earlier), F.lit(0.0)) / (F.col("factor") * F.col("ratio")))
+    return held.withColumn("cash", F.when((F.col("per_share") > 0) & (F.col("before") > EPS), F.col("before") * F.col("per_share")).otherwise(0.0))
+
+
+def split_adjusted(trades: DataFrame, actions: DataFrame) -> DataFrame:
+    """trades in shares of the end, so that fifo, average_cost and available hold across splits."""
+    return with_actions(trades, actions).filter("kind = 1").select("symbol", "day", "id", "side", (F.col("qty") * F.col("factor")).alias("qty"), (F.col("price") / F.col("factor")).alias("price"))
+
+
 def available(trades: DataFrame) -> DataFrame:
     """(symbol, held) after all trades."""
     return trades.groupBy("symbol").agg(F.sum(F.when(F.col("side") == "sell", -F.col("qty")).otherwise(F.col("qty"))).alias("held"))
