@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,3 +55,34 @@ def reason(pages: DataFrame, key: str, text: str, url: str, title: str) -> DataF
     for kind, test in reversed(kinds):
         why, of = F.when(test, kind).otherwise(why), F.when(test, F.col(f"_{kind}")).otherwise(of)
     return marked.select(key, why.alias("reason"), of.alias("of"))
+
+
+def similar_names(asked: DataFrame, known: DataFrame, least: float = 0.8) -> DataFrame:
+    """(asked, name, ratio): the known name nearest to each distinct asked name (column `name` of both), of a ratio of `least` or more.
+
+    Of ties the last name counts. Names as alike as that share least / (2 - least) of the characters of either, repeated ones counted,
+    and so one of the rarest; only those that do are compared. known is a dictionary of names: what shares a rare character with
+    a name is a small part of it. Null and empty names match nothing.
+    """
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    def signs(names: DataFrame) -> DataFrame:
+        chars = names.select("name").filter("name <> ''").distinct().select("name", F.length("name").alias("n"), F.posexplode(F.split("name", "")).alias("p", "c")).filter("c <> ''")
+        again = F.row_number().over(Window.partitionBy("name", "c").orderBy("p"))
+        return chars.select("name", "n", F.concat("c", again.cast("string")).alias("sign"))
+
+    mine, theirs = signs(asked), signs(known)
+    rarity = theirs.groupBy("sign").agg(F.count("*").alias("df"))
+
+    def rare(rows: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("name").orderBy("df", "sign"))
+        ranked = rows.join(rarity, "sign", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("place", place)
+        return ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (least / (2 - least)) - 1e-9) + 1).select("sign", "name", "n")
+
+    left = rare(mine).select("sign", F.col("name").alias("asked"), F.col("n").alias("m"))
+    met = left.join(rare(theirs), "sign").filter(2 * F.least("m", "n") >= least * (F.col("m") + F.col("n")) - 1e-9).select("asked", "name").distinct()
+    alike = met.withColumn("ratio", ratio("name", "asked")).filter(F.col("ratio") >= least)
+    return alike.groupBy("asked").agg(F.max(F.struct("ratio", "name")).alias("best")).select("asked", "best.name", "best.ratio")

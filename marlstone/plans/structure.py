@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions import articles
 from marlstone.functions.numeric import quantise
-from marlstone.operators import calendars, chunking, composition
+from marlstone.operators import calendars, chunking, composition, dedup
 from marlstone.operators import ledger as L
 from marlstone.plans import sql as S
 from marlstone.plans import trading
@@ -76,7 +77,24 @@ def split_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.fifo(sound).select("symbol", "sell_id", "buy_id", quantise(F.col("qty"), 4).alias("qty"), quantise(F.col("cost"), 3).alias("cost"), quantise(F.col("proceeds"), 3).alias("proceeds"))
 
 
-QUERIES = {f.__name__: f for f in (heading_chunks, parent_spans, effective_dates, composition_plan, dividends, split_fifo)}
+def article_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.col("html")
+    body = articles.body(html)
+    return table(spark, sf_dir, "pages").select("page_id", articles.field(html, "title", "Untitled Article").alias("title"), articles.field(html, "author").alias("author"), articles.field(html, "site").alias("site"), F.sha2(body, 256).alias("body_sha"))
+
+
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", articles.markdown(articles.body(F.col("html"))).alias("md")).select("page_id", F.length("md").cast("long").alias("n_chars"), F.sha2("md", 256).alias("sha"))
+
+
+def close_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of parts with a letter left out, among the types."""
+    types = table(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct()
+    found = dedup.similar_names(types.select(F.regexp_replace("name", "(?<=[A-Z])L", "").alias("name")), types)
+    return found.withColumn("ratio", quantise(F.col("ratio"), 6))
+
+
+QUERIES = {f.__name__: f for f in (article_fields, page_markdown, close_names, heading_chunks, parent_spans, effective_dates, composition_plan, dividends, split_fifo)}
 
 _NL = "chr(10)"
 _MD = "regexp_replace(regexp_replace(regexp_replace(text, '(?m)^([A-F])', '# \\1', 'g'), '(?m)^([G-M])', '### \\1', 'g'), '(?m)^([N-S])', '## \\1', 'g')"
@@ -88,7 +106,32 @@ _ADJUSTED = trading._TRADES.replace("trades AS (", "raw AS (", 1).replace(
     1,
 )
 
+
+
+def _bare(x: str) -> str:
+    out = f"regexp_replace({x}, '<[^>]+>', '', 'g')"
+    for entity, sign in articles.ENTITIES.items():
+        out = f"replace({out}, '{entity}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+def _field(name: str, otherwise: str) -> str:
+    places = [f"nullif({_bare(f"regexp_extract(html, '{('(?is)' + p).replace(chr(39), chr(39) * 2)}', 1)")}, '')" for p in articles.FIELDS[name]]
+    return f"coalesce({', '.join(places)}, '{otherwise}')"
+
+
+_ARTICLE = f"""a AS (SELECT page_id, html, list_filter(regexp_extract_all(html, '(?is)<article[^>]*>(.*?)</article>', 1), lambda h: length({_bare("h")}) >= {articles.LEAST})[1] AS article,
+          list_filter(regexp_extract_all(html, '(?is)<body[^>]*>(.*?)</body>', 1), lambda h: length({_bare("h")}) >= {articles.LEAST})[1] AS whole FROM pages),
+        b AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(article, whole), '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'),
+          '(?is)<(nav|footer|header|aside)[^>]*>.*?</(nav|footer|header|aside)>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS body FROM a)"""
+_MARKS = ("'<h1[^>]*>', chr(10) || chr(10) || '# '", "'</h1>|</?p>', chr(10) || chr(10)", "'</?b>', '**'", "'<br>', '  ' || chr(10)", "'</?(div|article|main)[^>]*>', ''", "'&lt;', '<'", "'&gt;', '>'", "'&quot;', chr(34)", "'&#(x27|39);', chr(39)", "'&amp;', '&'", "'\\n\\n\\n+', chr(10) || chr(10)")
+_MARKDOWN = "body"
+for _mark in _MARKS:
+    _MARKDOWN = f"regexp_replace({_MARKDOWN}, {_mark}, 'g')"
+
 ORACLE = {
+    "article_fields": f"WITH {_ARTICLE} SELECT page_id, {_field('title', 'Untitled Article')} AS title, {_field('author', '')} AS author, {_field('site', '')} AS site, sha256(body) AS body_sha FROM b",
+    "page_markdown": f"WITH {_ARTICLE}, m AS (SELECT page_id, regexp_replace({_MARKDOWN}, '^\\s+|\\s+$', '', 'g') || chr(10) AS md FROM b) SELECT page_id, length(md) AS n_chars, sha256(md) AS sha FROM m",
     "heading_chunks": f"""WITH t AS (SELECT doc_id, string_split(regexp_replace({_MD}, '\\n\\z', ''), {_NL}) AS lines FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS no FROM t),
         h AS (SELECT doc_id, no, length(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_replace(regexp_extract(line, '^#+\\s+(.*\\S)', 1), '^#+|#+$', '', 'g')) AS title, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS i FROM l WHERE regexp_matches(line, '^#{{1,6}}\\s+\\S')),
         d AS (SELECT *, i + least(0, min(level - i) OVER (PARTITION BY doc_id ORDER BY no)) AS depth FROM h),

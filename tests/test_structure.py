@@ -1,6 +1,8 @@
 """Chunks, calendars, roles and corporate actions on small literal tables."""
 
 import datetime
+import difflib
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -8,7 +10,8 @@ from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from marlstone.operators import calendars, chunking, composition, ledger
+from marlstone.functions import articles
+from marlstone.operators import calendars, chunking, composition, dedup, ledger
 
 D = datetime.date
 TRADES = "symbol string, day date, id string, side string, qty double, price double"
@@ -81,3 +84,35 @@ def test_splits_and_dividends(spark):
     assert (taken.p, taken.c) == (180.0, 130.0)
     with pytest.raises(PySparkException, match="above 0"):
         ledger.with_actions(trades, actions.withColumn("ratio", F.lit(-1.0))).collect()
+
+
+def test_markdown(spark):
+    page = """<h2>A &amp; b</h2><p>one  <b>two</b>\n<a href="/x"> go\n on </a><a href="#y">here</a></p><ol><li>p</li><li>q<ul><li>r</li></ul></li></ol><script>no</script><nav>no</nav>
+    <pre>a  <code>b</code>\n c</pre><img data-src="i.png" alt="pic"><table><tr><th>h</th><td>v</td></tr></table><blockquote>said</blockquote>"""
+    rows = spark.createDataFrame([(1, page), (2, None), (3, "")], "k int, h string").select("k", articles.markdown(F.col("h")).alias("md")).orderBy("k").collect()
+    assert rows[0].md == "## A & b\n\none **two**[go on](/x)here\n\n1. p\n2. q\n\n  - r\n\n```text\na  b\n c\n```\n\n![pic](i.png)\n\n| h | v |\n\n> said\n"
+    assert [r.md for r in rows[1:]] == [None, "\n"]
+
+
+def test_article_fields(spark):
+    page = f"""<html><head><meta property="og:title" content="T &amp; x"><meta name="author" content="Ann"><title>other</title></head><body><article>short</article><article class="x"><!-- no --><p>{"word " * 20}</p></article></body></html>"""
+    frame = spark.createDataFrame([(1, page), (2, "<title> </title><body>few</body>"), (3, None)], "k int, h string")
+    h = F.col("h")
+    rows = frame.select("k", articles.field(h, "title", "none").alias("t"), articles.field(h, "author").alias("a"), articles.body(h).alias("b")).orderBy("k").collect()
+    assert [tuple(r) for r in rows] == [(1, "T & x", "Ann", f"<p>{'word ' * 20}</p>"), (2, "none", "", None), (3, "none", "", None)]
+
+
+def test_similar_names(spark):
+    """The same as comparing every two names."""
+    draw = random.Random(3)
+    known = sorted({"".join(draw.choices("abcdefgh", k=draw.randint(1, 9))) for _ in range(150)})
+    asked = sorted({k[:2] + draw.choice("abz") + k[3:] for k in known} | {"", "zzzz"})
+    make = lambda names: spark.createDataFrame([(n,) for n in [*names, None, names[0]]], "name string")
+    for least in (0.8, 0.7):
+        want = {}
+        for a in asked:
+            best = max((difflib.SequenceMatcher(None, k, a).ratio(), k) for k in known)
+            if a and best[0] >= least:
+                want[a] = best[::-1]
+        found = {r.asked: (r.name, r.ratio) for r in dedup.similar_names(make(asked), make(known), least).collect()}
+        assert len(want) > 20 and found == want
