@@ -65,9 +65,12 @@ def markdown(spark: SparkSession, path: str) -> DataFrame:
 
 
 def headings(text: Column) -> Column:
-    """array<struct<line, level, title>> of ATX headings outside of code fences."""
-    bare = F.regexp_replace(text, r"(?s)(```.*?```)", "")
-    lines = F.split(bare, "\n")
+    """array<struct<line, level, title>> of ATX headings outside of code fences, by their lines in the whole text.
+
+    What stands between fences is blanked and keeps its line ends; a fence that isn't closed goes on to the end.
+    """
+    parts = F.split(text, "(?m)^[ \\t]*```")
+    lines = F.split(F.array_join(F.transform(parts, lambda part, k: F.when(k % 2 == 1, F.regexp_replace(part, "[^\n]+", "")).otherwise(part)), ""), "\n")
     made = F.transform(lines, lambda line, k: F.struct((k + 1).alias("line"), F.length(F.regexp_extract(line, "^(#{1,6})\\s", 1)).alias("level"), F.trim(F.regexp_replace(line, "^#{1,6}\\s+|\\s*#*\\s*$", "")).alias("title")))
     return F.filter(made, lambda h: h["level"] > 0)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import articles
 from marlstone.operators import calendars, chunking, composition, dedup, ledger
+from marlstone.sources import files
 
 D = datetime.date
 TRADES = "symbol string, day date, id string, side string, qty double, price double"
@@ -116,3 +117,9 @@ def test_similar_names(spark):
                 want[a] = best[::-1]
         found = {r.asked: (r.name, r.ratio) for r in dedup.similar_names(make(asked), make(known), least).collect()}
         assert len(want) > 20 and found == want
+
+
+def test_headings_keep_their_lines(spark):
+    text = "# a\n```\n# no\n\n```\n## b\n```\n# open"
+    found = spark.range(1).select(files.headings(F.lit(text)).alias("h")).first().h
+    assert [(h.line, h.level, h.title) for h in found] == [(1, 1, "a"), (6, 2, "b")]
