@@ -30,6 +30,13 @@ def claim_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.claim_support(rows.withColumn("claim", F.coalesce("claim", F.lit(""))), "claim", "evidence").select("doc_id", F.col("matched").cast("long").alias("matched"), quantise(F.col("coverage"), 6).alias("coverage"), "level")
 
 
+def claim_support_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """claim_support with the whole text after the first sentence as evidence, without bounds of characters."""
+    said = sentences(F.coalesce(F.col("text"), F.lit("")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.get(said, F.lit(0)), F.lit("")).alias("claim"), F.array_join(F.slice(said, 2, F.greatest(F.size(said), F.lit(1))), "\n").alias("evidence"))
+    return N.claim_support(rows, "claim", "evidence").select("doc_id", F.col("matched").cast("long").alias("matched"), quantise(F.col("coverage"), 6).alias("coverage"), "level")
+
+
 def merged_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("source", "n_chars", F.explode(sentences(F.col("text"))).alias("s")).withColumn("claim", normal_title(F.col("s"))).filter("length(claim) >= 24")
     found = N.merged_claims(rows, F.col("claim"), "source", "n_chars").filter("n > 1")
@@ -81,7 +88,7 @@ def typo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(other, "p_partkey").filter(N.one_typo(F.col("p_brand"), F.col("other"))).select("p_partkey", "p_brand", "other")
 
 
-QUERIES = {f.__name__: f for f in (term_nodes, term_edges, claim_support, merged_claims, topic_boosts, page_scores, symbols, subtitle_texts, redirect_cycles, trailing_spend, typo_pairs)}
+QUERIES = {f.__name__: f for f in (term_nodes, term_edges, claim_support, claim_support_whole, merged_claims, topic_boosts, page_scores, symbols, subtitle_texts, redirect_cycles, trailing_spend, typo_pairs)}
 
 _TOP = f"""w AS (SELECT doc_id, unnest({S.tokens("text")}) AS t FROM documents), c AS (SELECT doc_id, t, count(*) AS n FROM w GROUP BY 1, 2),
     top AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, t) <= 8)"""
@@ -98,6 +105,9 @@ ORACLE = {
     "claim_support": f"""WITH c AS (SELECT doc_id, list_distinct({S.tokens(f"coalesce({_SENTENCES}[1], '')")}) AS own, list_distinct({S.tokens("substr(text, 200, 2000)")}) AS held FROM documents),
         m AS (SELECT doc_id, len(list_intersect(own, held)) AS matched, least(1.0, CASE WHEN len(own) > 0 THEN CAST(len(list_intersect(own, held)) AS DOUBLE) / least(len(own), 16) ELSE 0.0 END) AS coverage FROM c)
         SELECT doc_id, matched, {S.q("coverage", 6)} AS coverage, CASE WHEN coverage >= 0.65 THEN 'strong' WHEN coverage >= 0.35 THEN 'partial' ELSE 'weak' END AS level FROM m""",
+    "claim_support_whole": f"""WITH s AS (SELECT doc_id, coalesce({_SENTENCES}, []) AS s FROM documents), c AS (SELECT doc_id, list_distinct({S.tokens("coalesce(s[1], '')")}) AS own, list_distinct({S.tokens("array_to_string(s[2:], chr(10))")}) AS held FROM s),
+        m AS (SELECT doc_id, len(list_intersect(own, held)) AS matched, least(1.0, CASE WHEN len(own) > 0 THEN CAST(len(list_intersect(own, held)) AS DOUBLE) / least(len(own), 16) ELSE 0.0 END) AS coverage FROM c)
+        SELECT doc_id, matched, {S.q("coverage", 6)} AS coverage, CASE WHEN coverage >= 0.65 THEN 'strong' WHEN coverage >= 0.35 THEN 'partial' ELSE 'weak' END AS level FROM m""",
     "merged_claims": f"""WITH s AS (SELECT source, n_chars, unnest({_SENTENCES}) AS s FROM documents), c AS (SELECT source, n_chars, {_TITLE} AS claim FROM s)
         SELECT claim, array_to_string(list_sort(list_distinct(array_agg(source))), ',') AS sources, count(*) AS n, max(n_chars) AS score FROM c WHERE length(claim) >= 24 GROUP BY claim HAVING count(*) > 1""",
     "topic_boosts": f"""WITH k AS (SELECT p_partkey AS page, unnest(string_split(p_type, ' ')) AS topic FROM part), words AS (SELECT DISTINCT topic FROM k),
