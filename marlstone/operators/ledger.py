@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,37 @@ def oversold(trades: DataFrame) -> DataFrame:
     return running(trades).groupBy("symbol").agg(F.min("held").alias("lowest")).filter(F.col("lowest") < -EPS)
 
 
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's trades, sorted by symbol and order, with their status; only the last symbol's holding is carried on."""
+    symbol, held = object(), 0.0
+    for batch in batches:
+        status, level = [], []
+        for own, side, qty in zip(*(batch.column(c).to_pylist() for c in ("symbol", "side", "qty")), strict=True):
+            if own != symbol:
+                symbol, held = own, 0.0
+            refused = side == "sell" and (qty or 0.0) > held + EPS
+            if not refused:
+                held += -(qty or 0.0) if side == "sell" else qty or 0.0
+            status.append("refused" if refused else "accepted")
+            level.append(held)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(status, pa.string()), pa.array(level, pa.float64())], [*batch.schema.names, "status", "held"])
+
+
+def judged(trades: DataFrame) -> DataFrame:
+    """trades with `status` and `held` after each: a sale of more than is held is refused, whole, and changes nothing; all else is accepted.
+
+    Whether a sale is refused hangs on those before it, which no window can express: symbols are streamed in order, never held whole.
+    """
+    kind = "symbol {}, day date, id string, side string, qty double, price double, status string, held double".format(trades.schema["symbol"].dataType.simpleString())
+    rows = trades.select("symbol", "day", "id", "side", F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"))
+    return rows.repartition("symbol").sortWithinPartitions("symbol", "day", "id").mapInArrow(_judged, kind)
+
+
+def accepted(trades: DataFrame) -> DataFrame:
+    """trades without refused sales: what fifo and average_cost replay."""
+    return judged(trades).filter("status = 'accepted'").drop("status", "held")
+
+
 def fifo(trades: DataFrame) -> DataFrame:
     """(symbol, sell_id, buy_id, qty, cost, proceeds): which lot each sale took how much of.
 

@@ -81,6 +81,26 @@ def average_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.average_cost(_sound(spark, sf_dir)).select("symbol", quantise(F.col("held"), 4).alias("held"), quantise(F.col("cost"), 2).alias("cost"), quantise(F.col("realised"), 2).alias("realised"))
 
 
+def trade_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every trade, accepted or refused, and what is held after it."""
+    return L.judged(_trades(spark, sf_dir)).select("symbol", "id", "status", "held")
+
+
+def fifo_matches_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of all symbols; only sales of more than is held are refused."""
+    return L.fifo(L.accepted(_trades(spark, sf_dir))).select("symbol", "sell_id", "buy_id", quantise(F.col("qty"), 4).alias("qty"), quantise(F.col("cost"), 3).alias("cost"), quantise(F.col("proceeds"), 3).alias("proceeds"))
+
+
+def fifo_profit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Realised profit by symbol, of all symbols, in ten-thousandths summed exactly."""
+    unit = lambda c: F.floor(F.col(c) * 1e4 + 0.5).cast("decimal(24,0)")
+    return L.fifo(L.accepted(_trades(spark, sf_dir))).groupBy("symbol").agg(quantise((F.sum(unit("proceeds")) - F.sum(unit("cost"))).cast("double") / 1e4, 2).alias("profit"), F.count("*").alias("matches"))
+
+
+def average_cost_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.average_cost(L.accepted(_trades(spark, sf_dir))).select("symbol", quantise(F.col("held"), 4).alias("held"), quantise(F.col("cost"), 2).alias("cost"), quantise(F.col("realised"), 2).alias("realised"))
+
+
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.available(_trades(spark, sf_dir))
 
@@ -108,7 +128,7 @@ def currency_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("c_custkey", quantise(F.col("converted"), 4).alias("converted"), "stale")
 
 
-QUERIES = {f.__name__: f for f in (backtest, backtest_summary, backtest_overall, as_of_close, forward_bars, oversold_symbols, fifo_matches, fifo_profit, average_cost, holdings, symbol_concentration, sector_concentration, currency_conversion)}
+QUERIES = {f.__name__: f for f in (backtest, backtest_summary, backtest_overall, as_of_close, forward_bars, oversold_symbols, fifo_matches, fifo_profit, average_cost, trade_statuses, fifo_matches_all, fifo_profit_all, average_cost_all, holdings, symbol_concentration, sector_concentration, currency_conversion)}
 
 _EVALUATED = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY day) AS rn, (code + day(day)) % 4 AS kind FROM bars),
     advice AS (SELECT code, day, rn, close AS start, CASE WHEN kind < 2 THEN 'long' ELSE 'cash' END AS position, CASE kind WHEN 0 THEN 'up' WHEN 1 THEN 'not_down' WHEN 2 THEN 'down' ELSE 'flat' END AS direction,
@@ -146,6 +166,18 @@ _FIFO = """stretches AS (SELECT *, sum(qty) OVER (PARTITION BY symbol, side ORDE
     matched AS (SELECT s.symbol, s.id AS sell_id, b.id AS buy_id, least(s.hi, b.hi) - greatest(s.hi - s.qty, b.hi - b.qty) AS qty, b.price AS bp, s.price AS sp
       FROM stretches s JOIN stretches b ON s.symbol = b.symbol AND s.side = 'sell' AND b.side = 'buy' AND b.hi > s.hi - s.qty AND b.hi - b.qty < s.hi),
     fifo AS (SELECT symbol, sell_id, buy_id, qty, qty * bp AS cost, qty * sp AS proceeds FROM matched WHERE qty > 1e-8)"""
+
+
+def all_symbols(with_trades: str) -> str:
+    """`sound` as all trades but refused sales, in order of a symbol's trades, in place of symbols that are never short."""
+    return with_trades.split(",\n    levels AS (")[0] + """,
+    n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day, id) AS rn FROM trades),
+    judged AS (SELECT symbol, rn, CASE WHEN side = 'sell' AND qty > 1e-8 THEN 'refused' ELSE 'accepted' END AS status, CAST(CASE WHEN side = 'sell' THEN 0.0 ELSE qty END AS DOUBLE) AS held FROM n WHERE rn = 1
+      UNION ALL SELECT n.symbol, n.rn, CASE WHEN side = 'sell' AND qty > held + 1e-8 THEN 'refused' ELSE 'accepted' END, CASE WHEN side <> 'sell' THEN held + qty WHEN qty > held + 1e-8 THEN held ELSE held - qty END
+      FROM judged j JOIN n ON n.symbol = j.symbol AND n.rn = j.rn + 1),
+    sound AS (SELECT n.* EXCLUDE (rn) FROM n JOIN judged j ON n.symbol = j.symbol AND n.rn = j.rn WHERE status = 'accepted')"""
+
+
 _UNIT = "CAST(floor({} * 1e4 + 0.5) AS HUGEINT)"
 
 
@@ -171,9 +203,13 @@ ORACLE = {
           UNION ALL SELECT n.symbol, n.rn, CASE WHEN side = 'sell' THEN held - qty ELSE held + qty END, CASE WHEN side = 'sell' THEN cost - CASE WHEN held > 1e-8 THEN cost / held ELSE 0 END * qty ELSE cost + qty * price END,
             realised + CASE WHEN side = 'sell' THEN (price - CASE WHEN held > 1e-8 THEN cost / held ELSE 0 END) * qty ELSE 0 END FROM r JOIN n ON n.symbol = r.symbol AND n.rn = r.rn + 1)
         SELECT symbol, {S.q("held", 4)} AS held, {S.q("cost", 2)} AS cost, {S.q("realised", 2)} AS realised FROM r QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) = 1""",
+    "trade_statuses": f"WITH RECURSIVE {all_symbols(_TRADES)} SELECT symbol, id, status, held FROM n JOIN judged USING (symbol, rn)",
     "holdings": f"WITH {_TRADES} SELECT symbol, sum(CASE WHEN side = 'sell' THEN -qty ELSE qty END) AS held FROM trades GROUP BY symbol",
     "symbol_concentration": _concentration("symbol", 0.2),
     "sector_concentration": _concentration("sector", 5.0),
     "currency_conversion": f"""SELECT c_custkey, {S.q("CASE WHEN abs(c_acctbal) <= 1e-8 THEN 0.0 ELSE c_acctbal * CASE n_regionkey WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 WHEN 2 THEN 0.25 ELSE 1.0 END END", 4)} AS converted,
         abs(c_acctbal) > 1e-8 AND n_regionkey > 2 AS stale FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 }
+for _name in ("fifo_matches", "fifo_profit", "average_cost"):
+    _more = ORACLE[_name].removeprefix("WITH RECURSIVE ").removeprefix("WITH ").removeprefix(_TRADES)
+    ORACLE[f"{_name}_all"] = f"WITH RECURSIVE {all_symbols(_TRADES)}{_more.replace(' n AS (', ' o AS (').replace('FROM n WHERE', 'FROM o WHERE').replace('SELECT n.symbol, n.rn,', 'SELECT o.symbol, o.rn,').replace('JOIN n ON n.symbol = r.symbol AND n.rn =', 'JOIN o ON o.symbol = r.symbol AND o.rn =') if _name == 'average_cost' else _more}"
