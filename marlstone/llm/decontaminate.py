@@ -3,7 +3,8 @@
 A text becomes a template: words in lower case, and typed placeholders for numbers, for units after
 a number, and for names (capitalised words within a sentence). Windows of the template are hashed and
 joined with those of the benchmark. An item is found in a text where enough of its windows are, and
-where its slots are filled consistently: each value of the item by one value of the text.
+where its slots are filled consistently: each value of the item by one value of the text. Both are asked
+of each occurrence, which is told by its alignment (place in the text less place in the item).
 """
 
 from __future__ import annotations
@@ -11,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import materialize
-
 #: Words of a window, the share of an item's windows that a text must hold, and the most windows that are broadcast.
 WIDTH, COVERAGE, BROADCAST = 8, 0.5, 200_000
 
@@ -58,49 +57,70 @@ def template(text: Column, names: bool = True) -> Column:
     return let(found, lambda tokens: let(words(tokens), lambda made: parts(tokens, made)))
 
 
-def windows(made: Column, width: int = WIDTH) -> Column:
-    """array<struct<place, key, slots>> of a template's windows; none where it has fewer words."""
+def windows(made: Column, width: int = WIDTH, whole: bool = False) -> Column:
+    """array<struct<place, key, width, slots>> of a template's windows; none where it has fewer words, or with `whole` one of all its words."""
 
-    def cut(words: Column, slots: Column) -> Column:
+    def cut(words: Column, slots: Column, n: Column) -> Column:
         def window(k: Column) -> Column:
-            own = F.when(slots.isNotNull(), F.filter(F.slice(slots, k, width), lambda s: s.isNotNull()))
-            return F.struct(k.alias("place"), F.xxhash64(F.slice(words, k, width)).alias("key"), own.alias("slots"))
+            own = F.when(slots.isNotNull(), F.filter(F.slice(slots, k, n), lambda s: s.isNotNull()))
+            return F.struct(k.alias("place"), F.xxhash64(F.slice(words, k, n)).alias("key"), n.alias("width"), own.alias("slots"))
+
+        return F.when((n > 0) & (F.size(words) >= n), F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), window))
 
-        return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), window))
+    return let(made, lambda t: let(t["words"], lambda words: let(t["slots"], lambda slots: cut(words, slots, F.least(F.lit(width), F.size(words)) if whole else F.lit(width)))))
 
-    return let(made, lambda t: let(t["words"], lambda words: let(t["slots"], lambda slots: cut(words, slots))))
 
+def _exploded(rows: DataFrame, id_columns: list[str], cut: Column) -> DataFrame:
+    found = rows.select(*id_columns, F.explode(cut).alias("w"))
+    return found.select(*id_columns, "w.place", "w.key", "w.width", F.coalesce("w.slots", F.array().cast("array<string>")).alias("slots"))
 
-def _exploded(rows: DataFrame, id_column: str, names: bool, width: int) -> DataFrame:
-    cut = rows.select(id_column, F.explode(windows(template(F.col("text"), names), width)).alias("w"))
-    return cut.select(id_column, "w.place", "w.key", F.coalesce("w.slots", F.array().cast("array<string>")).alias("slots"))
+
+def _occurrences(hits: DataFrame) -> DataFrame:
+    """hits once for each group they may belong to: the document, their exact alignment, and bands of alignments.
+
+    Bands overlap by half, so that words put in or left out don't part an occurrence; one is WIDTH wide, one as wide as the item, which
+    is less than two copies are apart. Alignments are those of one text, where several have the same id.
+    """
+    shift = F.col("place") - F.col("item_place")
+    own = lambda scale, band: F.struct(F.lit(scale).alias("scale"), F.col("part").alias("part"), band.cast("long").alias("band"))
+    wide = F.ceil(F.col("windows") / 2)
+    bands = [own(k, F.floor(shift / step) + over) for k, step in ((2, F.lit(WIDTH // 2)), (3, wide)) for over in (0, 1)]
+    document = F.struct(F.lit(0).alias("scale"), F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("band"))
+    return hits.withColumn("group", F.explode(F.array(document, own(1, shift), *bands)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, windows, found, coverage, verbatim): a row for each document and each item that it holds.
 
-    windows are the item's, found those of them that the document has; verbatim tells that the slots of enough of them
-    are unchanged. An item counts both as it is and without its names' capitals, so that a text in lower case is
-    found too. Items of fewer words than a window have none and aren't found; null and empty texts hold nothing.
-    Rows of one id count as one document, repeated rows as one. An empty table on either side gives no rows.
+    windows are the item's, found the most of them that an occurrence which passes has; verbatim tells that the slots of enough of them
+    are unchanged. An occurrence is all of a document, or what has about the same alignment. An item counts both as it is and without
+    its names' capitals, so that a text in lower case is found too. An item of fewer words than a window is one window of its own
+    length, sought among windows of that length with and without names; one of placeholders alone only with its own values. Null and
+    empty texts hold nothing. Rows of one id count as one document, repeated rows as one. An empty table on either side gives no rows.
     Other columns are not looked at. The benchmark's windows are broadcast only up to BROADCAST of them.
     """
     items = benchmark.select(F.col(item_column).alias("item_id"), F.col(item_text).alias("text"))
-    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    sought = _exploded(items, "item_id", True, width).union(_exploded(items, "item_id", False, width)).distinct()
-    keyed = sought.groupBy("key").agg(F.collect_set(F.struct("item_id", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))).alias("items"))
-    few = keyed.limit(BROADCAST + 1).count() <= BROADCAST
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).withColumn("part", F.xxhash64("text"))
+    both = [_exploded(items, ["item_id"], windows(template(F.col("text"), names), width, True)) for names in (True, False)]
+    sought = both[0].union(both[1]).distinct()
     total = sought.groupBy("item_id").agg(F.countDistinct("place").alias("windows"))
-    met = _exploded(texts, "doc_id", True, width).join(F.broadcast(keyed) if few else keyed, "key")
-    hits = materialize(met.select("doc_id", "slots", F.explode("items").alias("i")).select("doc_id", "slots", "i.*"), "hits")  # both counts below read them
+    keyed = sought.join(total, "item_id").groupBy("key", "width").agg(F.collect_set(F.struct("item_id", "windows", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))).alias("items"))
+    few = keyed.limit(BROADCAST + 1).count() <= BROADCAST
+    short = sorted(r.width for r in sought.select("width").distinct().collect() if r.width < width)
+    cut = windows(template(F.col("text")), width)
+    if short:  # the texts' templates are cut again only for lengths that items have
+        more = [let(template(F.col("text"), names), lambda t: F.flatten(F.array_compact(F.array(*(windows(t, n) for n in short))))) for names in (True, False)]
+        cut = F.flatten(F.array_compact(F.array(cut, *more)))
+    met = _exploded(texts, ["doc_id", "part"], cut).join(F.broadcast(keyed) if few else keyed, ["key", "width"])
+    hits = met.select("doc_id", "part", "place", "width", "slots", F.explode("items").alias("i")).select("doc_id", "part", "place", "width", "slots", "i.*")
+    bare = (F.col("width") < width) & (F.size("item_slots") == F.col("width"))
+    hits = hits.filter(~bare | (F.col("slots") == F.col("item_slots")))
     unchanged = F.when(F.col("slots") == F.col("item_slots"), F.col("item_place"))
-    pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots"))))
-    found = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("item_place").alias("found"), F.count_distinct(unchanged).alias("same"))
-    slots = hits.filter(F.size("slots") > 0).groupBy("doc_id", "item_id").agg(pairs.alias("pairs"))
-    decided = found.join(slots, found.doc_id.eqNullSafe(slots.doc_id) & (found.item_id == slots.item_id), "left").select(found["*"], "pairs").join(total, "item_id")
-    values = F.array_distinct(F.col("pairs.item_slots"))
-    consistent = F.coalesce(F.size("pairs") == F.size(values), F.lit(True))
+    pairs = F.array_distinct(F.flatten(F.collect_set(F.when(F.size("slots") > 0, F.arrays_zip("item_slots", "slots")))))
+    decided = _occurrences(hits).groupBy("doc_id", "item_id", "windows", "group").agg(F.size(F.collect_set("item_place")).cast("long").alias("found"), F.size(F.collect_set(unchanged)).alias("same"), pairs.alias("pairs"))
+    consistent = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item_slots")))
     least = coverage * F.col("windows")
-    return decided.filter((F.col("found") >= least) & (consistent | (F.col("same") >= least))).select(
-        "doc_id", "item_id", "windows", "found", (F.col("found") / F.col("windows")).alias("coverage"), (F.col("same") >= least).alias("verbatim")
+    passed = decided.filter((F.col("found") >= least) & (consistent | (F.col("same") >= least)))
+    return passed.groupBy("doc_id", "item_id", "windows").agg(F.max("found").alias("found"), F.max(F.col("same") >= least).alias("verbatim")).select(
+        "doc_id", "item_id", "windows", "found", (F.col("found") / F.col("windows")).alias("coverage"), "verbatim"
     )
