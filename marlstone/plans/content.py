@@ -37,6 +37,12 @@ def title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("a", "b", quantise(F.col("similarity"), 6).alias("similarity"))
 
 
+def page_title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of all pages that are alike, whole and at the reference's similarity."""
+    pages = table(spark, sf_dir, "pages").select(F.coalesce(X.html_title(F.col("html")), F.lit("")).alias("title"))
+    return D.title_pairs(pages, "title").select("a", "b", quantise(F.col("similarity"), 6).alias("similarity"))
+
+
 def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.windows(F.col("text"), 512, 64)).alias("w"))
     return cut.select("doc_id", "w.number", "w.start", F.sha2(F.col("w.text"), 256).alias("sha"))
@@ -107,7 +113,7 @@ def quality_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (fingerprints, page_texts, page_reasons, page_addresses, title_pairs, text_windows, chunk_neighbours, sentence_counts, redacted_texts, title_forms, unique_slugs, link_stems, effective_lengths, quote_holders, content_changes, long_pages, ambiguous_slugs, quality_errors)
+    for f in (fingerprints, page_texts, page_reasons, page_addresses, title_pairs, page_title_pairs, text_windows, chunk_neighbours, sentence_counts, redacted_texts, title_forms, unique_slugs, link_stems, effective_lengths, quote_holders, content_changes, long_pages, ambiguous_slugs, quality_errors)
 }
 
 
@@ -173,6 +179,9 @@ ORACLE = {
     "title_pairs": f"""WITH t AS (SELECT DISTINCT {_title("substr(text, 1, 60)")} AS t FROM documents), w AS (SELECT t, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS w FROM t WHERE t <> ''),
         p AS (SELECT a.t AS a, b.t AS b, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS s FROM w a JOIN w b ON a.t < b.t)
         SELECT a, b, {S.q("s", 6)} AS similarity FROM p WHERE s >= 0.6""",
+    "page_title_pairs": f"""WITH t AS (SELECT DISTINCT {_title(f"coalesce({_html_title('html')}, '')")} AS t FROM pages), w AS (SELECT t, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS w FROM t WHERE t <> ''),
+        p AS (SELECT a.t AS a, b.t AS b, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS s FROM w a JOIN w b ON a.t < b.t)
+        SELECT a, b, {S.q("s", 6)} AS similarity FROM p WHERE s >= 0.85""",
     "text_windows": f"WITH {_WINDOWS} SELECT doc_id, number, start, sha256(t) AS sha FROM windows",
     "chunk_neighbours": f"WITH {_WINDOWS}, c AS (SELECT doc_id, number, doc_id || '#' || number AS chunk FROM windows) SELECT chunk, lag(chunk) OVER (PARTITION BY doc_id ORDER BY number) AS before, lead(chunk) OVER (PARTITION BY doc_id ORDER BY number) AS after FROM c",
     "sentence_counts": f"SELECT doc_id, len(s) AS sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS longest, sha256(array_to_string(s, chr(10))) AS sha FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)",

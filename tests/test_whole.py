@@ -4,7 +4,7 @@ import datetime
 
 from marlstone.llm import decontaminate
 from marlstone.operators import ledger
-from marlstone.plans import knowledge
+from marlstone.plans import content, knowledge
 
 
 def written(spark, tmp_path, name, rows, kind):
@@ -51,3 +51,12 @@ def test_short_items_are_found(spark):
     items = ["Name the capital of Peru", "42", "Paris falls", "sum 3 and 3"]
     texts = ["We ask: name the capital of Chile today.", "They had 42 of them.", "They had 43 of them.", "He said Paris falls.", "sum 5 and 5", "sum 5 and 6", "name the river of Peru"]
     assert held(spark, texts, items) == {(0, 0): False, (1, 1): True, (3, 2): True, (4, 3): False}
+
+
+def test_titles_are_compared_whole(spark, tmp_path):
+    start = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda xi"  # longer than 60 characters
+    rows = [(k, f"<html><head><title>{t}</title></head></html>") for k, t in enumerate([f"{start} mu", f"{start} nu", f"{start} {'one two three four five six'}", "other"])]
+    found = content.page_title_pairs(spark, written(spark, tmp_path, "pages", rows, "page_id long, html string")).collect()
+    titles = [r[1][19:-22] for r in rows]
+    brute = {(a, b) for a in titles for b in titles if a < b and len(set(a.split()) & set(b.split())) >= 0.85 * len(set(a.split()) | set(b.split()))}
+    assert {(r.a, r.b) for r in found} == brute and len(brute) == 1
