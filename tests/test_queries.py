@@ -31,4 +31,5 @@ def test_entry_without_llm(spark):
 
     assert entry.entry(spark).count() >= 0
     assert set(registry.queries()) <= set(entry.queries())
-    assert ("pipeline" in entry.queries()) == (importlib.util.find_spec("corpus_pipeline") is not None)
+    there = all(importlib.util.find_spec(name) is not None for name in ("marlstone.llm", "corpus_pipeline"))
+    assert ("pipeline" in entry.queries()) == there
