@@ -19,19 +19,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def running(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
     """array<kind>: what step(state, item) -> (state, out) puts out for each item in turn.
 
-    A fold that appends to one array copies it for each item. Here items come in chunks: a chunk's outputs are appended to a
-    short array, and only whole chunks to the long one, so that the work grows with the items.
+    A fold copies its state, and all that it has appended to, for each item. Here a first fold finds the state at the start of
+    each chunk of items, and a second puts out a chunk's items from there, so that only short arrays are copied.
     """
 
+    def chunk(k: Column) -> Column:
+        return F.slice(items, k * CHUNK + 1, F.lit(CHUNK))
+
+    def started(done: Column, k: Column) -> Column:
+        after = F.aggregate(chunk(k), done["state"], lambda state, item: step(state, item)[0])
+        return F.struct(after.alias("state"), F.array_append(done["starts"], done["state"]).alias("starts"))
+
     def one(done: Column, item: Column) -> Column:
         state, out = step(done["state"], item)
         return F.struct(state.alias("state"), F.array_append(done["out"], out).alias("out"))
 
-    def some(done: Column, k: Column) -> Column:
-        begin = F.struct(done["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
-        folded = F.aggregate(F.slice(items, k * CHUNK + 1, F.lit(CHUNK)), begin, one)
-        return let(folded, lambda f: F.struct(f["state"].alias("state"), F.array_append(done["outs"], f["out"]).alias("outs")))
+    def put_out(state: Column, k: Column) -> Column:
+        begin = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(chunk(k), begin, one, lambda done: done["out"])
 
     chunks = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
-    begin = F.struct(zero.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("outs"))
-    return F.flatten(F.aggregate(chunks, begin, some, lambda done: done["outs"]))
+    starts = F.aggregate(chunks, F.struct(zero.alias("state"), F.slice(F.array(zero), 1, 0).alias("starts")), started, lambda done: done["starts"])
+    return F.flatten(F.transform(starts, put_out))
