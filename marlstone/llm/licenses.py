@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
-A text becomes its words, parted by single spaces. Rules are regexes over that form; each has a keyword
-that gates it, and a text is scanned at all only where it holds a keyword of any. Where a detection
+A text becomes its words, parted by single spaces. Rules are regexes over that form; each has keywords
+that gate it, and a text is scanned at all only where it holds a gate of any. Where a detection
 lies within another of the same or a better priority, it is suppressed; the earlier rule of two with
 the same place and priority stays.
 """
@@ -9,127 +9,19 @@ the same place and priority stays.
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.decontaminate import let
+from marlstone.functions.arrays import let, running
+from marlstone.llm.license_rules import PRIORITIES, gates, rules
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Base phrases and their labels.
-BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-
-#: Licenses: label, keyword, and the regex of its names in words.
-FAMILIES = (
-    ("agpl", "affero", "(?:gnu )?affero general public licen[sc]e"),
-    ("agpl", "agpl", "agpl(?:v?[13])?"),
-    ("lgpl", "lesser", "(?:gnu )?lesser general public licen[sc]e"),
-    ("lgpl", "library general", "(?:gnu )?library general public licen[sc]e"),
-    ("lgpl", "lgpl", "lgpl(?:v?[23])?"),
-    ("gpl", "general public", "(?:gnu )?general public licen[sc]e"),
-    ("gpl", "gpl", "(?:gnu )?gpl(?:v?[123])?"),
-    ("gfdl", "documentation", "(?:gnu )?free documentation licen[sc]e"),
-    ("apache", "apache", "apache (?:software )?licen[sc]e"),
-    ("mit", "mit", "mit(?: x11| expat)? licen[sc]e"),
-    ("mit-0", "mit", "mit no attribution(?: licen[sc]e)?"),
-    ("bsd-2", "bsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd) licen[sc]e"),
-    ("bsd-3", "bsd", "(?:new bsd|revised bsd|modified bsd|bsd 3 clause|3 clause bsd|three clause bsd) licen[sc]e"),
-    ("bsd-4", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd) licen[sc]e"),
-    ("bsd", "bsd", "bsd(?: style)? licen[sc]e"),
-    ("isc", "isc", "isc licen[sc]e"),
-    ("mpl", "mozilla", "mozilla public licen[sc]e"),
-    ("epl", "eclipse", "eclipse public licen[sc]e"),
-    ("edl", "eclipse", "eclipse distribution licen[sc]e"),
-    ("cpl", "common public", "common public licen[sc]e"),
-    ("cddl", "common development", "common development and distribution licen[sc]e"),
-    ("eupl", "european union", "european union public licen[sc]e"),
-    ("artistic", "artistic", "(?:perl )?artistic licen[sc]e"),
-    ("zlib", "zlib", "zlib(?: libpng)? licen[sc]e"),
-    ("libpng", "libpng", "libpng licen[sc]e"),
-    ("boost", "boost", "boost software licen[sc]e"),
-    ("unlicense", "unlicense", "(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("cc0", "cc0", "(?:creative commons )?cc0(?: universal)?"),
-    ("cc-by-nc-nd", "cc by nc nd", "cc by nc nd"),
-    ("cc-by-nc-sa", "cc by nc sa", "cc by nc sa"),
-    ("cc-by-nc", "cc by nc", "cc by nc"),
-    ("cc-by-nd", "cc by nd", "cc by nd"),
-    ("cc-by-sa", "cc by sa", "cc by sa"),
-    ("cc-by-nc-nd", "commons", "creative commons attribution non ?commercial no ?deriv(?:ative)?s"),
-    ("cc-by-nc-sa", "commons", "creative commons attribution non ?commercial share ?alike"),
-    ("cc-by-nc", "commons", "creative commons attribution non ?commercial"),
-    ("cc-by-nd", "commons", "creative commons attribution no ?deriv(?:ative)?s"),
-    ("cc-by-sa", "commons", "creative commons attribution share ?alike"),
-    ("cc-by", "commons", "creative commons attribution"),
-    ("odbl", "open database", "open database licen[sc]e"),
-    ("odc-by", "open data commons", "open data commons attribution licen[sc]e"),
-    ("pddl", "public domain", "public domain dedication and licen[sc]e"),
-    ("ofl", "open font", "(?:sil )?open font licen[sc]e"),
-    ("openssl", "openssl", "openssl licen[sc]e"),
-    ("php", "php", "php licen[sc]e"),
-    ("psf", "python software", "python software foundation licen[sc]e"),
-    ("ruby", "ruby", "ruby licen[sc]e"),
-    ("postgresql", "postgresql", "postgresql licen[sc]e"),
-    ("ms-pl", "microsoft public", "microsoft public licen[sc]e"),
-    ("ms-rl", "microsoft reciprocal", "microsoft reciprocal licen[sc]e"),
-    ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)? licen[sc]e"),
-    ("osl", "open software", "open software licen[sc]e"),
-    ("afl", "academic free", "academic free licen[sc]e"),
-    ("upl", "universal permissive", "universal permissive licen[sc]e"),
-    ("bsl", "business source", "business source licen[sc]e"),
-    ("sspl", "server side", "server side public licen[sc]e"),
-    ("elastic", "elastic", "elastic licen[sc]e"),
-    ("mulan", "mulan", "mulan permissive software licen[sc]e"),
-    ("rail", "responsible ai", "responsible ai licen[sc]e"),
-)
-
-#: How a family's name is used: priority, weight, and the regex around the name.
-FORMS = (
-    (0, 1.0, "spdx licen[sc]e identifier {}(?: (?:v|version )?[0-9]+(?: [0-9]+)?)?"),
-    (0, 0.95, "(?:licen[sc]ed|released|distributed|published|available|provided|covered|redistributed) under (?:the )?(?:terms of )?(?:the )?{}(?: (?:v|version )?[0-9]+(?: [0-9]+)?)?"),
-    (1, 0.85, "{} (?:v|version )?[0-9]+(?: [0-9]+)?(?: or (?:any )?later)?"),
-    (2, 0.7, "{}"),
-)
-
-#: Rules of no family: label, keyword, priority, weight, regex.
-OTHERS = (
-    ("all-rights-reserved", "rights reserved", 1, 0.5, "all rights reserved"),
-    ("copyright", "copyright", 2, 0.3, "copyright (?:c )?(?:19|20)[0-9]{2}"),
-    ("public-domain", "public domain", 1, 0.6, "(?:released into|dedicated to|placed in|in) the public domain"),
-    ("proprietary", "proprietary", 1, 0.5, "proprietary and confidential"),
-    ("mit", "permission is hereby granted", 0, 0.9, "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission to use", 0, 0.9, "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", "redistribution and use", 0, 0.9, "redistribution and use in source and binary forms"),
-    ("gpl", "free software", 0, 0.8, "this program is free software you can redistribute it and or modify"),
-    ("apache", "unless required by applicable law", 0, 0.8, "unless required by applicable law or agreed to in writing"),
-    ("no-warranty", "without warranty", 2, 0.2, "without warranty of any kind"),
-)
-
-PRIORITIES = 4
-
-
-@dataclass(frozen=True)
-class Rule:
-    label: str
-    keyword: str
-    priority: int
-    weight: float
-    regex: str
-    base: bool = False
-
-
-def rules() -> list[Rule]:
-    """All rules in order: each form of each family, the rest, and the base phrases, which are of the last priority."""
-    made = [Rule(label, keyword, priority, weight, form.format(name)) for label, keyword, name in FAMILIES for priority, weight, form in FORMS]
-    made += [Rule(label, keyword, priority, weight, regex) for label, keyword, priority, weight, regex in OTHERS]
-    made += [Rule(label, phrase, PRIORITIES - 1, 0.6, phrase, True) for phrase, label in BASE.items()]
-    return made
-
-
-#: What every keyword's texts hold: few and short, to pass over other texts quickly.
-GATES = ("licen", "cc by", "cc0", "commons", "gpl", "copyright", "rights reserved", "public domain", "proprietary", "permission", "redistribution", "free software", "required by applicable", "warranty", "wtfpl", "ncsa", "mit no attribution")
+#: What stands before and after a match: neither is a word's character.
+_OPEN, _CLOSE = "\x01", "\x02"
 
 
 def word_form(text: Column) -> Column:
@@ -142,72 +34,72 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-_FOUND = "array<struct<start:int,end:int,label:string,priority:int,weight:double,base:boolean>>"
+_RULES = "array<struct<label:string,keywords:array<string>,priority:int,weight:double,regex:string,base:boolean,number:int>>"
+FOUND = "struct<start:int,end:int,label:string,priority:int,weight:double,base:boolean,kept:boolean>"
 
 
-def _matches(form: Column, rule: Column) -> Column:
-    """The places of a rule's matches: what lies between matches, and the matches, in turn, add up to them."""
-    pattern = F.concat(F.lit("(?<= )(?:"), rule["regex"], F.lit(")(?= )"))
+def _places(form: Column, rule: Column) -> Column:
+    """The first and last word of each match of a rule, in order: matches are marked in the text, and marked words numbered."""
+    marked = F.regexp_replace(form, F.concat(F.lit("(?<= )(?:"), rule["regex"], F.lit(")(?= )")), F.lit(f"{_OPEN}$0{_CLOSE}"))
 
-    def places(m: Column) -> Column:
-        def step(done: Column, piece: Column) -> Column:
-            start = done["at"] + F.length(piece["between"])
-            end = start + F.length(piece["match"])
-            one = F.struct(start.alias("start"), end.alias("end"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["weight"].alias("weight"), rule["base"].alias("base"))
-            return F.struct(end.alias("at"), F.concat(done["out"], F.array(one)).alias("out"))
+    def numbered(words: Column) -> Column:
+        starts = F.array_compact(F.transform(words, lambda w, k: F.when(F.startswith(w, F.lit(_OPEN)), k)))
+        ends = F.array_compact(F.transform(words, lambda w, k: F.when(F.endswith(w, F.lit(_CLOSE)), k)))
+        return F.zip_with(starts, ends, lambda a, b: F.struct((a - 1).alias("start"), (1 - b).alias("back"), rule["priority"].alias("priority"), rule["number"].alias("rule")))
 
-        pieces = F.arrays_zip(F.slice(F.split(form, pattern, -1), F.lit(1), F.size(m)).alias("between"), m.alias("match"))
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
-        return F.when(F.size(m) > 0, F.aggregate(pieces, begin, step, lambda done: done["out"])).otherwise(F.array().cast(_FOUND))
-
-    return let(F.regexp_extract_all(form, pattern, F.lit(0)), places)
+    return let(marked, lambda m: F.when(F.contains(m, F.lit(_OPEN)), let(F.split(m, " "), numbered)))
 
 
 def detections(form: Column) -> Column:
-    """array<struct<start, end, label, priority, weight, base, kept>> of a word form, by start, then the longest; places in characters."""
-    held = F.from_json(F.lit(json.dumps([asdict(r) for r in rules()])), "array<struct<label:string,keyword:string,priority:int,weight:double,regex:string,base:boolean>>")
-    gated = F.filter(held, lambda r: F.contains(form, r["keyword"]))
-    order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["priority"] - b["priority"])
-    found = F.array_sort(F.flatten(F.transform(gated, lambda r: _matches(form, r))), order)
+    """array of FOUND of a word form, by start, then the longest; places are the numbers of the first and last word, from 0.
+
+    Rules are rows of a literal, so that the plan stays small however many there are; only those whose keywords stand in the text are tried.
+    """
+    held = F.from_json(F.lit(json.dumps([asdict(r) | {"number": k} for k, r in enumerate(rules())])), _RULES)
+    gated = F.filter(held, lambda r: F.forall(r["keywords"], lambda k: F.contains(form, k)))
+    found = F.array_sort(F.flatten(F.array_compact(F.transform(gated, lambda r: _places(form, r)))))  # by start, end downwards, priority, order of rules
+
+    def step(ends: Column, d: Column) -> tuple[Column, Column]:
+        """ends: how far detections of at most each priority reach; one that doesn't reach further than those of its own or a better lies within one of them."""
+        after = [F.when(d["priority"] <= p, F.greatest(ends[f"p{p}"], -d["back"])).otherwise(ends[f"p{p}"]).alias(f"p{p}") for p in range(PRIORITIES)]
+        furthest = ends[f"p{PRIORITIES - 1}"]
+        for p in range(PRIORITIES - 1):
+            furthest = F.when(d["priority"] == p, ends[f"p{p}"]).otherwise(furthest)
+        return F.struct(*after), furthest < -d["back"]
 
-    def step(done: Column, d: Column) -> Column:
-        furthest = F.array_max(F.slice(done["ends"], F.lit(1), d["priority"] + 1))
-        ends = F.transform(done["ends"], lambda end, k: F.when(k == d["priority"], F.greatest(end, d["end"])).otherwise(end))
-        one = F.struct(*(d[c].alias(c) for c in ("start", "end", "label", "priority", "weight", "base")), (furthest < d["end"]).alias("kept"))
-        return F.struct(ends.alias("ends"), F.concat(done["out"], F.array(one)).alias("out"))
+    def told(rule: Column, d: Column, kept: Column) -> Column:
+        return F.struct(
+            d["start"].alias("start"), (-d["back"]).alias("end"), rule["label"].alias("label"), d["priority"].alias("priority"), rule["weight"].alias("weight"), rule["base"].alias("base"), kept.alias("kept")
+        )
 
-    begin = F.struct(F.array_repeat(F.lit(-1), PRIORITIES).alias("ends"), F.array().cast(_FOUND.replace("base:boolean", "base:boolean,kept:boolean")).alias("out"))
-    return F.aggregate(found, begin, step, lambda done: done["out"])
+    none = F.struct(*(F.lit(-1).alias(f"p{p}") for p in range(PRIORITIES)))
+    return let(found, lambda some: F.zip_with(some, running(some, none, step, "boolean"), lambda d, kept: let(F.get(held, d["rule"]), lambda rule: told(rule, d, kept))))
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_words, form, found) of each row: the number of words, the word form and its detections, suppressed ones too.
 
     Repeated rows stay, ids may be null; a null or empty text has no words and no detections. Other columns are not
-    looked at. An empty table gives no rows. Each row is scanned by itself, so nothing is shuffled.
+    looked at, whatever their names. An empty table gives no rows. Each row is scanned by itself, so nothing is shuffled;
+    the time of a text grows with its words and detections.
     """
     formed = docs.select(F.col(id_column).alias("doc_id"), word_form(F.col(text_column)).alias("form"))
-    none = F.array().cast(_FOUND.replace("base:boolean", "base:boolean,kept:boolean"))
-    gate = F.lit(False)
-    for word in GATES:
-        gate = gate | F.contains("form", F.lit(word))
+    gate = reduce(Column.__or__, (F.contains("form", F.lit(word)) for word in gates()))
     n = F.when(F.col("form") == "  ", F.lit(0)).otherwise(_spaces(F.col("form")) - 1)
-    return formed.select("doc_id", n.cast("long").alias("n_words"), "form", F.when(gate, let(F.col("form"), detections)).otherwise(none).alias("found"))
+    return formed.select("doc_id", n.cast("long").alias("n_words"), "form", F.when(gate, let(F.col("form"), detections)).otherwise(F.array().cast(f"array<{FOUND}>")).alias("found"))
 
 
 def summary(found: DataFrame) -> DataFrame:
     """Per row of a scan: n_base, first_word, last_word, base_labels, labels, n_detections, score."""
-    base = F.filter("found", lambda d: d["base"])
+    base, kept = F.filter("found", lambda d: d["base"]), F.filter("found", lambda d: d["kept"])
     starts = F.transform(base, lambda d: d["start"])
-    place = lambda at: (_spaces(F.substring(F.col("form"), F.lit(1), at)) - 1).cast("long")
-    kept = F.filter("found", lambda d: d["kept"])
     join = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     return found.select(
         "doc_id",
         "n_words",
         F.size(base).cast("long").alias("n_base"),
-        F.when(F.size(base) > 0, place(F.array_min(starts))).alias("first_word"),
-        F.when(F.size(base) > 0, place(F.array_max(starts))).alias("last_word"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
         join(F.transform(base, lambda d: d["label"])).alias("base_labels"),
         join(F.concat(F.transform(base, lambda d: d["label"]), F.transform(kept, lambda d: d["label"]))).alias("labels"),
         F.size(kept).cast("long").alias("n_detections"),

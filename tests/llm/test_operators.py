@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, decontaminate, gif, language, licenses, packing, quality, sharding, warc
+from marlstone.llm import chat, decontaminate, gif, language, license_rules, licenses, packing, quality, sharding, warc
 from marlstone.llm.components import components
 from marlstone.llm.ngram_join import jaccard_classes
 
@@ -206,7 +206,7 @@ def test_license_base_is_that_of_brute_force(spark):
     want = collections.Counter()
     for i, t in rows:
         w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(lower))
-        places = [(k, label) for phrase, label in licenses.BASE.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        places = [(k, label) for phrase, label in license_rules.BASE.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
         starts = [k for k, _ in places]
         want[i, len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in places}))] += 1
     assert collections.Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in found) == want
