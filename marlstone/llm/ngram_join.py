@@ -1,13 +1,15 @@
 """N-gram Jaccard self-join of texts by chosen paths.
 
-Every text is a set of five-word shingles. Texts with the same words collapse into one set. A run
-sends each set down a path: at a node, the sampled coordinate of its min-hash sketch (a token of
-the set that two sets sample alike with the probability of their similarity) picks the child. A
-bucket small enough ends the path and is compared by brute force on the sketches; a larger one
-is split again; one that is still large at the last level is a heap of sets that agree on all the
-sampled tokens, and is kept together whole. Runs repeat until a pair at the threshold meets with the
-wanted recall. What met is a loose class; within a loose class every pair of sets is then decided
-by exact Jaccard similarity, in blocks of bounded size, so links are exact and counted once.
+Every text is a set of five-word shingles. Texts with the same words collapse into one set. A set stands
+in the join as its min-hash sketch: two sets hold the same token at a coordinate with the
+probability of their similarity. In a run, sets are split recursively: a node of the tree samples one or
+two of the coordinates, and for each of them sends a set to the child of its token there; so a set takes
+several paths, and similar sets share one. A bucket small enough ends a path and is compared by brute
+force on the sketches; a larger one is split again, once the sets nearly equal to its first one
+are linked to that one and have left it. Runs repeat until a pair at the threshold shares a path to the last
+level with the wanted recall. What was found alike is a loose class; within a loose class every pair of
+sets whose sizes allow it is then decided by exact Jaccard similarity, in blocks, so links are exact
+and counted once.
 """
 
 from __future__ import annotations
@@ -17,28 +19,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
-from marlstone.llm.shared import Words, byte_slices, materialize, mix, signed
+from marlstone.llm.shared import Words, attach, byte_slices, materialize, mix, signed
 
 COORDINATES = 64
-LEVELS = 3
+#: Levels of the tree at most, and how often a node samples a second coordinate.
+LEVELS, SECOND = 6, 0.5
 #: A bucket of at most so many sets is compared by brute force.
 BUCKET = 96
-#: Sketches that agree in this much less than the threshold are still taken as a possible link (4 sigma).
+#: Sketches that agree in this much less than the threshold are still taken as a possible link (over 3 sigma).
 SLACK = 0.2
-#: A block of a loose class holds about so many sets, and so many shingles, at most.
-BLOCK_SETS, BLOCK_SHINGLES = 384, 300_000
+#: A set that agrees so much with the first of a bucket leaves it: what is similar to it is then linked to that first one too.
+NEAR = 0.92
+#: Sets of a loose class whose texts are broadcast by id, at most.
+BROADCAST = 200_000
+#: A block of a loose class holds about so many sets and shingles at most; it is compared in tiles of so many.
+BLOCK_SETS, BLOCK_SHINGLES, TILE_SETS, TILE_SHINGLES = 8192, 2_000_000, 384, 300_000
 
 _A = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mix(_A)
 
 
+def survival(threshold: float, levels: int = LEVELS) -> float:
+    """The chance that two sets at the threshold share a path to the last level: a branching process."""
+    lost = 0.0
+    for _ in range(levels):
+        one = 1 - threshold + threshold * lost
+        lost = (1 - SECOND) * one + SECOND * one**2
+    return 1 - lost
+
+
 def runs_for(threshold: float, recall: float) -> int:
-    """Runs after which a pair at the threshold has shared a path of LEVELS samples with this probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**LEVELS))
+    """Runs after which a pair at the threshold has shared a path to the last level with this probability."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold)))
 
 
 def sketches(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -50,16 +66,25 @@ def sketches(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def paths(sketch: np.ndarray, runs: int) -> np.ndarray:
-    """The node at each level of each run: int64, (sets, runs * LEVELS); a node's key decides the next coordinate."""
-    rows, out = np.arange(len(sketch)), np.empty((len(sketch), runs, LEVELS), np.uint64)
+def children(nodes: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two children of each row's node, uint64 (rows, 2), and which of them are taken: what a node samples is told by its key alone."""
+    rows = np.arange(len(nodes))
+    drawn = mix((nodes[:, None] ^ _A[None, :]) * np.uint64(0xA24BAED4963EE407))
+    first = drawn.argmin(axis=1)
+    drawn[rows, first] = np.iinfo(np.uint64).max
+    at = np.stack([first, drawn.argmin(axis=1)], axis=1)
+    keys = mix(mix(nodes)[:, None] + _B[at] * (sketch[rows[:, None], at].astype(np.uint64) + np.uint64(1)))
+    second = (mix(nodes ^ np.uint64(0x51ED270B)) >> np.uint64(40)).astype(np.float64) / 2.0**24 < SECOND
+    return keys, np.stack([np.ones(len(nodes), bool), second], axis=1)
+
+
+def roots(sketch: np.ndarray, runs: int) -> np.ndarray:
+    """The nodes of the first level of all runs: int64, (sets, nodes)."""
+    out = []
     for run in range(runs):
-        key, at = np.full(len(sketch), run + 1, np.uint64), np.full(len(sketch), run % COORDINATES)
-        for level in range(LEVELS):
-            key = mix(key * np.uint64(0xA24BAED4963EE407) + sketch[rows, at])
-            out[:, run, level] = key
-            at = (at + 1 + (key % np.uint64(COORDINATES - 1)).astype(np.int64)) % COORDINATES
-    return signed(out.reshape(len(sketch), runs * LEVELS))
+        keys, taken = children(np.full(len(sketch), mix(np.array([run + 1], np.uint64))[0]), sketch)
+        out += [keys[:, k] for k in (0, 1) if len(sketch) == 0 or taken[0, k]]
+    return signed(np.ascontiguousarray(np.stack(out, axis=1)))
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -78,7 +103,7 @@ def _sketched(width: int, runs: int):
                 shingles, offsets = words.shingles(width)
                 some = np.flatnonzero(np.diff(offsets) > 0)
                 sketch = sketches(shingles, offsets)
-                keys = paths(sketch, runs)
+                keys = roots(sketch, runs)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)).take(pa.array(some)),
@@ -114,24 +139,34 @@ def _bounds(table: pa.Table, keys: list[str]) -> list[int]:
     return [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]
 
 
-def _roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id that each member reaches over a boolean matrix of links."""
-    root, last, none = ids, None, np.iinfo(np.int64).max
-    while last is None or (root != last).any():
-        last = root
-        root = np.minimum(root, np.where(linked, root[None, :], none).min(axis=1))
-    return root
+def _roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id that each member of the left and of the right reaches over a boolean matrix of links between them."""
+    none = np.iinfo(np.int64).max
+    while True:
+        new_left = np.minimum(left, np.where(linked, right[None, :], none).min(axis=1))
+        new_right = np.minimum(right, np.where(linked, new_left[:, None], none).min(axis=0))
+        if (new_left == left).all() and (new_right == right).all():
+            return left, right
+        left, right = new_left, new_right
+
+
+def _sketch_rows(column: pa.Array) -> np.ndarray:
+    """The sketches of a binary column without nulls, (rows, COORDINATES)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.empty((0, COORDINATES), np.uint32)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(np.uint32).reshape(-1, COORDINATES)
 
 
 def _compare_buckets(least: float):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in _groups(batches, ["bucket"]):
-            ids = table["set_id"].to_numpy()
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        for table, bounds in _groups(batches, ["node"]):
+            ids, sketch = table["set_id"].to_numpy(), _sketch_rows(table["sketch"])
             found_a, found_b = [], []
             for a, b in zip(bounds, bounds[1:], strict=False):
                 alike = (sketch[a:b, None, :] == sketch[None, a:b, :]).sum(axis=2) >= least * COORDINATES
-                root = _roots(alike, ids[a:b])
+                root = _roots(alike, ids[a:b], ids[a:b])[0]
                 other = root != ids[a:b]
                 found_a.append(ids[a:b][other])
                 found_b.append(root[other])
@@ -140,43 +175,88 @@ def _compare_buckets(least: float):
     return over
 
 
-def _intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """How many shingles each two sets share; each set holds a shingle once."""
-    n = len(sets)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    everywhere = int((times == n).sum())
-    some = (times > 1) & (times < n)
+def _split(least: float, last: bool):
+    """Rows (set_id, node, first, sketch, first_sketch) as (set_id, child, star): the node's children that a set goes on to, and the first
+    set of the node, where it is a possible link. Sets near the first one go no further; at the last level none does, and all are linked."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, nodes, first = (batch.column(c).to_numpy() for c in ("set_id", "node", "first"))
+            sketch = _sketch_rows(batch.column("sketch"))
+            agree = (sketch == _sketch_rows(batch.column("first_sketch"))).mean(axis=1)
+            linked = (ids != first) & (last | (agree >= least))
+            out = [(ids[linked], np.zeros(int(linked.sum()), np.int64), first[linked], np.ones(int(linked.sum()), bool))]
+            stays = np.zeros(len(ids), bool) if last else (ids == first) | (agree < NEAR)
+            if stays.any():
+                keys, taken = children(nodes[stays].view(np.uint64), sketch[stays])
+                row, k = np.nonzero(taken)
+                out.append((ids[stays][row], signed(np.ascontiguousarray(keys))[row, k], np.zeros(len(row), np.int64), np.zeros(len(row), bool)))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], mask=columns[3]), pa.array(columns[2], mask=~columns[3])], ["set_id", "child", "star"])
+
+    return over
+
+
+def _tiles(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of sets of at most TILE_SETS sets, and about TILE_SHINGLES shingles."""
+    number = np.maximum(np.arange(len(sizes)) // TILE_SETS, np.cumsum(sizes) // TILE_SHINGLES)
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(sizes)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of the left shares with each of the right; each set holds a shingle once."""
+    n, m = len(left), len(right)
+    row = np.repeat(np.arange(n + m), [len(x) for x in (*left, *right)])
+    _, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    mine = row < n
+    total = int(column.max(initial=-1)) + 1
+    in_left, in_right = np.bincount(column[mine], minlength=total), np.bincount(column[~mine], minlength=total)
+    everywhere = (in_left == n) & (in_right == m)
+    some = (in_left > 0) & (in_right > 0) & ~everywhere
     number = np.where(some, np.cumsum(some) - 1, -1)[column]
     row, number = row[number >= 0], number[number >= 0]
     order = np.argsort(number, kind="stable")
     row, number = row[order], number[order]
-    shared, most = np.full((n, n), float(everywhere), np.float32), 4096
+    shared, most = np.full((n, m), float(everywhere.sum()), np.float32), 4096
     for first in range(0, int(some.sum()), most):
         a, b = np.searchsorted(number, (first, first + most))
-        held = np.zeros((n, most), np.float32)
+        held = np.zeros((n + m, most), np.float32)
         held[row[a:b], number[a:b] - first] = 1
-        shared += held @ held.T
+        shared += held[:n] @ held[n:].T
     return shared
 
 
 def _exact_links(threshold: float):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in _groups(batches, ["loose", "block_a", "block_b"]):
-            ids, copies, block = (table[c].to_numpy() for c in ("set_id", "copies", "block"))
-            crossing = table["block_a"].to_numpy() != table["block_b"].to_numpy()
+            ids, copies, own, left = (table[c].to_numpy() for c in ("set_id", "copies", "block", "block_a"))
+            crossing = left != table["block_b"].to_numpy()
+            shingles = table["shingles"].combine_chunks()
             out_id, out_root, out_links = [], [], []
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"].slice(a, b - a)]
-                size, shared = np.array([len(s) for s in sets]), _intersections(sets)
-                linked = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-6
-                np.fill_diagonal(linked, False)
-                if crossing[a]:  # pairs within a block are decided where it meets itself
-                    linked &= block[a:b, None] != block[None, a:b]
-                links = linked @ copies[a:b]
+            for start, end in zip(bounds, bounds[1:], strict=False):
+                order = start + np.argsort(own[start:end] != left[start:end], kind="stable")  # one block's sets, then the other's
+                split = int((own[start:end] == left[start:end]).sum())
+                sets = [np.frombuffer(shingles[int(k)].as_buffer(), np.uint64) for k in order]
+                size, links = np.array([len(x) for x in sets]), np.zeros(len(sets), np.int64)
+                sides = (_tiles(size[:split]), [(a + split, b + split) for a, b in _tiles(size[split:])]) if crossing[start] else (_tiles(size), None)
+                for t, (a, b) in enumerate(sides[0]):
+                    for c, d in sides[0][t:] if sides[1] is None else sides[1]:
+                        shared = _shared(sets[a:b], sets[c:d])
+                        linked = shared >= threshold * (size[a:b, None] + size[None, c:d] - shared) - 1e-6
+                        if a == c:
+                            np.fill_diagonal(linked, False)
+                        links[a:b] += linked @ copies[order[c:d]]
+                        if a != c:
+                            links[c:d] += linked.T @ copies[order[a:b]]
+                        for some, root in zip((order[a:b], order[c:d]), _roots(linked, ids[order[a:b]], ids[order[c:d]]), strict=True):
+                            joined = root != ids[some]
+                            out_id.append(ids[some][joined])
+                            out_root.append(root[joined])
+                            out_links.append(np.zeros(int(joined.sum()), np.int64))
                 some = links > 0
-                out_id.append(ids[a:b][some])
-                out_root.append(_roots(linked, ids[a:b])[some])
+                out_id.append(ids[order[some]])
+                out_root.append(ids[order[some]])
                 out_links.append(links[some])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_id, out_root, out_links)], ["set_id", "root", "links"])
 
@@ -203,23 +283,56 @@ def _shingled(width: int):
 
 
 def _loose_edges(sets: DataFrame, runs: int, least: float) -> DataFrame:
-    """Edges within what meets in some run: small buckets by brute force, heaps whole, as stars."""
-    width = LEVELS
-    each = sets.select("set_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.slice("path", r * width + 1, width))).alias("keys"))
-    found = None
-    for level in range(width):
-        each = each.withColumn("bucket", F.element_at("keys", level + 1))
-        shared = each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        met = materialize(each.join(shared, "bucket"), f"level{level}")
-        small = met.filter(F.col("n") <= BUCKET).select("bucket", "set_id")
-        found = small if found is None else found.union(small)
-        each = met.filter(F.col("n") > BUCKET).drop("bucket", "n")
-    heaps = met.filter(F.col("n") > BUCKET).select("bucket", "set_id")
-    first = heaps.groupBy("bucket").agg(F.min("set_id").alias("b"))
-    stars = heaps.join(first, "bucket").select(F.col("set_id").alias("a"), "b").filter("a <> b")
-    small = found.join(sets.select("set_id", "sketch"), "set_id").select("bucket", "set_id", "sketch")
-    compared = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare_buckets(least), "a long, b long")
-    return compared.union(stars)
+    """Edges between sets (set_id, sketch, path) that meet in some bucket and look alike: small buckets by brute force, large ones by their first set."""
+    rows, small, stars = sets.select("set_id", F.explode("path").alias("node")), None, None
+    for level in range(LEVELS):
+        sizes = materialize(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("set_id").alias("first")).filter("n > 1"), "sizes")
+        met = materialize(attach(rows, sizes, "node"), "met")
+        few = met.filter(F.col("n") <= BUCKET).select("node", "set_id")
+        small = few if small is None else small.union(few)
+        many = met.filter(F.col("n") > BUCKET)
+        if many.isEmpty():
+            break
+        firsts = sizes.filter(F.col("n") > BUCKET).join(sets.select(F.col("set_id").alias("first"), F.col("sketch").alias("first_sketch")), "first").select("node", "n", "first_sketch")
+        sketched = attach(many.drop("n").join(sets.select("set_id", "sketch"), "set_id"), firsts, "node")
+        went = sketched.select("set_id", "node", "first", "sketch", "first_sketch").mapInArrow(_split(least, level == LEVELS - 1), "set_id long, child long, star long")
+        went = materialize(went, "split")
+        linked = went.filter("star IS NOT NULL").select(F.col("set_id").alias("a"), F.col("star").alias("b")).distinct()
+        stars = linked if stars is None else stars.union(linked)
+        rows = went.filter("child IS NOT NULL").select("set_id", F.col("child").alias("node"))
+    near = small.join(sets.select("set_id", "sketch"), "set_id").select("node", "set_id", "sketch")
+    compared = near.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_buckets(least), "a long, b long")
+    return compared if stars is None else compared.union(stars)
+
+
+def _level(size: Column, threshold: float) -> Column:
+    """A number of a size such that sizes of a pair at the threshold differ in it by one at most."""
+    return F.floor(F.log(size.cast("double")) / (-1.001 * math.log(threshold))).cast("long")
+
+
+def _meetings(shingled: DataFrame, threshold: float) -> DataFrame:
+    """Sets (set_id, loose, copies, size, shingles) once for each pair of blocks in which they may have a partner: (loose, block_a, block_b, block, ...).
+
+    A loose class is cut into blocks by size and by a hash; blocks of sizes too far apart don't meet. Blocks grow with their class, so
+    that a set is sent about 16 times, or once for each BLOCK_SETS of the sets of about its size, if that is more.
+    """
+    sized = shingled.withColumn("level", _level(F.col("size"), threshold))
+    counts = sized.groupBy("loose", "level").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    sets = F.least(F.lit(BLOCK_SETS), F.greatest(F.lit(TILE_SETS), F.ceil(F.col("n") / 16)))
+    cut = counts.withColumn("blocks", F.ceil(F.greatest(F.col("n") / sets, F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int"))
+    # a class has no more levels than its longest text's size has digits, so to say: a few dozen
+    held = cut.groupBy("loose").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("level", "blocks"))).alias("blocks"))
+    blocks_of = lambda level: F.coalesce(F.try_element_at("blocks", level), F.lit(0))
+    named = lambda level, part: level * F.lit(1 << 32) + part
+    own = named(F.col("level"), F.pmod(F.xxhash64("set_id"), blocks_of(F.col("level"))))
+
+    def parts(step: int) -> Column:
+        level = F.col("level") + step
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), blocks_of(level))), lambda k: F.when(k <= blocks_of(level), named(level, k - 1)))
+
+    others = F.array_compact(F.concat(parts(-1), parts(0), parts(1)))
+    dealt = attach(sized, materialize(held, "blocks"), "loose").withColumn("block", own).withColumn("other", F.explode(others))
+    return dealt.select("loose", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "block", "set_id", "copies", "shingles")
 
 
 def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.8, width: int = 5, recall: float = 0.995) -> DataFrame:
@@ -229,31 +342,25 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     at the threshold, copies among them; n_copies those of the same words, itself included.
 
     Repeated rows count once. A text without words (null, empty, marks only) has no shingles and is a
-    class of its own; so is a row with a null id, whose class_id is null. Columns besides the two
-    are not looked at, whatever their names. An empty table gives no rows.
+    class of its own; so is a row with a null id, whose class_id is null. A very long text is one set, whose shingles
+    must fit in a task. Columns besides the two are not looked at, whatever their names. An empty table gives no rows.
     """
     runs = runs_for(threshold, recall)
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     named = docs.filter("id IS NOT NULL")
     rows = materialize(named.mapInArrow(_sketched(width, runs), "id long, high long, low long, sketch binary, path array<bigint>"), "sketched")
     members = rows.select("id", "high", "low").distinct()
-    sets = materialize(
-        members.groupBy("high", "low").agg(F.min("id").alias("set_id"), F.count("*").alias("copies")),
-        "sets",
-    )
+    sets = materialize(members.groupBy("high", "low").agg(F.min("id").alias("set_id"), F.count("*").alias("copies")), "sets")
     first = sets.join(rows, (sets.high == rows.high) & (sets.low == rows.low) & (sets.set_id == rows.id)).select("set_id", "sketch", "path").dropDuplicates(["set_id"])
     loose = materialize(components(_loose_edges(materialize(first, "first"), runs, threshold - SLACK)), "loose")
 
-    wanted = loose.join(sets, loose.node == sets.set_id).select("set_id", F.col("label").alias("loose"), "copies", "high", "low")
-    texts = named.join(wanted, named.id == wanted.set_id).select("set_id", "loose", "copies", "high", "low", "text")
+    wanted = materialize(loose.join(sets, loose.node == sets.set_id).select("set_id", F.col("label").alias("loose"), "copies", "high", "low"), "wanted")
+    side = F.broadcast(wanted) if wanted.limit(BROADCAST + 1).count() <= BROADCAST else wanted
+    texts = named.join(side, named.id == side.set_id).select("set_id", "loose", "copies", "high", "low", "text")
     shingled = materialize(texts.mapInArrow(_shingled(width), "set_id long, loose long, copies long, size long, shingles binary").dropDuplicates(["set_id"]), "shingled")
-    blocks = shingled.groupBy("loose").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = shingled.join(blocks, "loose").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "loose", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "block", "set_id", "copies", "shingles"
-    )
     keys = ["loose", "block_a", "block_b"]
-    links = materialize(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_exact_links(threshold), "set_id long, root long, links long"), "links")
+    met = _meetings(shingled, threshold).repartition(*keys).sortWithinPartitions(*keys)
+    links = materialize(met.mapInArrow(_exact_links(threshold), "set_id long, root long, links long"), "links")
     classes = components(links.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     linked = links.groupBy("set_id").agg(F.sum("links").alias("links"))
     decided = (

@@ -20,10 +20,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a temporary folder takes its place.
+    Only where that is unset and Spark runs on one machine, as in tests, a temporary folder takes its place.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,6 +38,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a key beyond which it is hot; in a large table one in so many rows, so that there are at most so many hot keys.
+HOT, HOT_SHARE = 2000, 100_000
+
+
+def attach(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """rows joined with the row of their key in sizes (key, n, more), where n is how many rows have the key; keys must not repeat.
+
+    Rows of hot keys stay where they are: of keys with so large a share of all rows there can't be more than HOT_SHARE, so that
+    theirs are broadcast. All others are shuffled by key, and none has many rows.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(HOT, total // HOT_SHARE)
+    few, rest = sizes.filter(hot), sizes.filter(~hot)
+    if few.isEmpty():
+        return rows.join(rest, key)
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key))
+
+
 # --- Arrow text -------------------------------------------------------------------------------
 
 
