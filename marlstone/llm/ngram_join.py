@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
-from marlstone.llm.shared import Words, attach, byte_slices, materialize, mix, signed
+from marlstone.llm.shared import Words, attach, byte_slices, extent, materialize, mix, signed
 
 COORDINATES = 64
 #: Levels of the tree at most, and how often a node samples a second coordinate.
@@ -287,14 +287,15 @@ def _loose_edges(sets: DataFrame, runs: int, least: float) -> DataFrame:
     rows, small, stars = sets.select("set_id", F.explode("path").alias("node")), None, None
     for level in range(LEVELS):
         sizes = materialize(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("set_id").alias("first")).filter("n > 1"), "sizes")
-        met = materialize(attach(rows, sizes, "node"), "met")
+        known = extent(sizes)
+        met = materialize(attach(rows, sizes, "node", known), "met")
         few = met.filter(F.col("n") <= BUCKET).select("node", "set_id")
         small = few if small is None else small.union(few)
-        many = met.filter(F.col("n") > BUCKET)
-        if many.isEmpty():
+        if known[1] <= BUCKET:
             break
+        many = met.filter(F.col("n") > BUCKET)
         firsts = sizes.filter(F.col("n") > BUCKET).join(sets.select(F.col("set_id").alias("first"), F.col("sketch").alias("first_sketch")), "first").select("node", "n", "first_sketch")
-        sketched = attach(many.drop("n").join(sets.select("set_id", "sketch"), "set_id"), firsts, "node")
+        sketched = attach(many.drop("n").join(sets.select("set_id", "sketch"), "set_id"), firsts, "node", known)
         went = sketched.select("set_id", "node", "first", "sketch", "first_sketch").mapInArrow(_split(least, level == LEVELS - 1), "set_id long, child long, star long")
         went = materialize(went, "split")
         linked = went.filter("star IS NOT NULL").select(F.col("set_id").alias("a"), F.col("star").alias("b")).distinct()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,47 +10,35 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.sources.tables import materialize as materialize
+from marlstone.sources.tables import shared_dir as shared_dir
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where that is unset and Spark runs on one machine, as in tests, a temporary folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, and survives a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Rows of a key beyond which it is hot; in a large table one in so many rows, so that there are at most so many hot keys.
 HOT, HOT_SHARE = 2000, 100_000
 
 
-def attach(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+def extent(sizes: DataFrame) -> tuple[int, int]:
+    """All rows that keys have together, and those of the largest key."""
+    row = sizes.agg(F.sum("n"), F.max("n")).first()
+    return row[0] or 0, row[1] or 0
+
+
+def attach(rows: DataFrame, sizes: DataFrame, key: str, known: tuple[int, int] | None = None) -> DataFrame:
     """rows joined with the row of their key in sizes (key, n, more), where n is how many rows have the key; keys must not repeat.
 
     Rows of hot keys stay where they are: of keys with so large a share of all rows there can't be more than HOT_SHARE, so that
-    theirs are broadcast. All others are shuffled by key, and none has many rows.
+    theirs are broadcast. All others are shuffled by key, and none has many rows. `known` is the extent of sizes, or of more than them.
     """
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") > max(HOT, total // HOT_SHARE)
-    few, rest = sizes.filter(hot), sizes.filter(~hot)
-    if few.isEmpty():
-        return rows.join(rest, key)
+    total, most = known or extent(sizes)
+    least = max(HOT, total // HOT_SHARE)
+    if most <= least:
+        return rows.join(sizes, key)
+    few, rest = sizes.filter(F.col("n") > least), sizes.filter(F.col("n") <= least)
     return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key))
 
 
