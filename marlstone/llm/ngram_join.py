@@ -5,8 +5,8 @@ in the join as its min-hash sketch: two sets hold the same token at a coordinate
 probability of their similarity. In a run, sets are split recursively: a node of the tree samples one or
 two of the coordinates, and for each of them sends a set to the child of its token there; so a set takes
 several paths, and similar sets share one. A bucket small enough ends a path and is compared by brute
-force on the sketches; a larger one is split again, once the sets nearly equal to its first one
-are linked to that one and have left it. Runs repeat until a pair at the threshold shares a path to the last
+force on the sketches; a larger one is split again, once the sets nearly equal to one of a few
+chosen from it are linked to that one and have left it. Runs repeat until a pair at the threshold shares a path to the last
 level with the wanted recall. What was found alike is a loose class; within a loose class every pair of
 sets whose sizes allow it is then decided by exact Jaccard similarity, in blocks, so links are exact
 and counted once.
@@ -27,13 +27,15 @@ from marlstone.llm.shared import Words, attach, byte_slices, extent, materialize
 
 COORDINATES = 64
 #: Levels of the tree at most, and how often a node samples a second coordinate.
-LEVELS, SECOND = 6, 0.5
+LEVELS, SECOND = 4, 0.5
 #: A bucket of at most so many sets is compared by brute force.
 BUCKET = 96
 #: Sketches that agree in this much less than the threshold are still taken as a possible link (over 3 sigma).
 SLACK = 0.2
-#: A set that agrees so much with the first of a bucket leaves it: what is similar to it is then linked to that first one too.
-NEAR = 0.92
+#: A set that agrees so much with one of a few chosen from its bucket leaves it: what is similar to it is then linked to that one too.
+NEAR = 0.85
+#: Each chooses a set of a bucket: that whose id is smallest once its bits are turned so.
+CHOICES = (0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x3C6EF372FE94F82B)
 #: Sets of a loose class whose texts are broadcast by id, at most.
 BROADCAST = 200_000
 #: A block of a loose class holds about so many sets and shingles at most; it is compared in tiles of so many.
@@ -175,24 +177,45 @@ def _compare_buckets(least: float):
     return over
 
 
+def _merged(sketch: np.ndarray, least: float) -> np.ndarray:
+    """For a few sets the first of those that they are linked to, over others or not."""
+    linked = (sketch[:, None, :] == sketch[None, :, :]).mean(axis=2) >= least
+    return _roots(linked, np.arange(len(sketch)), np.arange(len(sketch)))[0]
+
+
 def _split(least: float, last: bool):
-    """Rows (set_id, node, first, sketch, first_sketch) as (set_id, child, star): the node's children that a set goes on to, and the first
-    set of the node, where it is a possible link. Sets near the first one go no further; at the last level none does, and all are linked."""
+    """Rows (set_id, node, sketch, chosen) as (set_id, children, stars): the node's children that a set goes on to, and the chosen sets of
+    the node that it may be like, one of those that are like each other. Sets near a chosen one go no further; at the last level none
+    does, and all are linked to the first."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, nodes, first = (batch.column(c).to_numpy() for c in ("set_id", "node", "first"))
-            sketch = _sketch_rows(batch.column("sketch"))
-            agree = (sketch == _sketch_rows(batch.column("first_sketch"))).mean(axis=1)
-            linked = (ids != first) & (last | (agree >= least))
-            out = [(ids[linked], np.zeros(int(linked.sum()), np.int64), first[linked], np.ones(int(linked.sum()), bool))]
-            stays = np.zeros(len(ids), bool) if last else (ids == first) | (agree < NEAR)
-            if stays.any():
-                keys, taken = children(nodes[stays].view(np.uint64), sketch[stays])
-                row, k = np.nonzero(taken)
-                out.append((ids[stays][row], signed(np.ascontiguousarray(keys))[row, k], np.zeros(len(row), np.int64), np.zeros(len(row), bool)))
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], mask=columns[3]), pa.array(columns[2], mask=~columns[3])], ["set_id", "child", "star"])
+            ids, nodes, sketch = batch.column("set_id").to_numpy(), batch.column("node").to_numpy(), _sketch_rows(batch.column("sketch"))
+            lists, n = batch.column("chosen"), len(batch)
+            chosen, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            cand, cand_sketch = chosen.field("candidate").to_numpy(), _sketch_rows(chosen.field("candidate_sketch"))
+            start, owner = np.cumsum(count) - count, np.repeat(np.arange(n), count)
+            merged = np.empty(len(cand), np.int64)  # the chosen set that stands for each, as a place in cand
+            for row in np.unique(nodes, return_index=True)[1]:
+                merged[start[row] : start[row] + count[row]] = _merged(cand_sketch[start[row] : start[row] + count[row]], least)
+            told = np.unique(nodes, return_index=True, return_inverse=True)
+            merged = start[owner] + merged[start[told[1][told[2]]][owner] + np.arange(len(cand)) - start[owner]]
+            agree, own = (sketch[owner] == cand_sketch).mean(axis=1), cand == ids[owner]
+            if last:
+                stars = np.stack([np.arange(n), cand[start]], axis=1)
+            else:
+                stars = np.unique(np.stack([owner, cand[merged]], axis=1)[agree >= least], axis=0)
+            stars = stars[stars[:, 1] != ids[stars[:, 0]]]
+            leaves, is_chosen = np.zeros(n, bool), np.zeros(n, bool)
+            leaves[owner[agree >= NEAR]] = True
+            is_chosen[owner[own]] = True
+            stays = (~leaves | is_chosen) & (not last)
+            keys, taken = children(nodes.view(np.uint64), sketch)
+            taken &= stays[:, None]
+            kept = taken.any(axis=1) | (np.bincount(stars[:, 0], minlength=n) > 0)
+            lists_of = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts[kept])).astype(np.int32)), pa.array(values))
+            found = lists_of(taken.sum(axis=1), signed(np.ascontiguousarray(keys))[taken]), lists_of(np.bincount(stars[:, 0], minlength=n), stars[:, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), *found], ["set_id", "children", "stars"])
 
     return over
 
@@ -283,10 +306,10 @@ def _shingled(width: int):
 
 
 def _loose_edges(sets: DataFrame, runs: int, least: float) -> DataFrame:
-    """Edges between sets (set_id, sketch, path) that meet in some bucket and look alike: small buckets by brute force, large ones by their first set."""
+    """Edges between sets (set_id, sketch, path) that meet in some bucket and look alike: small buckets by brute force, large ones by a few sets chosen from each."""
     rows, small, stars = sets.select("set_id", F.explode("path").alias("node")), None, None
     for level in range(LEVELS):
-        sizes = materialize(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("set_id").alias("first")).filter("n > 1"), "sizes")
+        sizes = materialize(rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
         known = extent(sizes)
         met = materialize(attach(rows, sizes, "node", known), "met")
         few = met.filter(F.col("n") <= BUCKET).select("node", "set_id")
@@ -294,13 +317,16 @@ def _loose_edges(sets: DataFrame, runs: int, least: float) -> DataFrame:
         if known[1] <= BUCKET:
             break
         many = met.filter(F.col("n") > BUCKET)
-        firsts = sizes.filter(F.col("n") > BUCKET).join(sets.select(F.col("set_id").alias("first"), F.col("sketch").alias("first_sketch")), "first").select("node", "n", "first_sketch")
-        sketched = attach(many.drop("n").join(sets.select("set_id", "sketch"), "set_id"), firsts, "node", known)
-        went = sketched.select("set_id", "node", "first", "sketch", "first_sketch").mapInArrow(_split(least, level == LEVELS - 1), "set_id long, child long, star long")
+        picks = many.groupBy("node").agg(F.max("n").alias("n"), *(F.min(F.col("set_id").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(CHOICES)))
+        some = picks.select("node", "n", F.explode(F.array_distinct(F.array(*(F.col(f"m{k}").bitwiseXOR(F.lit(m)) for k, m in enumerate(CHOICES))))).alias("candidate"))
+        of = sets.select(F.col("set_id").alias("candidate"), F.col("sketch").alias("candidate_sketch"))
+        chosen = some.join(of, "candidate").groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("candidate", "candidate_sketch"))).alias("chosen"))
+        sketched = attach(many.select("set_id", "node").join(sets.select("set_id", "sketch"), "set_id"), chosen, "node", known)
+        went = sketched.select("set_id", "node", "sketch", "chosen").mapInArrow(_split(least, level == LEVELS - 1), "set_id long, children array<bigint>, stars array<bigint>")
         went = materialize(went, "split")
-        linked = went.filter("star IS NOT NULL").select(F.col("set_id").alias("a"), F.col("star").alias("b")).distinct()
+        linked = went.select(F.col("set_id").alias("a"), F.explode("stars").alias("b"))
         stars = linked if stars is None else stars.union(linked)
-        rows = went.filter("child IS NOT NULL").select("set_id", F.col("child").alias("node"))
+        rows = went.select("set_id", F.explode("children").alias("node"))
     near = small.join(sets.select("set_id", "sketch"), "set_id").select("node", "set_id", "sketch")
     compared = near.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_buckets(least), "a long, b long")
     return compared if stars is None else compared.union(stars)
