@@ -7,115 +7,146 @@ is the sum of how far each is out of place; an n-gram that a profile lacks count
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marlstone.llm.shared import byte_slices, text_bytes
+from marlstone.llm.shared import byte_slices
 
 #: N-grams ranked in a profile, and in a text.
 PROFILE, RANKED = 600, 300
+#: Languages at most: a column with more values than that isn't one of languages.
+MOST = 2000
+#: Counts that a task holds before it gives them on.
+HELD = 1 << 20
 
-#: Letters a-z are 1 to 26, bytes beyond ASCII 32 to 63 by their low bits, all else is a space, 0.
-_CODE = np.zeros(256, np.int32)
-_CODE[97:123] = np.arange(1, 27)
-_CODE[128:] = 32 + (np.arange(128) & 31)
+#: N-grams are numbered by their letters' code points: first those of one letter, then of two, then of three.
+_BASE = 0x110000 + 1
 
-#: One-, two- and three-letter n-grams are numbered one after another.
-_TWO, _THREE = 64, 64 + 64**2
-GRAMS = _THREE + 64**3
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter, or a mark upon one."""
+    return np.array([unicodedata.category(chr(k))[0] in "LM" for k in range(0x110000)])
 
 
 def _grams(column: pa.Array) -> Iterator[np.ndarray]:
-    """The n-grams of each text of a slice, in order, without those of only spaces."""
-    data, offsets = text_bytes(pc.utf8_lower(pc.fill_null(column, "").cast(pa.large_string())))
-    code = _CODE[data]
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        c = np.concatenate([[0], code[a:b], [0]])
+    """The n-grams of each text of a slice, in order, without those of only spaces; a space is 0."""
+    letters = _letters()
+    for text in pc.utf8_lower(pc.fill_null(column, "").cast(pa.large_string())).to_pylist():
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        c = np.concatenate([[0], np.where(letters[code], code, 0), [0]])
         c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
-        two = c[:-1] * 64 + c[1:]
-        three = two[:-1] * 64 + c[2:] if len(c) > 2 else two[:0]
-        yield np.concatenate([c[c > 0], _TWO + two[two > 0], _THREE + three])
+        two = c[:-1] * _BASE + c[1:]
+        three = two[:-1] * _BASE + c[2:] if len(c) > 2 else two[:0]
+        yield np.concatenate([c[c > 0], _BASE + two[two > 0], _BASE + _BASE**2 + three])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n) of the texts of a task."""
-    counts: dict[str, np.ndarray] = {}
+    """(lang, gram, n) of the texts of a task, added up as far as memory for HELD of them allows."""
+    held: dict[str, pd.Series] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
-        for lang, n in counts.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(n[some])], ["lang", "gram", "n"])
-        counts.clear()
+        for lang, n in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(n.index.to_numpy()), pa.array(n.to_numpy())], ["lang", "gram", "n"])
+        held.clear()
 
     for batch in batches:
         for at, texts in byte_slices(batch.column(1)):
+            own: dict[str, list[np.ndarray]] = {}
             for lang, grams in zip(batch.column(0).slice(at, len(texts)).to_pylist(), _grams(texts), strict=True):
-                if lang not in counts:
-                    if len(counts) == 64:  # holds memory down where a column has very many values
-                        yield from out()
-                    counts[lang] = np.zeros(GRAMS, np.int64)
-                if len(grams):
-                    found = np.bincount(grams)
-                    counts[lang][: len(found)] += found
+                own.setdefault(lang, []).append(grams)
+            for lang, parts in own.items():
+                n = pd.Series(np.concatenate(parts)).value_counts(sort=False)
+                held[lang] = held[lang].add(n, fill_value=0).astype(np.int64) if lang in held else n.astype(np.int64)
+            if sum(map(len, held.values())) > HELD:
+                yield from out()
     yield from out()
 
 
 def profiles(texts: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
-    """The ranked n-grams of each language of (lang, text); all texts count, and `size` n-grams a language come back."""
+    """The ranked n-grams of each language of (lang, text); all texts count, and `size` n-grams a language come back.
+
+    Ties are broken by the n-grams' numbers. More than MOST languages are an error.
+    """
     counts = texts.filter("lang IS NOT NULL").select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= size)
     found: dict[str, list[int]] = {}
-    for row in best.orderBy("lang", "rank").collect():
+    for row in best.orderBy("lang", "rank").limit(MOST * size + 1).collect():
         found.setdefault(row.lang, []).append(row.gram)
+    if len(found) > MOST:
+        raise ValueError(f"more than {MOST} languages")
     return found
 
 
-def _identify(profile: dict[str, list[int]], ranked: int):
-    langs = sorted(profile)
-    worst = max([len(p) for p in profile.values()], default=1)
-    table: list[np.ndarray] = []
+class Profiles:
+    """Ranks of n-grams in the languages that have them: for each n-gram, in order, a stretch of (language, rank)."""
+
+    def __init__(self, profile: dict[str, list[int]]) -> None:
+        self.langs = sorted(profile)
+        self.worst = max((len(p) for p in profile.values()), default=1)
+        gram = np.array([g for lang in self.langs for g in profile[lang]], np.int64)
+        lang = np.repeat(np.arange(len(self.langs)), [len(profile[x]) for x in self.langs])
+        rank = np.concatenate([np.arange(len(profile[x])) for x in self.langs] or [np.zeros(0, np.int64)])
+        order = np.argsort(gram, kind="stable")
+        self.lang, self.rank = lang[order], rank[order]
+        self.gram, first = np.unique(gram[order], return_index=True)
+        self.start = np.append(first, len(gram))
+
+    def distances(self, top: np.ndarray) -> np.ndarray:
+        """How far out of place the ranked n-grams are in each language, in all."""
+        at = np.minimum(np.searchsorted(self.gram, top), len(self.gram) - 1)
+        place = np.flatnonzero(self.gram[at] == top)
+        first = self.start[at[place]]
+        n = self.start[at[place] + 1] - first
+        entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        off = np.abs(self.rank[entry] - np.repeat(place, n)) - self.worst
+        return self.worst * len(top) + np.bincount(self.lang[entry], off, minlength=len(self.langs))
+
+
+def ranked(grams: np.ndarray, most: int = RANKED) -> np.ndarray:
+    """The most frequent n-grams in order, ties by number."""
+    grams = np.sort(grams)
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+    return grams[first[np.argsort(-np.diff(np.append(first, len(grams))), kind="stable")[:most]]]
+
 
-    def place() -> np.ndarray:
-        if not table:
-            made = np.full((len(langs), GRAMS), worst, np.int32)
-            for k, lang in enumerate(langs):
-                made[k, profile[lang]] = np.arange(len(profile[lang]))
-            table.append(made)
-        return table[0]
+def _identify(profile: dict[str, list[int]], most: int):
+    held = Profiles(profile)
 
     def over(texts: pa.Array) -> pa.Array:
-        best, score = [], []
+        best, score, size = [], [], []
         for _, some in byte_slices(texts):
             for grams in _grams(some):
-                grams = np.sort(grams)
-                first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else grams
-                if not len(first) or not langs:
+                top = ranked(grams, most)
+                size.append(len(top))
+                if not len(top) or not held.langs:
                     best.append("und")
                     score.append(0.0)
                     continue
-                count = np.diff(np.append(first, len(grams)))
-                top = grams[first[np.argsort(-count, kind="stable")[:ranked]]]
-                distance = np.abs(place()[:, top] - np.arange(len(top))).sum(axis=1)
+                distance = held.distances(top)
                 k = int(distance.argmin())
-                best.append(langs[k])
-                score.append(max(0.0, 1 - float(distance[k]) / (worst * len(top))))
-        return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
+                best.append(held.langs[k])
+                score.append(max(0.0, 1 - float(distance[k]) / (held.worst * len(top))))
+        return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(size, pa.int64())], ["lang", "score", "grams"])
 
     return over
 
 
-def identified(text: Column, profile: dict[str, list[int]], ranked: int = RANKED) -> Column:
-    """struct(lang, score) of a text: the nearest profile (ties: the first by name), and 1 less the share of the worst
-    distance. A null text, one without a letter, and any text where there are no profiles, is `und` with score 0."""
-    predict = partial(F.arrow_udf, returnType=StructType().add("lang", "string").add("score", "double"))(_identify(profile, ranked))
-    none = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"))
+def identified(text: Column, profile: dict[str, list[int]], most: int = RANKED) -> Column:
+    """struct(lang, score, grams) of a text: the nearest profile (ties: the first by name), 1 less the share of the worst
+    distance, and how many n-grams were ranked. A null text, one without a letter, and any text where there are no profiles, is
+    `und` with score 0."""
+    predict = partial(F.arrow_udf, returnType=StructType().add("lang", "string").add("score", "double").add("grams", "long"))(_identify(profile, most))
+    none = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("grams"))
     return F.when(text.isNull() | ~text.rlike("\\p{L}"), none).otherwise(predict.asNondeterministic()(text))
 
 
@@ -127,8 +158,9 @@ def held_out(id_column: str = "doc_id") -> Column:
 def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row, with profiles learnt from the rows that aren't held out.
 
-    Rows with a null id, language or text don't teach. Repeated rows stay. Other columns are not looked at.
-    An empty table gives no rows.
+    Rows with a null id, language or text don't teach. Repeated rows stay. Letters are code points, so texts of all scripts
+    teach and are told apart; a very long text is read whole. Other columns are not looked at, whatever their names. An
+    empty table gives no rows.
     """
     known = docs.filter(F.col(id_column).isNotNull() & F.col(text_column).isNotNull() & ~held_out(id_column))
     profile = profiles(known.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text")))
