@@ -12,8 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.arrays import let
+from marlstone.llm.shared import materialize
+
 #: Words of a window, the share of an item's windows that a text must hold, and the most windows that are broadcast.
 WIDTH, COVERAGE, BROADCAST = 8, 0.5, 200_000
+#: Tasks that a window's texts are dealt to where the benchmark isn't broadcast.
+SALTS = 16
 
 #: Units that may follow a number.
 UNITS = (
@@ -24,11 +29,6 @@ UNITS = (
 _TOKENS = r"[\p{L}\p{M}]+|\d+(?:[.,]\d+)*|[.!?\n]"
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with the value computed once: it is the variable of a lambda, which a plan can't inline again."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def template(text: Column, names: bool = True) -> Column:
     """struct<words, slots>: the template of a text, and what each placeholder stands for; slots are null where there is none."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKENS), F.lit(0))
@@ -97,22 +97,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     its names' capitals, so that a text in lower case is found too. An item of fewer words than a window is one window of its own
     length, sought among windows of that length with and without names; one of placeholders alone only with its own values. Null and
     empty texts hold nothing. Rows of one id count as one document, repeated rows as one. An empty table on either side gives no rows.
-    Other columns are not looked at. The benchmark's windows are broadcast only up to BROADCAST of them.
+    A very long text is one row's windows, made in a task's memory. Ties don't arise: a pair is a row. Other columns are not looked at,
+    whatever their names. The benchmark's windows are broadcast only up to BROADCAST of them, each item's counted; beyond that
+    the windows of texts are shuffled to them.
     """
     items = benchmark.select(F.col(item_column).alias("item_id"), F.col(item_text).alias("text"))
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).withColumn("part", F.xxhash64("text"))
     both = [_exploded(items, ["item_id"], windows(template(F.col("text"), names), width, True)) for names in (True, False)]
     sought = both[0].union(both[1]).distinct()
     total = sought.groupBy("item_id").agg(F.countDistinct("place").alias("windows"))
-    keyed = sought.join(total, "item_id").groupBy("key", "width").agg(F.collect_set(F.struct("item_id", "windows", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))).alias("items"))
-    few = keyed.limit(BROADCAST + 1).count() <= BROADCAST
+    sought = materialize(sought.join(total, "item_id").select("item_id", "windows", "key", "width", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")), "sought")
+    few = sought.limit(BROADCAST + 1).count() <= BROADCAST
     short = sorted(r.width for r in sought.select("width").distinct().collect() if r.width < width)
     cut = windows(template(F.col("text")), width)
     if short:  # the texts' templates are cut again only for lengths that items have
         more = [let(template(F.col("text"), names), lambda t: F.flatten(F.array_compact(F.array(*(windows(t, n) for n in short))))) for names in (True, False)]
         cut = F.flatten(F.array_compact(F.array(cut, *more)))
-    met = _exploded(texts, ["doc_id", "part"], cut).join(F.broadcast(keyed) if few else keyed, ["key", "width"])
-    hits = met.select("doc_id", "part", "place", "width", "slots", F.explode("items").alias("i")).select("doc_id", "part", "place", "width", "slots", "i.*")
+    held = _exploded(texts, ["doc_id", "part"], cut)
+    if few:
+        hits = held.join(F.broadcast(sought), ["key", "width"])
+    else:  # a window that very many texts hold is dealt to SALTS tasks, and the benchmark's windows to each
+        salted = sought.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = held.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part", "place"), F.lit(SALTS)).cast("int")).join(salted, ["key", "width", "salt"]).drop("salt")
     bare = (F.col("width") < width) & (F.size("item_slots") == F.col("width"))
     hits = hits.filter(~bare | (F.col("slots") == F.col("item_slots")))
     unchanged = F.when(F.col("slots") == F.col("item_slots"), F.col("item_place"))
