@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -113,8 +113,9 @@ LABELLERS = (
 )
 
 
-def votes(texts: pa.Array, labellers: tuple[Labeller, ...] = LABELLERS) -> np.ndarray:
-    found = statistics(texts)
+def votes(texts: pa.Array, found: dict[str, np.ndarray] | None = None, labellers: tuple[Labeller, ...] = LABELLERS) -> np.ndarray:
+    """Votes of each labeller by text, from the texts' statistics, which are made where they aren't given."""
+    found = statistics(texts) if found is None else found
     return np.stack([x.vote(found) for x in labellers], axis=1)
 
 
@@ -172,14 +173,13 @@ def estimate(cast: np.ndarray, counts: np.ndarray, rounds: int = 50, false_alarm
 _SCALE = 25.0
 
 
-def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _hashed(texts: pa.Array, found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bucket of each byte trigram, its row, the trigrams by row, and the buckets of the statistics' bins by row."""
     raw, offsets = text_bytes(texts)
     wide = raw.astype(np.int64)
     rows = np.repeat(np.arange(len(texts)), np.diff(offsets))
     inside = rows[2:] == rows[:-2]
     bucket = BINS + ((wide[:-2] * 7919 + wide[1:-1] * 104729 + wide[2:] * 15485863) >> 4) % (BUCKETS - BINS)
-    found = statistics(texts)
     bins = []
     for k, name in enumerate(STATISTICS):
         value = found[name]
@@ -188,9 +188,9 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return bucket[inside], rows[2:][inside], np.maximum(np.bincount(rows[2:][inside], minlength=len(texts)), 1), np.stack(bins, axis=1)
 
 
-def vectors(texts: pa.Array) -> np.ndarray:
+def vectors(texts: pa.Array, found: dict[str, np.ndarray]) -> np.ndarray:
     """Dense features of a few texts: scaled shares of trigrams by bucket, and ones for bins."""
-    bucket, row, n, bins = _hashed(texts)
+    bucket, row, n, bins = _hashed(texts, found)
     out = np.bincount(row * BUCKETS + bucket, minlength=len(texts) * BUCKETS).reshape(-1, BUCKETS) * (_SCALE / n)[:, None]
     out[np.arange(len(texts))[:, None], bins] = 1
     return out
@@ -217,8 +217,9 @@ class Classifier:
 
     def apply(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Votes, posterior and score of a slice of texts."""
-        cast = votes(texts)
-        bucket, row, n, bins = _hashed(texts)
+        found = statistics(texts)
+        cast = votes(texts, found)
+        bucket, row, n, bins = _hashed(texts, found)
         total = np.bincount(row, self.weight[bucket], minlength=len(texts)) * _SCALE / n + self.weight[bins].sum(axis=1) + self.bias
         return cast, self.model.posterior(cast), 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
@@ -231,8 +232,14 @@ def _cast(texts: pa.Array) -> pa.Array:
     return pa.concat_arrays([_pattern(votes(some)) for _, some in byte_slices(texts)] or [pa.array([], pa.string())])
 
 
-def _vectors(texts: pa.Array) -> pa.Array:
-    return pa.array([x.astype(np.float16).tobytes() for _, some in byte_slices(texts, 1 << 18) for x in vectors(some)], pa.binary())
+def _taught(texts: pa.Array) -> pa.Array:
+    """Votes and vector of each text."""
+    cast, made = [], []
+    for _, some in byte_slices(texts, 1 << 18):
+        found = statistics(some)
+        cast.append(_pattern(votes(some, found)))
+        made += [x.astype(np.float16).tobytes() for x in vectors(some, found)]
+    return pa.StructArray.from_arrays([pa.concat_arrays(cast or [pa.array([], pa.string())]), pa.array(made, pa.binary())], ["votes", "vector"])
 
 
 #: What nothing has been learnt from says good.
@@ -242,7 +249,8 @@ NO_MODEL = LabelModel(np.eye(1 + len(LABELLERS))[0] * 0.99 + 1e-4, np.ones((len(
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE) -> Classifier:
     """Learn from texts alone: votes of all of them, and the scorer from at most `sample` of them by a hash.
 
-    At most 3 ** len(LABELLERS) vote patterns, and the sample's vectors (8 kB each), come to the driver.
+    At most 3 ** len(LABELLERS) vote patterns, and the sample's vectors (8 kB each), come to the driver. Null texts count as
+    empty; repeated rows count, and are drawn together. From an empty table nothing is learnt, and all is good.
     """
     text, drawn = F.col(text_column), F.pmod(F.xxhash64(F.col(id_column), F.col(text_column)), F.lit(1 << 40))
     cast = F.arrow_udf(_cast, "string")
@@ -253,8 +261,10 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     rows, counts = np.array([[key[c] for c in r.votes] for r in patterns]), np.array([r.n for r in patterns], float)
     model = estimate(rows, counts)
     share = min(1.0, 1.25 * sample / counts.sum() + 1e-9)
-    some = docs.select(text.alias("text"), drawn.alias("drawn")).filter(F.col("drawn") <= F.lit(int(share * (1 << 40)))).orderBy("drawn", "text").limit(sample)
-    taken = some.select(cast("text").alias("votes"), F.arrow_udf(_vectors, "binary")("text").alias("vector")).collect()
+    taught = F.arrow_udf(_taught, StructType().add("votes", "string").add("vector", "binary"))
+    some = docs.select(text.alias("text"), drawn.alias("drawn")).filter(F.col("drawn") <= F.lit(int(share * (1 << 40))))
+    # vectors are made where the texts are; ties of `drawn` are texts of one id, whose votes and vectors decide
+    taken = some.select("drawn", taught("text").alias("x")).select("drawn", "x.votes", "x.vector").orderBy("drawn", "votes", "vector").limit(sample).collect()
     x = np.stack([np.frombuffer(r.vector, np.float16) for r in taken]).astype(np.float32)
     posterior = model.posterior(np.array([[key[c] for c in r.votes] for r in taken]))
     weight, bias = train(x, posterior.astype(np.float32))
@@ -279,11 +289,19 @@ def scored(text: Column, classifier: Classifier) -> Column:
     return F.arrow_udf(over, _SCORED).asNondeterministic()(text)
 
 
+def accuracies(spark: SparkSession, model: LabelModel, labellers: tuple[Labeller, ...] = LABELLERS) -> DataFrame:
+    """(labeller, accuracy, false_alarms, share): how often each labeller is right where it votes, how often it calls a good text
+    bad, and the share of texts that are bad in its way."""
+    right, alarms, share = model.accuracy(), model.chance[:, 0, 0], model.prior[1:]
+    return spark.createDataFrame([(x.name, float(a), float(f), float(p)) for x, a, f, p in zip(labellers, right, alarms, share, strict=True)], "labeller string, accuracy double, false_alarms double, share double")
+
+
 def classify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = LEAST) -> DataFrame:
     """(doc_id, votes, posterior, score, keep) of each row; keep where score reaches `least`.
 
-    Repeated rows stay and score alike; a null or empty text is judged by what an empty text shows (no labeller votes).
-    Other columns are not looked at. An empty table gives no rows.
+    Repeated rows stay and score alike; a null or empty text is judged by what an empty text shows (no labeller votes), a
+    very long one whole. A score of exactly `least` is kept. Other columns are not looked at, whatever their names. An empty
+    table gives no rows.
     """
     classifier = fit(docs, id_column, text_column)
     found = docs.select(F.col(id_column).alias("doc_id"), scored(F.col(text_column), classifier).alias("found"))
