@@ -206,7 +206,9 @@ class WarcReader(DataSourceReader):
             files = [[f.base_name, [0, f.size]] for f in sorted(found, key=lambda f: f.base_name)]
         return [_Stretch(f"{self.path.rstrip('/')}/{name}", a, b) for name, cuts in files for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
-    def read(self, partition: _Stretch) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Stretch | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are no records, and so no stretches
+            return
         system, path = _open(partition.path)
         schema = pa.schema([(name, pa.int64() if kind == "long" else pa.binary() if kind == "binary" else pa.map_(pa.string(), pa.string()) if kind.startswith("map") else pa.string()) for name, kind in (c.split() for c in SCHEMA.split(", "))])
         rows, size = [], 0
@@ -315,7 +317,8 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     least_bytes is the same, where that is another; null for that page itself and for pages alone with theirs.
 
     Hashes are grouped, not pages, and only revisits are joined to pages, by page_id: no page's html meets another's.
-    A null html counts as empty; a null page_id is a revisit where there is another page, and never the first.
+    A null html counts as empty; a null page_id is a revisit where there is another page, and never the first. Repeated rows stay, and
+    are alike: rows of one page_id and html are all first, or all revisits. Other columns are left out. An empty table gives no rows.
     """
     html = F.coalesce("html", F.lit(""))
     hashed = pages.filter(F.octet_length(html) >= least_bytes).select("page_id", F.sha1(html).alias("digest"))
@@ -328,12 +331,18 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Write a record for each row of pages (page_id, url, html) to WARC files in a new folder."""
+    """Write a record for each row of pages (page_id, url, html) to WARC files in a new folder.
+
+    A null html is an empty payload, a null page_id or url is left out of the headers. Each repeated row is a record of its own;
+    rows of the first page_id with that html are all responses. A page is one record, whose bytes, and those of its gzip
+    member, are below 4 GiB, as a Spark value is. An empty table makes an archive without records. Other columns are not written.
+    """
     register(pages.sparkSession)
     with_revisits(pages, least_bytes).write.format("warc").mode("append").save(path)
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """The records of a file or folder, in no order; a folder without WARC files, or whose files are empty, gives no rows."""
     register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
