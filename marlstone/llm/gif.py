@@ -147,11 +147,18 @@ class Frame:
     disposal: int
     transparent: int | None
     pixels: np.ndarray  # palette indices, (height, width)
-    canvas: np.ndarray  # RGB after this frame is drawn, (screen height, screen width, 3)
+    canvas: np.ndarray  # RGB after this frame is drawn, (screen height, screen width, 3), its own copy
 
 
 def decode(data: bytes) -> Iterator[Frame]:
-    """The frames of a GIF in order. A ValueError tells of what isn't one."""
+    """The frames of a GIF in order. A ValueError tells of what isn't one, or is cut off."""
+    try:
+        yield from _frames(data)
+    except (IndexError, struct.error) as error:
+        raise ValueError("a GIF is cut off") from error
+
+
+def _frames(data: bytes) -> Iterator[Frame]:
     if len(data) < 13 or data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     screen_width, screen_height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -162,12 +169,16 @@ def decode(data: bytes) -> Iterator[Frame]:
             return None, at
         n = 2 << (flags & 7)
         table = np.zeros((256, 3), np.uint8)
+        if at + 3 * n > len(data):
+            raise ValueError("a palette is cut off")
         table[:n] = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
         return table, at + 3 * n
 
     def blocks(at: int) -> tuple[bytes, int]:
         found = []
         while n := data[at]:
+            if at + 1 + n > len(data):
+                raise ValueError("a block is cut off")
             found.append(data[at + 1 : at + 1 + n])
             at += n + 1
         return b"".join(found), at + 1
@@ -189,7 +200,10 @@ def decode(data: bytes) -> Iterator[Frame]:
         local, at = colours(at + 10, flags)
         bits = data[at]
         body, at = blocks(at + 1)
-        pixels = np.frombuffer(lzw_decode(body, bits, width * height).ljust(width * height, b"\0"), np.uint8).reshape(height, width)
+        drawn = lzw_decode(body, bits, width * height)
+        if len(drawn) < width * height:
+            raise ValueError("a frame lacks pixels")
+        pixels = np.frombuffer(drawn, np.uint8).reshape(height, width)
         if flags & 0x40:  # rows come in four passes
             order = np.concatenate([np.arange(a, height, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
             pixels = pixels[np.argsort(order)]
@@ -202,12 +216,14 @@ def decode(data: bytes) -> Iterator[Frame]:
         else:
             shown = pixels[: part.shape[0], : part.shape[1]] != transparent
             part[shown] = drawn[shown]
-        yield Frame(left, top, width, height, delay, disposal, transparent, pixels, canvas)
+        yield Frame(left, top, width, height, delay, disposal, transparent, pixels, canvas.copy())
         if disposal == 2:
             part[:] = 0
         elif disposal == 3:
             canvas = before
         disposal, delay, transparent = 0, 0, None
+    if at >= len(data):
+        raise ValueError("a GIF has no end")
 
 
 def histogram(canvas: np.ndarray) -> list[int]:
@@ -263,10 +279,13 @@ def decoded(media: Column) -> Column:
 
 
 def store(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media) of each row; repeated rows stay, ids may be null, other columns are not looked at."""
+    """(doc_id, n_bytes, media) of each row; repeated rows stay, ids may be null, other columns are not looked at.
+
+    A null or empty text is one row of bytes 255. A very long text is many frames, made one after another. An empty table gives no rows.
+    """
     return docs.select(F.col(id_column).alias("doc_id"), encoded(F.col(text_column)).alias("gif")).select("doc_id", "gif.n_bytes", "gif.media")
 
 
 def features(stored: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media, payload, frames) of stored media, read back."""
+    """(doc_id, n_bytes, media, payload, frames) of stored media, read back; null media are null. An empty table gives no rows."""
     return stored.withColumn("read", decoded(F.col("media"))).select("doc_id", "n_bytes", "media", "read.payload", "read.frames")

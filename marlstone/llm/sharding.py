@@ -43,8 +43,15 @@ def slot(key: Column, slots: int = SLOTS) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % slots
 
 
+def _free(rows: DataFrame, name: str) -> str:
+    """name, with underscores after it until rows has no such column."""
+    while name.lower() in {c.lower() for c in rows.columns}:
+        name += "_"
+    return name
+
+
 def place(rows: DataFrame, key: str = "doc_id", shards: int = SHARDS, slots: int = SLOTS, prefix: str = "shard-") -> DataFrame:
-    """rows with `slot` and `shard` after its own columns; own columns of these names give way.
+    """rows with `slot` and `shard` after its own columns; where it has columns of these names, the new ones get underscores after theirs.
 
     Every row is placed, rows with equal keys on the same shard; give a key of many values, so that no shard gets the
     rows of a frequent value. A null key has a slot too. Nothing is shuffled. An empty table gives no rows.
@@ -52,13 +59,15 @@ def place(rows: DataFrame, key: str = "doc_id", shards: int = SHARDS, slots: int
     names = [f"{prefix}{k}" for k in range(shards)]
     held = json.dumps(lookup_table(names, slots))
     table = rows.sparkSession.range(1).select(F.posexplode(F.from_json(F.lit(held), "array<int>")).alias("slot", "_shard")).select(F.col("slot").cast("long"), F.concat(F.lit(prefix), F.col("_shard").cast("string")).alias("shard"))
-    kept = [c for c in rows.columns if c.lower() not in ("slot", "shard")]
-    return rows.select(*(F.col(f"`{c}`") for c in kept), slot(F.col(f"`{key}`"), slots).alias("slot")).join(F.broadcast(table), "slot").select(*(F.col(f"`{c}`") for c in kept), "slot", "shard")
+    at, owner = (_free(rows, name) for name in ("slot", "shard"))
+    table = table.select(F.col("slot").alias(at), F.col("shard").alias(owner))
+    return rows.withColumn(at, slot(F.col(f"`{key}`"), slots)).join(F.broadcast(table), at).select(*(F.col(f"`{c}`") for c in (*rows.columns, at, owner)))
 
 
 def write(rows: DataFrame, path: str, key: str = "doc_id", shards: int = SHARDS, slots: int = SLOTS) -> None:
     """Write rows as Parquet with a folder a shard."""
-    place(rows, key, shards, slots).drop("slot").write.partitionBy("shard").parquet(path)
+    at, owner = _free(rows, "slot"), _free(rows, "shard")
+    place(rows, key, shards, slots).drop(at).write.partitionBy(owner).parquet(path)
 
 
 def oracle(shards: int = SHARDS, slots: int = SLOTS, prefix: str = "shard-") -> str:
