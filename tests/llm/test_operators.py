@@ -343,7 +343,7 @@ def test_lookup_table_is_even_and_stable():
 
 def test_placement_of_odd_rows(odd, empty, tmp_path):
     placed = sharding.place(odd)
-    assert placed.columns == ["doc_id", "text", "lang", "score", "slot", "shard"] and placed.count() == len(ODD)
+    assert placed.columns == ["doc_id", "text", "lang", "score", "slot", "slot_", "shard"] and placed.count() == len(ODD)
     assert len({r.shard for r in placed.filter("doc_id = 4").collect()}) == 1 and placed.filter("shard IS NULL").count() == 0
     plan = placed._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|hashpartitioning", plan)
