@@ -150,6 +150,18 @@ def identified(text: Column, profile: dict[str, list[int]], most: int = RANKED)
     return F.when(text.isNull() | ~text.rlike("\\p{L}"), none).otherwise(predict.asNondeterministic()(text))
 
 
+def level(grams: Column) -> Column:
+    """Texts with about as many ranked n-grams: 0 for none, and one more for twice as many."""
+    return F.floor(F.log2(grams + 1)).cast("int")
+
+
+def middle_scores(texts: DataFrame, profile: dict[str, list[int]]) -> dict[int, float]:
+    """The median score of texts (text) by level: what a text of that size in a known language scores. Texts without letters don't count."""
+    scored = texts.select(identified(F.col("text"), profile).alias("x")).select("x.*").filter("lang <> 'und'")
+    rows = scored.groupBy(level(F.col("grams")).alias("level")).agg(F.percentile_approx("score", 0.5, 10_000).alias("score")).collect()
+    return {r.level: r.score for r in rows}
+
+
 def held_out(id_column: str = "doc_id") -> Column:
     """Whether a row is kept from training: crc32 of its id as text leaves 1 when divided by 3; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 3 == 1, F.lit(False))

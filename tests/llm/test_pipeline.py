@@ -1,6 +1,7 @@
 """The pipeline's stages on small and odd tables, and its queries."""
 
 import os
+import random
 
 import pytest
 
@@ -49,3 +50,17 @@ def test_queries_run(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_match_sql(spark, name):
     assert compare(spark, duck(SMALL), SMALL, name, queries.queries()[name], queries.oracle_sql()[name]) == ""
+
+
+def test_language_stage_tells_noise_and_unknown_languages(spark):
+    """Short clean texts stay; letters at random and a language that nobody taught go."""
+    rng = random.Random(6)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("text IS NOT NULL AND n_chars > 200").select("doc_id", "text", "lang", "source", "n_chars")
+    long = [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    clean = [" ".join(t.split()[:n]) for t in long for n in (3, 6, 12)]
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 10))) for _ in range(n)) for n in (8, 20, 60, 400) for _ in range(5)]
+    other = ["kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä"] * 3
+    more = spark.createDataFrame([(10**6 + k, t, None, "s", len(t)) for k, t in enumerate([*clean, *noise, *other])], docs.schema)
+    kept = {r.doc_id - 10**6 for r in corpus_pipeline.language_id(spark, docs.union(more), SMALL).filter("doc_id >= 1000000").collect()}
+    assert len(kept & set(range(len(clean)))) >= 0.98 * len(clean)
+    assert not kept & set(range(len(clean), len(clean) + len(noise) + len(other)))
