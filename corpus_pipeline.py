@@ -15,8 +15,9 @@ from marlstone.llm.ngram_join import jaccard_classes
 from marlstone.llm.queries import ship
 from marlstone.llm.shared import materialize, read
 
-#: A text nearer to a language's profile than this is taken as written in it.
-LEAST_LANGUAGE = 0.3
+#: A text that scores this share of what texts of its size in a known language do is taken as written in one; where no text of its
+#: size has taught, this score is enough.
+LANGUAGE_SHARE, LANGUAGE_SCORE = 0.5, 0.3
 
 
 def _named(df: DataFrame, name: str) -> str:
@@ -27,7 +28,11 @@ def _named(df: DataFrame, name: str) -> str:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the threshold stay."""
+    """Documents whose quality score reaches the threshold, or is it, stay.
+
+    Null texts count as empty, and an empty text is judged by what it shows. Very long texts are judged whole. Repeated rows score alike
+    and stay or go together. An empty table gives none.
+    """
     ship(spark)
     found = _named(docs, "found")
     scored = docs.withColumn(found, quality.scored(F.col("text"), quality.fit(docs)))
@@ -35,29 +40,51 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay whose text is near enough to the profile of a language; what has no letters goes."""
+    """Documents stay whose text is near enough to the profile of a language, for a text of its size.
+
+    Null and empty texts, and those without letters, go. Very long texts are judged whole. Of two profiles as near the first by name
+    counts. Documents with a null id or language don't teach, but are judged. Without any that teach all go. Repeated rows stay or go
+    together. An empty table gives none.
+    """
     ship(spark)
     found = _named(docs, "found")
-    taught = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~language.held_out()).select("lang", "text")
-    known = docs.withColumn(found, language.identified(F.col("text"), language.profiles(taught)))
-    return known.filter((F.col(f"{found}.lang") != "und") & (F.col(f"{found}.score") >= LEAST_LANGUAGE)).select(docs.columns)
+    taught = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~language.held_out()).select("lang", "text")
+    profile = language.profiles(taught)
+    least = F.lit(LANGUAGE_SCORE)
+    for size, score in language.middle_scores(taught.select("text"), profile).items():
+        least = F.when(language.level(F.col(f"{found}.grams")) == size, LANGUAGE_SHARE * score).otherwise(least)
+    known = docs.withColumn(found, language.identified(F.col("text"), profile))
+    return known.filter((F.col(f"{found}.lang") != "und") & (F.col(f"{found}.score") >= least)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest id."""
+    """One document of each group of near copies stays: that with the smallest id.
+
+    A group is a connected class: of a chain whose ends aren't copies of each other one stays too. Rows of one id are one document, and go
+    where any of its texts is a copy of another's; null ids stay, and null, empty and wordless texts are no copies. Very long
+    texts are compared whole. Ties don't arise, as ids of a class differ. An empty table gives none.
+    """
     ship(spark)
     others = jaccard_classes(docs).filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item stay."""
+    """Documents that hold no benchmark item stay.
+
+    Null and empty texts hold none. Rows of one id, a null one too, are one document and go together. Very long texts are searched
+    whole. An empty table gives none; an empty benchmark leaves all.
+    """
     held = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(held, docs.doc_id.eqNullSafe(held.doc_id), "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the token windows that hold the documents."""
+    """The pieces of the token windows that hold the documents.
+
+    A null or empty text is its end id alone; a very long one fills windows of its own. Null ids and repeated rows are packed as they
+    are. An empty table gives none.
+    """
     ship(spark)
     return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
