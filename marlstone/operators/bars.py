@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import quantise
+from marlstone.operators.folds import fold
+
 
 def by_code():
     return Window.partitionBy("code").orderBy("day")
@@ -68,25 +70,20 @@ def rsi(bars: DataFrame, periods: tuple[int, ...] = (6, 12, 24)) -> DataFrame:
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """bars with dif, dea and bar: recursive averages fold over a code's closes in order; days without a close are skipped.
-
-    A code's history is an array of one row, so its length must be that of a series of bars, not of events.
-    """
+    """bars with dif, dea and bar: recursive averages of a code's closes in order, streamed; days without a close are skipped."""
     a, b, c = 2 / (fast + 1), 2 / (slow + 1), 2 / (signal + 1)
-    out_type = "array<struct<dif:double,dea:double>>"
-
-    def step(done: Column, x: Column) -> Column:
-        first = F.size(done["out"]) == 0
-        f = F.when(first, x["close"]).otherwise(done["f"] * (1 - a) + x["close"] * a)
-        s = F.when(first, x["close"]).otherwise(done["s"] * (1 - b) + x["close"] * b)
-        e = F.when(first, f - s).otherwise(done["e"] * (1 - c) + (f - s) * c)
-        return F.struct(f.alias("f"), s.alias("s"), e.alias("e"), F.concat(done["out"], F.array(F.struct((f - s).alias("dif"), e.alias("dea")))).alias("out"))
-
-    zero = F.struct(F.lit(0.0).alias("f"), F.lit(0.0).alias("s"), F.lit(0.0).alias("e"), F.array().cast(out_type).alias("out"))
-    series = bars.filter("close IS NOT NULL").groupBy("code").agg(F.array_sort(F.collect_list(F.struct("day", "close"))).alias("x"))
-    found = series.select("code", F.explode(F.arrays_zip("x", F.aggregate("x", zero, step, lambda done: done["out"]).alias("m"))).alias("r"))
-    rows = found.select("code", F.col("r.x.day").alias("day"), F.col("r.m.dif").alias("dif"), F.col("r.m.dea").alias("dea"))
-    return bars.join(rows, ["code", "day"], "left").withColumn("bar", (F.col("dif") - F.col("dea")) * 2)
+
+    def step(state: tuple | None, close: float | None) -> tuple[tuple | None, tuple]:
+        if close is None:
+            return state, (None, None)
+        if state is None:
+            state = close, close, 0.0
+        else:
+            f, s = state[0] * (1 - a) + close * a, state[1] * (1 - b) + close * b
+            state = f, s, state[2] * (1 - c) + (f - s) * c
+        return state, (state[0] - state[1], state[2])
+
+    return fold(bars, ["code"], ["day"], ["close"], lambda: None, step, "dif double, dea double").withColumn("bar", (F.col("dif") - F.col("dea")) * 2)
 
 
 def trend(bars: DataFrame) -> DataFrame:

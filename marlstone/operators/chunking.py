@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.arrays import let, running
+
 HEADING = r"^(#{1,6})\s+(.*\S)\s*$"
 _LINE_END = r"\r\n|\n|\r"
 
@@ -16,13 +18,11 @@ def _paths(lines: Column) -> Column:
     """array<struct<line, path>> of the headings: a heading of level n stands under the last headings of at most n - 1 levels."""
     told = F.transform(lines, lambda s, k: F.struct((k + 1).alias("line"), F.length(F.regexp_extract(s, HEADING, 1)).alias("level"), F.trim(F.regexp_replace(F.regexp_extract(s, HEADING, 2), "^#+|#+$", "")).alias("title")))
 
-    def step(done: Column, h: Column) -> Column:
-        above = F.slice(done["path"], F.lit(1), F.least(h["level"] - 1, F.size(done["path"])))
-        path = F.concat(above, F.array(h["title"]))
-        return F.struct(path.alias("path"), F.concat(done["out"], F.array(F.struct(h["line"].alias("line"), path.alias("path")))).alias("out"))
+    def step(path: Column, h: Column) -> tuple[Column, Column]:
+        below = F.concat(F.slice(path, F.lit(1), F.least(h["level"] - 1, F.size(path))), F.array(h["title"]))
+        return below, F.struct(h["line"].alias("line"), below.alias("path"))
 
-    begin = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<line:int,path:array<string>>>").alias("out"))
-    return F.aggregate(F.filter(told, lambda h: h["level"] > 0), begin, step, lambda done: done["out"])
+    return let(F.filter(told, lambda h: h["level"] > 0), lambda heads: running(heads, F.array().cast("array<string>"), step, "struct<line:int,path:array<string>>"))
 
 
 def heading_chunks(docs: DataFrame, id_column: str, text_column: str, max_lines: int = 80, separator: str = " > ") -> DataFrame:

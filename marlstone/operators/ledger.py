@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import quantise
+from marlstone.operators.folds import fold
 
 EPS = 1e-8
 
@@ -24,30 +22,21 @@ def oversold(trades: DataFrame) -> DataFrame:
     return running(trades).groupBy("symbol").agg(F.min("held").alias("lowest")).filter(F.col("lowest") < -EPS)
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's trades, sorted by symbol and order, with their status; only the last symbol's holding is carried on."""
-    symbol, held = object(), 0.0
-    for batch in batches:
-        status, level = [], []
-        for own, side, qty in zip(*(batch.column(c).to_pylist() for c in ("symbol", "side", "qty")), strict=True):
-            if own != symbol:
-                symbol, held = own, 0.0
-            refused = side == "sell" and (qty or 0.0) > held + EPS
-            if not refused:
-                held += -(qty or 0.0) if side == "sell" else qty or 0.0
-            status.append("refused" if refused else "accepted")
-            level.append(held)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(status, pa.string()), pa.array(level, pa.float64())], [*batch.schema.names, "status", "held"])
-
-
 def judged(trades: DataFrame) -> DataFrame:
     """trades with `status` and `held` after each: a sale of more than is held is refused, whole, and changes nothing; all else is accepted.
 
     Whether a sale is refused hangs on those before it, which no window can express: symbols are streamed in order, never held whole.
     """
-    kind = "symbol {}, day date, id string, side string, qty double, price double, status string, held double".format(trades.schema["symbol"].dataType.simpleString())
+
+    def step(held: float, side: str | None, qty: float | None) -> tuple[float, tuple]:
+        n = qty or 0.0
+        if side == "sell" and n > held + EPS:
+            return held, ("refused", held)
+        held += -n if side == "sell" else n
+        return held, ("accepted", held)
+
     rows = trades.select("symbol", "day", "id", "side", F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"))
-    return rows.repartition("symbol").sortWithinPartitions("symbol", "day", "id").mapInArrow(_judged, kind)
+    return fold(rows, ["symbol"], ["day", "id"], ["side", "qty"], float, step, "status string, held double")
 
 
 def accepted(trades: DataFrame) -> DataFrame:
@@ -56,7 +45,7 @@ def accepted(trades: DataFrame) -> DataFrame:
 
 
 def fifo(trades: DataFrame) -> DataFrame:
-    """(symbol, sell_id, buy_id, qty, cost, proceeds): which lot each sale took how much of.
+    """(symbol, sell_id, sell_day, buy_id, qty, cost, proceeds): which lot each sale took how much of.
 
     Buys and sales of a symbol are stretches of cumulative quantity; where a sale's stretch overlaps a lot's, it takes
     from it. Merged by their ends and sorted, each stretch between ends belongs to one lot and one sale: a window, not
@@ -69,25 +58,30 @@ def fifo(trades: DataFrame) -> DataFrame:
     buy, sell = F.col("side") == "buy", F.col("side") == "sell"
     cut = ends.select(
         "symbol", (F.col("end") - F.coalesce(F.lag("end").over(by_end), F.lit(0.0))).alias("qty"),
-        F.last(F.when(buy, F.struct("id", "price")), ignorenulls=True).over(backwards).alias("lot"), F.last(F.when(sell, F.struct("id", "price")), ignorenulls=True).over(backwards).alias("sale"),
+        F.last(F.when(buy, F.struct("id", "price")), ignorenulls=True).over(backwards).alias("lot"), F.last(F.when(sell, F.struct("id", "price", "day")), ignorenulls=True).over(backwards).alias("sale"),
     ).filter((F.col("qty") > EPS) & F.col("lot").isNotNull() & F.col("sale").isNotNull())
-    return cut.select("symbol", F.col("sale.id").alias("sell_id"), F.col("lot.id").alias("buy_id"), "qty", (F.col("qty") * F.col("lot.price")).alias("cost"), (F.col("qty") * F.col("sale.price")).alias("proceeds"))
+    return cut.select("symbol", F.col("sale.id").alias("sell_id"), F.col("sale.day").alias("sell_day"), F.col("lot.id").alias("buy_id"), "qty", (F.col("qty") * F.col("lot.price")).alias("cost"), (F.col("qty") * F.col("sale.price")).alias("proceeds"))
 
 
-def average_cost(trades: DataFrame) -> DataFrame:
-    """(symbol, held, cost, realised) at average cost: a fold over a symbol's trades in order, which no window can express."""
+def average_costs(trades: DataFrame) -> DataFrame:
+    """trades with `held`, `cost` and `realised` after each, at average cost: a fold in order, streamed by symbol."""
 
-    def step(done: Column, t: Column) -> Column:
-        average = F.when(done["held"] > EPS, done["cost"] / done["held"]).otherwise(0.0)
-        sell = t["side"] == "sell"
-        held = F.when(sell, done["held"] - t["qty"]).otherwise(done["held"] + t["qty"])
-        cost = F.when(sell, done["cost"] - average * t["qty"]).otherwise(done["cost"] + t["qty"] * t["price"])
-        realised = done["realised"] + F.when(sell, (t["price"] - average) * t["qty"]).otherwise(0.0)
-        return F.struct(held.alias("held"), cost.alias("cost"), realised.alias("realised"))
+    def step(state: tuple, side: str, qty: float, price: float) -> tuple[tuple, tuple]:
+        held, cost, realised = state
+        if side == "sell":
+            average = cost / held if held > EPS else 0.0
+            state = held - qty, cost - average * qty, realised + (price - average) * qty
+        else:
+            state = held + qty, cost + qty * price, realised
+        return state, state
 
-    zero = F.struct(F.lit(0.0).alias("held"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("realised"))
-    series = trades.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("day", "id", "side", "qty", "price"))).alias("t"))
-    return series.select("symbol", F.aggregate("t", zero, step).alias("r")).select("symbol", "r.*")
+    return fold(trades.select("symbol", "day", "id", "side", "qty", "price"), ["symbol"], ["day", "id"], ["side", "qty", "price"], lambda: (0.0, 0.0, 0.0), step, "held double, cost double, realised double")
+
+
+def average_cost(trades: DataFrame) -> DataFrame:
+    """(symbol, held, cost, realised) at average cost after a symbol's last trade."""
+    last = F.max_by(F.struct("held", "cost", "realised"), F.struct("day", "id"))
+    return average_costs(trades).groupBy("symbol").agg(last.alias("r")).select("symbol", "r.*")
 
 
 def with_actions(trades: DataFrame, actions: DataFrame) -> DataFrame:
@@ -130,8 +124,14 @@ def concentration(values: DataFrame, by: str, value: str = "value", alert: float
     return summed.select(by, F.col("value").cast("double").alias("value"), quantise(weight, 4).alias("weight"), (weight >= alert).alias("alert")).orderBy(F.desc("value"), by).limit(n)
 
 
+def converted(amount: Column, same: Column, rate: Column, inverse: Column) -> tuple[Column, Column]:
+    """An amount at the direct rate, else at one over the inverse, else as it is; and whether that last is so, which makes it stale."""
+    none = F.abs(amount) <= EPS
+    factor = F.when(same, 1.0).when(rate > 0, rate).when(inverse > 0, 1 / inverse)
+    return F.when(none, 0.0).otherwise(amount * F.coalesce(factor, F.lit(1.0))), ~none & factor.isNull()
+
+
 def convert(amounts: DataFrame) -> DataFrame:
-    """amounts (amount, from, to, rate, inverse) with `converted` and `stale`: the direct rate, else one over the inverse, else as it is."""
-    same, none = F.col("from") == F.col("to"), F.abs("amount") <= EPS
-    rate = F.when(same, 1.0).when(F.col("rate") > 0, F.col("rate")).when(F.col("inverse") > 0, 1 / F.col("inverse"))
-    return amounts.withColumn("converted", F.when(none, 0.0).otherwise(F.col("amount") * F.coalesce(rate, F.lit(1.0)))).withColumn("stale", ~none & rate.isNull())
+    """amounts (amount, from, to, rate, inverse) with `converted` and `stale`."""
+    value, stale = converted(F.col("amount"), F.col("from") == F.col("to"), F.col("rate"), F.col("inverse"))
+    return amounts.withColumn("converted", value).withColumn("stale", stale)

@@ -28,7 +28,7 @@ def _drained(frame: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
 def stream_ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

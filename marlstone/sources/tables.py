@@ -1,27 +1,33 @@
-"""The library's tables as Parquet files of a folder."""
+"""The library's tables as Parquet files of a folder, and tables in between in the folder that a cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Tables whose rows take long to work on.
-TEXTS = ("documents", "pages")
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table. Texts that lie in fewer splits than there are cores, such as one row group, are dealt to all cores; a large
-    table has more splits than that, and is read where it lies."""
-    found, cores = spark.read.parquet(f"{folder}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return found.repartition(cores) if name in TEXTS and found.rdd.getNumPartitions() < cores else found
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set, as on one machine, a temporary one is."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only where that is unset and Spark runs on one machine, as in tests, a temporary folder takes its place.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts the lineage, and survives a lost executor."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,6 @@
 """Stateful suppression of events: repeats within a time to live, failing sources, alerts that fire once.
 
-Each has a batch form, a fold over a key's events in order, and a streaming form with the same state.
+Batch forms are folds over a key's events in order; the streaming form keeps the same state.
 """
 
 from __future__ import annotations
@@ -8,36 +8,30 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-FAILURES, COOLDOWN = 3, 300.0
-
+from marlstone.operators.folds import fold
 
-def _fold(rows: DataFrame, keys: list[str], order: list[str], zero: Column, step, label: str) -> DataFrame:
-    """rows with a label that a fold over each key's rows gives; a key's rows make one array, so keys must be fine."""
-    values = [c for c in rows.columns if c not in keys]
-    series = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in values if c not in order)))).alias("_rows"))
+FAILURES, COOLDOWN = 3, 300.0
 
-    def one(done: Column, row: Column) -> Column:
-        state, out = step(done["state"], row)
-        return F.struct(state.alias("state"), F.concat(done["out"], F.array(out)).alias("out"))
 
-    kind = "array<boolean>" if label == "sent" else "array<string>"
-    labels = F.aggregate("_rows", F.struct(zero.alias("state"), F.array().cast(kind).alias("out")), one, lambda done: done["out"])
-    return series.select(*keys, F.explode(F.arrays_zip("_rows", labels.alias("_labels"))).alias("r")).select(*keys, *(F.col(f"r._rows.{c}").alias(c) for c in values), F.col("r._labels").alias(label))
+def _timed(rows: DataFrame, at: str) -> DataFrame:
+    return rows.withColumn("_at", F.col(at).cast("timestamp").cast("double"))
 
 
 def ttl_dedup(events: DataFrame, keys: list[str], at: str, tie: str, ttl: float) -> DataFrame:
-    """events with `sent`: false within `ttl` seconds of the last of the key that was sent, not of the last that was seen."""
-    seconds = lambda x: x.cast("timestamp").cast("double")
+    """events with `sent`: false within `ttl` seconds of the last of the key that was sent, not of the last that was seen.
 
-    def step(last: Column, row: Column):
-        sent = last.isNull() | (seconds(row[at]) - last >= ttl)
-        return F.when(sent, seconds(row[at])).otherwise(last), sent
+    No event is late here: all are taken in the order of their times. The streaming form drops those later than its `late`.
+    """
 
-    return _fold(events, keys, [at, tie], F.lit(None).cast("double"), step, "sent")
+    def step(last: float | None, when: float) -> tuple[float | None, tuple]:
+        sent = last is None or when - last >= ttl
+        return (when if sent else last), (sent,)
+
+    return fold(_timed(events, at), keys, [at, tie], ["_at"], lambda: None, step, "sent boolean").drop("_at")
 
 
 def ttl_dedup_stream(events: DataFrame, keys: list[str], at: str, tie: str, ttl: float, late: str = "1 hour") -> DataFrame:
@@ -67,18 +61,16 @@ def ttl_dedup_stream(events: DataFrame, keys: list[str], at: str, tie: str, ttl:
 def circuit(calls: DataFrame, source: str, at: str, tie: str, ok: str, failures: int = FAILURES, cooldown: float = COOLDOWN) -> DataFrame:
     """calls with `circuit`: passed, or rejected while a source is open: after so many failures in a row, for so many seconds;
     then one trial call passes, which closes the circuit or opens it anew."""
-    seconds = lambda x: x.cast("timestamp").cast("double")
-
-    def step(s: Column, row: Column):
-        now = seconds(row[at])
-        waits = s["open"].isNotNull() & (now - s["open"] < cooldown)
-        failed = ~row[ok]
-        n = F.when(waits, s["n"]).when(failed, s["n"] + 1).otherwise(0)
-        opened = F.when(waits, s["open"]).when(failed & (s["open"].isNotNull() | (n >= failures)), now)
-        return F.struct(n.alias("n"), opened.alias("open")), F.when(waits, "rejected").otherwise("passed")
-
-    zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("open"))
-    return _fold(calls, [source], [at, tie], zero, step, "circuit")
+
+    def step(state: tuple, when: float, good: bool) -> tuple[tuple, tuple]:
+        n, opened = state
+        if opened is not None and when - opened < cooldown:
+            return state, ("rejected",)
+        if good:
+            return (0, None), ("passed",)
+        return (n + 1, when if opened is not None or n + 1 >= failures else None), ("passed",)
+
+    return fold(_timed(calls, at), [source], [at, tie], ["_at", ok], lambda: (0, None), step, "circuit string").drop("_at")
 
 
 def severe(events: DataFrame, severity: str, least: str, ranks: tuple[str, ...] = ("info", "notice", "warning", "error")) -> DataFrame:
