@@ -106,17 +106,6 @@ def one_typo(a: Column, b: Column) -> Column:
     return (F.length(a) == F.length(b)) & (F.length(a) >= 3) & (off == 1)
 
 
-def cycles(edges: DataFrame, hops: int = 8) -> DataFrame:
-    """(node) of nodes that edges (a, b) lead back to within so many hops."""
-    e = edges.select("a", "b").distinct()
-    walk, found = e.select(F.col("a").alias("node"), F.col("b").alias("at")), None
-    for _ in range(hops):
-        back = walk.filter("node = at").select("node")
-        found = back if found is None else found.union(back)
-        walk = walk.filter("node <> at").join(e, walk.at == e.a).select("node", F.col("b").alias("at")).distinct()
-    return found.distinct()
-
-
 def trailing_sum(rows: DataFrame, key: str, at: str, value: str, days: int) -> DataFrame:
     """rows with the sum of a key's values of the last days, in whole cents."""
     stamp = F.datediff(F.col(at), F.lit("1970-01-01"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators import graphs
+
 
 def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The row of each key that is last in the order, by a map-side aggregate of whole rows; null orders come first."""
@@ -71,8 +73,14 @@ def freshness(items: DataFrame, day: str, today: Column, days: int) -> DataFrame
     return items.withColumn("reason", reason).withColumn("kept", F.col("reason") == "kept")
 
 
-def canonical_redirects(rows: DataFrame, redirects: DataFrame, key: str, hops: int = 8) -> DataFrame:
-    """rows with `canonical`: redirects (a, b) followed from the key, at most `hops`, ending before a place already seen."""
+def canonical_redirects(rows: DataFrame, redirects: DataFrame, key: str, hops: int | None = None) -> DataFrame:
+    """rows with `canonical`: redirects (a, b) followed from the key to the end, or for at most `hops`, ending before a place already seen.
+
+    With `hops` each is a join; without, pointers double in length, so that a chain of n takes log n rounds.
+    """
+    if hops is None:
+        found = graphs.canonical(redirects).withColumnRenamed("a", "_from").withColumnRenamed("canonical", "_to")
+        return rows.join(found, rows[key] == found["_from"], "left").withColumn("canonical", F.coalesce("_to", key)).drop("_from", "_to")
     out = rows.withColumn("_seen", F.array(key)).withColumn("canonical", F.col(key))
     for _ in range(hops):
         step = redirects.select(F.col("a").alias("canonical"), F.col("b").alias("_next"))
