@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlstone.functions.arrays import let
+
 #: Words that aren't searched for.
 STOP_WORDS = (
     "what", "which", "when", "where", "who", "why", "how", "is", "are", "was", "were", "the", "a", "an",
@@ -18,7 +22,6 @@ STOP_WORDS = (
 def tokens(text: Column) -> Column:
     """Search tokens in order: runs of letters and numbers in lower case; of a run with ASCII parts, these parts and
     what is left of it; at least three long and no stop words. Null counts as empty."""
-    low = F.lower(F.coalesce(text, F.lit("")))
 
     def parts(run: Column) -> Column:
         left = F.trim(F.regexp_replace(run, "[a-z0-9]+", " "))
@@ -29,9 +32,11 @@ def tokens(text: Column) -> Column:
     def sought(words: Column) -> Column:
         return F.filter(words, lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS))
 
-    mixed = F.flatten(F.transform(F.split(low, r"[^\p{L}\p{N}]+"), parts))
-    # a text of ASCII characters has no mixed runs
-    return F.when(F.octet_length(low) == F.length(low), sought(F.split(low, "[^a-z0-9]+"))).otherwise(sought(mixed))
+    def runs(low: Column) -> Column:
+        # a text of ASCII characters has no mixed runs
+        return F.when(F.octet_length(low) == F.length(low), F.split(low, "[^a-z0-9]+")).otherwise(F.flatten(F.transform(F.split(low, r"[^\p{L}\p{N}]+"), parts)))
+
+    return sought(let(F.lower(F.coalesce(text, F.lit(""))), runs))
 
 
 def normal_title(text: Column) -> Column:
@@ -93,19 +98,21 @@ def html_title(html: Column) -> Column:
     return F.coalesce(tag('(?is)<meta[^>]+property="og:title"[^>]+content="([^"]*)"'), tag("(?is)<h1[^>]*>(.*?)</h1>"), tag("(?is)<title[^>]*>(.*?)</title>"))
 
 
-#: What is taken out of shared texts: pattern and what stands for it.
-SECRETS = (
-    (r"sk-[A-Za-z0-9_-]{16,}", "[REDACTED]"),
-    (r"(?i)(token|secret|password|api[_-]?key)\s*[:=]\s*[^\s,;]+", "$1=[REDACTED]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
-    (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "[IP]"),
-    (r"\b[0-9]{13,19}\b", "[NUMBER]"),
-)
+#: What a secret looks like: keys by their first letters, long names in capitals, and tokens of three parts.
+SECRETS = (r"\b(?:sk|pk|ghp|github_pat|xox[baprs]?|ya29|AIza)[A-Za-z0-9_\-]{8,}\b", r"\b[A-Z][A-Z0-9_]{11,}\b", r"\b[A-Za-z0-9_\-]{24,}\.[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{12,}\b")
+
+
+def secrets(seed: str) -> list[str]:
+    """The secrets of a question, each once, in the order in which patterns find them."""
+    return list(dict.fromkeys(m[0] for pattern in SECRETS for m in re.finditer(pattern, seed, re.ASCII)))
 
 
-def redacted(text: Column) -> Column:
-    for pattern, instead in SECRETS:
-        text = F.regexp_replace(text, pattern, instead)
+def redacted(text: Column, seed: str = "") -> Column:
+    """A text without the secrets of a seed text, wherever they stand, and without what looks like one."""
+    for secret in secrets(seed):
+        text = F.replace(text, F.lit(secret), F.lit("[REDACTED]"))
+    for pattern in SECRETS:
+        text = F.regexp_replace(text, pattern, "[REDACTED]")
     return text
 
 

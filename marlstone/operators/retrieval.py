@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.arrays import let
 from marlstone.functions.numeric import cosine, quantise
 from marlstone.functions.text import tokens
 
@@ -16,6 +20,8 @@ EMBEDDING_WEIGHT, EMBEDDING_ONLY, EMBEDDING_LEAST = 0.35, 0.2, 0.15
 SOURCE_BOOST = 0.05
 RRF_K, ORIGINAL_WEIGHT, EXPANDED_WEIGHT = 60, 1.0, 0.7
 GRAPH_CAP = 0.22
+#: Query vectors that go to all rows at a time.
+BLOCK = 4096
 
 
 def lexical_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -24,35 +30,39 @@ def lexical_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     return words.groupBy("term", key).agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
 
-def _times(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term)).cast("double")
+def _counted(docs: DataFrame, terms: list[str], text: str, key: str, title: str | None, hits_only: bool) -> DataFrame:
+    """(key, title, length, tf0, tf1, ...) of documents, or of those that hold a term.
+
+    A document's words are made once, within its row: a filter on a projected column would make them again below it.
+    """
+
+    def row(words: Column) -> Column:
+        made = F.array(F.struct(F.greatest(F.lit(1), F.size(words)).cast("long").alias("length"), *(F.size(F.filter(words, lambda w: w == t)).cast("double").alias(f"tf{k}") for k, t in enumerate(terms))))
+        return F.when(F.exists(words, lambda w: w.isin(*terms)), made) if hits_only else made
+
+    return docs.select(key, *([F.lower(title).alias("title")] if title else []), F.inline(let(tokens(F.col(text)), row)))
 
 
 def bm25(docs: DataFrame, query: list[str], text: str = "text", key: str = "doc_id", title: str | None = None) -> DataFrame:
     """(key, score, terms) of the documents that hold a query term.
 
     Two scans and no shuffle: one counts documents, lengths and the documents of each query term, of which the driver gets
-    one row; the other scores. Other terms are never exploded.
+    one row; the other scores. Each makes a document's words once; other terms are never exploded.
     """
     terms = list(dict.fromkeys(query))
-    parsed = docs.select(key, tokens(F.col(text)).alias("words"), *([F.lower(title).alias("title")] if title else []))
-    length = F.greatest(F.lit(1), F.size("words"))
-    held = [F.array_contains("words", t) for t in terms]
-    row = parsed.agg(F.count("*").alias("n"), F.sum(length.cast("long")).alias("total"), *(F.count_if(h).alias(f"df{k}") for k, h in enumerate(held))).first()
+    row = _counted(docs, terms, text, key, None, False).agg(F.count("*").alias("n"), F.sum("length").alias("total"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms)))).first()
     n = max(1, row.n)
     average = max(1.0, (row.total or 0) / n)
     score, hits = F.lit(0.0), []
     for k, term in enumerate(terms):
-        df = row[f"df{k}"]
+        df, tf = row[f"df{k}"], F.col(f"tf{k}")
         idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
-        tf = _times("words", term)
-        part = F.lit(idf) * ((tf * (K1 + 1)) / (tf + K1 * ((1 - B) + B * (length / F.lit(average)))))
+        part = F.lit(idf) * ((tf * (K1 + 1)) / (tf + K1 * ((1 - B) + B * (F.col("length") / F.lit(average)))))
         if title:
             part = part + F.when(F.contains("title", F.lit(term)), TITLE_BOOST).otherwise(0.0)
         score = score + F.when(tf > 0, part).otherwise(0.0)
         hits.append(F.when(tf > 0, F.lit(term)))
-    any_term = reduce(Column.__or__, held)
-    return parsed.filter(any_term).select(key, quantise(score, 6).alias("score"), F.array_compact(F.array(*hits)).alias("terms"))
+    return _counted(docs, terms, text, key, title, True).select(key, quantise(score, 6).alias("score"), F.array_compact(F.array(*hits)).alias("terms"))
 
 
 def top(scored: DataFrame, k: int, key: str = "doc_id", score: str = "score") -> DataFrame:
@@ -66,6 +76,47 @@ def similar(vectors: DataFrame, query: list[float], key: str = "vec_id", vector:
     return vectors.select(key, F.when(found >= EMBEDDING_LEAST, found).otherwise(0.0).alias("similarity"))
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query, key, similarity, place) of the k vectors most similar to each query (key, vector), ties by key; what is below the least similarity counts 0.
+
+    Queries go to all rows in blocks of BLOCK, each a matrix of known size; a task keeps k rows a query, and only those are shuffled.
+    Null vectors, and those of another length or no norm, are 0 from all.
+    """
+    asked = queries.select(F.col(key).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-asked.count() // BLOCK))
+    found = None
+    for block in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).collect()
+        ids, size = np.array([r.query for r in rows], np.int64), max((len(r.v) for r in rows if r.v), default=1)
+        matrix = np.array([_unit(r.v, size) for r in rows]).reshape(len(rows), size)
+        part = vectors.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v")).mapInArrow(_best(ids, matrix, k), "query long, key long, similarity double").withColumnRenamed("key", key)
+        found = part if found is None else found.union(part)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))
+    return found.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def _unit(v: list[float] | None, size: int) -> np.ndarray:
+    """A vector of norm 1, or of zeros where it has another length or no norm."""
+    x = np.zeros(size) if v is None or len(v) != size or None in v else np.array(v, float)
+    norm = np.sqrt((x * x).sum())
+    return x / norm if norm > 0 else x
+
+
+def _best(ids: np.ndarray, matrix: np.ndarray, k: int):
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, scores = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+        for batch in batches:
+            own = np.stack([_unit(v, matrix.shape[1]) for v in batch.column(1).to_pylist()]) if len(batch) else np.zeros((0, matrix.shape[1]))
+            alike = matrix @ own.T
+            scores = np.concatenate([scores, np.floor(np.where(alike >= EMBEDDING_LEAST, alike, 0.0) * 1e6 + 0.5) / 1e6], axis=1)
+            keys = np.concatenate([keys, np.broadcast_to(batch.column(0).to_numpy(), alike.shape)], axis=1)
+            order = np.lexsort((keys, -scores), axis=1)[:, :k]
+            keys, scores = np.take_along_axis(keys, order, 1), np.take_along_axis(scores, order, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keys.shape[1])), pa.array(keys.reshape(-1)), pa.array(scores.reshape(-1))], ["query", "key", "similarity"])
+
+    return over
+
+
 def hybrid(lexical: DataFrame, vectors: DataFrame, graph: DataFrame | None = None, taxonomy: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """(key, lexical, embedding, graph, taxonomy, metadata, total), from (key, score), (key, similarity) and (key, boost)s.
 
