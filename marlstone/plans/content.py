@@ -13,6 +13,10 @@ from marlstone.plans import sql as S
 from marlstone.sources.tables import table
 
 
+#: A question that holds secrets.
+ASKED = "why does sk-thing_0123456789 of ANSTINTHESES9 end in THETHATTHINGS ?"
+
+
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.exact(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -32,12 +36,6 @@ def page_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "documents").withColumn("title", F.substring("text", 1, 60))
-    found = D.title_pairs(pages, "title", 0.6)
-    return found.select("a", "b", quantise(F.col("similarity"), 6).alias("similarity"))
-
-
-def page_title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of all pages that are alike, whole and at the reference's similarity."""
     pages = table(spark, sf_dir, "pages").select(F.coalesce(X.html_title(F.col("html")), F.lit("")).alias("title"))
     return D.title_pairs(pages, "title").select("a", "b", quantise(F.col("similarity"), 6).alias("similarity"))
@@ -60,7 +58,8 @@ def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = X.redacted(F.col("text"))
+    """Documents as evidence for a question that holds a key."""
+    out = X.redacted(F.col("text"), ASKED)
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(out, 256).alias("sha"), (out != F.col("text")).alias("changed"))
 
 
@@ -113,7 +112,7 @@ def quality_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (fingerprints, page_texts, page_reasons, page_addresses, title_pairs, page_title_pairs, text_windows, chunk_neighbours, sentence_counts, redacted_texts, title_forms, unique_slugs, link_stems, effective_lengths, quote_holders, content_changes, long_pages, ambiguous_slugs, quality_errors)
+    for f in (fingerprints, page_texts, page_reasons, page_addresses, title_pairs, text_windows, chunk_neighbours, sentence_counts, redacted_texts, title_forms, unique_slugs, link_stems, effective_lengths, quote_holders, content_changes, long_pages, ambiguous_slugs, quality_errors)
 }
 
 
@@ -158,8 +157,10 @@ def _url(x: str) -> str:
 
 
 def _redacted(x: str) -> str:
-    for pattern, instead in X.SECRETS:
-        x = _r(x, pattern, instead)
+    for secret in ("sk-thing_0123456789", "ANSTINTHESES9", "THETHATTHINGS"):
+        x = f"replace({x}, '{secret}', '[REDACTED]')"
+    for pattern in (r"\b(?:sk|pk|ghp|github_pat|xox[baprs]?|ya29|AIza)[A-Za-z0-9_\-]{8,}\b", r"\b[A-Z][A-Z0-9_]{11,}\b", r"\b[A-Za-z0-9_\-]{24,}\.[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{12,}\b"):
+        x = _r(x, pattern, "[REDACTED]")
     return x
 
 
@@ -176,10 +177,7 @@ ORACLE = {
         SELECT page_id, CASE WHEN fe < page_id THEN 'exact' WHEN fu < page_id AND u <> '' THEN 'url' WHEN ft < page_id AND t <> '' THEN 'title' ELSE 'new' END AS reason,
         CASE WHEN fe < page_id THEN fe WHEN fu < page_id AND u <> '' THEN fu WHEN ft < page_id AND t <> '' THEN ft END AS of FROM f""",
     "page_addresses": f"SELECT page_id, {_url('url')} AS address FROM pages",
-    "title_pairs": f"""WITH t AS (SELECT DISTINCT {_title("substr(text, 1, 60)")} AS t FROM documents), w AS (SELECT t, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS w FROM t WHERE t <> ''),
-        p AS (SELECT a.t AS a, b.t AS b, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS s FROM w a JOIN w b ON a.t < b.t)
-        SELECT a, b, {S.q("s", 6)} AS similarity FROM p WHERE s >= 0.6""",
-    "page_title_pairs": f"""WITH t AS (SELECT DISTINCT {_title(f"coalesce({_html_title('html')}, '')")} AS t FROM pages), w AS (SELECT t, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS w FROM t WHERE t <> ''),
+    "title_pairs": f"""WITH t AS (SELECT DISTINCT {_title(f"coalesce({_html_title('html')}, '')")} AS t FROM pages), w AS (SELECT t, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS w FROM t WHERE t <> ''),
         p AS (SELECT a.t AS a, b.t AS b, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS s FROM w a JOIN w b ON a.t < b.t)
         SELECT a, b, {S.q("s", 6)} AS similarity FROM p WHERE s >= 0.85""",
     "text_windows": f"WITH {_WINDOWS} SELECT doc_id, number, start, sha256(t) AS sha FROM windows",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import quantise
 from marlstone.functions.text import normal_title, sentences
+from marlstone.operators import graphs
 from marlstone.operators import knowledge as N
 from marlstone.plans import sql as S
 from marlstone.sources.tables import table
@@ -24,14 +25,7 @@ def term_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sentence of each document as a claim, the rest as its evidence."""
-    first = F.get(sentences(F.col("text")), F.lit(0))
-    rows = table(spark, sf_dir, "documents").select("doc_id", first.alias("claim"), F.substring("text", 200, 2000).alias("evidence"))
-    return N.claim_support(rows.withColumn("claim", F.coalesce("claim", F.lit(""))), "claim", "evidence").select("doc_id", F.col("matched").cast("long").alias("matched"), quantise(F.col("coverage"), 6).alias("coverage"), "level")
-
-
-def claim_support_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """claim_support with the whole text after the first sentence as evidence, without bounds of characters."""
+    """The first sentence of each document as a claim, all the rest as its evidence."""
     said = sentences(F.coalesce(F.col("text"), F.lit("")))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.get(said, F.lit(0)), F.lit("")).alias("claim"), F.array_join(F.slice(said, 2, F.greatest(F.size(said), F.lit(1))), "\n").alias("evidence"))
     return N.claim_support(rows, "claim", "evidence").select("doc_id", F.col("matched").cast("long").alias("matched"), quantise(F.col("coverage"), 6).alias("coverage"), "level")
@@ -73,7 +67,7 @@ def subtitle_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redirect_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("b"))
-    return N.cycles(n)
+    return graphs.cycle_nodes(n)
 
 
 def trailing_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +82,7 @@ def typo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(other, "p_partkey").filter(N.one_typo(F.col("p_brand"), F.col("other"))).select("p_partkey", "p_brand", "other")
 
 
-QUERIES = {f.__name__: f for f in (term_nodes, term_edges, claim_support, claim_support_whole, merged_claims, topic_boosts, page_scores, symbols, subtitle_texts, redirect_cycles, trailing_spend, typo_pairs)}
+QUERIES = {f.__name__: f for f in (term_nodes, term_edges, claim_support, merged_claims, topic_boosts, page_scores, symbols, subtitle_texts, redirect_cycles, trailing_spend, typo_pairs)}
 
 _TOP = f"""w AS (SELECT doc_id, unnest({S.tokens("text")}) AS t FROM documents), c AS (SELECT doc_id, t, count(*) AS n FROM w GROUP BY 1, 2),
     top AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, t) <= 8)"""
@@ -102,10 +96,7 @@ _UP = "upper(trim(form))"
 ORACLE = {
     "term_nodes": f"WITH {_TOP} SELECT t AS term, sum(n) AS weight FROM top GROUP BY t",
     "term_edges": f"WITH {_TOP} SELECT x.t AS a, y.t AS b, count(*) AS weight FROM top x JOIN top y ON x.doc_id = y.doc_id AND x.t < y.t GROUP BY 1, 2",
-    "claim_support": f"""WITH c AS (SELECT doc_id, list_distinct({S.tokens(f"coalesce({_SENTENCES}[1], '')")}) AS own, list_distinct({S.tokens("substr(text, 200, 2000)")}) AS held FROM documents),
-        m AS (SELECT doc_id, len(list_intersect(own, held)) AS matched, least(1.0, CASE WHEN len(own) > 0 THEN CAST(len(list_intersect(own, held)) AS DOUBLE) / least(len(own), 16) ELSE 0.0 END) AS coverage FROM c)
-        SELECT doc_id, matched, {S.q("coverage", 6)} AS coverage, CASE WHEN coverage >= 0.65 THEN 'strong' WHEN coverage >= 0.35 THEN 'partial' ELSE 'weak' END AS level FROM m""",
-    "claim_support_whole": f"""WITH s AS (SELECT doc_id, coalesce({_SENTENCES}, []) AS s FROM documents), c AS (SELECT doc_id, list_distinct({S.tokens("coalesce(s[1], '')")}) AS own, list_distinct({S.tokens("array_to_string(s[2:], chr(10))")}) AS held FROM s),
+    "claim_support": f"""WITH s AS (SELECT doc_id, coalesce({_SENTENCES}, []) AS s FROM documents), c AS (SELECT doc_id, list_distinct({S.tokens("coalesce(s[1], '')")}) AS own, list_distinct({S.tokens("array_to_string(s[2:], chr(10))")}) AS held FROM s),
         m AS (SELECT doc_id, len(list_intersect(own, held)) AS matched, least(1.0, CASE WHEN len(own) > 0 THEN CAST(len(list_intersect(own, held)) AS DOUBLE) / least(len(own), 16) ELSE 0.0 END) AS coverage FROM c)
         SELECT doc_id, matched, {S.q("coverage", 6)} AS coverage, CASE WHEN coverage >= 0.65 THEN 'strong' WHEN coverage >= 0.35 THEN 'partial' ELSE 'weak' END AS level FROM m""",
     "merged_claims": f"""WITH s AS (SELECT source, n_chars, unnest({_SENTENCES}) AS s FROM documents), c AS (SELECT source, n_chars, {_TITLE} AS claim FROM s)
@@ -120,7 +111,7 @@ ORACLE = {
         SELECT p_partkey, code, CASE WHEN regexp_matches(code, '^[0-9]{{6}}$') THEN 'cn' WHEN regexp_matches(code, '^[0-9]{{5}}$') THEN 'hk' WHEN regexp_matches(code, '^[A-Z]{{1,5}}(\\.[A-Z])?$') THEN 'us' ELSE 'unknown' END AS market FROM c""",
     "subtitle_texts": """WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'))), lambda x: x <> '' AND NOT regexp_matches(x, '^(WEBVTT|NOTE|STYLE|REGION)|^[0-9]+$|-->')) AS s FROM conversations),
         o AS (SELECT conv_id, turn, list_filter(s, lambda x, i: i = 1 OR x <> s[i - 1]) AS s FROM l) SELECT conv_id, turn, sha256(array_to_string(list_append(s, 'end'), chr(10))) AS sha FROM o""",
-    "redirect_cycles": "WITH RECURSIVE r AS (SELECT n_nationkey AS node, n_regionkey AS place, 1 AS hop FROM nation UNION SELECT r.node, n_regionkey, hop + 1 FROM r JOIN nation ON place = n_nationkey WHERE node <> place AND hop < 8) SELECT DISTINCT node FROM r WHERE node = place",
+    "redirect_cycles": "WITH RECURSIVE r AS (SELECT n_nationkey AS node, n_regionkey AS place, 1 AS hop FROM nation UNION SELECT r.node, n_regionkey, hop + 1 FROM r JOIN nation ON place = n_nationkey WHERE node <> place AND hop < 100) SELECT DISTINCT node FROM r WHERE node = place",
     "trailing_spend": """WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS day, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS cents FROM orders)
         SELECT o_orderkey, floor(CAST(sum(cents) OVER (PARTITION BY o_custkey ORDER BY day RANGE BETWEEN 364 PRECEDING AND CURRENT ROW) AS DOUBLE) / 100.0 * 100.0 + 0.5) / 100.0 AS trailing FROM o""",
     "typo_pairs": "SELECT a.p_partkey, a.p_brand, b.p_brand AS other FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE length(a.p_brand) = length(b.p_brand) AND hamming(a.p_brand, b.p_brand) = 1",

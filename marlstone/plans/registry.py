@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import content, knowledge, market, reports, retrieval, streams, structure, trading
+from marlstone.plans import catalog, content, knowledge, lints, market, policy, reports, retrieval, streams, structure, trading
 
-MODULES = (retrieval, market, trading, content, reports, streams, knowledge, structure)
+MODULES = (retrieval, market, trading, content, reports, streams, knowledge, structure, policy, lints, catalog)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

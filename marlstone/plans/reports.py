@@ -175,9 +175,10 @@ def cached_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean of each label's first dimension, in whole millionths."""
-    e = table(spark, sf_dir, "embeddings").select("label", F.floor(F.get("embedding", F.lit(0)).cast("double") * 1e6 + 0.5).cast("decimal(20,0)").alias("x"))
-    return e.groupBy("label").agg(F.count("*").alias("n"), quantise(F.sum("x").cast("double") / F.count("*") / 1e6, 5).alias("mean"))
+    """The mean of each label in each dimension, in whole millionths; partial sums of a label and dimension are shuffled."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dimension", "x"))
+    unit = F.floor(F.col("x").cast("double") * 1e6 + 0.5).cast("decimal(20,0)")
+    return e.groupBy("label", "dimension").agg(F.count("*").alias("n"), quantise(F.sum(unit).cast("double") / F.count("*") / 1e6, 5).alias("mean"))
 
 
 QUERIES = {
@@ -218,7 +219,7 @@ ORACLE = {
         SELECT code, day, close, CASE WHEN EXISTS (SELECT 1 FROM bars b WHERE f.code = b.code AND f.day = b.day) THEN 'updated' ELSE 'inserted' END FROM f""",
     "news_freshness": """SELECT reason, reason = 'kept' AS kept, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' THEN 'unknown' WHEN CAST(ts AS DATE) < DATE '2024-01-14' THEN 'old' WHEN CAST(ts AS DATE) > DATE '2024-01-21' THEN 'future' ELSE 'kept' END AS reason FROM events) GROUP BY 1, 2""",
     "redirects": """WITH RECURSIVE n AS (SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(n_regionkey AS BIGINT) AS b FROM nation), r AS (SELECT a, a AS place, [a] AS seen, 0 AS hop FROM n
-        UNION ALL SELECT r.a, n.b, list_append(seen, n.b), hop + 1 FROM r JOIN n ON r.place = n.a WHERE NOT list_contains(seen, n.b) AND hop < 8) SELECT a, place AS canonical FROM r QUALIFY row_number() OVER (PARTITION BY a ORDER BY hop DESC) = 1""",
+        UNION ALL SELECT r.a, n.b, list_append(seen, n.b), hop + 1 FROM r JOIN n ON r.place = n.a WHERE NOT list_contains(seen, n.b)) SELECT a, place AS canonical FROM r QUALIFY row_number() OVER (PARTITION BY a ORDER BY hop DESC) = 1""",
     "quiet_hours": "SELECT event_type, hour(ts) * 60 + minute(ts) >= 1320 OR hour(ts) * 60 + minute(ts) < 420 AS quiet, count(*) AS n FROM events GROUP BY 1, 2",
     "relative_days": "SELECT p_partkey, DATE '2024-02-01' - CAST(CASE p_partkey % 6 WHEN 0 THEN p_size // 24 WHEN 1 THEN p_size WHEN 2 THEN p_size * 7 WHEN 3 THEN p_size * 30 WHEN 4 THEN p_size * 365 END AS INTEGER) AS day FROM part",
     "trade_hashes": "SELECT sha256(concat_ws('|', CAST(l_partkey AS VARCHAR), strftime(l_shipdate, '%Y-%m-%d'), l_returnflag, printf('%.8f', l_quantity), printf('%.8f', l_extendedprice))) AS hash, min(l_orderkey) AS first, count(*) AS copies FROM lineitem GROUP BY 1",
@@ -231,5 +232,5 @@ ORACLE = {
     "price_alerts": f"""WITH {S.BARS}, s AS (SELECT *, lag(close) OVER (PARTITION BY code ORDER BY day) AS before, avg(volume) OVER (PARTITION BY code ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS mean FROM bars)
         SELECT code, day, 'price' AS alert FROM s WHERE close > 60 UNION ALL SELECT code, day, 'change' FROM s WHERE abs((close - before) / before * 100) >= 20 UNION ALL SELECT code, day, 'volume' FROM s WHERE volume > 2 * mean""",
     "cached_vectors": """SELECT state, count(*) AS n FROM (SELECT CASE WHEN vec_id IS NULL THEN 'missing' WHEN doc_id IS NULL THEN 'stale' ELSE 'reusable' END AS state FROM documents FULL JOIN embeddings ON doc_id = vec_id) GROUP BY state""",
-    "label_centres": f"SELECT label, count(*) AS n, {S.q('CAST(sum(CAST(floor(CAST(embedding[1] AS DOUBLE) * 1e6 + 0.5) AS HUGEINT)) AS DOUBLE) / count(*) / 1e6', 5)} AS mean FROM embeddings GROUP BY label",
+    "label_centres": f"SELECT label, dimension, count(*) AS n, {S.q('CAST(sum(CAST(floor(CAST(x AS DOUBLE) * 1e6 + 0.5) AS HUGEINT)) AS DOUBLE) / count(*) / 1e6', 5)} AS mean FROM (SELECT label, unnest(range(len(embedding))) AS dimension, unnest(embedding) AS x FROM embeddings) GROUP BY ALL",
 }

@@ -37,8 +37,9 @@ def _vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.similar(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir)).select("vec_id", R.quantise(F.col("similarity"), 6).alias("score"))
-    return R.top(found, K, "vec_id")
+    """The vectors nearest to each whose number is divisible by 20, among all."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return R.nearest(vectors, vectors.filter("vec_id % 20 = 0"), K).select("query", "vec_id", F.col("similarity").alias("score"), "place")
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +124,8 @@ ORACLE = {
     "bm25_all": f"WITH {_bm25('s', QUERY, True)} SELECT doc_id, score FROM s",
     "lexical_index": f"WITH w AS (SELECT doc_id, unnest({S.tokens('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM w GROUP BY term",
     "token_counts": f"SELECT doc_id, greatest(1, len(w)) AS n_tokens, len(list_distinct(w)) AS n_distinct FROM (SELECT doc_id, {S.tokens('text')} AS w FROM documents)",
-    "vector_search": f"WITH {_COSINE} SELECT vec_id, {S.q('similarity', 6)} AS score FROM alike ORDER BY score DESC, vec_id LIMIT {K}",
+    "vector_search": f"""WITH c AS (SELECT a.vec_id AS query, b.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0),
+        s AS (SELECT query, vec_id, {S.q("CASE WHEN c >= 0.15 THEN c ELSE 0.0 END", 6)} AS score FROM c) SELECT query, vec_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS place FROM s QUALIFY place <= {K}""",
     "hybrid_search": f"""WITH {_bm25("s", QUERY)}, {_COSINE}, best AS (SELECT max(score) AS m FROM s),
         j AS (SELECT coalesce(doc_id, vec_id) AS doc_id, coalesce(score / m, 0.0) AS lex, coalesce(similarity, 0.0) AS emb FROM (SELECT * FROM s, best) x FULL JOIN alike ON doc_id = vec_id),
         t AS (SELECT doc_id, {S.q("lex", 6)} AS lexical, {S.q("emb", 6)} AS embedding, 0.0 AS graph, 0.0 AS taxonomy, CASE WHEN lex > 0 THEN 0.05 ELSE 0.0 END AS metadata,

@@ -72,13 +72,7 @@ def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trades = L.split_adjusted(trading._trades(spark, sf_dir), _actions(spark, sf_dir))
-    sound = trades.join(L.oversold(trades), "symbol", "left_anti")
-    return L.fifo(sound).select("symbol", "sell_id", "buy_id", quantise(F.col("qty"), 4).alias("qty"), quantise(F.col("cost"), 3).alias("cost"), quantise(F.col("proceeds"), 3).alias("proceeds"))
-
-
-def split_fifo_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """split_fifo of all symbols; only sales of more than is held are refused."""
+    """Matches of all symbols in shares of the end; only sales of more than is held are refused."""
     trades = L.split_adjusted(trading._trades(spark, sf_dir), _actions(spark, sf_dir))
     return L.fifo(L.accepted(trades)).select("symbol", "sell_id", "buy_id", quantise(F.col("qty"), 4).alias("qty"), quantise(F.col("cost"), 3).alias("cost"), quantise(F.col("proceeds"), 3).alias("proceeds"))
 
@@ -100,7 +94,7 @@ def close_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("ratio", quantise(F.col("ratio"), 6))
 
 
-QUERIES = {f.__name__: f for f in (article_fields, page_markdown, close_names, heading_chunks, parent_spans, effective_dates, composition_plan, dividends, split_fifo, split_fifo_all)}
+QUERIES = {f.__name__: f for f in (article_fields, page_markdown, close_names, heading_chunks, parent_spans, effective_dates, composition_plan, dividends, split_fifo)}
 
 _NL = "chr(10)"
 _MD = "regexp_replace(regexp_replace(regexp_replace(text, '(?m)^([A-F])', '# \\1', 'g'), '(?m)^([G-M])', '### \\1', 'g'), '(?m)^([N-S])', '## \\1', 'g')"
@@ -172,6 +166,5 @@ ORACLE = {
     "dividends": f"""WITH {_ADJUSTED}, p AS (SELECT p_partkey AS symbol, DATE '1996-01-01' + p_size AS day FROM part WHERE p_size % 3 = 0),
         h AS (SELECT p.symbol, p.day, coalesce(sum(CASE side WHEN 'sell' THEN -qty ELSE qty END), 0.0) AS before FROM p LEFT JOIN trades t ON t.symbol = p.symbol AND t.day < p.day GROUP BY 1, 2)
         SELECT symbol, day, before, CASE WHEN before > 1e-8 THEN before * 0.25 ELSE 0.0 END AS cash FROM h""",
-    "split_fifo": f"WITH {_ADJUSTED}, {trading._FIFO} SELECT symbol, sell_id, buy_id, {S.q('qty', 4)} AS qty, {S.q('cost', 3)} AS cost, {S.q('proceeds', 3)} AS proceeds FROM fifo",
-    "split_fifo_all": f"WITH RECURSIVE {trading.all_symbols(_ADJUSTED)}, {trading._FIFO} SELECT symbol, sell_id, buy_id, {S.q('qty', 4)} AS qty, {S.q('cost', 3)} AS cost, {S.q('proceeds', 3)} AS proceeds FROM fifo",
+    "split_fifo": f"WITH RECURSIVE {trading.all_symbols(_ADJUSTED)}, {trading._FIFO} SELECT symbol, sell_id, buy_id, {S.q('qty', 4)} AS qty, {S.q('cost', 3)} AS cost, {S.q('proceeds', 3)} AS proceeds FROM fifo",
 }

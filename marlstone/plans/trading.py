@@ -9,6 +9,7 @@ from marlstone.functions.numeric import quantise
 from marlstone.operators import backtest as T
 from marlstone.operators import bars as B
 from marlstone.operators import ledger as L
+from marlstone.operators import portfolio as PF
 from marlstone.plans import sql as S
 from marlstone.sources.tables import table
 
@@ -62,47 +63,78 @@ def oversold_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.oversold(_trades(spark, sf_dir))
 
 
-def _sound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trades = _trades(spark, sf_dir)
-    return trades.join(L.oversold(trades), "symbol", "left_anti")
+def trade_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every trade, accepted or refused, and what is held after it."""
+    return L.judged(_trades(spark, sf_dir)).select("symbol", "id", "status", "held")
 
 
 def fifo_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.fifo(_sound(spark, sf_dir)).select("symbol", "sell_id", "buy_id", quantise(F.col("qty"), 4).alias("qty"), quantise(F.col("cost"), 3).alias("cost"), quantise(F.col("proceeds"), 3).alias("proceeds"))
+    """Matches of all symbols; only sales of more than is held are refused."""
+    return L.fifo(L.accepted(_trades(spark, sf_dir))).select("symbol", "sell_id", "buy_id", quantise(F.col("qty"), 4).alias("qty"), quantise(F.col("cost"), 3).alias("cost"), quantise(F.col("proceeds"), 3).alias("proceeds"))
 
 
 def fifo_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Realised profit by symbol, in ten-thousandths summed exactly."""
+    """Realised profit by symbol, of all symbols, in ten-thousandths summed exactly."""
     unit = lambda c: F.floor(F.col(c) * 1e4 + 0.5).cast("decimal(24,0)")
-    return L.fifo(_sound(spark, sf_dir)).groupBy("symbol").agg(quantise((F.sum(unit("proceeds")) - F.sum(unit("cost"))).cast("double") / 1e4, 2).alias("profit"), F.count("*").alias("matches"))
+    return L.fifo(L.accepted(_trades(spark, sf_dir))).groupBy("symbol").agg(quantise((F.sum(unit("proceeds")) - F.sum(unit("cost"))).cast("double") / 1e4, 2).alias("profit"), F.count("*").alias("matches"))
 
 
 def average_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.average_cost(_sound(spark, sf_dir)).select("symbol", quantise(F.col("held"), 4).alias("held"), quantise(F.col("cost"), 2).alias("cost"), quantise(F.col("realised"), 2).alias("realised"))
+    return L.average_cost(L.accepted(_trades(spark, sf_dir))).select("symbol", quantise(F.col("held"), 4).alias("held"), quantise(F.col("cost"), 2).alias("cost"), quantise(F.col("realised"), 2).alias("realised"))
 
 
-def trade_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every trade, accepted or refused, and what is held after it."""
-    return L.judged(_trades(spark, sf_dir)).select("symbol", "id", "status", "held")
+def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.available(_trades(spark, sf_dir))
 
 
-def fifo_matches_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches of all symbols; only sales of more than is held are refused."""
-    return L.fifo(L.accepted(_trades(spark, sf_dir))).select("symbol", "sell_id", "buy_id", quantise(F.col("qty"), 4).alias("qty"), quantise(F.col("cost"), 3).alias("cost"), quantise(F.col("proceeds"), 3).alias("proceeds"))
+#: The day of a portfolio's snapshot, and the money of all accounts.
+SNAPSHOT, BASE = "1997-06-30", "C0"
 
 
-def fifo_profit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Realised profit by symbol, of all symbols, in ten-thousandths summed exactly."""
-    unit = lambda c: F.floor(F.col(c) * 1e4 + 0.5).cast("decimal(24,0)")
-    return L.fifo(L.accepted(_trades(spark, sf_dir))).groupBy("symbol").agg(quantise((F.sum(unit("proceeds")) - F.sum(unit("cost"))).cast("double") / 1e4, 2).alias("profit"), F.count("*").alias("matches"))
+def _portfolio_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as trades of 50 accounts in four moneys; sales of more than is held at their time are refused."""
+    trades = L.accepted(_trades(spark, sf_dir).filter(F.col("day") <= F.lit(SNAPSHOT).cast("date")))
+    gross = F.col("qty") * F.col("price")
+    return trades.select(
+        F.pmod("symbol", F.lit(50)).alias("account"), "symbol", F.concat(F.lit("C"), F.pmod("symbol", F.lit(4)).cast("string")).alias("currency"), "day", "id", "side", "qty", "price",
+        (gross * 0.001).alias("fee"), (gross * 0.0005).alias("tax"),
+    )
 
 
-def average_cost_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.average_cost(L.accepted(_trades(spark, sf_dir))).select("symbol", quantise(F.col("held"), 4).alias("held"), quantise(F.col("cost"), 2).alias("cost"), quantise(F.col("realised"), 2).alias("realised"))
+def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rate from C1 to C0 and one from C0 to C2 for each month with orders; C3 has none."""
+    months = table(spark, sf_dir, "orders").select(F.trunc("o_orderdate", "month").alias("since")).distinct()
+    return months.select(F.lit("C1").alias("from"), F.lit("C0").alias("to"), "since", (1 + F.month("since") / 10.0).alias("rate")).unionByName(months.select(F.lit("C0").alias("from"), F.lit("C2").alias("to"), "since", (2 + F.pmod(F.year("since"), F.lit(5)) / 10.0).alias("rate")))
 
 
-def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.available(_trades(spark, sf_dir))
+def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").filter("p_size % 5 <> 0").select(F.col("p_partkey").alias("symbol"), F.col("p_retailprice").alias("close"))
+
+
+def portfolio_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open positions of all accounts at first in first out, with price, value and gain in the accounts' money."""
+    found = PF.valued(PF.positions(_portfolio_trades(spark, sf_dir)), _prices(spark, sf_dir), _rates(spark, sf_dir), F.lit(BASE), F.lit(SNAPSHOT).cast("date"))
+    return found.select("account", "symbol", "currency", quantise(F.col("held"), 4).alias("held"), *(quantise(F.col(c), 2).alias(c) for c in ("cost", "value", "unrealised")), quantise(F.col("percent"), 3).alias("percent"), "stale")
+
+
+def _snapshot(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    moves = orders.select(
+        F.pmod("o_custkey", F.lit(50)).alias("account"), F.concat(F.lit("C"), F.pmod("o_custkey", F.lit(4)).cast("string")).alias("currency"), F.col("o_orderdate").cast("date").alias("day"),
+        F.when(F.col("o_orderkey") % 3 > 0, "in").otherwise("out").alias("direction"), F.col("o_totalprice").alias("amount"),
+    )
+    found = PF.snapshot(_portfolio_trades(spark, sf_dir), moves, _prices(spark, sf_dir), _rates(spark, sf_dir), F.lit(BASE), F.lit(SNAPSHOT).cast("date"), method)
+    return found.select("account", *(quantise(F.col(c), 0).alias(c) for c in ("cash", "value", "equity", "realised", "unrealised", "fees", "taxes")), "stale")
+
+
+def portfolio_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all accounts at first in first out."""
+    return _snapshot(spark, sf_dir, "fifo")
+
+
+def portfolio_snapshot_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all accounts at average cost."""
+    return _snapshot(spark, sf_dir, "average")
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +160,7 @@ def currency_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("c_custkey", quantise(F.col("converted"), 4).alias("converted"), "stale")
 
 
-QUERIES = {f.__name__: f for f in (backtest, backtest_summary, backtest_overall, as_of_close, forward_bars, oversold_symbols, fifo_matches, fifo_profit, average_cost, trade_statuses, fifo_matches_all, fifo_profit_all, average_cost_all, holdings, symbol_concentration, sector_concentration, currency_conversion)}
+QUERIES = {f.__name__: f for f in (backtest, backtest_summary, backtest_overall, as_of_close, forward_bars, oversold_symbols, fifo_matches, fifo_profit, average_cost, trade_statuses, holdings, portfolio_positions, portfolio_snapshot, portfolio_snapshot_average, symbol_concentration, sector_concentration, currency_conversion)}
 
 _EVALUATED = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY day) AS rn, (code + day(day)) % 4 AS kind FROM bars),
     advice AS (SELECT code, day, rn, close AS start, CASE WHEN kind < 2 THEN 'long' ELSE 'cash' END AS position, CASE kind WHEN 0 THEN 'up' WHEN 1 THEN 'not_down' WHEN 2 THEN 'down' ELSE 'flat' END AS direction,
@@ -160,8 +192,7 @@ def _summary(by: str) -> str:
 _TRADES = """trades AS (SELECT l_partkey AS symbol, CAST(l_shipdate AS DATE) AS day, printf('%012d-%06d-%012d-%014.2f', l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS id,
         CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity AS qty, l_extendedprice / l_quantity AS price FROM lineitem),
     levels AS (SELECT symbol, sum(CASE WHEN side = 'sell' THEN -qty ELSE qty END) OVER (PARTITION BY symbol ORDER BY day, id ROWS UNBOUNDED PRECEDING) AS held FROM trades),
-    short AS (SELECT symbol, min(held) AS lowest FROM levels GROUP BY symbol HAVING min(held) < -1e-8),
-    sound AS (SELECT * FROM trades WHERE symbol NOT IN (SELECT symbol FROM short))"""
+    short AS (SELECT symbol, min(held) AS lowest FROM levels GROUP BY symbol HAVING min(held) < -1e-8)"""
 _FIFO = """stretches AS (SELECT *, sum(qty) OVER (PARTITION BY symbol, side ORDER BY day, id ROWS UNBOUNDED PRECEDING) AS hi FROM sound),
     matched AS (SELECT s.symbol, s.id AS sell_id, b.id AS buy_id, least(s.hi, b.hi) - greatest(s.hi - s.qty, b.hi - b.qty) AS qty, b.price AS bp, s.price AS sp
       FROM stretches s JOIN stretches b ON s.symbol = b.symbol AND s.side = 'sell' AND b.side = 'buy' AND b.hi > s.hi - s.qty AND b.hi - b.qty < s.hi),
@@ -178,6 +209,39 @@ def all_symbols(with_trades: str) -> str:
     sound AS (SELECT n.* EXCLUDE (rn) FROM n JOIN judged j ON n.symbol = j.symbol AND n.rn = j.rn WHERE status = 'accepted')"""
 
 
+_PORTFOLIO = f"""{all_symbols(_TRADES).replace("FROM lineitem)", f"FROM lineitem WHERE CAST(l_shipdate AS DATE) <= DATE '{SNAPSHOT}')").replace("    sound AS (", "    kept AS (")},
+    sound AS (SELECT symbol, day, id, side, qty, CASE WHEN side = 'sell' THEN qty * price - qty * price * 0.0015 ELSE qty * price + qty * price * 0.0015 END / qty AS price, qty * price AS gross FROM kept)"""
+_MONEY = f"""months AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS since FROM orders), r1 AS (SELECT since, 1 + month(since) / 10.0 AS rate FROM months), r2 AS (SELECT since, 2 + (year(since) % 5) / 10.0 AS rate FROM months),
+    days AS (SELECT DISTINCT day FROM (SELECT day FROM sound UNION ALL SELECT DATE '{SNAPSHOT}')),
+    fx AS (SELECT d.day, r1.rate AS c1, r2.rate AS c2 FROM days d ASOF LEFT JOIN r1 ON d.day >= r1.since ASOF LEFT JOIN r2 ON d.day >= r2.since),
+    rates AS (SELECT day, 0 AS cur, 1.0 AS rate FROM fx UNION ALL SELECT day, 1, CAST(c1 AS DOUBLE) FROM fx UNION ALL SELECT day, 2, 1 / CAST(c2 AS DOUBLE) FROM fx UNION ALL SELECT day, 3, NULL FROM fx)"""
+_AVERAGE = """o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day, id) AS rn FROM sound),
+    a AS (SELECT symbol, rn, day, side, qty AS held, 0.0 + qty * price AS cost, CAST(0.0 AS DOUBLE) AS gain FROM o WHERE rn = 1
+      UNION ALL SELECT o.symbol, o.rn, o.day, o.side, CASE WHEN o.side = 'sell' THEN held - qty ELSE held + qty END, CASE WHEN o.side = 'sell' THEN cost - CASE WHEN held > 1e-8 THEN cost / held ELSE 0 END * qty ELSE cost + qty * price END,
+        CASE WHEN o.side = 'sell' THEN (price - CASE WHEN held > 1e-8 THEN cost / held ELSE 0 END) * qty ELSE 0 END FROM a JOIN o ON o.symbol = a.symbol AND o.rn = a.rn + 1)"""
+_HELD = """taken AS (SELECT symbol, buy_id, sum(qty) AS taken FROM fifo GROUP BY ALL), lots AS (SELECT s.symbol, s.qty - coalesce(taken, 0) AS held, s.price FROM sound s LEFT JOIN taken t ON t.symbol = s.symbol AND t.buy_id = s.id WHERE s.side = 'buy'),
+    held AS (SELECT symbol, sum(held) AS held, sum(held * price) AS cost FROM lots WHERE held > 1e-8 GROUP BY symbol HAVING sum(held) > 1e-8), gains AS (SELECT f.symbol, s.day, sum(proceeds) - sum(cost) AS gain FROM fifo f JOIN sound s ON s.symbol = f.symbol AND s.id = sell_id GROUP BY f.symbol, sell_id, s.day)"""
+_VALUED = f"""valued AS (SELECT symbol % 50 AS account, symbol, symbol % 4 AS cur, held, cost, coalesce(held * p_retailprice, 0.0) AS v, CASE WHEN p_retailprice IS NULL THEN 0.0 ELSE cost END AS b, rate
+      FROM held LEFT JOIN (SELECT * FROM part WHERE p_size % 5 <> 0) ON symbol = p_partkey JOIN rates ON rates.cur = symbol % 4 AND rates.day = DATE '{SNAPSHOT}'),
+    worth AS (SELECT *, CASE WHEN abs(v) <= 1e-8 THEN 0.0 ELSE v * coalesce(rate, 1.0) END AS value, CASE WHEN abs(b) <= 1e-8 THEN 0.0 ELSE b * coalesce(rate, 1.0) END AS book, rate IS NULL AND (abs(v) > 1e-8 OR abs(b) > 1e-8) AS stale FROM valued)"""
+
+
+def _accounts(held: str) -> str:
+    some = lambda kind, x, rate="rate", stale="rate IS NULL": f"SELECT account, '{kind}' AS kind, CAST(floor(CASE WHEN abs({x}) <= 1e-8 THEN 0.0 ELSE {x} * coalesce({rate}, 1.0) END * 1e4 + 0.5) AS HUGEINT) AS unit, {stale} AND abs({x}) > 1e-8 AS stale"
+    total = lambda kinds, signs=(): " + ".join(f"{dict(signs).get(k, 1)} * coalesce(sum(unit) FILTER (WHERE kind = '{k}'), 0)" for k in kinds)
+    whole = lambda x: S.q(f"CAST({x} AS DOUBLE) / 1e4", 0)
+    return f"""WITH RECURSIVE {_PORTFOLIO}, {held}, {_MONEY}, {_VALUED},
+        moves AS (SELECT o_custkey % 50 AS account, o_custkey % 4 AS cur, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice ELSE -o_totalprice END AS amount FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '{SNAPSHOT}'
+          UNION ALL SELECT symbol % 50, symbol % 4, CASE WHEN side = 'sell' THEN gross - gross * 0.0015 ELSE -(gross + gross * 0.0015) END FROM sound),
+        balances AS (SELECT account, m.cur, sum(amount) AS balance, any_value(rate) AS rate FROM moves m JOIN rates r ON r.cur = m.cur AND r.day = DATE '{SNAPSHOT}' GROUP BY ALL),
+        parts AS ({some("cash", "balance")} FROM balances UNION ALL {some("value", "v")} FROM worth UNION ALL {some("book", "b")} FROM worth
+          UNION ALL {some("realised", "gain", "rate")} FROM (SELECT symbol % 50 AS account, gain, rate FROM gains JOIN rates ON rates.cur = symbol % 4 AND rates.day = gains.day)
+          UNION ALL {some("fees", "gross * 0.001")} FROM (SELECT symbol % 50 AS account, gross, rate FROM sound JOIN rates ON rates.cur = symbol % 4 AND rates.day = sound.day)
+          UNION ALL {some("taxes", "gross * 0.0005")} FROM (SELECT symbol % 50 AS account, gross, rate FROM sound JOIN rates ON rates.cur = symbol % 4 AND rates.day = sound.day))
+        SELECT account, {whole(total(["cash"]))} AS cash, {whole(total(["value"]))} AS value, {whole(total(["cash", "value"]))} AS equity, {whole(total(["realised"]))} AS realised, {whole(total(["value", "book"], [("book", -1)]))} AS unrealised,
+          {whole(total(["fees"]))} AS fees, {whole(total(["taxes"]))} AS taxes, bool_or(stale) AS stale FROM parts GROUP BY account"""
+
+
 _UNIT = "CAST(floor({} * 1e4 + 0.5) AS HUGEINT)"
 
 
@@ -196,20 +260,21 @@ ORACLE = {
         SELECT o_orderkey, a.code, asked, b.day, b.close FROM asked a ASOF LEFT JOIN bars b ON a.code = b.code AND a.asked >= b.day""",
     "forward_bars": f"""WITH {S.BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY day) AS rn FROM bars) SELECT a.code, a.day AS asked, b.rn - a.rn - 1 AS place, b.day, b.close FROM n a JOIN n b ON a.code = b.code AND b.rn BETWEEN a.rn + 1 AND a.rn + 3""",
     "oversold_symbols": f"WITH {_TRADES} SELECT * FROM short",
-    "fifo_matches": f"WITH {_TRADES}, {_FIFO} SELECT symbol, sell_id, buy_id, {S.q('qty', 4)} AS qty, {S.q('cost', 3)} AS cost, {S.q('proceeds', 3)} AS proceeds FROM fifo",
-    "fifo_profit": f"WITH {_TRADES}, {_FIFO} SELECT symbol, {S.q(f'CAST(sum({_UNIT.format("proceeds")}) - sum({_UNIT.format("cost")}) AS DOUBLE) / 1e4', 2)} AS profit, count(*) AS matches FROM fifo GROUP BY symbol",
-    "average_cost": f"""WITH RECURSIVE {_TRADES}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day, id) AS rn FROM sound),
-        r AS (SELECT symbol, rn, qty AS held, 0.0 + qty * price AS cost, CAST(0.0 AS DOUBLE) AS realised FROM n WHERE rn = 1
-          UNION ALL SELECT n.symbol, n.rn, CASE WHEN side = 'sell' THEN held - qty ELSE held + qty END, CASE WHEN side = 'sell' THEN cost - CASE WHEN held > 1e-8 THEN cost / held ELSE 0 END * qty ELSE cost + qty * price END,
-            realised + CASE WHEN side = 'sell' THEN (price - CASE WHEN held > 1e-8 THEN cost / held ELSE 0 END) * qty ELSE 0 END FROM r JOIN n ON n.symbol = r.symbol AND n.rn = r.rn + 1)
+    "fifo_matches": f"WITH RECURSIVE {all_symbols(_TRADES)}, {_FIFO} SELECT symbol, sell_id, buy_id, {S.q('qty', 4)} AS qty, {S.q('cost', 3)} AS cost, {S.q('proceeds', 3)} AS proceeds FROM fifo",
+    "fifo_profit": f"WITH RECURSIVE {all_symbols(_TRADES)}, {_FIFO} SELECT symbol, {S.q(f'CAST(sum({_UNIT.format("proceeds")}) - sum({_UNIT.format("cost")}) AS DOUBLE) / 1e4', 2)} AS profit, count(*) AS matches FROM fifo GROUP BY symbol",
+    "average_cost": f"""WITH RECURSIVE {all_symbols(_TRADES)}, o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day, id) AS rn FROM sound),
+        r AS (SELECT symbol, rn, qty AS held, 0.0 + qty * price AS cost, CAST(0.0 AS DOUBLE) AS realised FROM o WHERE rn = 1
+          UNION ALL SELECT o.symbol, o.rn, CASE WHEN side = 'sell' THEN held - qty ELSE held + qty END, CASE WHEN side = 'sell' THEN cost - CASE WHEN held > 1e-8 THEN cost / held ELSE 0 END * qty ELSE cost + qty * price END,
+            realised + CASE WHEN side = 'sell' THEN (price - CASE WHEN held > 1e-8 THEN cost / held ELSE 0 END) * qty ELSE 0 END FROM r JOIN o ON o.symbol = r.symbol AND o.rn = r.rn + 1)
         SELECT symbol, {S.q("held", 4)} AS held, {S.q("cost", 2)} AS cost, {S.q("realised", 2)} AS realised FROM r QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) = 1""",
     "trade_statuses": f"WITH RECURSIVE {all_symbols(_TRADES)} SELECT symbol, id, status, held FROM n JOIN judged USING (symbol, rn)",
     "holdings": f"WITH {_TRADES} SELECT symbol, sum(CASE WHEN side = 'sell' THEN -qty ELSE qty END) AS held FROM trades GROUP BY symbol",
+    "portfolio_positions": f"""WITH RECURSIVE {_PORTFOLIO}, {_FIFO}, {_HELD}, {_MONEY}, {_VALUED} SELECT account, symbol, 'C' || cur AS currency, {S.q("held", 4)} AS held, {S.q("cost", 2)} AS cost, {S.q("value", 2)} AS value,
+        {S.q("value - book", 2)} AS unrealised, CASE WHEN abs(book) > 1e-8 THEN {S.q("(value - book) / book * 100", 3)} END AS percent, stale FROM worth""",
+    "portfolio_snapshot": _accounts(f"{_FIFO}, {_HELD}"),
+    "portfolio_snapshot_average": _accounts(f"{_AVERAGE}, gains AS (SELECT symbol, day, gain FROM a WHERE side = 'sell'), held AS (SELECT symbol, held, cost FROM a QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) = 1 AND held > 1e-8)"),
     "symbol_concentration": _concentration("symbol", 0.2),
     "sector_concentration": _concentration("sector", 5.0),
     "currency_conversion": f"""SELECT c_custkey, {S.q("CASE WHEN abs(c_acctbal) <= 1e-8 THEN 0.0 ELSE c_acctbal * CASE n_regionkey WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 WHEN 2 THEN 0.25 ELSE 1.0 END END", 4)} AS converted,
         abs(c_acctbal) > 1e-8 AND n_regionkey > 2 AS stale FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 }
-for _name in ("fifo_matches", "fifo_profit", "average_cost"):
-    _more = ORACLE[_name].removeprefix("WITH RECURSIVE ").removeprefix("WITH ").removeprefix(_TRADES)
-    ORACLE[f"{_name}_all"] = f"WITH RECURSIVE {all_symbols(_TRADES)}{_more.replace(' n AS (', ' o AS (').replace('FROM n WHERE', 'FROM o WHERE').replace('SELECT n.symbol, n.rn,', 'SELECT o.symbol, o.rn,').replace('JOIN n ON n.symbol = r.symbol AND n.rn =', 'JOIN o ON o.symbol = r.symbol AND o.rn =') if _name == 'average_cost' else _more}"
