@@ -107,7 +107,7 @@ def rephrased(questions: DataFrame, question: str, synonyms: DataFrame, n: int =
     for r in rows:
         plain = all(c.isascii() and (c.isalnum() or c == " ") for c in r.term)
         pattern = rf"(?i)(?<=^|\s)\Q{r.term}\E(?=\s|$)" if plain else rf"\Q{r.term}\E"
-        first = rf"(?is)^(.*?){pattern}"
+        first = rf"(?s)^(.*?){pattern}"
         made.append(F.when(asked.rlike(pattern), F.regexp_replace(asked, first, "$1" + r.synonym.replace("\\", "\\\\").replace("$", "\\$"))))
     variants = F.slice(F.array_distinct(F.filter(F.array_compact(F.array(*made)), lambda v: F.lower(v) != F.lower(asked))), 1, n)
     return questions.select(question, F.explode(variants).alias("variant")) if made else questions.select(question, F.lit("").alias("variant")).limit(0)
