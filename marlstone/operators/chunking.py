@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,56 +48,69 @@ def heading_chunks(docs: DataFrame, id_column: str, text_column: str, max_lines:
     return cut.select(id_column, F.explode(made).alias("c")).select(id_column, "c.*")
 
 
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end of what blank lines part; lines between fences stay together."""
-    start, end, at, fenced = None, 0, 0, False
-    for line in text.split("\n"):
-        bare = line.strip()
-        if bare or fenced:
-            start = at + len(line) - len(line.lstrip()) if start is None else start
-            end = at + len(line.rstrip()) if bare else end
-            fenced ^= bare.startswith(("```", "~~~"))
-        elif start is not None:
-            yield start, end
-            start = None
-        at += len(line) + 1
-    if start is not None:
-        yield start, end
-
-
-def spans(text: str, size: int, overlap: int) -> list[dict]:
-    """Blocks joined while they span at most `size`; a longer block is cut in windows."""
-    out: list[dict] = []
-    group: list[int] = []  # start, end, first and last block
-    for n, (start, end) in enumerate(blocks(text), 1):
-        if group and (end - start > size or end - group[0] > size):
-            out.append({"start": group[0], "end": group[1], "kind": "blocks", "first": group[2], "last": group[3]})
-            group = []
-        if end - start > size:
-            for at in range(start, end, size - overlap):
-                piece = text[at : min(at + size, end)]
-                left = at + len(piece) - len(piece.lstrip())
-                if piece.strip():
-                    out.append({"start": left, "end": left + len(piece.strip()), "kind": "window", "first": n, "last": n})
-                if at + size >= end:
-                    break
-        else:
-            group = [group[0] if group else start, end, group[2] if group else n, n]
-    if group:
-        out.append({"start": group[0], "end": group[1], "kind": "blocks", "first": group[2], "last": group[3]})
-    return out
+_SPAN = "struct<start:int,end:int,kind:string,first:int,last:int>"
+
+
+def _left(line: Column) -> Column:
+    """How many blanks a line begins with."""
+    return F.length(line) - F.length(F.regexp_replace(line, r"^\s+", ""))
+
+
+def _blocks(lines: Column) -> Column:
+    """array<struct<start, end>> of what blank lines part, in code points; lines between fences stay together. A null after the lines closes the last block."""
+
+    def step(s: Column, line: Column) -> tuple[Column, Column]:
+        bare = F.regexp_replace(line, r"^\s+|\s+$", "")
+        said = F.coalesce(bare != "", F.lit(False))
+        within = line.isNotNull() & (said | s["fenced"])
+        start = F.when(within, F.coalesce(s["start"], s["at"] + _left(line)))
+        end = F.when(said, s["at"] + F.length(F.regexp_replace(line, r"\s+$", ""))).otherwise(s["end"])
+        fence = F.coalesce(bare.startswith("```") | bare.startswith("~~~"), F.lit(False))
+        state = F.struct(start.alias("start"), end.alias("end"), (s["at"] + F.coalesce(F.length(line), F.lit(0)) + 1).alias("at"), (s["fenced"] != fence).alias("fenced"))
+        return state, F.when(~within & s["start"].isNotNull(), F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    none = F.lit(None).cast("int")
+    zero = F.struct(none.alias("start"), none.alias("end"), F.lit(0).alias("at"), F.lit(False).alias("fenced"))
+    return F.array_compact(running(F.array_append(lines, F.lit(None).cast("string")), zero, step, "struct<start:int,end:int>"))
+
+
+def _spans(text: Column, found: Column, size: int, overlap: int) -> Column:
+    """Blocks joined while they span at most `size`; a longer block is cut in windows. A null after the blocks closes the last span."""
+
+    def windows(block: Column, n: Column) -> Column:
+        starts = F.filter(F.sequence(block["start"], block["end"] - 1, F.lit(size - overlap)), lambda at: (at == block["start"]) | (at - (size - overlap) + size < block["end"]))
+
+        def cut(at: Column) -> Column:
+            piece = F.substr(text, at + 1, F.least(F.lit(size), block["end"] - at))
+            return let(piece, lambda x: let(F.regexp_replace(x, r"^\s+|\s+$", ""), lambda bare: F.when(bare != "", _one(at + _left(x), at + _left(x) + F.length(bare), "window", n, n))))
+
+        return F.array_compact(F.transform(starts, cut))
+
+    def step(g: Column, block: Column) -> tuple[Column, Column]:
+        n = g["n"] + 1
+        wide = F.coalesce(block["end"] - block["start"] > size, F.lit(False))
+        flush = g["start"].isNotNull() & (block.isNull() | wide | F.coalesce(block["end"] - g["start"] > size, F.lit(False)))
+        held = F.when(flush, F.array(_one(g["start"], g["end"], "blocks", g["first"], g["last"]))).otherwise(F.array().cast(f"array<{_SPAN}>"))
+        out = F.when(wide, F.concat(held, windows(block, n))).otherwise(held)
+        goes_on = g["start"].isNotNull() & ~flush
+        start, first = F.when(goes_on, g["start"]).otherwise(block["start"]), F.when(goes_on, g["first"]).otherwise(n)
+        state = F.struct(F.when(~wide, start).alias("start"), block["end"].alias("end"), first.alias("first"), n.alias("last"), n.alias("n"))
+        return state, out
+
+    none = F.lit(None).cast("int")
+    zero = F.struct(none.alias("start"), none.alias("end"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0).alias("n"))
+    return F.flatten(running(F.array_append(found, F.lit(None).cast("struct<start:int,end:int>")), zero, step, f"array<{_SPAN}>"))
+
+
+def _one(start: Column, end: Column, kind: str, first: Column, last: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), first.alias("first"), last.alias("last"))
 
 
 def parent_spans(text: Column, size: int = 1800, overlap: int = 64) -> Column:
     """array<struct<start, end, kind, first, last>> of a text's spans, in code points from 0, with the numbers of their blocks.
 
-    A null, empty or blank text has none. Greedy filling needs each text's blocks in turn, so a small Python step walks them.
+    A null, empty or blank text has none. Spans are filled greedily by folds over a text's lines and blocks, within its row.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be below size")
-
-    @F.pandas_udf("array<struct<start:int,end:int,kind:string,first:int,last:int>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: spans(t or "", size, overlap))
-
-    return cut(text)
+    return let(F.coalesce(text, F.lit("")), lambda t: let(_blocks(F.split(t, "\n")), lambda found: _spans(t, found, size, overlap)))

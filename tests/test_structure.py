@@ -35,6 +35,45 @@ def test_heading_chunks(spark):
     assert chunking.heading_chunks(spark.createDataFrame([], "id long, t string"), "id", "t").count() == 0
 
 
+def blocks(text):
+    """Start and end of what blank lines part; lines between fences stay together."""
+    start, end, at, fenced = None, 0, 0, False
+    for line in text.split("\n"):
+        bare = line.strip()
+        if bare or fenced:
+            start = at + len(line) - len(line.lstrip()) if start is None else start
+            end = at + len(line.rstrip()) if bare else end
+            fenced ^= bare.startswith(("```", "~~~"))
+        elif start is not None:
+            yield start, end
+            start = None
+        at += len(line) + 1
+    if start is not None:
+        yield start, end
+
+
+def spans(text, size, overlap):
+    """Blocks joined while they span at most `size`; a longer block is cut in windows."""
+    out, group = [], []  # start, end, first and last block
+    for n, (start, end) in enumerate(blocks(text), 1):
+        if group and (end - start > size or end - group[0] > size):
+            out.append({"start": group[0], "end": group[1], "kind": "blocks", "first": group[2], "last": group[3]})
+            group = []
+        if end - start > size:
+            for at in range(start, end, size - overlap):
+                piece = text[at : min(at + size, end)]
+                left = at + len(piece) - len(piece.lstrip())
+                if piece.strip():
+                    out.append({"start": left, "end": left + len(piece.strip()), "kind": "window", "first": n, "last": n})
+                if at + size >= end:
+                    break
+        else:
+            group = [group[0] if group else start, end, group[2] if group else n, n]
+    if group:
+        out.append({"start": group[0], "end": group[1], "kind": "blocks", "first": group[2], "last": group[3]})
+    return out
+
+
 def test_parent_spans(spark):
     text = "  one\n\ntwo\n\n```\na\n\nb\n```\n\n" + "x" * 25
     row = spark.createDataFrame([(text,), (None,), (" \n",)], "t string").select(chunking.parent_spans(F.col("t"), 20, 5).alias("s")).collect()
@@ -44,13 +83,21 @@ def test_parent_spans(spark):
         chunking.parent_spans(F.col("t"), 5, 5)
 
 
+def test_parent_spans_are_those_of_a_plain_program(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["ab", " ", "\n", "\n\n", "```", "~~~", "x" * 9, "é"]) for _ in range(rng.randrange(40))) for _ in range(150)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chunking.parent_spans(F.col("t"), 11, 3).alias("s")).collect()
+    for r in rows:
+        assert [x.asDict() for x in r.s] == spans(r.t, 11, 3), r.t
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab \n`~", max_size=120), st.integers(2, 30))
 def test_spans_hold_all_text(text, size):
     """Spans are in order, of bounded size without blank ends, and leave out white space only. Windows overlap, so that two
     may begin alike once trimmed."""
     held, last = set(), -1
-    for s in chunking.spans(text, size, 1):
+    for s in spans(text, size, 1):
         piece = text[s["start"] : s["end"]]
         assert piece == piece.strip() and 0 < len(piece) <= size and s["start"] >= last
         held |= set(range(s["start"], s["end"]))
