@@ -20,6 +20,8 @@ EMBEDDING_WEIGHT, EMBEDDING_ONLY, EMBEDDING_LEAST = 0.35, 0.2, 0.15
 SOURCE_BOOST = 0.05
 RRF_K, ORIGINAL_WEIGHT, EXPANDED_WEIGHT = 60, 1.0, 0.7
 GRAPH_CAP = 0.22
+#: Hits of a page of results at most.
+PAGE = 10_000
 #: Query vectors that go to all rows at a time.
 BLOCK = 4096
 
@@ -138,13 +140,19 @@ def hybrid(lexical: DataFrame, vectors: DataFrame, graph: DataFrame | None = Non
     ).filter("total > 0")
 
 
+def placed(hits: DataFrame, *order) -> DataFrame:
+    """hits, a page of PAGE rows at most, with their `place` from 1; more rows are an error, since a page is ranked in one task."""
+    n = F.row_number().over(Window.orderBy(*order))
+    few = F.when(n <= PAGE, n).otherwise(F.raise_error(F.lit(f"a page has at most {PAGE} hits")).cast("int"))
+    return hits.orderBy(*order).limit(PAGE + 1).withColumn("place", few)
+
+
 def fuse(variants: list[DataFrame], key: str = "doc_id", k: int = RRF_K) -> DataFrame:
-    """(key, score) by reciprocal ranks from 0, of scored variants of at most a few thousand rows each; the first weighs ORIGINAL_WEIGHT."""
+    """(key, score) by reciprocal ranks from 0, of scored variants, each a page; the first weighs ORIGINAL_WEIGHT."""
     ranked = []
     for n, scored in enumerate(variants):
-        place = F.row_number().over(Window.orderBy(F.desc("score"), key)) - 1
         weight = ORIGINAL_WEIGHT if n == 0 else EXPANDED_WEIGHT
-        ranked.append(scored.select(key, (F.lit(weight) / (k + place)).alias("part")))
+        ranked.append(placed(scored.select(key, "score"), F.desc("score"), key).select(key, (F.lit(weight) / (k + F.col("place") - 1)).alias("part")))
     return reduce(DataFrame.union, ranked).groupBy(key).agg(quantise(F.sum(F.col("part").cast("decimal(20,15)")).cast("double"), 9).alias("score"))
 
 
@@ -168,10 +176,10 @@ def evidence_budget(chunks: int, limit: int | None = None) -> tuple[int, int]:
 
 
 def within_budget(ranked: DataFrame, characters: int, each: int = 360, order: tuple = ("rank",), text: str = "text") -> DataFrame:
-    """The first rows whose texts, cut to `each`, fit in so many characters together."""
-    cut = ranked.withColumn(text, F.substring(text, 1, each))
-    so_far = F.sum(F.length(text)).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return cut.withColumn("so_far", so_far).filter(F.col("so_far") <= characters)
+    """The first rows of a page whose texts, cut to `each`, fit in so many characters together."""
+    cut = placed(ranked.withColumn(text, F.substring(text, 1, each)), *order)
+    so_far = F.sum(F.length(text)).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("so_far", so_far).drop("place").filter(F.col("so_far") <= characters)
 
 
 def graph_boosts(seeds: DataFrame, edges: DataFrame, cap: float = GRAPH_CAP) -> DataFrame:
@@ -189,10 +197,9 @@ def graph_boosts(seeds: DataFrame, edges: DataFrame, cap: float = GRAPH_CAP) ->
 def rerank(hits: DataFrame, scores: DataFrame, n: int, key: str = "doc_id", total: str = "total") -> DataFrame:
     """hits in a new order: the first n by total + half their rerank score (squashed where it isn't in 0..1), the rest as before.
 
-    hits are a page of results, small enough to be ranked in one task.
+    hits are a page.
     """
-    order = Window.orderBy(F.desc(total), key)
     squashed = F.when(F.col("rerank").between(0, 1), F.col("rerank")).otherwise(1 / (1 + F.exp(-F.col("rerank"))))
-    ranked = hits.withColumn("place", F.row_number().over(order)).join(scores.withColumnRenamed("score", "rerank"), key, "left")
+    ranked = placed(hits, F.desc(total), key).join(scores.withColumnRenamed("score", "rerank"), key, "left")
     new = F.when(F.col("place") <= n, quantise(F.col(total) + 0.5 * F.coalesce(squashed, F.lit(0.0)), 6))
     return ranked.withColumn("reranked", new).withColumn("position", F.row_number().over(Window.orderBy((F.col("place") > n).cast("int"), F.desc_nulls_last("reranked"), F.desc(total), key))).drop("place", "rerank")

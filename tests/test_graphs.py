@@ -1,10 +1,11 @@
 """Chains and cycles of any length; vector search against plain numpy."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from marlstone.operators import advice, graphs, relational, retrieval
 from marlstone.functions.arrays import running
-from pyspark.sql import functions as F
+from marlstone.operators import advice, graphs, relational, retrieval
 
 
 def edges(spark, pairs):
@@ -55,3 +56,11 @@ def test_running_folds(spark):
         items = F.array(*(F.lit(k) for k in range(n))) if n else F.array().cast("array<int>")
         row = spark.range(1).select(running(items, F.lit(0), lambda s, x: (s + x, s), "int").alias("r")).first()
         assert row.r == [k * (k - 1) // 2 for k in range(n)]
+
+
+def test_pages_are_bounded(spark, monkeypatch):
+    hits = spark.createDataFrame([(k, float(k)) for k in range(5)], "doc_id long, score double")
+    assert [(r.doc_id, r.place) for r in retrieval.placed(hits, F.desc("score")).collect()] == [(4 - k, k + 1) for k in range(5)]
+    monkeypatch.setattr(retrieval, "PAGE", 4)
+    with pytest.raises(Exception, match="at most 4 hits"):
+        retrieval.placed(hits, F.desc("score")).collect()
