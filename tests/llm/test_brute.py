@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 import unicodedata
 from collections import Counter
 
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 from marlstone.llm import decontaminate, gif, language, packing, quality, queries, sharding, warc
+from marlstone.llm.ngram_join import jaccard_classes
 from tests.conftest import SMALL
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the driver's tables")
@@ -181,6 +183,25 @@ def test_hot_windows_are_dealt_out(spark, monkeypatch):
     assert len(counts[0]) == 1800 and counts[0] == counts[1]
 
 
+# --- near copies -----------------------------------------------------------------------------------------
+
+
+@needs_tables
+def test_links_are_those_of_brute_force_on_a_real_table(spark):
+    """Every link of the documents whose id is divisible by 20, against all, by exact similarity of all their shingles."""
+    docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet")
+    found, sets, holders = {r.doc_id: r for r in jaccard_classes(docs).collect()}, {}, {}
+    for r in docs.collect():
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (r.text or "").lower())
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        for s in sets[r.doc_id]:
+            holders.setdefault(s, []).append(r.doc_id)
+    for a in sets:
+        if a % 20 == 0:
+            shared = Counter(b for s in sets[a] for b in holders[s] if b != a)
+            assert found[a].n_links == sum(5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n) for b, n in shared.items())
+
+
 # --- tokens ----------------------------------------------------------------------------------------------
 
 
