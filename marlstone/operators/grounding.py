@@ -29,7 +29,7 @@ def _compact(text: Column) -> Column:
 def claims(text: Column) -> Column:
     """The claims of an excerpt, each once: its sentences, parted at connectives, of LEAST characters; where none is, all of it is one."""
     ended = F.regexp_replace(_compact(text), r"([.!?。！？]) +|[；;]", "$1\n")
-    sentences = F.filter(F.transform(F.split(ended, "\n"), F.trim), lambda s: F.length(s) >= LEAST)
+    sentences = F.filter(F.transform(F.split(ended, "\n"), lambda x: F.trim(x)), lambda s: F.length(s) >= LEAST)
     whole = F.filter(F.array(_compact(text)), lambda s: s != "")
 
     def parts(sentence: Column) -> Column:

@@ -54,7 +54,8 @@ def context(cited: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def wiki_links(text: Column) -> Column:
     """The targets of [[target]] and [[target|title]] links, each once, in order."""
-    return F.array_distinct(XX)
+    found = F.regexp_extract_all(text, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: F.trim(x)))
 
 
 def line_range(text: Column, start: Column, end: Column) -> Column:
