@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as X
 from marlstone.operators import bars as B
 from marlstone.operators import catalog as C
+from marlstone.operators import relational as R
+from marlstone.operators import watchlists as WL
 from marlstone.plans import content
 from marlstone.plans import sql as S
 from marlstone.sources.tables import table
@@ -116,10 +118,20 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", C.fenced_json(said, "user struct<id:long>, kinds array<string>").alias("j")).select("event_id", F.col("j.user.id").alias("user_id"), F.get("j.kinds", F.lit(0)).alias("kind"))
 
 
+def watch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as rows of a list whose codes are written in several ways, or are none; names that one part has alone are known."""
+    part = table(spark, sf_dir, "part").withColumn("n", F.lpad(F.col("p_partkey").cast("string"), 6, "0"))
+    kind = F.col("p_partkey") % 8
+    written = F.when(kind == 0, F.concat(F.lit("sh"), "n")).when(kind == 1, F.concat("n", F.lit(".SZ"))).when(kind == 2, F.concat(F.lit(" "), "n")).when(kind == 3, F.concat(F.lit("HK"), F.right("n", F.lit(3)))).when(kind == 4, "brk.b").when(kind == 5, "#none").when(kind == 6, "")
+    rows = part.select(F.col("p_size").alias("size"), written.alias("Stock_Code"), F.when(F.col("p_partkey") % 5 > 0, F.concat_ws(" ", "p_name", "p_brand")).alias("名称"))
+    known = R.unique_names(part.select(F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.col("n").alias("code")), "name", "code")
+    return WL.watch_list(rows, known).groupBy("code", "name").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        best_series, routed_providers, position_prices, chunkable_pages, bridge_links, related_sources, source_mismatches, word_grams, new_collections, rephrased_questions, manifest_issues, undeclared_assets, model_outputs,
+        best_series, routed_providers, position_prices, chunkable_pages, bridge_links, related_sources, source_mismatches, word_grams, new_collections, rephrased_questions, manifest_issues, undeclared_assets, model_outputs, watch_list,
     )
 }
 
@@ -165,5 +177,9 @@ ORACLE = {
         SELECT 'missing-title' AS issue, count(*) AS n, count(DISTINCT id) AS ids FROM c WHERE bare HAVING count(*) > 0 UNION ALL SELECT 'bad-range', count(*), count(DISTINCT id) FROM c WHERE f < 1 OR l < f HAVING count(*) > 0
         UNION ALL SELECT 'repeated-id', count(*), count(*) FROM (SELECT id FROM c GROUP BY id HAVING count(*) > 1) HAVING count(*) > 0""",
     "undeclared_assets": "SELECT p_partkey, replace(p_brand, '#', '_') || CASE WHEN p_size % 2 = 0 THEN ',p_' || p_size ELSE '' END AS assets FROM part",
+    "watch_list": """WITH p AS (SELECT p_partkey AS k, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS n, p_name || ' ' || p_brand AS title FROM part), u AS (SELECT title, min(n) AS code FROM p GROUP BY title HAVING count(DISTINCT n) = 1),
+        r AS (SELECT CASE k % 8 WHEN 0 THEN n WHEN 1 THEN n WHEN 2 THEN n WHEN 3 THEN lpad(right(n, 3), 5, '0') WHEN 4 THEN 'BRK.B' END AS valid, CASE WHEN k % 8 = 5 THEN '#none' END AS odd, CASE WHEN k % 5 > 0 THEN title END AS name FROM p),
+        f AS (SELECT coalesce(valid, u.code) AS code, coalesce(name, CASE WHEN valid IS NULL THEN odd END) AS name FROM r LEFT JOIN u ON valid IS NULL AND u.title = coalesce(name, odd) WHERE valid IS NOT NULL OR odd IS NOT NULL OR name IS NOT NULL)
+        SELECT code, name, count(*) AS n FROM f GROUP BY ALL""",
     "model_outputs": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN user_id END AS user_id, CASE WHEN event_id % 3 < 2 THEN event_type END AS kind FROM events",
 }
