@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from marlstone.llm.shared import materialize
+from marlstone.llm.shared import attach, materialize
 
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, payload_length long, refers_to string, content_length long, headers map<string,string>, payload binary"
 
@@ -316,14 +316,15 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, html, refers_to): refers_to is the smallest page_id of the pages whose html of at least
     least_bytes is the same, where that is another; null for that page itself and for pages alone with theirs.
 
-    Hashes are grouped, not pages, and only revisits are joined to pages, by page_id: no page's html meets another's.
+    Hashes are grouped, not pages, and those of a very common page stay where they are; only revisits are joined to pages, by page_id: no page's
+    html meets another's.
     A null html counts as empty; a null page_id is a revisit where there is another page, and never the first. Repeated rows stay, and
     are alike: rows of one page_id and html are all first, or all revisits. Other columns are left out. An empty table gives no rows.
     """
     html = F.coalesce("html", F.lit(""))
     hashed = pages.filter(F.octet_length(html) >= least_bytes).select("page_id", F.sha1(html).alias("digest"))
     shared = hashed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL")
-    revisits = materialize(hashed.join(shared, "digest").filter("page_id > first OR page_id IS NULL").select("page_id", "digest", F.col("first").alias("refers_to")).distinct(), "revisits")
+    revisits = materialize(attach(hashed, materialize(shared, "shared"), "digest").filter("page_id > first OR page_id IS NULL").select("page_id", "digest", F.col("first").alias("refers_to")).distinct(), "revisits")
     few = revisits.limit(BROADCAST + 1).count() <= BROADCAST
     side = F.broadcast(revisits) if few else revisits
     keyed = pages.select("page_id", "url", "html", F.sha1(html).alias("digest"))
