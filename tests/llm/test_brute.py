@@ -11,7 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from marlstone.llm import decontaminate, gif, language, packing, quality, queries, sharding, warc
+from pyspark.sql import functions as F
+
+from marlstone.llm import chat, decontaminate, gif, language, packing, quality, queries, shared, sharding, warc
 from marlstone.llm.ngram_join import jaccard_classes
 from tests.conftest import SMALL
 
@@ -258,3 +260,30 @@ def test_what_is_no_whole_gif_is_an_error():
 def test_placement_keeps_the_columns_it_finds(spark):
     placed = sharding.place(spark.createDataFrame([(1, "mine", 2)], "doc_id long, slot string, Shard int"))
     assert placed.columns == ["doc_id", "slot", "Shard", "slot_", "shard_"] and placed.first()["slot"] == "mine"
+
+
+def test_hot_keys_are_attached_like_others(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, k % 7 if k < 60 else 99, "x") for k in range(200)], "id long, key long, note string")
+    sizes = rows.groupBy("key").count().withColumnRenamed("count", "n").filter("n > 1").withColumn("more", F.col("key") * 2)
+    want = sorted(tuple(r) for r in shared.attach(rows, sizes, "key").select("id", "key", "n", "more").collect())
+    monkeypatch.setattr(shared, "HOT", 20)
+    hot = shared.attach(rows, sizes, "key")
+    assert sorted(tuple(r) for r in hot.select("id", "key", "n", "more").collect()) == want and len(want) == 200
+    assert "BroadcastHashJoin" in hot._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_with_hot_nodes_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT", 3)
+    monkeypatch.setattr("marlstone.llm.ngram_join.BUCKET", 6)
+    rng = random.Random(12)
+    base, long = [rng.choice(WORDS) + str(k) for k in range(80)], " ".join(str(k) for k in range(60_000))
+    texts = [" ".join(w if rng.random() > 0.01 else f"edit{rng.random()}" for w in base) for _ in range(60)] + [long, long + " end", "short one"]
+    found = {r.doc_id: r for r in jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().replace(".", " ").split() for t in texts)]
+    for a, one in enumerate(sets):
+        assert found[a].n_links == sum(5 * len(one & other) >= 4 * len(one | other) for b, other in enumerate(sets) if b != a)
+
+
+def test_conversations_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "hi", "a", 5), (1, 1, "assistant", "yo", "b", 6)], "conv_id long, turn long, role string, text string, formatted string, part int")
+    assert chat.digests(chat.format_conversations(rows)).first().n_turns == 2
