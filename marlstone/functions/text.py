@@ -27,7 +27,8 @@ def tokens(text: Column) -> Column:
         left = F.trim(F.regexp_replace(run, "[a-z0-9]+", " "))
         plain = F.regexp_extract_all(run, F.lit("[a-z0-9]+"), F.lit(0))
         more = F.when((left != "") & (F.length(left) != F.length(run)), F.array(left)).otherwise(F.array().cast("array<string>"))
-        return F.when(run.rlike("^[a-z0-9]+$"), F.array(run)).when(F.size(plain) == 0, F.array(run)).otherwise(F.concat(plain, more))
+        ascii_only = F.octet_length(run) == F.length(run)  # of letters and numbers in lower case: a-z and 0-9
+        return F.when(ascii_only, F.array(run)).otherwise(F.when(F.size(plain) == 0, F.array(run)).otherwise(F.concat(plain, more)))
 
     def sought(words: Column) -> Column:
         return F.filter(words, lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS))

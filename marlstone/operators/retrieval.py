@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.arrays import let
 from marlstone.functions.numeric import cosine, quantise
 from marlstone.functions.text import tokens
+from marlstone.sources.tables import materialize
 
 K1, B, TITLE_BOOST = 1.2, 0.75, 0.25
 EMBEDDING_WEIGHT, EMBEDDING_ONLY, EMBEDDING_LEAST = 0.35, 0.2, 0.15
@@ -122,8 +123,10 @@ def _best(ids: np.ndarray, matrix: np.ndarray, k: int):
 def hybrid(lexical: DataFrame, vectors: DataFrame, graph: DataFrame | None = None, taxonomy: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """(key, lexical, embedding, graph, taxonomy, metadata, total), from (key, score), (key, similarity) and (key, boost)s.
 
-    The best lexical score counts 1. Embeddings alone count at most EMBEDDING_ONLY.
+    The best lexical score counts 1. Embeddings alone count at most EMBEDDING_ONLY. Lexical scores, a key and a number each, are written
+    once, so that texts aren't scanned again for the best of them.
     """
+    lexical = materialize(lexical.select(key, "score"), "lexical")
     best = lexical.agg(F.max("score")).first()[0] or 0.0
     share = (F.col("score") / best) if best > 0 else F.lit(0.0)
     joined = lexical.select(key, share.alias("_lexical")).join(vectors, key, "full")

@@ -11,7 +11,7 @@ from marlstone.operators import bars as B
 from marlstone.operators import ledger as L
 from marlstone.operators import portfolio as PF
 from marlstone.plans import sql as S
-from marlstone.sources.tables import table
+from marlstone.sources.tables import materialize, table
 
 N, BAND = 5, 2.0
 
@@ -92,13 +92,15 @@ SNAPSHOT, BASE = "1997-06-30", "C0"
 
 
 def _portfolio_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as trades of 50 accounts in four moneys; sales of more than is held at their time are refused."""
+    """Order lines as trades of 50 accounts in four moneys; sales of more than is held at their time are refused. They are replayed for
+    positions, gains, cash, fees and taxes, and so written once."""
     trades = L.accepted(_trades(spark, sf_dir).filter(F.col("day") <= F.lit(SNAPSHOT).cast("date")))
     gross = F.col("qty") * F.col("price")
-    return trades.select(
+    rows = trades.select(
         F.pmod("symbol", F.lit(50)).alias("account"), "symbol", F.concat(F.lit("C"), F.pmod("symbol", F.lit(4)).cast("string")).alias("currency"), "day", "id", "side", "qty", "price",
         (gross * 0.001).alias("fee"), (gross * 0.0005).alias("tax"),
     )
+    return materialize(rows, "trades")
 
 
 def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
