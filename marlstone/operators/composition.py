@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Least scores and most templates of the roles beside the primary one.
-#: Least scores and numbers of supporting and style templates.
+#: Least scores and most templates of the roles beside the primary one.
 SUPPORTING, STYLE = (18, 3), (14, 2)
 
 
