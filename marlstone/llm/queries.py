@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, decontaminate, gif, language, licenses, packing, quality, sharding, warc
+from marlstone.llm import chat, clustering, decontaminate, embedding_dedup, gif, language, licenses, packing, quality, resampling, sharding, warc
 from marlstone.llm.ngram_join import jaccard_classes
 from marlstone.llm.shared import materialize, read, shared_dir
 
@@ -101,6 +101,18 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.summary(*clustering.grouped(read(spark, sf_dir, "embeddings")))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def sent(f):
         @wraps(f)
@@ -110,8 +122,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {f.__name__: sent(f) for f in (op1_quality, op2_chat, op3_decontaminate, op4_warc, op5_licenses, op6_ngram_jaccard, op7_language, op8_packing, op9_sharding, op10_gif)}
+    return {f.__name__: sent(f) for f in (op1_quality, op2_chat, op3_decontaminate, op4_warc, op5_licenses, op6_ngram_jaccard, op7_language, op8_packing, op9_sharding, op10_gif, op11_resampling, op12_clustering, op13_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_sharding": sharding.oracle()}
+    return {"op9_sharding": sharding.oracle(), "op11_resampling": resampling.oracle(), "op12_clustering": clustering.oracle(), "op13_embedding_dedup": embedding_dedup.oracle()}
