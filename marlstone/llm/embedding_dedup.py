@@ -25,15 +25,16 @@ from marlstone.llm.shared import attach, extent, materialize
 LEAST, RECALL, SEED = 0.93, 0.999, 7
 #: Vectors of a block; buckets up to SMALL are compared many at a time, by distance of rows.
 BLOCK, SMALL = 1024, 48
-#: Bits of a code: at least and at most.
-BITS = (6, 24)
+#: Bits of a code at least and at most, and how many there are beyond one code for each vector of the largest label: with them few vectors are
+#: sent to a bucket for nothing.
+BITS, MORE = (6, 30), 3
 #: Pairs whose codes are compared at a time.
 PAIRS = 1 << 17
 
 
 def bits_for(largest: int) -> int:
-    """Bits of a code: as many as give each vector of the largest label about one code of its own."""
-    return min(max(BITS[0], int(math.log2(max(largest, 1)))), BITS[1])
+    """Bits of a code: as many as give each vector of the largest label 2^MORE codes."""
+    return min(max(BITS[0], int(math.log2(max(largest, 1))) + MORE), BITS[1])
 
 
 def tables_for(bits: int, least: float = LEAST, recall: float = RECALL) -> int:
