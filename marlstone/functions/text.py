@@ -77,8 +77,9 @@ def fingerprint(text: Column) -> Column:
 
 
 def link_stem(word: Column) -> Column:
-    """Plural endings taken off: ies to y, es, s."""
-    return F.when((F.length(word) > 4) & word.endswith("ies"), F.concat(F.regexp_replace(word, "ies$", ""), F.lit("y"))).when((F.length(word) > 4) & word.endswith("es"), F.regexp_replace(word, "es$", "")).when((F.length(word) > 3) & word.endswith("s"), F.regexp_replace(word, "s$", "")).otherwise(word)
+    """Plural endings taken off longer words: ies to y, es, s."""
+    n = F.length(word)
+    return F.when((n > 5) & word.endswith("ies"), F.concat(F.left(word, n - 3), F.lit("y"))).when((n > 5) & word.endswith("es"), F.left(word, n - 2)).when((n > 4) & word.endswith("s"), F.left(word, n - 1)).otherwise(word)
 
 
 def readable(html: Column) -> Column:

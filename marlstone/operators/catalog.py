@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.arrays import let
@@ -12,6 +12,15 @@ from marlstone.functions.text import link_stem
 CHUNKED, GENERATED = ("sources", "syntheses", "comparisons", "queries"), 'generatedBy: "llm-wiki-semantic-overview"'
 
 
+#: Words that don't relate one source to another.
+LINK_STOP = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "into", "is", "it", "of", "on", "or", "the", "to", "using", "use", "with",
+    "complete", "official", "documentation", "document", "docs", "reference", "overview", "guide", "saved", "date", "source", "author", "title",
+)
+#: Current pages that are held against candidates at a time.
+BLOCK = 1024
+
+
 def best_series(bars: DataFrame, aliases: DataFrame) -> DataFrame:
     """(code, alias, latest, rows): of the aliases (code, alias, canonical) of each code the one with the latest bar, then with the most
     bars, then the canonical one, then the last by name. Bars (alias, day) are counted before they are joined."""
@@ -56,15 +65,33 @@ def link_status(target: Column, wiki: Column, page: Column, path: Column, edge_p
     )
 
 
-def key_terms(text: Column, stop: tuple[str, ...]) -> Column:
+def key_terms(text: Column, stop: tuple[str, ...] = LINK_STOP) -> Column:
     """The stems of a text's plain words of three letters or more, each once; stop words are none."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*stop))
     return F.array_distinct(F.transform(words, link_stem))
 
 
-def related(a: Column, b: Column, title_a: Column, title_b: Column, least: int = 3) -> Column:
-    """struct<score, related>: how many key terms two texts share, and their titles once more; a long term or one with a digit is enough alone."""
-    return let(F.array_intersect(a, b), lambda both: F.struct((F.size(both) + F.size(F.array_intersect(title_a, title_b))).alias("score"), ((F.size(both) + F.size(F.array_intersect(title_a, title_b)) >= least) | F.exists(both, lambda t: (F.length(t) >= 7) | t.rlike("[0-9]"))).alias("related")))
+def related(current: DataFrame, candidates: DataFrame, key: str, title: str, text: str, n: int = 3, least: int = 3) -> DataFrame:
+    """(key, other, score, place): for each current page the n others that share most key terms of title and text, those of the titles counted once more.
+
+    `least` terms are enough, or a single long one, or one with a digit. Ties go to the smaller key. Current pages, a stated set, are told to all candidates
+    in blocks of some BLOCK: no list of a frequent word is ever joined, and only the n best of a page in each task are shuffled. Null titles and
+    texts are empty.
+    """
+    both = F.concat_ws("\n", title, text)
+    size = F.lit(max(1, -(-current.count() // BLOCK)))
+    asked = current.select(F.pmod(F.xxhash64(key), size).alias("_block"), F.struct(F.col(key).alias("key"), key_terms(both).alias("terms"), key_terms(F.col(title)).alias("head")).alias("_asked"))
+    blocks = asked.groupBy("_block").agg(F.collect_list("_asked").alias("_asked")).select("_asked")
+    others = candidates.select(F.col(key).alias("other"), key_terms(both).alias("_terms"), key_terms(F.col(title)).alias("_head"))
+
+    def judged(q: Column) -> Column:
+        shared = lambda both: F.struct(
+            q["key"].alias("key"), F.size(both).alias("n"), F.exists(both, lambda t: (F.length(t) >= 7) | t.rlike("[0-9]")).alias("strong"), F.size(F.array_intersect(q["head"], F.col("_head"))).alias("m")
+        )
+        return let(F.array_intersect(q["terms"], F.col("_terms")), shared)
+
+    met = others.crossJoin(blocks).select("other", F.inline(F.filter(F.transform("_asked", judged), lambda x: (x["key"] != F.col("other")) & ((x["n"] + x["m"] >= least) | x["strong"]))))
+    return met.select(F.col("key").alias(key), "other", (F.col("n") + F.col("m")).alias("score")).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "other"))).filter(F.col("place") <= n)
 
 
 def mismatch(hint: Column, title: Column, evidence: Column) -> Column:

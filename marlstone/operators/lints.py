@@ -41,8 +41,15 @@ def repeated(rows: DataFrame, key: Column, page: str) -> DataFrame:
 
 
 def natural_key(url: Column, code: Column, *parts: Column) -> Column:
-    """A record's address, or where it has none a key of its code and a digest of its other parts."""
-    return F.when(F.trim(F.coalesce(url, F.lit(""))) != "", F.trim(url)).otherwise(F.concat(F.lit("no-url:"), code, F.lit(":"), F.md5(F.concat_ws("|", *parts))))
+    """A record's address, or where it has none a key of its code and a digest of it and of its title, source and date; null parts are empty."""
+    return F.when(F.trim(F.coalesce(url, F.lit(""))) != "", F.trim(url)).otherwise(F.concat(F.lit("no-url:"), code, F.lit(":"), F.md5(F.concat_ws("|", code, *(F.coalesce(p, F.lit("")) for p in parts)))))
+
+
+def news(rows: DataFrame, url: str, code: Column, title: str, source: str, published: str) -> DataFrame:
+    """rows with their `key`; those with neither a title nor an address are left out. Dates are told as yyyy-MM-ddTHH:mm:ss."""
+    at = F.date_format(F.col(published).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    some = F.coalesce(F.trim(title), F.lit("")) != ""
+    return rows.filter(some | (F.coalesce(F.trim(url), F.lit("")) != "")).withColumn("key", natural_key(F.col(url), code, F.trim(title), F.trim(source), at))
 
 
 def history(rows: DataFrame, at: str, since: Column, until: Column, order: list[Column], page: int, size: int, **where: object) -> tuple[int, DataFrame]:

@@ -18,6 +18,14 @@ SHARES = {"top": 0.35, "hits": 0.15, "signals": 0.2, "raw": 0.15, "coverage": 0.
 COVERED = {"semantic-signal": 1.0, "lexical-coverage": 0.85, "short-query": 0.45}
 
 
+#: Signals of a hit, modes of an answer that have no score and how they are told, how strong a part must be to be told, and the score below which
+#: boilerplate is weak.
+SIGNALS = ("lexical", "embedding", "graph", "taxonomy", "metadata", "rerank")
+UNKNOWN = {"fallback": "retrieval-index-unavailable", "stale-index": "retrieval-index-stale", "no-match": "no-retrieval-hits"}
+REASONS = (("top", 0.7, "strong-top-score"), ("hits", 0.67, "multiple-supporting-hits"), ("signals", 0.67, "multi-signal-retrieval"), ("raw", 0.5, "raw-evidence-backed"), ("coverage", 0.85, "query-coverage-supported"))
+WEAK = 0.55
+
+
 def retrievable(chunks: DataFrame, path: str, target: str, privacy: Column, source: Column, include_review: bool = False) -> DataFrame:
     """chunks with `kept` and the reason why not: review or sensitive."""
     slashed = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
@@ -62,28 +70,49 @@ def sentence_contexts(found: Column, k: int = 1) -> Column:
     return F.transform(found, lambda s, n: F.struct(n.alias("place"), around(s, n).alias("context")))
 
 
-def signals(hits: DataFrame, names: tuple[str, ...] = ("lexical", "embedding", "graph", "taxonomy", "metadata")) -> DataFrame:
-    """(signal, hits): how many of a page of hits each signal speaks for."""
-    counts = hits.agg(*(F.count_if(F.col(n) > 0).alias(n) for n in names))
-    return counts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("signal"), F.col(n).alias("hits")) for n in names))).alias("x")).select("x.*")
+def signals(hits: DataFrame, query: str, names: tuple[str, ...] = SIGNALS) -> DataFrame:
+    """(query, signal, hits): how many hits of a query each signal speaks for."""
+    names = tuple(n for n in names if n in hits.columns)
+    counts = hits.groupBy(query).agg(*(F.count_if(F.col(n) > 0).alias(n) for n in names))
+    return counts.select(query, F.inline(F.array(*(F.struct(F.lit(n).alias("signal"), F.col(n).alias("hits")) for n in names))))
 
 
-def confidence(hits: DataFrame, query: str, order: Column, raw: Column, reason: Column, threshold: float = 0.35, names: tuple[str, ...] = ("lexical", "embedding", "graph", "taxonomy", "metadata")) -> DataFrame:
-    """(query, score, level, low) of the hits of each query, from the best total, their number, the signals that speak, the share of
-    hits with a raw source, and how the query was covered; partial aggregates only."""
+def confidence(queries: DataFrame, hits: DataFrame, query: str, order: Column, raw: Column, reason: Column, boilerplate: Column | None = None, threshold: float = 0.35, names: tuple[str, ...] = SIGNALS) -> DataFrame:
+    """(query, score, level, low, reasons) of each query (query, mode), by its hits; partial aggregates only.
+
+    The score adds up the best total, the number of hits, the signals that speak, the share of hits with a raw source and how the query was covered, less
+    a penalty where a hit is boilerplate and one where the best hit is known by its embedding alone. Queries without hits, and those of a mode in
+    UNKNOWN, score 0 and have no level; an overview is no evidence. Little confidence is what scores below the threshold, what rests on a single
+    hit without a raw source and with few signals, and boilerplate without any raw source that scores below WEAK. A null order comes last.
+    """
+    if not 0 <= threshold <= 1:
+        raise ValueError(f"a threshold lies between 0 and 1, not at {threshold}")
     covered = F.lit(0.0)
     for name, value in reversed(COVERED.items()):
         covered = F.when(reason == name, value).otherwise(covered)
+    names = tuple(n for n in names if n in hits.columns)
+    alone = (F.col("lexical") <= 0) & (F.col("embedding") > 0)
     found = hits.groupBy(query).agg(
-        F.min_by("total", order).alias("top"), F.count("*").alias("n"), F.count_if(raw).alias("raw"), F.max(covered).alias("coverage"),
-        sum((F.max(F.when(F.col(n) > 0, 1).otherwise(0)) for n in names), F.lit(0)).alias("signals"),
+        F.min_by(F.struct("total", alone.alias("alone")), order).alias("best"), F.count("*").alias("n"), (F.count_if(raw) / F.count("*")).alias("raw"), F.max(covered).alias("coverage"),
+        sum((F.max(F.when(F.col(n) > 0, 1).otherwise(0)) for n in names), F.lit(0)).alias("signals"), F.max(boilerplate if boilerplate is not None else F.lit(False)).alias("plain"),
+    )
+    one, c = F.lit(1.0), F.col
+    parts = {"top": F.least(one, F.greatest(F.lit(0.0), c("best.total")) / 1.2), "hits": F.least(one, c("n") / 3.0), "signals": F.least(one, c("signals") / 3.0), "raw": c("raw"), "coverage": c("coverage")}
+    penalties = {"plain": F.when(c("plain"), 0.25).otherwise(0.0), "alone": F.when(c("best.alone"), 0.1).otherwise(0.0)}
+    sums = queries.select(query, "mode").join(found.select(query, "n", "plain", "best", *(p.alias(f"_{k}") for k, p in [*parts.items(), *((f"less_{k}", p) for k, p in penalties.items())])), query, "left")
+    scored = quantise(F.least(one, F.greatest(F.lit(0.0), sum((c(f"_{k}") * share for k, share in SHARES.items()), F.lit(0.0)) - c("_less_plain") - c("_less_alone"))), 3)
+    none = c("n").isNull() | c("mode").isin(*UNKNOWN)
+    overview = c("mode") == "overview"
+    score = F.when(none, 0.0).when(overview, 0.35).otherwise(scored)
+    level = F.when(none, "none").when(overview, "low").when(c("score") >= 0.75, "high").when(c("score") >= 0.45, "medium").otherwise("low")
+    weak = ((c("n") == 1) & (c("_raw") == 0) & (c("_signals") < 0.67)) | (c("plain") & (c("_raw") == 0) & (c("score") < WEAK))
+    low = F.when(none, ~(c("mode") == "no-match")).when(overview, F.lit(True)).otherwise((c("score") < threshold) | weak)
+    said = F.array_compact(F.array(*(F.when(c(f"_{k}") >= least, F.lit(name)) for k, least, name in REASONS), *(F.when(c(f"_less_{k}") > 0, F.lit(name)) for k, name in (("plain", "boilerplate-penalty"), ("alone", "embedding-only-penalty")))))
+    why = (
+        F.when(none, F.array(F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in UNKNOWN.items() for x in pair)), F.when(c("mode").isin(*UNKNOWN), c("mode")).otherwise("no-match")), F.lit(""))))
+        .when(overview, F.array(F.lit("overview-fallback-not-answer-evidence"))).when(F.size(said) > 0, said).otherwise(F.array(F.lit("weak-retrieval-signals")))
     )
-    one = F.lit(1.0)
-    top = F.least(one, F.greatest(F.lit(0.0), F.col("top")) / 1.2)
-    parts = {"top": top, "hits": F.least(one, F.col("n") / 3.0), "signals": F.least(one, F.col("signals") / 3.0), "raw": F.col("raw") / F.col("n"), "coverage": F.col("coverage")}
-    score = quantise(F.least(one, F.greatest(F.lit(0.0), sum((parts[k] * share for k, share in SHARES.items()), F.lit(0.0)))), 2)
-    level = F.when(F.col("score") >= 0.75, "high").when(F.col("score") >= 0.45, "medium").otherwise("low")
-    return found.withColumn("score", score).select(query, "score", level.alias("level"), (F.col("score") < threshold).alias("low"))
+    return sums.withColumn("score", score).select(query, "score", level.alias("level"), low.alias("low"), why.alias("reasons"))
 
 
 def recall(found: DataFrame, query: str, text: str, expected: DataFrame) -> DataFrame:

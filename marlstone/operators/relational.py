@@ -46,6 +46,21 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], *order: str) -> Data
     return kept.unionByName(put.select(kept.columns))
 
 
+def filled(old: DataFrame, new: DataFrame, key: str, order: str, fixed: list[str], fields: list[str]) -> DataFrame:
+    """(key, fixed, fields, state) of old rows (one a key) with new ones put in: a field takes the last value that isn't null or empty, a fixed one stays as it was first.
+
+    Values are picked by partial aggregates in the order of `order`, so a hot key's rows are never gathered; equal places are settled by the value.
+    """
+    kind = dict(new.dtypes)
+    there = lambda c: F.col(c).isNotNull() & (F.trim(c) != "" if kind[c] == "string" else F.lit(True))
+    place = lambda c: F.struct(F.col(order), F.col(c))
+    picked = new.groupBy(key).agg(*(F.min_by(c, place(c)).alias(c) for c in fixed), *(F.max_by(c, F.when(there(c), place(c))).alias(c) for c in fields))
+    before = old.select(key, *(F.col(c).alias(f"_{c}") for c in [*fixed, *fields]), F.lit(True).alias("_known"))
+    joined = picked.withColumn("_new", F.lit(True)).join(before, key, "full")
+    state = F.when(F.col("_new").isNull(), "kept").when(F.col("_known"), "updated").otherwise("inserted")
+    return joined.select(key, *(F.when(F.col("_known"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in fixed), *(F.coalesce(c, f"_{c}").alias(c) for c in fields), state.alias("state"))
+
+
 def changes(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
     """(key, change): first-seen, unchanged, changed or gone, by a content hash on each side."""
     a, b = old.select(key, F.col(content).alias("_old")), new.select(key, F.col(content).alias("_new"))

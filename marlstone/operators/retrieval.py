@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.arrays import let
 from marlstone.functions.numeric import cosine, quantise
 from marlstone.functions.text import tokens
-from marlstone.sources.tables import materialize
+from marlstone.sources.tables import materialize, shared_dir
 
 K1, B, TITLE_BOOST = 1.2, 0.75, 0.25
 EMBEDDING_WEIGHT, EMBEDDING_ONLY, EMBEDDING_LEAST = 0.35, 0.2, 0.15
@@ -23,8 +25,8 @@ RRF_K, ORIGINAL_WEIGHT, EXPANDED_WEIGHT = 60, 1.0, 0.7
 GRAPH_CAP = 0.22
 #: Hits of a page of results at most.
 PAGE = 10_000
-#: Query vectors that go to all rows at a time.
-BLOCK = 4096
+#: Vectors of a block.
+BLOCK = 1024
 
 
 def lexical_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -33,39 +35,53 @@ def lexical_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     return words.groupBy("term", key).agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
 
-def _counted(docs: DataFrame, terms: list[str], text: str, key: str, title: str | None, hits_only: bool) -> DataFrame:
-    """(key, title, length, tf0, tf1, ...) of documents, or of those that hold a term.
+@dataclass(frozen=True)
+class Index:
+    """A written inverted index: postings (term, key, tf, length), in order of terms within each file, and what a score needs of the corpus."""
+
+    postings: DataFrame
+    key: str
+    path: str
+    n: int
+    average: float
 
-    A document's words are made once, within its row: a filter on a projected column would make them again below it.
-    """
 
-    def row(words: Column) -> Column:
-        made = F.array(F.struct(F.greatest(F.lit(1), F.size(words)).cast("long").alias("length"), *(F.size(F.filter(words, lambda w: w == t)).cast("double").alias(f"tf{k}") for k, t in enumerate(terms))))
-        return F.when(F.exists(words, lambda w: w.isin(*terms)), made) if hits_only else made
+def index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Index:
+    """The index of a corpus: one scan of its texts, one shuffle of a row for each term of a document.
 
-    return docs.select(key, *([F.lower(title).alias("title")] if title else []), F.inline(let(tokens(F.col(text)), row)))
+    Files are in the order of their terms, so that a question reads the pages of its terms alone; a frequent term's rows lie in all files alike. A
+    document without terms counts, with a length of 1. Null keys are kept, null texts are empty.
+    """
+    held = let(tokens(F.col(text)), lambda words: F.transform(words, lambda w: F.struct(w.alias("term"), F.size(words).alias("length"))))
+    counted = docs.select(key, F.inline_outer(held)).groupBy(key, "term", "length").agg(F.count("term").cast("int").alias("tf"))
+    path = f"{shared_dir(docs.sparkSession)}/postings-{uuid.uuid4().hex}"
+    counted.sortWithinPartitions("term").write.parquet(path)
+    postings, n = docs.sparkSession.read.schema(counted.schema).parquet(path), docs.count()
+    words, empty = postings.agg(F.sum("tf"), F.count_if(F.col("term").isNull())).first()
+    return Index(postings, key, path, max(1, n), max(1.0, ((words or 0) + empty) / max(1, n)))
 
 
-def bm25(docs: DataFrame, query: list[str], text: str = "text", key: str = "doc_id", title: str | None = None) -> DataFrame:
-    """(key, score, terms) of the documents that hold a query term.
+def bm25(found: Index, query: list[str], titles: DataFrame | None = None) -> DataFrame:
+    """(key, score, terms) of the documents that hold a query term; with titles (key, title), a term that one holds adds TITLE_BOOST.
 
-    Two scans and no shuffle: one counts documents, lengths and the documents of each query term, of which the driver gets
-    one row; the other scores. Each makes a document's words once; other terms are never exploded.
+    Reads the query's terms twice: once for how many documents hold each, of which the driver gets a number, and once for the scores.
     """
-    terms = list(dict.fromkeys(query))
-    row = _counted(docs, terms, text, key, None, False).agg(F.count("*").alias("n"), F.sum("length").alias("total"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms)))).first()
-    n = max(1, row.n)
-    average = max(1.0, (row.total or 0) / n)
-    score, hits = F.lit(0.0), []
+    key, terms = found.key, list(dict.fromkeys(query))
+    hits = found.postings.filter(F.col("term").isin(*terms)).select(key, "term", "tf", "length")
+    df = {r.term: r.n for r in hits.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    if titles is not None:
+        hits = hits.join(titles.select(key, F.lower("title").alias("_title")), key, "left")
+    own, score, met = [], F.lit(0.0), []
     for k, term in enumerate(terms):
-        df, tf = row[f"df{k}"], F.col(f"tf{k}")
-        idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
-        part = F.lit(idf) * ((tf * (K1 + 1)) / (tf + K1 * ((1 - B) + B * (F.col("length") / F.lit(average)))))
-        if title:
-            part = part + F.when(F.contains("title", F.lit(term)), TITLE_BOOST).otherwise(0.0)
-        score = score + F.when(tf > 0, part).otherwise(0.0)
-        hits.append(F.when(tf > 0, F.lit(term)))
-    return _counted(docs, terms, text, key, title, True).select(key, quantise(score, 6).alias("score"), F.array_compact(F.array(*hits)).alias("terms"))
+        idf = math.log(1 + (found.n - df.get(term, 0) + 0.5) / (df.get(term, 0) + 0.5))
+        tf = F.col("tf").cast("double")
+        part = F.lit(idf) * ((tf * (K1 + 1)) / (tf + K1 * ((1 - B) + B * (F.col("length") / F.lit(found.average)))))
+        if titles is not None:
+            part = part + F.when(F.contains("_title", F.lit(term)), TITLE_BOOST).otherwise(0.0)
+        own.append(F.max(F.when(F.col("term") == term, part)).alias(f"s{k}"))
+        score = score + F.coalesce(f"s{k}", F.lit(0.0))
+        met.append(F.when(F.col(f"s{k}").isNotNull(), F.lit(term)))
+    return hits.groupBy(key).agg(F.count("*"), *own).select(key, quantise(score, 6).alias("score"), F.array_compact(F.array(*met)).alias("terms"))
 
 
 def top(scored: DataFrame, k: int, key: str = "doc_id", score: str = "score") -> DataFrame:
@@ -79,45 +95,102 @@ def similar(vectors: DataFrame, query: list[float], key: str = "vec_id", vector:
     return vectors.select(key, F.when(found >= EMBEDDING_LEAST, found).otherwise(0.0).alias("similarity"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query, key, similarity, place) of the k vectors most similar to each query (key, vector), ties by key; what is below the least similarity counts 0.
+def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of norm 1 and their sizes: zeros where one is null, has a null or no norm; shorter ones end in zeros."""
+    sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    out = np.zeros((len(column), int(sizes.max(initial=0))))
+    out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = values
+    out[~np.isfinite(out).all(1)] = 0.0
+    norm = np.sqrt((out * out).sum(1))
+    return out / np.where(norm > 0, norm, 1.0)[:, None], sizes
+
+
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """rows (key long, weight double, v array<double>) as blocks of BLOCK rows: their keys, weights, sizes and unit vectors as bytes. No row moves."""
 
-    Queries go to all rows in blocks of BLOCK, each a matrix of known size; a task keeps k rows a query, and only those are shuffled.
-    Null vectors, and those of another length or no norm, are 0 from all.
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK):
+                part = batch.slice(at, BLOCK)
+                unit, sizes = _unit(part.column(2))
+                made = [part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), part.column(1).to_numpy(zero_copy_only=False).astype(float), sizes, unit]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in made], [f"{name}_{c}" for c in ("key", "weight", "size", "unit")])
+
+    return rows.mapInArrow(over, ", ".join(f"{name}_{c} binary" for c in ("key", "weight", "size", "unit")))
+
+
+def _matched(rows: DataFrame, queries: DataFrame, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray], positive: bool) -> DataFrame:
+    """(query, key, weight, similarity, score) of the k rows (key, weight, v) that score best for each query (key, v), ties by weight and key.
+
+    A stated set of queries is held against all rows, block by block, as products of matrices of bounded size: Spark broadcasts the blocks of a side only
+    where they are few, and else pairs partitions. A task keeps k rows of a query for as long as its block goes on, and only those are shuffled.
     """
-    asked = queries.select(F.col(key).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = max(1, -(-asked.count() // BLOCK))
-    found = None
-    for block in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).collect()
-        ids, size = np.array([r.query for r in rows], np.int64), max((len(r.v) for r in rows if r.v), default=1)
-        matrix = np.array([_unit(r.v, size) for r in rows]).reshape(len(rows), size)
-        part = vectors.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v")).mapInArrow(_best(ids, matrix, k), "query long, key long, similarity double").withColumnRenamed("key", key)
-        found = part if found is None else found.union(part)
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, held = None, None
+        for batch in batches:
+            for r in range(len(batch)):
+                q, x = ([column[r].as_buffer() for column in batch.columns[at : at + 4]] for at in (0, 4))
+                ids, keys, weight = np.frombuffer(q[0], np.int64), np.frombuffer(x[0], np.int64), np.frombuffer(x[1], float)
+                if asked is not None and (len(ids) != len(asked) or (ids != asked).any()):
+                    yield told(asked, held)
+                    held = None
+                if held is None:
+                    asked, held = ids, [np.empty((len(ids), 0), t) for t in (np.int64, float, float, float)]
+                left, right = (np.frombuffer(s[3], float).reshape(n, -1) for s, n in ((q, len(ids)), (x, len(keys))))
+                width = min(left.shape[1], right.shape[1])
+                alike = left[:, :width] @ right[:, :width].T
+                alike[np.frombuffer(q[2], np.int64)[:, None] != np.frombuffer(x[2], np.int64)[None, :]] = 0.0
+                alike = np.where(alike >= EMBEDDING_LEAST, alike, 0.0)
+                wide = lambda a: np.broadcast_to(a, alike.shape)
+                held = [np.concatenate([a, b], axis=1) for a, b in zip(held, (wide(keys), wide(weight), alike, score(alike, wide(weight))), strict=True)]
+                order = np.lexsort((held[0], -held[1], -held[3]), axis=1)[:, :k]
+                held = [np.take_along_axis(a, order, 1) for a in held]
+        if held is not None:
+            yield told(asked, held)
+
+    def told(ids: np.ndarray, held: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, held[0].shape[1])), *(pa.array(a.reshape(-1)) for a in held)], ["query", "key", "weight", "similarity", "score"])
+
+    pairs = _blocks(queries, "q").crossJoin(_blocks(rows, "x"))
+    found = pairs.mapInArrow(best, "query long, key long, weight double, similarity double, score double").filter("score > 0" if positive else "true")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc("weight"), "key"))
     return found.withColumn("place", place).filter(F.col("place") <= k)
 
 
-def _unit(v: list[float] | None, size: int) -> np.ndarray:
-    """A vector of norm 1, or of zeros where it has another length or no norm."""
-    x = np.zeros(size) if v is None or len(v) != size or None in v else np.array(v, float)
-    norm = np.sqrt((x * x).sum())
-    return x / norm if norm > 0 else x
+def _vectors(rows: DataFrame, key: str, vector: str, weight: Column | float = 0.0) -> DataFrame:
+    return rows.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), (weight if isinstance(weight, Column) else F.lit(weight)).alias("weight"), F.col(vector).cast("array<double>").alias("v"))
 
 
-def _best(ids: np.ndarray, matrix: np.ndarray, k: int):
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, scores = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
-        for batch in batches:
-            own = np.stack([_unit(v, matrix.shape[1]) for v in batch.column(1).to_pylist()]) if len(batch) else np.zeros((0, matrix.shape[1]))
-            alike = matrix @ own.T
-            scores = np.concatenate([scores, np.floor(np.where(alike >= EMBEDDING_LEAST, alike, 0.0) * 1e6 + 0.5) / 1e6], axis=1)
-            keys = np.concatenate([keys, np.broadcast_to(batch.column(0).to_numpy(), alike.shape)], axis=1)
-            order = np.lexsort((keys, -scores), axis=1)[:, :k]
-            keys, scores = np.take_along_axis(keys, order, 1), np.take_along_axis(scores, order, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keys.shape[1])), pa.array(keys.reshape(-1)), pa.array(scores.reshape(-1))], ["query", "key", "similarity"])
-
-    return over
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query, key, similarity, place) of the k vectors most similar to each query (key, vector), ties by key; what is below the least similarity counts 0.
+
+    Null vectors, and those of another length or no norm, are 0 from all; rows without a key are none.
+    """
+    rounded = lambda alike, weight: np.floor(alike * 1e6 + 0.5) / 1e6
+    return _matched(_vectors(vectors, key, vector), _vectors(queries, key, vector), k, rounded, False).select("query", F.col("key").alias(key), F.col("score").alias("similarity"), "place")
+
+
+def hybrid_nearest(lexical: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
+    """(query, key, lexical, embedding, graph, taxonomy, metadata, total, place): the k best of each query (key, vector) by lexical scores (key, score) and vectors (key, vector).
+
+    The best lexical score counts 1; embeddings alone count at most EMBEDDING_ONLY. The lexical scores are those of one question in words, asked with each vector.
+    """
+    lexical = materialize(lexical.select(key, "score"), "lexical")
+    best = lexical.agg(F.max("score")).first()[0] or 0.0
+    rows = lexical.select(key, ((F.col("score") / best) if best > 0 else F.lit(0.0)).alias("_share")).join(vectors.select(key, vector), key, "full").withColumn("_share", F.coalesce("_share", F.lit(0.0)))
+
+    def total(alike: np.ndarray, share: np.ndarray) -> np.ndarray:
+        weighed = alike * EMBEDDING_WEIGHT
+        return share + np.where(share > 0, weighed, np.minimum(weighed, EMBEDDING_ONLY)) + 0.0 + 0.0 + np.where(share > 0, SOURCE_BOOST, 0.0)
+
+    rounded = lambda alike, share: np.floor(total(alike, share) * 1e6 + 0.5) / 1e6
+    found = _matched(_vectors(rows, key, vector, F.col("_share")), _vectors(queries, key, vector), k, rounded, True)
+    return found.select(
+        "query", F.col("key").alias(key), quantise(F.col("weight"), 6).alias("lexical"), quantise(F.col("similarity"), 6).alias("embedding"), F.lit(0.0).alias("graph"), F.lit(0.0).alias("taxonomy"),
+        F.when(F.col("weight") > 0, SOURCE_BOOST).otherwise(0.0).alias("metadata"), F.col("score").alias("total"), "place",
+    )
 
 
 def hybrid(lexical: DataFrame, vectors: DataFrame, graph: DataFrame | None = None, taxonomy: DataFrame | None = None, key: str = "doc_id") -> DataFrame:

@@ -60,16 +60,11 @@ def bridge_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(C.link_status(target, F.col("wiki"), F.col("page"), F.col("path"), seen).alias("status")).agg(F.count("*").alias("n"))
 
 
-def _terms(c: str):
-    return C.key_terms(F.col(c), X.STOP_WORDS)
-
-
 def related_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and the one of the next number: their first 200 characters as titles."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.substring("text", 1, 200).alias("title"))
-    a, b = (docs.select((F.col("doc_id") + k).alias("doc_id"), _terms("text").alias(f"t{k}"), _terms("title").alias(f"h{k}")) for k in (0, -1))
-    found = a.join(b, "doc_id").select("doc_id", C.related(F.col("t0"), F.col("t-1"), F.col("h0"), F.col("h-1")).alias("r"))
-    return found.select("doc_id", F.col("r.score").cast("long").alias("score"), "r.related")
+    """The three pages that are most related to each whose number is divisible by 20, by their titles and readable texts."""
+    pages = table(spark, sf_dir, "pages").select("page_id", X.html_title(F.col("html")).alias("title"), X.readable(F.col("html")).alias("text"))
+    found = C.related(pages.filter("page_id % 20 = 0"), pages, "page_id", "title", "text")
+    return found.select("page_id", "other", F.col("score").cast("long").alias("score"), F.col("place").cast("long").alias("place"))
 
 
 def source_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +130,7 @@ QUERIES = {
     )
 }
 
-_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+_STOP = ", ".join(f"'{w}'" for w in C.LINK_STOP)
 _STEM = content._STEM.replace("word", "w")
 _KEYS = f"list_distinct(list_transform(list_filter(string_split_regex(lower(coalesce({{}}, '')), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP})), lambda w: {_STEM}))"
 _ORDERED = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
@@ -164,8 +159,9 @@ ORACLE = {
     "chunkable_pages": "SELECT section, section <> 'topics' AND NOT (section = 'syntheses' AND doc_id % 3 = 0) AS kept, count(*) AS n FROM (SELECT doc_id, ['sources', 'syntheses', 'topics', 'queries', 'comparisons'][doc_id % 5 + 1] AS section FROM documents) GROUP BY ALL",
     "bridge_links": """SELECT status, count(*) AS n FROM (SELECT CASE WHEN l_partkey % 11 = 0 THEN 'placeholder-target' WHEN s_suppkey IS NULL THEN 'unknown-wiki' WHEN p_partkey IS NULL THEN 'missing-page' WHEN l_linenumber = 1 AND p_partkey <> 0 THEN 'stale-edge' ELSE 'resolved' END AS status
         FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 7 > 0) ON l_suppkey = s_suppkey LEFT JOIN (SELECT * FROM part WHERE p_size > 5) ON l_partkey = p_partkey) GROUP BY status""",
-    "related_sources": f"""WITH k AS (SELECT doc_id, {_KEYS.format("text")} AS t, {_KEYS.format("substr(text, 1, 200)")} AS h FROM documents), p AS (SELECT a.doc_id, list_intersect(a.t, b.t) AS o, len(list_intersect(a.t, b.t)) + len(list_intersect(a.h, b.h)) AS score FROM k a JOIN k b ON b.doc_id = a.doc_id + 1)
-        SELECT doc_id, score, score >= 3 OR len(list_filter(o, lambda t: length(t) >= 7 OR regexp_matches(t, '[0-9]'))) > 0 AS related FROM p""",
+    "related_sources": f"""WITH p AS (SELECT page_id, {content._html_title("html")} AS title, {content._readable("html")} AS text FROM pages), k AS (SELECT page_id, {_KEYS.format("concat_ws(chr(10), title, text)")} AS t, {_KEYS.format("title")} AS h FROM p),
+        m AS (SELECT a.page_id, b.page_id AS other, list_intersect(a.t, b.t) AS o, len(list_intersect(a.t, b.t)) + len(list_intersect(a.h, b.h)) AS score FROM k a JOIN k b ON a.page_id % 20 = 0 AND a.page_id <> b.page_id)
+        SELECT page_id, other, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, other) AS place FROM m WHERE score >= 3 OR len(list_filter(o, lambda t: length(t) >= 7 OR regexp_matches(t, '[0-9]'))) > 0 QUALIFY place <= 3""",
     "source_mismatches": f"""WITH w AS (SELECT page_id, list_distinct({S.tokens("replace(url, '/', ' ')")}) AS h, list_distinct({S.tokens(content._html_title("html"))}) AS t, list_distinct({S.tokens(content._readable("html"))}) AS e FROM pages)
         SELECT page_id, len(h) >= 2 AND len(t) >= 2 AND NOT list_has_any(h, t) AND NOT list_has_any(h, e) AS mismatch FROM w""",
     "word_grams": f"WITH l AS (SELECT p_partkey, lower(p_type || ' ' || ['贵州茅台股份 a+bc', '数据工程', 'x 一 yz-12', '中华人民共和国国务院'][p_partkey % 4 + 1]) AS low FROM part), g AS (SELECT p_partkey, {_GRAMS} AS g FROM l) SELECT p_partkey, array_to_string({_ORDERED.format('g')}, ',') AS grams FROM g",

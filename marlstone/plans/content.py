@@ -167,7 +167,7 @@ def _redacted(x: str) -> str:
 _WINDOWS = """windows AS (SELECT doc_id, k AS number, k * 448 AS start, substr(text, k * 448 + 1, 512) AS t
     FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil((length(text) - 64) / 448.0) AS BIGINT)))) AS k FROM documents WHERE length(text) > 0))"""
 _SENTENCES = "list_filter(list_transform(regexp_extract_all(text, '[^.!?。！？\\n]+[.!?。！？]*'), lambda s: trim(s)), lambda s: s <> '')"
-_STEM = "CASE WHEN length(word) > 4 AND word LIKE '%ies' THEN regexp_replace(word, 'ies$', '') || 'y' WHEN length(word) > 4 AND word LIKE '%es' THEN regexp_replace(word, 'es$', '') WHEN length(word) > 3 AND word LIKE '%s' THEN regexp_replace(word, 's$', '') ELSE word END"
+_STEM = "CASE WHEN length(word) > 5 AND word LIKE '%ies' THEN regexp_replace(word, 'ies$', '') || 'y' WHEN length(word) > 5 AND word LIKE '%es' THEN regexp_replace(word, 'es$', '') WHEN length(word) > 4 AND word LIKE '%s' THEN regexp_replace(word, 's$', '') ELSE word END"
 
 ORACLE = {
     "fingerprints": f"WITH f AS (SELECT doc_id, sha256({_canonical('text')}) AS fingerprint FROM documents) SELECT doc_id, fingerprint, min(doc_id) OVER (PARTITION BY fingerprint) AS first FROM f",

@@ -71,11 +71,15 @@ def repeated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as news of a code, some without an address, put in by their natural key; of one key the last page counts."""
-    key = L.natural_key(F.when(F.col("page_id") % 3 > 0, F.col("url")), F.lit("600519"), F.substring("html", 1, 40), F.lit("wire"))
-    rows = table(spark, sf_dir, "pages").select(key.alias("key"), "page_id")
-    old, new = rows.filter("page_id % 2 = 0"), rows.filter("page_id % 2 = 1")
-    return R.upsert(R.latest(old, ["key"], "page_id"), new, ["key"], "page_id").select("key", "page_id", "state")
+    """Pages as news of a code, some without an address or a date, put in by their natural key: even ones first, odd ones then."""
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", F.when(F.col("page_id") % 3 > 0, F.col("url")).alias("url"), X.html_title(F.col("html")).alias("title"), F.regexp_extract("url", "//([^/:?#]+)", 1).alias("source"),
+        F.when(F.col("page_id") % 7 > 0, F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(40)).cast("int"))).alias("published"), F.when(F.col("page_id") % 5 > 0, F.sha2(X.readable(F.col("html")), 256)).alias("snippet"),
+    )
+    rows = L.news(pages, "url", F.lit("600519"), "title", "source", "published")
+    fields = ["source", "published", "snippet"]
+    first = R.filled(rows.limit(0).select("key", "title", *fields), rows.filter("page_id % 2 = 0"), "key", "page_id", ["title"], fields).drop("state")
+    return R.filled(first, rows.filter("page_id % 2 = 1"), "key", "page_id", ["title"], fields)
 
 
 def replaced_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,9 +163,14 @@ ORACLE = {
         i AS (SELECT doc_id, unnest(list_filter([CASE WHEN raw IS NULL THEN 'missing-raw-source' END, CASE WHEN raw <> sha THEN 'raw-source-drift' END, CASE WHEN raw IS NOT NULL AND page_id % 2 > 0 THEN 'raw-missing-frontmatter' END, CASE WHEN item_id IS NULL THEN 'raw-missing-manifest-entry' END], lambda x: x IS NOT NULL)) AS issue FROM j)
         SELECT issue, count(*) AS n, min(doc_id) AS first FROM i GROUP BY issue""",
     "repeated_titles": f"SELECT title, count(DISTINCT page_id) AS pages FROM (SELECT 'page:' || lower({content._html_title('html')}) AS title, page_id FROM pages) WHERE title IS NOT NULL GROUP BY title HAVING count(DISTINCT page_id) > 1",
-    "news_keys": """WITH k AS (SELECT CASE WHEN page_id % 3 > 0 AND trim(coalesce(url, '')) <> '' THEN trim(url) ELSE 'no-url:600519:' || md5(substr(html, 1, 40) || '|wire') END AS key, page_id FROM pages),
-        o AS (SELECT key, max(page_id) AS page_id FROM k WHERE page_id % 2 = 0 GROUP BY key), n AS (SELECT key, max(page_id) AS page_id FROM k WHERE page_id % 2 = 1 GROUP BY key)
-        SELECT key, page_id, 'kept' AS state FROM o WHERE key NOT IN (SELECT key FROM n) UNION ALL SELECT key, page_id, CASE WHEN key IN (SELECT key FROM o) THEN 'updated' ELSE 'inserted' END FROM n""",
+    "news_keys": f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 3 > 0 THEN url END AS url, {content._html_title("html")} AS title, regexp_extract(url, '//([^/:?#]+)', 1) AS source,
+          CASE WHEN page_id % 7 > 0 THEN DATE '2024-01-01' + CAST(page_id % 40 AS INTEGER) END AS published, CASE WHEN page_id % 5 > 0 THEN sha256({content._readable("html")}) END AS snippet FROM pages),
+        r AS (SELECT *, CASE WHEN trim(coalesce(url, '')) <> '' THEN trim(url) ELSE 'no-url:600519:' || md5('600519|' || coalesce(trim(title), '') || '|' || coalesce(trim(source), '') || '|' || coalesce(strftime(published, '%Y-%m-%dT%H:%M:%S'), '')) END AS key
+          FROM p WHERE trim(coalesce(title, '')) <> '' OR trim(coalesce(url, '')) <> ''),
+        one AS (SELECT key, page_id % 2 AS odd, min(page_id) AS first, {", ".join(f"max(CASE WHEN {c} IS NOT NULL AND CAST({c} AS VARCHAR) <> '' THEN page_id END) AS at_{c}" for c in ("source", "published", "snippet"))} FROM r GROUP BY ALL),
+        v AS (SELECT o.key, odd, (SELECT title FROM r WHERE page_id = first) AS title, {", ".join(f"(SELECT {c} FROM r WHERE page_id = at_{c}) AS {c}" for c in ("source", "published", "snippet"))} FROM one o)
+        SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NOT NULL THEN a.title ELSE b.title END AS title, {", ".join(f"coalesce(b.{c}, a.{c}) AS {c}" for c in ("source", "published", "snippet"))},
+          CASE WHEN b.key IS NULL THEN 'kept' WHEN a.key IS NULL THEN 'inserted' ELSE 'updated' END AS state FROM (SELECT * FROM v WHERE odd = 0) a FULL JOIN (SELECT * FROM v WHERE odd = 1) b ON a.key = b.key""",
     "replaced_lots": """WITH l AS (SELECT l_partkey % 50 AS account, CAST(l_shipdate AS DATE) AS day, l_quantity AS qty, l_linestatus AS status FROM lineitem), n AS (SELECT DISTINCT account, day FROM l WHERE status <> 'F')
         SELECT account, status, count(*) AS lots, sum(qty) AS qty FROM l WHERE status <> 'F' OR NOT EXISTS (SELECT 1 FROM n WHERE n.account = l.account AND n.day = l.day) GROUP BY 1, 2""",
     "event_page": """WITH e AS (SELECT event_id, ts FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-15') SELECT event_id, (SELECT count(*) FROM e) AS total FROM e ORDER BY ts DESC, event_id DESC LIMIT 25 OFFSET 50""",

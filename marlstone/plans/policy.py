@@ -18,6 +18,8 @@ from marlstone.sources.tables import table
 
 #: Percent of loss that is an alert, and the share of it that is near.
 STOP, NEAR = 20.0, 0.8
+#: Modes of answers, by the number of the question.
+MODES = ("matched",) * 7 + ("overview", "stale-index", "no-match", "fallback")
 #: Advice by number, and the direction and position that it means.
 ADVICE = (
     ("buy", "up", "long"), ("Do not sell; hold", "not_down", "long"), ("strong sell now", "down", "cash"), ("wait, then buy", "flat", "cash"), ("buy, or wait", "up", "long"), ("建议买入", "up", "long"),
@@ -37,7 +39,7 @@ def retrievable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strong_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     boosts = docs.select("doc_id", (F.pmod("n_chars", F.lit(100)) / 1000.0).alias("boost"), F.col("source").endswith("1").alias("linked"))
-    return Y.strong_boosts(boosts, R.bm25(docs, retrieval.QUERY), "doc_id", F.col("linked")).select("doc_id", "boost")
+    return Y.strong_boosts(boosts, R.bm25(retrieval.lexical(spark, sf_dir), retrieval.QUERY), "doc_id", F.col("linked")).select("doc_id", "boost")
 
 
 def stitched_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +64,11 @@ def best_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_validations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first claim of each document against its last 300 characters; every third document names its chunk, every second its lines."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.get(G.claims(F.col("text")), F.lit(0)).alias("claim"), F.right("text", F.lit(300)).alias("evidence")).filter("claim IS NOT NULL")
-    found = rows.select("doc_id", G.validation(F.col("claim"), F.col("evidence"), retrieval.QUERY, F.col("doc_id") % 3 == 0, F.col("doc_id") % 2 == 0).alias("v"))
+    """The first claim of each document against all that follows it; every third document names its chunk, every second its lines."""
+    said = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    rows = table(spark, sf_dir, "documents").select("doc_id", said.alias("said"), F.get(G.claims(F.col("text")), F.lit(0)).alias("claim")).filter("claim IS NOT NULL")
+    rest = F.substr("said", F.expr("locate(claim, said) + length(claim)"))
+    found = rows.select("doc_id", G.validation(F.col("claim"), rest, retrieval.QUERY, F.col("doc_id") % 3 == 0, F.col("doc_id") % 2 == 0).alias("v"))
     return found.select("doc_id", F.array_join("v.matched", ",").alias("matched"), "v.coverage", "v.level", "v.confidence")
 
 
@@ -74,20 +78,18 @@ def conflict_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", "c.kind", "c.severity", "c.matched")
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = R.similar(table(spark, sf_dir, "embeddings"), retrieval._vector(spark, sf_dir)).withColumnRenamed("vec_id", "doc_id")
-    return R.hybrid(R.bm25(table(spark, sf_dir, "documents"), retrieval.QUERY), vectors)
-
-
 def retrieval_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Y.signals(_hits(spark, sf_dir))
+    return Y.signals(retrieval.hits(spark, sf_dir), "query")
 
 
 def retrieval_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of one query by the source of their document, as if each source were asked by itself."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    hits = _hits(spark, sf_dir).join(docs, "doc_id").withColumn("reason", F.when(F.col("embedding") > 0, "semantic-signal").when(F.col("lexical") > 0.5, "lexical-coverage").otherwise("short-query"))
-    return Y.confidence(hits, "source", F.struct(-F.col("total"), "doc_id"), F.col("lang") == "en", F.col("reason"))
+    """How sure retrieval is of its hits for each vector whose number is divisible by 20; some are asked of an index that is missing or stale, or for an overview."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("lang") == "en", F.lit(False)).alias("raw"), F.coalesce(F.col("source").endswith("7"), F.lit(False)).alias("card"))
+    found = retrieval.hits(spark, sf_dir).join(docs, "doc_id").withColumn("reason", F.when(F.col("embedding") > 0.5, "semantic-signal").when(F.col("lexical") > 0.5, "lexical-coverage").otherwise("short-query"))
+    found = found.filter(F.col("query") % 60 > 0).filter((F.col("query") % 80 > 0) | (F.col("place") == 1))
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.element_at(F.array(*map(F.lit, MODES)), F.pmod(F.col("vec_id") / 20, F.lit(len(MODES))).cast("int") + 1).alias("mode"))
+    sure = Y.confidence(asked, found, "query", F.col("place"), F.col("raw"), F.col("reason"), F.col("card") & (F.col("place") <= 3))
+    return sure.select("query", "score", "level", "low", F.array_join("reasons", ",").alias("reasons"))
 
 
 def term_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +151,6 @@ def _case(values, number: str) -> str:
     return f"CASE {number} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
 
 
-_HITS = retrieval.ORACLE["hybrid_search"].split("SELECT * FROM t WHERE")[0] + ", hits AS (SELECT * FROM t WHERE total > 0)"
 _NAMES = ("lexical", "embedding", "graph", "taxonomy", "metadata")
 _PLAIN = ", ".join(f"'{w}'" for w in G.PLAIN)
 _CONFLICT = {kind: f"regexp_extract(t, '(?i){pattern}')" for kind, _, pattern in G.CONFLICTS}
@@ -162,7 +163,7 @@ ORACLE = {
     "claim_units": f"WITH {_CLAIMS} SELECT d.doc_id, count(claim) AS claims, sha256(coalesce(string_agg(claim, chr(10) ORDER BY place), '')) AS sha FROM documents d LEFT JOIN claims c USING (doc_id) GROUP BY d.doc_id",
     "best_claims": f"""WITH {_CLAIMS}, own AS (SELECT doc_id, place, claim, list_distinct({S.tokens("claim")}) AS own FROM claims), scored AS (SELECT doc_id, place, claim, len(list_intersect(own, {_ASKED})) * 3 + least(len(own), 20) / 20.0 AS score FROM own),
         ranked AS (SELECT doc_id, claim, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) - 1 AS place FROM scored) SELECT doc_id, place, sha256(claim) AS sha FROM ranked WHERE place < 2""",
-    "claim_validations": f"""WITH {_CLAIMS}, words AS (SELECT doc_id, list_filter({S.tokens("claim")}, lambda t: t NOT IN ({_PLAIN})) AS w, list_distinct({S.tokens("right(text, 300)")}) AS held FROM claims JOIN documents USING (doc_id) WHERE place = 0),
+    "claim_validations": f"""WITH {_CLAIMS}, words AS (SELECT doc_id, list_filter({S.tokens("claim")}, lambda t: t NOT IN ({_PLAIN})) AS w, list_distinct({S.tokens(f"substr({_COMPACT}, instr({_COMPACT}, claim) + length(claim))")}) AS held FROM claims JOIN documents USING (doc_id) WHERE place = 0),
         own AS (SELECT doc_id, list_filter(w, lambda t, i: list_position(w, t) = i)[:24] AS own, held FROM words), m AS (SELECT doc_id, own, list_sort(list_intersect(own, held)) AS matched FROM own),
         c AS (SELECT *, {S.q("len(matched) / greatest(1, least(len(own), 16))", 2)} AS coverage, least(1.0, len(list_intersect(own, {_ASKED})) / {float(min(8, len(set(retrieval.QUERY))))}) AS overlap, doc_id % 3 = 0 AS chunk FROM m)
         SELECT doc_id, array_to_string(matched[:10], ',') AS matched, coverage, CASE WHEN coverage >= 0.65 AND chunk THEN 'strong' WHEN coverage >= 0.35 THEN 'partial' ELSE 'weak' END AS level,
@@ -170,11 +171,19 @@ ORACLE = {
     "conflict_signals": f"""WITH t AS (SELECT p_partkey, p_name || ' ' || {_case(("a Contradiction with conflict", "is inconsistent", "now OBSOLETE", "low confidence, unknown", "nothing", "两者不一致"), "p_partkey % 6")} AS t FROM part),
         k AS (SELECT p_partkey, t, CASE {" ".join(f"WHEN {x} <> '' THEN '{kind}'" for kind, x in _CONFLICT.items())} END AS kind FROM t)
         SELECT p_partkey, kind, CASE kind WHEN 'stale' THEN 'medium' WHEN 'uncertain' THEN 'low' ELSE 'high' END AS severity, CASE kind {" ".join(f"WHEN '{kind}' THEN {x}" for kind, x in _CONFLICT.items())} END AS matched FROM k WHERE kind IS NOT NULL""",
-    "retrieval_signals": f"{_HITS} " + " UNION ALL ".join(f"SELECT '{n}' AS signal, count(*) FILTER (WHERE {n} > 0) AS hits FROM hits" for n in _NAMES),
-    "retrieval_confidence": f"""{_HITS}, g AS (SELECT source, max(total) AS top, count(*) AS n, count(*) FILTER (WHERE lang = 'en') AS raw, max(CASE WHEN embedding > 0 THEN 1.0 WHEN lexical > 0.5 THEN 0.85 ELSE 0.45 END) AS coverage,
-        {" + ".join(f"max(CASE WHEN {n} > 0 THEN 1 ELSE 0 END)" for n in _NAMES)} AS signals FROM hits JOIN documents USING (doc_id) GROUP BY source),
-        sc AS (SELECT source, {S.q("least(1.0, least(1.0, greatest(0.0, top) / 1.2::DOUBLE) * 0.35::DOUBLE + least(1.0, n / 3.0::DOUBLE) * 0.15::DOUBLE + least(1.0, signals / 3.0::DOUBLE) * 0.2::DOUBLE + CAST(raw AS DOUBLE) / n * 0.15::DOUBLE + CAST(coverage AS DOUBLE) * 0.15::DOUBLE)", 2)} AS score FROM g)
-        SELECT source, score, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS level, score < 0.35 AS low FROM sc""",
+    "retrieval_signals": f"WITH {retrieval._HITS} " + " UNION ALL ".join(f"SELECT query, '{n}' AS signal, count(*) FILTER (WHERE {n} > 0) AS hits FROM hits GROUP BY query" for n in _NAMES),
+    "retrieval_confidence": f"""WITH {retrieval._HITS}, h AS (SELECT hits.*, coalesce(lang = 'en', false) AS raw, coalesce(source LIKE '%7', false) AND place <= 3 AS card FROM hits JOIN documents USING (doc_id) WHERE query % 60 > 0 AND (query % 80 > 0 OR place = 1)),
+        g AS (SELECT query, arg_min(total, place) AS top, arg_min(lexical <= 0 AND embedding > 0, place) AS alone, count(*) AS n, count(*) FILTER (WHERE raw) / count(*)::DOUBLE AS raw, max(card) AS card,
+          max(CASE WHEN embedding > 0.5 THEN 1.0 WHEN lexical > 0.5 THEN 0.85 ELSE 0.45 END)::DOUBLE AS coverage, {" + ".join(f"max(CASE WHEN {n} > 0 THEN 1 ELSE 0 END)" for n in _NAMES)} AS signals FROM h GROUP BY query),
+        p AS (SELECT vec_id AS query, {_case(MODES, f"(vec_id // 20) % {len(MODES)}")} AS mode, least(1.0, greatest(0.0, top) / 1.2::DOUBLE) AS a, least(1.0, n / 3.0::DOUBLE) AS b, least(1.0, signals / 3.0::DOUBLE) AS c, raw, coverage, card, alone, n
+          FROM embeddings LEFT JOIN g ON vec_id = query WHERE vec_id % 20 = 0),
+        z AS (SELECT *, n IS NULL OR mode IN ('fallback', 'stale-index', 'no-match') AS none, {S.q("least(1.0, greatest(0.0, a * 0.35::DOUBLE + b * 0.15::DOUBLE + c * 0.2::DOUBLE + raw * 0.15::DOUBLE + coverage * 0.15::DOUBLE - CASE WHEN card THEN 0.25::DOUBLE ELSE 0.0 END - CASE WHEN alone THEN 0.1::DOUBLE ELSE 0.0 END))", 3)} AS sc FROM p),
+        r AS (SELECT *, list_filter([CASE WHEN a >= 0.7 THEN 'strong-top-score' END, CASE WHEN b >= 0.67 THEN 'multiple-supporting-hits' END, CASE WHEN c >= 0.67 THEN 'multi-signal-retrieval' END, CASE WHEN raw >= 0.5 THEN 'raw-evidence-backed' END,
+          CASE WHEN coverage >= 0.85 THEN 'query-coverage-supported' END, CASE WHEN card THEN 'boilerplate-penalty' END, CASE WHEN alone THEN 'embedding-only-penalty' END], lambda x: x IS NOT NULL) AS why FROM z)
+        SELECT query, CASE WHEN none THEN 0.0 WHEN mode = 'overview' THEN 0.35 ELSE sc END AS score, CASE WHEN none THEN 'none' WHEN mode = 'overview' THEN 'low' WHEN sc >= 0.75 THEN 'high' WHEN sc >= 0.45 THEN 'medium' ELSE 'low' END AS level,
+          CASE WHEN none THEN mode <> 'no-match' WHEN mode = 'overview' THEN true ELSE sc < 0.35 OR (n = 1 AND raw = 0 AND c < 0.67) OR (card AND raw = 0 AND sc < 0.55) END AS low,
+          CASE WHEN none THEN CASE mode WHEN 'fallback' THEN 'retrieval-index-unavailable' WHEN 'stale-index' THEN 'retrieval-index-stale' ELSE 'no-retrieval-hits' END WHEN mode = 'overview' THEN 'overview-fallback-not-answer-evidence'
+            WHEN len(why) > 0 THEN array_to_string(why, ',') ELSE 'weak-retrieval-signals' END AS reasons FROM r""",
     "term_recall": f"""WITH a AS (SELECT DISTINCT item_id AS q, unnest({S.tokens("text")}) AS term FROM benchmark), d AS (SELECT doc_id AS q, {S.tokens("text")} AS words FROM documents), m AS (SELECT a.q, coalesce(list_contains(words, term), false) AS met FROM a LEFT JOIN d USING (q))
         SELECT q, count(*) FILTER (WHERE met) AS covered, count(*) AS expected, {S.q("CAST(count(*) FILTER (WHERE met) AS DOUBLE) / count(*)")} AS recall FROM m GROUP BY q""",
     "route_variants": f"""WITH w AS (SELECT DISTINCT unnest({S.tokens("text")}) AS word FROM documents), f AS (SELECT word, list_filter([word, CASE WHEN word LIKE '%ies' AND length(word) > 4 THEN left(word, length(word) - 3) || 'y' END, CASE WHEN word LIKE '%s' AND length(word) > 4 THEN left(word, length(word) - 1) END,

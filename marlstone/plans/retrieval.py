@@ -8,19 +8,31 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import tokens
 from marlstone.operators import retrieval as R
 from marlstone.plans import sql as S
-from marlstone.sources.tables import table
+from marlstone.sources.tables import exists, table
 
 QUERY = ["thing", "eden", "tion", "ist"]
 VARIANT = ["heit", "eden", "ion"]
 K = 20
 
 
+#: Indexes that this process has written, by application and folder of tables.
+_INDEXES: dict[tuple[str, str], R.Index] = {}
+
+
+def lexical(spark: SparkSession, sf_dir: str) -> R.Index:
+    """The index of the documents: written once for a folder of tables, and again only if it has been cleared away."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _INDEXES or not exists(spark, _INDEXES[at].path):
+        _INDEXES[at] = R.index(table(spark, sf_dir, "documents"))
+    return _INDEXES[at]
+
+
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top(R.bm25(table(spark, sf_dir, "documents"), QUERY), K).select("doc_id", "score", F.array_join("terms", ",").alias("terms"))
+    return R.top(R.bm25(lexical(spark, sf_dir), QUERY), K).select("doc_id", "score", F.array_join("terms", ",").alias("terms"))
 
 
 def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(table(spark, sf_dir, "documents"), QUERY, title="source").select("doc_id", "score")
+    return R.bm25(lexical(spark, sf_dir), QUERY, table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"))).select("doc_id", "score")
 
 
 def lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,36 +44,36 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.greatest(F.lit(1), F.size(words)).cast("long").alias("n_tokens"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
 
 
-def _vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()[0]
-
-
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors nearest to each whose number is divisible by 20, among all."""
     vectors = table(spark, sf_dir, "embeddings")
     return R.nearest(vectors, vectors.filter("vec_id % 20 = 0"), K).select("query", "vec_id", F.col("similarity").alias("score"), "place")
 
 
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The K best documents by words and vector for each vector whose number is divisible by 20, asked with the same question in words."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return R.hybrid_nearest(R.bm25(lexical(spark, sf_dir), QUERY), vectors, vectors.filter("doc_id % 20 = 0"), K)
+
+
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = R.similar(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir)).withColumnRenamed("vec_id", "doc_id")
-    found = R.hybrid(R.bm25(table(spark, sf_dir, "documents"), QUERY), vectors)
-    return found.orderBy(F.desc("total"), F.desc("lexical"), "doc_id").limit(K)
+    return hits(spark, sf_dir).withColumn("place", F.col("place").cast("long"))
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return R.top(R.fuse([R.top(R.bm25(docs, QUERY), 200), R.top(R.bm25(docs, VARIANT), 200)]), 50)
+    found = lexical(spark, sf_dir)
+    return R.top(R.fuse([R.top(R.bm25(found, QUERY), 200), R.top(R.bm25(found, VARIANT), 200)]), 50)
 
 
 def query_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.coverage(R.bm25(table(spark, sf_dir, "documents"), QUERY), QUERY)
+    found = R.coverage(R.bm25(lexical(spark, sf_dir), QUERY), QUERY)
     return found.groupBy("reason", "allowed").agg(F.count("*").alias("n"))
 
 
 def evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     citations, characters = R.evidence_budget(docs.count())
-    best = R.top(R.bm25(docs, QUERY), citations).join(docs.select("doc_id", "text"), "doc_id")
+    best = R.top(R.bm25(lexical(spark, sf_dir), QUERY), citations).join(docs.select("doc_id", "text"), "doc_id")
     return R.within_budget(best, characters, order=(F.desc("score"), "doc_id")).select("doc_id", "score", F.length("text").cast("long").alias("n_chars"), F.col("so_far").cast("long").alias("so_far"))
 
 
@@ -75,7 +87,7 @@ def graph_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rerank_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = R.top(R.bm25(table(spark, sf_dir, "documents"), QUERY), 40).withColumnRenamed("score", "total").drop("terms")
+    hits = R.top(R.bm25(lexical(spark, sf_dir), QUERY), 40).withColumnRenamed("score", "total").drop("terms")
     scores = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 3.0 - F.col("toxic")).alias("score"))
     return R.rerank(hits, scores, 20).select("doc_id", "total", "reranked", "position")
 
@@ -109,14 +121,14 @@ def _bm25(name: str, query: list[str], title: bool = False) -> str:
     {name} AS (SELECT doc_id, {S.q(" + ".join(parts), 6)} AS score, list_filter([{hits}], lambda t: t IS NOT NULL) AS terms FROM {name}_parsed, {name}_stats WHERE {some})"""
 
 
-_COSINE = """
-    wanted AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
-    alike AS (
-        SELECT vec_id, CASE WHEN c >= 0.15 THEN c ELSE 0.0 END AS similarity FROM (
-            SELECT vec_id, list_reduce(list_transform(range(1, len(embedding) + 1), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(v[i] AS DOUBLE)), lambda a, b: a + b)
-              / (sqrt(list_reduce(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)), lambda a, b: a + b))
-              * sqrt(list_reduce(list_transform(v, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)), lambda a, b: a + b))) AS c
-            FROM embeddings, wanted))"""
+#: CTEs that end in hits (query, doc_id, lexical, ...), ranked.
+_HITS = f"""{_bm25("s", QUERY)}, best AS (SELECT max(score) AS m FROM s),
+    asked AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0),
+    docs AS (SELECT coalesce(doc_id, vec_id) AS doc_id, coalesce(score / m, 0.0) AS lex, CAST(embedding AS DOUBLE[]) AS x FROM (SELECT * FROM s, best) l FULL JOIN embeddings ON doc_id = vec_id),
+    alike AS (SELECT query, doc_id, lex, CASE WHEN x IS NULL THEN 0.0 WHEN list_cosine_similarity(v, x) >= 0.15 THEN list_cosine_similarity(v, x) ELSE 0.0 END AS emb FROM asked, docs),
+    t AS (SELECT query, doc_id, lex, {S.q("lex", 6)} AS lexical, {S.q("emb", 6)} AS embedding, 0.0 AS graph, 0.0 AS taxonomy, CASE WHEN lex > 0 THEN 0.05 ELSE 0.0 END AS metadata,
+          {S.q("lex + CASE WHEN lex > 0 THEN emb * 0.35 ELSE least(emb * 0.35, 0.2) END + 0.0 + 0.0 + CASE WHEN lex > 0 THEN 0.05 ELSE 0.0 END", 6)} AS total FROM alike),
+    hits AS (SELECT query, doc_id, lexical, embedding, graph, taxonomy, metadata, total, row_number() OVER (PARTITION BY query ORDER BY total DESC, lex DESC, doc_id) AS place FROM t WHERE total > 0 QUALIFY place <= {K})"""
 _EDGES = "edges AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_partkey <> l_suppkey)"
 
 ORACLE = {
@@ -126,11 +138,7 @@ ORACLE = {
     "token_counts": f"SELECT doc_id, greatest(1, len(w)) AS n_tokens, len(list_distinct(w)) AS n_distinct FROM (SELECT doc_id, {S.tokens('text')} AS w FROM documents)",
     "vector_search": f"""WITH c AS (SELECT a.vec_id AS query, b.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0),
         s AS (SELECT query, vec_id, {S.q("CASE WHEN c >= 0.15 THEN c ELSE 0.0 END", 6)} AS score FROM c) SELECT query, vec_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS place FROM s QUALIFY place <= {K}""",
-    "hybrid_search": f"""WITH {_bm25("s", QUERY)}, {_COSINE}, best AS (SELECT max(score) AS m FROM s),
-        j AS (SELECT coalesce(doc_id, vec_id) AS doc_id, coalesce(score / m, 0.0) AS lex, coalesce(similarity, 0.0) AS emb FROM (SELECT * FROM s, best) x FULL JOIN alike ON doc_id = vec_id),
-        t AS (SELECT doc_id, {S.q("lex", 6)} AS lexical, {S.q("emb", 6)} AS embedding, 0.0 AS graph, 0.0 AS taxonomy, CASE WHEN lex > 0 THEN 0.05 ELSE 0.0 END AS metadata,
-              {S.q("lex + CASE WHEN lex > 0 THEN emb * 0.35 ELSE least(emb * 0.35, 0.2) END + 0.0 + 0.0 + CASE WHEN lex > 0 THEN 0.05 ELSE 0.0 END", 6)} AS total FROM j)
-        SELECT * FROM t WHERE total > 0 ORDER BY total DESC, lexical DESC, doc_id LIMIT {K}""",
+    "hybrid_search": f"WITH {_HITS} SELECT * FROM hits",
     "rrf_fusion": f"""WITH {_bm25("a", QUERY)}, {_bm25("b", VARIANT)},
         ra AS (SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id) - 1) AS part FROM (SELECT * FROM a ORDER BY score DESC, doc_id LIMIT 200)),
         rb AS (SELECT doc_id, 0.7 / (60 + row_number() OVER (ORDER BY score DESC, doc_id) - 1) AS part FROM (SELECT * FROM b ORDER BY score DESC, doc_id LIMIT 200))

@@ -26,6 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in whatever store Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, and survives a lost executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -107,8 +107,12 @@ def test_numbers(spark):
 
 def test_retrieval_of_nothing(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "alpha beta alpha")], "doc_id long, text string")
-    assert [r.doc_id for r in retrieval.bm25(docs, ["alpha", "alpha"]).collect()] == [3]
-    assert retrieval.bm25(docs.limit(0), ["alpha"]).count() == 0
+    found = retrieval.index(docs)
+    assert (found.n, found.average) == (3, 5 / 3)
+    assert [(r.doc_id, r.terms) for r in retrieval.bm25(found, ["alpha", "alpha", "gamma"]).collect()] == [(3, ["alpha"])]
+    assert retrieval.bm25(found, []).count() == 0 and retrieval.bm25(retrieval.index(docs.limit(0)), ["alpha"]).count() == 0
+    titles = docs.select("doc_id", F.lit("ALPHA").alias("title"))
+    assert round(retrieval.bm25(found, ["alpha"], titles).first().score - retrieval.bm25(found, ["alpha"]).first().score, 6) == 0.25
     assert retrieval.evidence_budget(99) == (4, 6000) and retrieval.evidence_budget(5000) == (10, 30000) and retrieval.evidence_budget(6000, 0) == (1, 40000)
 
 
