@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import catalog, content, knowledge, lints, market, policy, reports, retrieval, streams, structure, trading, walks
+from marlstone.plans import catalog, content, knowledge, lints, market, messages, policy, reports, retrieval, streams, structure, trading, walks
 
-MODULES = (retrieval, market, trading, content, reports, streams, knowledge, structure, policy, lints, catalog, walks)
+MODULES = (retrieval, market, trading, content, reports, streams, knowledge, structure, policy, lints, catalog, walks, messages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
