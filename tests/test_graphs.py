@@ -1,5 +1,7 @@
 """Chains and cycles of any length; vector search against plain numpy."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +32,46 @@ def test_cycles_of_any_length_are_found(spark):
     assert graphs.cycle_nodes(edges(spark, [(1, 2), (2, 3)])).count() == 0 and graphs.cycle_nodes(edges(spark, [])).count() == 0
 
 
+def plain_cycle_nodes(pairs):
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    found = set()
+    for start in out:
+        seen, todo = set(), list(out[start])
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += out.get(x, ())
+        if start in seen:
+            found.add(start)
+    return found
+
+
+def test_cycles_of_random_graphs(spark):
+    rng = random.Random(8)
+    for n, m in ((12, 14), (30, 33), (40, 60), (25, 80)):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        assert {r.node for r in graphs.cycle_nodes(edges(spark, pairs)).collect()} == plain_cycle_nodes(pairs), pairs
+
+
+def test_long_chains_rings_and_trees_take_few_rounds(spark):
+    import time
+
+    n = 10_000
+    ids = spark.range(n).withColumnRenamed("id", "a")
+    chain = ids.select("a", (F.col("a") + 1).alias("b"))
+    began = time.time()
+    assert graphs.cycle_nodes(chain).count() == 0
+    assert time.time() - began < 60
+    ring = chain.union(spark.createDataFrame([(n, 0)], "a long, b long"))
+    leaves = ids.select("a", (F.col("a") + 1_000_000).alias("b"))  # each node of the ring leads to a dead end too
+    began = time.time()
+    assert graphs.cycle_nodes(ring.union(leaves)).count() == n + 1
+    assert time.time() - began < 120
+
+
 def test_nearest_vectors_are_those_of_brute_force(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "BLOCK", 3)
     rng = np.random.default_rng(4)
