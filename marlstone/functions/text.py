@@ -19,9 +19,9 @@ STOP_WORDS = (
 )
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, least: int = 3, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """Search tokens in order: runs of letters and numbers in lower case; of a run with ASCII parts, these parts and
-    what is left of it; at least three long and no stop words. Null counts as empty."""
+    what is left of it; at least `least` long and no stop words. Null counts as empty."""
 
     def parts(run: Column) -> Column:
         left = F.trim(F.regexp_replace(run, "[a-z0-9]+", " "))
@@ -31,7 +31,7 @@ def tokens(text: Column) -> Column:
         return F.when(ascii_only, F.array(run)).otherwise(F.when(F.size(plain) == 0, F.array(run)).otherwise(F.concat(plain, more)))
 
     def sought(words: Column) -> Column:
-        return F.filter(words, lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS))
+        return F.filter(words, lambda t: (F.length(t) >= least) & ~t.isin(*stop))
 
     def runs(low: Column) -> Column:
         # a text of ASCII characters has no mixed runs

@@ -7,13 +7,13 @@ def q(x: str, digits: int = 4) -> str:
     return f"floor(({x}) * {float(10**digits)} + 0.5) / {float(10**digits)}"
 
 
-def tokens(text: str) -> str:
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+def tokens(text: str, least: int = 3, words: tuple[str, ...] = STOP_WORDS) -> str:
+    stop = ", ".join(f"'{w}'" for w in words)
     plain = "regexp_extract_all(r, '[a-z0-9]+')"
     left = "trim(regexp_replace(r, '[a-z0-9]+', ' ', 'g'))"
     parts = f"CASE WHEN len({plain}) = 0 THEN [r] ELSE list_concat({plain}, CASE WHEN {left} <> '' AND length({left}) <> length(r) THEN [{left}] ELSE [] END) END"
     runs = f"string_split_regex(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+')"
-    return f"list_filter(flatten(list_transform({runs}, lambda r: {parts})), lambda t: length(t) >= 3 AND t NOT IN ({stop}))"
+    return f"list_filter(flatten(list_transform({runs}, lambda r: {parts})), lambda t: length(t) >= {least} AND t NOT IN ({stop}))"
 
 
 BARS = """
