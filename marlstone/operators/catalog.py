@@ -156,10 +156,3 @@ def integrity(chunks: DataFrame, required: tuple[str, ...]) -> DataFrame:
 def undeclared(text: Column, declared: Column) -> Column:
     """The assets that a text refers to, as `asset:name`, that aren't declared, each once, in order of their names."""
     return F.array_sort(F.array_except(F.array_distinct(F.regexp_extract_all(text, F.lit("asset:([A-Za-z0-9_-]+)"), F.lit(1))), declared))
-
-
-def fenced_json(text: Column, schema: str) -> Column:
-    """A value of JSON in what a model wrote: within a code fence where there is one, else from the first brace to the last; null where it isn't JSON."""
-    fence = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    bare = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.from_json(F.when(fence != "", F.trim(fence)).otherwise(bare), schema)

@@ -62,16 +62,16 @@ def query_tokens(text: Column) -> Column:
 def contained(texts: DataFrame, key: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
     """(key, needle): the distinct needles of two letters or more that a text holds anywhere, not at words' bounds alone.
 
-    A needle is sought by its first ANCHOR letters, which are joined by equality with the runs of as many letters that a text has; what is longer is then looked
-    up in the text. So a text meets only needles that begin somewhere in it, and isn't copied for its runs.
+    A needle is sought by its first ANCHOR letters, which are joined by equality with the runs of as many letters that a text has (found in one pass, by looking
+    ahead); the text then decides. So a text meets only needles that begin somewhere in it, and isn't copied for its runs.
     """
     wanted = needles.select(needle).filter(F.length(needle) > 1).distinct().withColumn("_anchor", F.substring(needle, 1, ANCHOR))
-    runs = lambda m: F.when(F.length(text) >= m, F.transform(F.sequence(F.lit(1), F.length(text) - m + 1), lambda i: F.substr(text, i, F.lit(m)))).otherwise(F.array().cast("array<string>"))
     lengths = sorted(r[0] for r in wanted.select(F.length("_anchor").alias("n")).distinct().collect())
-    windows = F.array_distinct(F.flatten(F.array(*map(runs, lengths)))) if lengths else F.array().cast("array<string>")
+    if not lengths:
+        return texts.select(key, F.lit("").alias(needle)).limit(0)
+    windows = F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{m}}}))"), F.lit(1)) for m in lengths))))
     met = texts.select(key, F.explode(windows).alias("_anchor")).join(wanted, "_anchor").drop("_anchor")
-    short, long = met.filter(F.length(needle) <= ANCHOR), met.filter(F.length(needle) > ANCHOR)
-    return short.union(long.join(texts.select(key, text), key).filter(F.contains(text, needle)).select(key, needle))
+    return met.join(texts.select(key, text), key).filter(F.contains(text, needle)).select(key, needle)
 
 
 def points(questions: DataFrame, key: str, question: str, fields: DataFrame) -> DataFrame:

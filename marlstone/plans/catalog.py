@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions import jsonish as J
 from marlstone.functions import text as X
 from marlstone.operators import bars as B
 from marlstone.operators import catalog as C
@@ -110,7 +111,31 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = F.pmod("event_id", F.lit(3))
     inner = F.concat(F.lit('{"user": {"id": '), F.col("user_id").cast("string"), F.lit('}, "kinds": ["'), F.col("event_type"), F.lit('"]}'))
     said = F.when(form == 0, F.concat(F.lit("Here:\n```json\n"), inner, F.lit("\n```\ndone {}"))).when(form == 1, F.concat(F.lit("I say "), inner, F.lit(" so"))).otherwise("no json")
-    return table(spark, sf_dir, "events").select("event_id", C.fenced_json(said, "user struct<id:long>, kinds array<string>").alias("j")).select("event_id", F.col("j.user.id").alias("user_id"), F.get("j.kinds", F.lit(0)).alias("kind"))
+    return table(spark, sf_dir, "events").select("event_id", J.read_json(said, "user struct<id:long>, kinds array<string>").alias("j")).select("event_id", F.col("j.user.id").alias("user_id"), F.get("j.kinds", F.lit(0)).alias("kind"))
+
+
+def mended_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as objects that a model wrote, damaged in nine ways, and read back: fenced, trailing and missing commas, Python's words and quotes, comments, brackets that are missing or too many, a wrapped answer."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("-")).alias("source"))
+    escaped = lambda x: F.regexp_extract(F.to_json(F.struct(x.alias("x"))), r'(?s)^\{"x":(".*")\}$', 1)
+    text, source, id_ = escaped(F.col("text")), escaped(F.col("source")), F.col("doc_id").cast("string")
+    own = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    plain = own('{"doc": {"body": ', text, ', "tags": [', source, ', "x"]}, "id": ', id_, ', "ok": true}')
+    said = {
+        0: own("Here:\n```json\n", plain, "\n```\ndone {}"),
+        1: own('{"doc": {"body": ', text, ', "tags": [', source, ', "x",],}, "id": ', id_, ', "ok": true,}'),
+        2: own('{"doc": {"body": ', text, ' "tags": [', source, ' "x"]} "id": ', id_, ' "ok": True}'),
+        3: own("so {doc: {'body': ", text, ", 'tags': [", source, ", 'x']}, id: ", id_, ", ok: True} it is"),
+        4: own('{"doc": /* whole, { */ {"body": ', text, ', // a } here\n "tags": [', source, ', "x"]}, "id": ', id_, ', "ok": true}'),
+        5: own('{"doc": {"body": ', text, ', "tags": [', source, ', "x"}, "id": ', id_, ', "ok": true'),
+        6: own('{"ok": true, "id": ', id_, ', "doc": {"body": ', text, ', "tags": [', source, ', "x'),
+        7: own('{"answer": ', escaped(own("```json\n", plain, "\n```")), "}"),
+    }
+    out = F.lit("not an object")
+    for form, one in said.items():
+        out = F.when(F.pmod("doc_id", F.lit(9)) == form, one).otherwise(out)
+    read = docs.select("doc_id", F.from_json(J.unwrapped(out), "doc struct<body:string, tags:array<string>>, id long, ok boolean").alias("j"))
+    return read.select("doc_id", F.sha2("j.doc.body", 256).alias("sha"), F.length("j.doc.body").cast("long").alias("n"), F.array_join("j.doc.tags", ",").alias("tags"), F.col("j.id").alias("id"), F.col("j.ok").alias("ok"))
 
 
 def watch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +151,7 @@ def watch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        best_series, routed_providers, position_prices, chunkable_pages, bridge_links, related_sources, source_mismatches, word_grams, new_collections, rephrased_questions, manifest_issues, undeclared_assets, model_outputs, watch_list,
+        best_series, routed_providers, position_prices, chunkable_pages, bridge_links, related_sources, source_mismatches, word_grams, new_collections, rephrased_questions, manifest_issues, undeclared_assets, model_outputs, mended_outputs, watch_list,
     )
 }
 
@@ -177,5 +202,7 @@ ORACLE = {
         r AS (SELECT CASE k % 8 WHEN 0 THEN n WHEN 1 THEN n WHEN 2 THEN n WHEN 3 THEN lpad(right(n, 3), 5, '0') WHEN 4 THEN 'BRK.B' END AS valid, CASE WHEN k % 8 = 5 THEN '#none' END AS odd, CASE WHEN k % 5 > 0 THEN title END AS name FROM p),
         f AS (SELECT coalesce(valid, u.code) AS code, coalesce(name, CASE WHEN valid IS NULL THEN odd END) AS name FROM r LEFT JOIN u ON valid IS NULL AND u.title = coalesce(name, odd) WHERE valid IS NOT NULL OR odd IS NOT NULL OR name IS NOT NULL)
         SELECT code, name, count(*) AS n FROM f GROUP BY ALL""",
+    "mended_outputs": """WITH d AS (SELECT doc_id, doc_id % 9 < 8 AS is_json, coalesce(text, '') AS text, coalesce(source, '-') AS source FROM documents)
+        SELECT doc_id, CASE WHEN is_json THEN sha256(text) END AS sha, CASE WHEN is_json THEN length(text) END AS n, CASE WHEN is_json THEN source || ',x' END AS tags, CASE WHEN is_json THEN doc_id END AS id, CASE WHEN is_json THEN true END AS ok FROM d""",
     "model_outputs": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN user_id END AS user_id, CASE WHEN event_id % 3 < 2 THEN event_type END AS kind FROM events",
 }

@@ -11,7 +11,7 @@ from marlstone.operators import composition
 from marlstone.operators import scoring as T
 from marlstone.plans import catalog
 from marlstone.plans import sql as S
-from marlstone.sources.tables import table
+from marlstone.sources.tables import materialize, table
 
 #: Which of a source's commonest words tell a field of its template: part, item, field, from which place, and how many.
 SLOTS = (
@@ -37,7 +37,7 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("source IS NOT NULL")
     counted = docs.select(F.col("source").alias("target"), F.explode(T.query_tokens(F.col("text"))).alias("term")).groupBy("target", "term").agg(F.count("*").alias("n"))
     ranked = counted.withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("n"), "term")) - 1)
-    return ranked.filter(F.col("k") < 24).select("target", "k", "term")
+    return materialize(ranked.filter(F.col("k") < 24).select("target", "k", "term"), "template-words")
 
 
 def _fields(words: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def _scored(spark: SparkSession, sf_dir: str, words: DataFrame) -> DataFrame:
     asked = _questions(spark, sf_dir)
     places = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(k).alias("k"), F.lit(n).alias("points")) for rule, k, n in RULES))
     rules = words.join(F.broadcast(spark.range(1).select(F.inline(places))), "k").select("target", "rule", "term", "points")
-    return T.item_scores(T.points(asked, "asked", "text", _fields(words)), "asked").union(T.rule_points(asked, "asked", "text", rules))
+    return materialize(T.item_scores(T.points(asked, "asked", "text", _fields(words)), "asked").union(T.rule_points(asked, "asked", "text", rules)), "template-scores")
 
 
 def template_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def _items(part: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         words = _words(spark, sf_dir)
         asked = _questions(spark, sf_dir)
-        scored = T.item_scores(T.points(asked, "asked", "text", _fields(words)), "asked")
+        scored = materialize(T.item_scores(T.points(asked, "asked", "text", _fields(words)), "asked"), "template-items")
         found = T.item_ranks(asked, "asked", scored, _entries(words), part)
         return found.withColumn("place", F.col("place").cast("long"))
 
@@ -91,7 +91,7 @@ def profile_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = words.withColumn("dimension", dims).filter("dimension IS NOT NULL").groupBy("target").agg(F.collect_list(F.struct("dimension", "term")).alias("terms"), F.min("term").alias("least"))
     kinds = F.filter(F.array(F.when(F.length("target") % 2 == 0, "primary"), F.lit("supporting"), F.when(F.ascii("least") % 2 == 0, "style")), lambda r: r.isNotNull())
     profiles = own.select("target", kinds.alias("roles"), F.array(F.substring("target", -1, 1)).alias("negative_for"), "terms")
-    found = T.profile_scores(_questions(spark, sf_dir), "asked", "text", profiles)
+    found = materialize(T.profile_scores(_questions(spark, sf_dir), "asked", "text", profiles), "profile-scores")
     placed = composition.compose(found, "asked")
     return placed.withColumn("place", F.col("place").cast("long")).join(found.select("asked", "target", "score", "assigned"), ["asked", "target"])
 
