@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import catalog, content, entities, knowledge, lints, market, messages, policy, reports, retrieval, routing, scoring, stores, streams, structure, trading, walks
+from marlstone.plans import catalog, content, entities, knowledge, lints, market, messages, policy, reports, retrieval, routing, scoring, stores, strategies, streams, structure, trading, walks
 
-MODULES = (retrieval, market, trading, content, reports, streams, knowledge, structure, policy, lints, catalog, walks, messages, entities, stores, routing, scoring)
+MODULES = (retrieval, market, trading, content, reports, streams, knowledge, structure, policy, lints, catalog, walks, messages, entities, stores, routing, scoring, strategies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
