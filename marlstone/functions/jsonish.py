@@ -81,8 +81,9 @@ def unwrapped(text: Column) -> Column:
     """`mended` of a text, or of what a service wrapped in one of its fields where that holds an object itself."""
 
     def inner(outer: Column) -> Column:
-        held = F.coalesce(*(F.when(F.contains(F.get_json_object(outer, path), F.lit("{")), F.get_json_object(outer, path)) for path in WRAPPED))
-        return F.coalesce(mended(held), outer)
+        held = F.filter(F.array(*(F.get_json_object(outer, path) for path in WRAPPED)), lambda x: F.contains(x, F.lit("{")))
+        named = F.regexp_like(outer, F.lit('"(?:text|answer|response|generated_text|choices)"'))
+        return F.coalesce(mended(F.when(named, F.get(held, F.lit(0)))), outer)
 
     return let(mended(text), inner)
 
