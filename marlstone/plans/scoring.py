@@ -28,8 +28,9 @@ CONFIDENCES, PRIOR = ("high", "medium", "low"), 5
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text of a turn once."""
-    return table(spark, sf_dir, "conversations").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("asked"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    """Each text of a turn once, written, as it is read for words and for phrases."""
+    said = table(spark, sf_dir, "conversations").select(F.coalesce("text", F.lit("")).alias("text"))
+    return materialize(said.select(F.sha2("text", 256).alias("asked"), "text").distinct(), "template-questions")
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +61,7 @@ def template_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("points", F.col("points").cast("long")).withColumn("tokens", F.array_join("tokens", ","))
 
 
-def _scored(spark: SparkSession, sf_dir: str, words: DataFrame) -> DataFrame:
-    asked = _questions(spark, sf_dir)
+def _scored(spark: SparkSession, asked: DataFrame, words: DataFrame) -> DataFrame:
     places = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(k).alias("k"), F.lit(n).alias("points")) for rule, k, n in RULES))
     rules = words.join(F.broadcast(spark.range(1).select(F.inline(places))), "k").select("target", "rule", "term", "points")
     return materialize(T.item_scores(T.points(asked, "asked", "text", _fields(words)), "asked").union(T.rule_points(asked, "asked", "text", rules)), "template-scores")
@@ -69,8 +69,8 @@ def _scored(spark: SparkSession, sf_dir: str, words: DataFrame) -> DataFrame:
 
 def template_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best templates of each turn."""
-    words = _words(spark, sf_dir)
-    return T.ranked(_questions(spark, sf_dir), "asked", _scored(spark, sf_dir, words), _entries(words), 5)
+    words, asked = _words(spark, sf_dir), _questions(spark, sf_dir)
+    return T.ranked(asked, "asked", _scored(spark, asked, words), _entries(words), 5)
 
 
 def _items(part: str):
