@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import quantise
 from marlstone.operators.catalog import grams
+from marlstone.sources.tables import materialize
 
 #: Words and Han runs that tell nothing of a request, and terms too weak for a profile.
 STOP = (
@@ -80,35 +81,51 @@ def contained(texts: DataFrame, key: str, text: str, needles: DataFrame, needle:
     return met.join(texts.select(key, text), key).filter(F.contains(text, needle)).select(key, needle)
 
 
-def points(questions: DataFrame, key: str, question: str, fields: DataFrame) -> DataFrame:
+def _small(rows: DataFrame, *texts: str) -> DataFrame:
+    """Rows to be broadcast if their texts have at most BROADCAST letters, counting 64 more a row; else as they are."""
+    size = rows.agg(F.sum(sum((F.length(t) for t in texts), F.lit(64)))).first()[0]
+    return F.broadcast(rows) if (size or 0) <= BROADCAST else rows
+
+
+def _asked(questions: DataFrame, key: str, question: str) -> DataFrame:
+    """(key, _q), by key: what is found in a question stays in its task, so that only questions are shuffled, not what they have in common with fields."""
+    return questions.select(key, said(F.col(question)).alias("_q")).filter("_q <> ''").repartition(key)
+
+
+def points(questions: DataFrame, key: str, question: str, fields: DataFrame, reasons: bool = True) -> DataFrame:
     """(key, target, part, item, field, points, phrase, same, tokens): what the fields (target, part, item, field, text) of templates have in common with questions.
 
     A field scores by its phrase, where the question holds it or is held by it, and by its words that the question has, up to the field's cap. What speaks against an
     item counts by its phrase, else by its words. A question that is just the text of a case adds to it. Null texts and fields of no known part are left out, repeated rows count once;
-    keys are unique.
+    keys are unique. Fields are numbered and written once, so that a pair is two numbers. Without reasons there is no column of tokens; they are only counted.
     """
     c = F.col
     spec = F.create_map(*(x for (part, field), (a, b, cap) in FIELDS.items() for x in (F.lit(f"{part}/{field}"), F.array(F.lit(a), F.lit(b), F.lit(cap)))))
     told = fields.select("target", "part", "item", "field", said(c("text")).alias("_text"), F.try_element_at(spec, F.concat_ws("/", "part", "field")).alias("_spec"))
-    told = told.filter("_text <> '' AND _spec IS NOT NULL").distinct().withColumn("_id", F.sha2(F.to_json(F.struct("target", "part", "item", "field", "_text")), 256))
-    asked = questions.select(key, said(c(question)).alias("_q")).filter("_q <> ''")
+    told = told.filter("_text <> '' AND _spec IS NOT NULL").distinct().withColumn("_id", F.monotonically_increasing_id())
+    told = _small(materialize(told, "template-fields"), "_text")
+    asked = _asked(questions, key, question)
+    yes, no = F.lit(True), F.lit(False)
     words = asked.select(key, F.explode(query_tokens(c("_q"))).alias("term"))
-    shared = words.join(told.select("_id", F.explode(query_tokens(c("_text"))).alias("term")), "term").groupBy(key, "_id").agg(F.array_sort(F.collect_set("term")).alias("tokens"))
-    within = contained(asked, key, "_q", told, "_text").join(told.select("_text", "_id"), "_text").select(key, "_id")
+    terms = _small(told.select("_id", F.explode(query_tokens(c("_text"))).alias("term")), "term")
+    shared = words.join(terms, "term").select(key, "_id", "term", no.alias("phrase"), no.alias("same"))
+    nothing = F.lit(None).cast("string").alias("term")
+    within = contained(asked, key, "_q", told, "_text").join(told.select("_text", "_id"), "_text").select(key, "_id", nothing, yes.alias("phrase"), no.alias("same"))
     helpful = told.filter(c("_spec")[0] > 0)
-    around = contained(helpful.select("_text", c("_text").alias("_in")).distinct(), "_text", "_in", asked, "_q").join(helpful.select("_text", "_id"), "_text").join(asked, "_q").select(key, "_id")
-    phrases = within.union(around).distinct().withColumn("phrase", F.lit(True))
-    same = asked.join(told.filter(c("part").isin(*SAME) & c("field").isin("title", "preview", "prompt")).select("_id", c("_text").alias("_q")), "_q").select(key, "_id", F.lit(True).alias("same"))
-    found = shared.join(phrases, [key, "_id"], "full").join(same, [key, "_id"], "full").join(told, "_id")
-    phrase, n = F.coalesce("phrase", F.lit(False)), F.coalesce(F.size("tokens"), F.lit(0))
-    n = F.greatest(n, F.lit(0))
-    first = F.when(phrase, c("_spec")[0]).otherwise(0)
+    # What is held by a field is no longer than the longest.
+    longest = helpful.agg(F.max(F.length("_text"))).first()[0] or 0
+    short = asked.filter(F.length("_q") <= longest)
+    around = contained(helpful.select("_text", c("_text").alias("_in")).distinct(), "_text", "_in", short, "_q").join(helpful.select("_text", "_id"), "_text").join(short, "_q")
+    around = around.select(key, "_id", nothing, yes.alias("phrase"), no.alias("same")).repartition(key)
+    cases = told.filter(c("part").isin(*SAME) & c("field").isin("title", "preview", "prompt"))
+    same = asked.join(cases.select("_id", c("_text").alias("_q")), "_q").select(key, "_id", nothing, no.alias("phrase"), yes.alias("same"))
+    tokens = F.array_sort(F.collect_set("term")) if reasons else F.count("term")
+    found = shared.union(within).union(around).union(same).groupBy(key, "_id").agg(tokens.alias("tokens"), F.max("phrase").alias("phrase"), F.max("same").alias("same")).join(told, "_id")
+    n = (F.size("tokens") if reasons else c("tokens")).cast("int")
+    first = F.when(c("phrase"), c("_spec")[0]).otherwise(0)
     good = F.least(first + F.greatest(F.lit(0), F.least(c("_spec")[2] - first, n * c("_spec")[1])), c("_spec")[2])
-    bad = F.when(phrase, c("_spec")[0]).otherwise(F.greatest(c("_spec")[2], n * c("_spec")[1]))
-    return found.select(
-        key, "target", "part", "item", "field", F.when(c("_spec")[0] > 0, good).otherwise(bad).alias("points"), phrase.alias("phrase"), F.coalesce("same", F.lit(False)).alias("same"),
-        F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"),
-    )
+    bad = F.when(c("phrase"), c("_spec")[0]).otherwise(F.greatest(c("_spec")[2], n * c("_spec")[1]))
+    return found.select(key, "target", "part", "item", "field", F.when(c("_spec")[0] > 0, good).otherwise(bad).alias("points"), "phrase", "same", *(["tokens"] if reasons else []))
 
 
 def catalogue(templates: DataFrame, items: DataFrame) -> DataFrame:
@@ -132,8 +149,8 @@ def item_scores(found: DataFrame, key: str) -> DataFrame:
 
 def rule_points(questions: DataFrame, key: str, question: str, rules: DataFrame) -> DataFrame:
     """(key, target, part, item, score) of rules (target, rule, term, points): a rule adds its points once where a question holds any of its terms, or has it as a word. A guard's penalty is its template's base."""
-    told = rules.select("target", "rule", "points", said(F.col("term")).alias("_text")).filter("_text <> ''").distinct()
-    asked = questions.select(key, said(F.col(question)).alias("_q"))
+    told = _small(rules.select("target", "rule", "points", said(F.col("term")).alias("_text")).filter("_text <> ''").distinct(), "_text")
+    asked = _asked(questions, key, question)
     words = asked.select(key, F.explode(query_tokens(F.col("_q"))).alias("_text"))
     met = contained(asked, key, "_q", told, "_text").union(words).join(told, "_text").select(key, "target", "rule", "points").distinct()
     return met.groupBy(key, "target").agg(F.sum("points").alias("score")).select(key, "target", F.lit("own").alias("part"), F.lit("").alias("item"), "score")
@@ -168,8 +185,12 @@ def ranked(questions: DataFrame, key: str, scored: DataFrame, entries: DataFrame
     one = fixed.agg(F.array_sort(F.collect_list(order(F.col("score")))).alias("_all"))
     one = one.select(F.when(F.size("_all") <= TEMPLATES, F.col("_all")).otherwise(F.raise_error(F.lit(f"more than {TEMPLATES} templates"))).alias("_fixed"))
     added = scored.groupBy(key, "target", "part", "item").agg(F.sum("score").alias("more"))
-    pairs = added.select(key, "target").distinct().join(base, "target").join(added, [key, "target", "part", "item"], "left")
-    own = totals(pairs.select(key, "target", "part", (F.col("base") + F.coalesce("more", F.lit(0))).alias("score")), [key, "target"])
+    item = lambda score, known: F.collect_list(F.struct("part", "item", F.col(score).cast("long").alias("score"), F.lit(known).alias("known")))
+    held = base.groupBy("target").agg(item("base", True).alias("_base"))
+    held = F.broadcast(held) if base.count() * 64 <= BROADCAST else held
+    every = added.groupBy(key, "target").agg(item("more", False).alias("_more")).join(held, "target").select(key, "target", F.inline(F.concat("_more", "_base")))
+    pairs = every.groupBy(key, "target", "part", "item").agg(F.sum("score").alias("score"), F.max("known").alias("known")).filter("known")
+    own = totals(pairs, [key, "target"])
     met = own.groupBy(key).agg(F.collect_list(order(F.col("score"))).alias("_met"))
     rows = questions.select(key).join(met, key, "left").crossJoin(F.broadcast(one))
     none = F.slice("_fixed", 1, 0)

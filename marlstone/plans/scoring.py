@@ -28,9 +28,13 @@ CONFIDENCES, PRIOR = ("high", "medium", "low"), 5
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text of a turn once, written, as it is read for words and for phrases."""
+    """(id, asked, text): each text of a turn once, written, as it is read for words and for phrases. Rows in between go by the number, not by the digest."""
     said = table(spark, sf_dir, "conversations").select(F.coalesce("text", F.lit("")).alias("text"))
-    return materialize(said.select(F.sha2("text", 256).alias("asked"), "text").distinct(), "template-questions")
+    return materialize(said.select(F.sha2("text", 256).alias("asked"), "text").distinct().withColumn("id", F.monotonically_increasing_id()), "template-questions")
+
+
+def _told(found: DataFrame, asked: DataFrame) -> DataFrame:
+    return found.join(asked.select("id", "asked"), "id").drop("id")
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,28 +61,29 @@ def _entries(words: DataFrame) -> DataFrame:
 
 def template_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templates of sources, by their commonest words."""
-    found = T.points(_questions(spark, sf_dir), "asked", "text", _fields(_words(spark, sf_dir)))
+    asked = _questions(spark, sf_dir)
+    found = _told(T.points(asked, "id", "text", _fields(_words(spark, sf_dir))), asked)
     return found.withColumn("points", F.col("points").cast("long")).withColumn("tokens", F.array_join("tokens", ","))
 
 
 def _scored(spark: SparkSession, asked: DataFrame, words: DataFrame) -> DataFrame:
     places = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(k).alias("k"), F.lit(n).alias("points")) for rule, k, n in RULES))
     rules = words.join(F.broadcast(spark.range(1).select(F.inline(places))), "k").select("target", "rule", "term", "points")
-    return materialize(T.item_scores(T.points(asked, "asked", "text", _fields(words)), "asked").union(T.rule_points(asked, "asked", "text", rules)), "template-scores")
+    return materialize(T.item_scores(T.points(asked, "id", "text", _fields(words), reasons=False), "id").union(T.rule_points(asked, "id", "text", rules)), "template-scores")
 
 
 def template_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best templates of each turn."""
     words, asked = _words(spark, sf_dir), _questions(spark, sf_dir)
-    return T.ranked(asked, "asked", _scored(spark, asked, words), _entries(words), 5)
+    return _told(T.ranked(asked, "id", _scored(spark, asked, words), _entries(words), 5), asked)
 
 
 def _items(part: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         words = _words(spark, sf_dir)
         asked = _questions(spark, sf_dir)
-        scored = materialize(T.item_scores(T.points(asked, "asked", "text", _fields(words)), "asked"), "template-items")
-        found = T.item_ranks(asked, "asked", scored, _entries(words), part)
+        scored = materialize(T.item_scores(T.points(asked, "id", "text", _fields(words), reasons=False), "id"), "template-items")
+        found = _told(T.item_ranks(asked, "id", scored, _entries(words), part), asked)
         return found.withColumn("place", F.col("place").cast("long"))
 
     return run
@@ -91,9 +96,10 @@ def profile_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = words.withColumn("dimension", dims).filter("dimension IS NOT NULL").groupBy("target").agg(F.collect_list(F.struct("dimension", "term")).alias("terms"), F.min("term").alias("least"))
     kinds = F.filter(F.array(F.when(F.length("target") % 2 == 0, "primary"), F.lit("supporting"), F.when(F.ascii("least") % 2 == 0, "style")), lambda r: r.isNotNull())
     profiles = own.select("target", kinds.alias("roles"), F.array(F.substring("target", -1, 1)).alias("negative_for"), "terms")
-    found = materialize(T.profile_scores(_questions(spark, sf_dir), "asked", "text", profiles), "profile-scores")
-    placed = composition.compose(found, "asked")
-    return placed.withColumn("place", F.col("place").cast("long")).join(found.select("asked", "target", "score", "assigned"), ["asked", "target"])
+    asked = _questions(spark, sf_dir)
+    found = materialize(T.profile_scores(asked, "id", "text", profiles), "profile-scores")
+    placed = composition.compose(found, "id").withColumn("place", F.col("place").cast("long")).join(found.select("id", "target", "score", "assigned"), ["id", "target"])
+    return _told(placed, asked)
 
 
 QUERIES = {f.__name__: f for f in (template_points, template_ranks, profile_roles)} | {"prompt_variants": _items("variant"), "matched_cases": _items("exact")}
