@@ -103,7 +103,7 @@ def mismatch(hint: Column, title: Column, evidence: Column) -> Column:
 def grams(text: Column, stop: tuple[str, ...] = ()) -> Column:
     """Plain words of two letters or more, then runs of Han characters (up to eight long) and their 2-, 3- and 4-grams, each once."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    plain = F.filter(F.flatten(F.transform(F.regexp_extract_all(low, F.lit("[a-z0-9][a-z0-9+-]*"), F.lit(0)), lambda t: F.split(t, "[+-]"))), lambda t: F.length(t) >= 2)
+    plain = F.regexp_extract_all(low, F.lit("[a-z0-9]{2,}"), F.lit(0))
 
     def cut(run: Column) -> Column:
         of = lambda n: F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda k: F.substr(run, k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
@@ -111,8 +111,8 @@ def grams(text: Column, stop: tuple[str, ...] = ()) -> Column:
         return F.concat(whole, of(2), of(3), of(4))
 
     han = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(r"[\p{IsHan}]{2,}"), F.lit(0)), cut))
-    out = F.concat(plain, han)
-    return F.array_distinct(F.filter(out, lambda t: ~t.isin(*stop)) if stop else out)
+    out = F.when(F.octet_length(low) > F.length(low), F.concat(plain, han)).otherwise(plain)
+    return F.array_except(out, F.array(*map(F.lit, stop))) if stop else F.array_distinct(out)
 
 
 def criteria(fit: Column, score: Column, terms: Column, excerpt: Column, kind: Column, strong: float) -> Column:

@@ -36,10 +36,10 @@ PARTS = {"variant": (3, 18, 0), "exact": (3, 18, 0), "candidate": (2, 6, 0), "ca
 SAME = {"exact": 24, "candidate": 14}
 #: What items have before any question, the most that a case's prior points add, what a mapping's confidence adds, and the most that the number of a part's items adds.
 BASE, PRIOR, CONFIDENCE, COUNTS = {"exact": 8, "candidate": 2}, 8, {"high": 4, "medium": 2}, {"variant": 3, "exact": 4, "canonical": 4}
-#: Letters of a phrase by which it is sought, and templates of a catalogue at most: it is a curated list, whose fixed points every question is ranked by.
+#: Letters of a phrase by which it is sought at most, and templates of a catalogue at most: it is a curated list, whose fixed points every question is ranked by.
 ANCHOR, TEMPLATES = 8, 10_000
-#: Letters of all needles up to which they are broadcast.
-BROADCAST = 4_000_000
+#: Letters of all needles up to which they are broadcast, and how many beginnings of needles a text's runs are compared with in its own row.
+BROADCAST, IN_ROW = 4_000_000, 2_000
 
 #: Dimensions of a profile, points of a term and the most of a dimension, and the weights of dimensions in roles, in the order in which roles are tried.
 DIMENSIONS = ("purpose", "content", "structure", "style", "constraints")
@@ -65,18 +65,23 @@ def query_tokens(text: Column) -> Column:
 def contained(texts: DataFrame, key: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
     """(key, needle): the distinct needles of two letters or more that a text holds anywhere, not at words' bounds alone.
 
-    A needle is sought by its first ANCHOR letters, which are joined by equality with the runs of as many letters that a text has (found in one pass, by looking
-    ahead); the text then decides. So a text meets only needles that begin somewhere in it, and isn't copied for its runs. Needles of BROADCAST letters in all are broadcast, so that
-    runs which begin none aren't shuffled; beyond that they are.
+    A needle is sought by its first 2, 4 or 8 letters, the most that it has, which are joined by equality with the runs of as many letters that a text has (found in one pass for each
+    length, by looking ahead); the text then decides. So a text meets only needles that begin somewhere in it, and isn't copied for its runs. Needles of BROADCAST letters in all are
+    broadcast, so that runs which begin none aren't shuffled; beyond that they are. Where needles have no more than IN_ROW beginnings, a text's other runs are left out before they are rows.
     """
-    wanted = needles.select(needle).filter(F.length(needle) > 1).distinct().withColumn("_anchor", F.substring(needle, 1, ANCHOR))
-    told = wanted.groupBy(F.length("_anchor").alias("n")).agg(F.sum(F.length(needle)).alias("letters")).collect()
+    size = F.when(F.length(needle) >= ANCHOR, ANCHOR).when(F.length(needle) >= 4, 4).otherwise(2)
+    wanted = needles.select(needle).filter(F.length(needle) > 1).distinct().withColumn("_anchor", F.left(needle, size))
+    told = wanted.groupBy(F.length("_anchor").alias("n")).agg(F.sum(F.length(needle)).alias("letters"), F.count_distinct("_anchor").alias("anchors")).collect()
     lengths = sorted(r.n for r in told)
     if not lengths:
         return texts.select(key, F.lit("").alias(needle)).limit(0)
+    windows = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{m}}}))"), F.lit(1)) for m in lengths)))
+    if sum(r.anchors for r in told) <= IN_ROW:
+        windows = F.array_intersect(windows, F.array(*(F.lit(r._anchor) for r in wanted.select("_anchor").distinct().collect())))
+    else:
+        windows = F.array_distinct(windows)
     if sum(r.letters for r in told) <= BROADCAST:
         wanted = F.broadcast(wanted)
-    windows = F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{m}}}))"), F.lit(1)) for m in lengths))))
     met = texts.select(key, F.explode(windows).alias("_anchor")).join(wanted, "_anchor").drop("_anchor")
     return met.join(texts.select(key, text), key).filter(F.contains(text, needle)).select(key, needle)
 
