@@ -102,16 +102,18 @@ def mismatch(hint: Column, title: Column, evidence: Column) -> Column:
 
 def grams(text: Column, stop: tuple[str, ...] = ()) -> Column:
     """Plain words of two letters or more, then runs of Han characters (up to eight long) and their 2-, 3- and 4-grams, each once."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    plain = F.regexp_extract_all(low, F.lit("[a-z0-9]{2,}"), F.lit(0))
-
     def cut(run: Column) -> Column:
         of = lambda n: F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda k: F.substr(run, k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
         whole = F.when(F.length(run) <= 8, F.array(run)).otherwise(F.array().cast("array<string>"))
         return F.concat(whole, of(2), of(3), of(4))
 
-    han = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(r"[\p{IsHan}]{2,}"), F.lit(0)), cut))
-    out = F.when(F.octet_length(low) > F.length(low), F.concat(plain, han)).otherwise(plain)
+    def every(low: Column) -> Column:
+        plain = F.regexp_extract_all(low, F.lit("[a-z0-9]{2,}"), F.lit(0))
+        han = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(r"[\p{IsHan}]{2,}"), F.lit(0)), cut))
+        return F.when(F.octet_length(low) > F.length(low), F.concat(plain, han)).otherwise(plain)
+
+    # The text is made ready once: what explodes an array doesn't share what its parts have in common.
+    out = let(F.lower(F.coalesce(text, F.lit(""))), every)
     return F.array_except(out, F.array(*map(F.lit, stop))) if stop else F.array_distinct(out)
 
 
