@@ -49,9 +49,16 @@ def strong_boosts(boosts: DataFrame, lexical: DataFrame, key: str, strong: Colum
 def joined_passages(a: Column, b: Column, least: int = 40, most: int = 180) -> Column:
     """Two passages in a row as one: what the first ends and the second begins with stands once, if it has 40 to 180 characters; else an empty line parts them."""
 
+    def longest(tail: Column, head: Column) -> Column:
+        """How much of the tail's end is the head's beginning. It begins where the head's first `least` characters stand; mostly that is one place, other places are tried where it isn't."""
+        fits = lambda n: F.right(tail, n) == F.left(head, n)
+        others = lambda n: F.get(F.filter(F.sequence(n, F.lit(least), F.lit(-1)), fits), F.lit(0))
+        at = F.when(F.length(head) >= least, F.position(F.left(head, F.lit(least)), tail))
+        return let(F.when(at > 0, F.length(tail) - at + 1), lambda n: F.when(fits(n), n).when(n > least, others(n)))
+
     def one(x: Column, y: Column) -> Column:
-        sizes = F.filter(F.sequence(F.lit(most), F.lit(least), F.lit(-1)), lambda n: (n <= F.length(x)) & (n <= F.length(y)) & (F.right(x, n) == F.left(y, n)))
-        return let(F.get(sizes, F.lit(0)), lambda n: F.when(n.isNull(), F.concat(x, F.lit("\n\n"), y)).otherwise(F.concat(x, F.substr(y, n + 1))))
+        ends = F.struct(F.right(x, F.lit(most)).alias("tail"), F.left(y, F.lit(most)).alias("head"))
+        return let(let(ends, lambda e: longest(e["tail"], e["head"])), lambda n: F.when(n.isNull(), F.concat(x, F.lit("\n\n"), y)).otherwise(F.concat(x, F.substr(y, n + 1))))
 
     return F.when(F.coalesce(a, F.lit("")) == "", F.coalesce(b, F.lit(""))).when(F.coalesce(b, F.lit("")) == "", a).otherwise(one(a, b))
 
