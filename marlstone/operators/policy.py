@@ -73,8 +73,9 @@ def stitched(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
 
 def sentence_contexts(found: Column, k: int = 1) -> Column:
     """array<struct<place, context>>: each sentence of an array, with k sentences on either side."""
-    around = lambda s, n: F.array_join(F.slice(found, F.greatest(F.lit(1), n + 1 - k), F.lit(k) + 1 + F.least(n, F.lit(k))), " ")
-    return F.transform(found, lambda s, n: F.struct(n.alias("place"), around(s, n).alias("context")))
+    around = lambda all_, n: F.array_join(F.slice(all_, F.greatest(F.lit(1), n + 1 - k), F.lit(k) + 1 + F.least(n, F.lit(k))), " ")
+    # what a lambda names is computed for each item, so that the array is made ready before
+    return let(found, lambda all_: F.transform(all_, lambda s, n: F.struct(n.alias("place"), around(all_, n).alias("context"))))
 
 
 def signals(hits: DataFrame, query: str, names: tuple[str, ...] = SIGNALS) -> DataFrame:

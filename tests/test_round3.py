@@ -25,3 +25,14 @@ def test_passages_are_joined_at_their_longest_overlap_in_little_time(spark):
     took = time.time() - began
     assert found == {k: plain_joined(*p) for k, p in enumerate(pairs)}
     assert took < 6
+
+def test_sentences_are_cut_once_for_all_their_contexts(spark):
+    from marlstone.functions.text import sentences
+    from marlstone.operators import policy
+
+    text = " ".join(f"Sentence {k} stands here." for k in range(4000))
+    rows = spark.createDataFrame([(text,)], "t string")
+    began = time.time()
+    found = rows.select(F.explode(policy.sentence_contexts(sentences(F.col("t")), 1)).alias("c")).select("c.*").collect()
+    assert [r.context for r in found[:2]] == ["Sentence 0 stands here. Sentence 1 stands here.", "Sentence 0 stands here. Sentence 1 stands here. Sentence 2 stands here."]
+    assert len(found) == 4000 and time.time() - began < 4
