@@ -17,6 +17,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a.cast("double") / b)
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles as IEEE has it: by 0 infinite, of 0 no number."""
+    over = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a.isNotNull(), float("nan"))
+    return F.when(b == 0, over).otherwise(a.cast("double") / F.nullif(b, F.lit(0.0)))
+
+
 def safe_double(x: Column) -> Column:
     return x.try_cast("double")
 

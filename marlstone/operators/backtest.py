@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.numeric import quantise, ratio
+from marlstone.functions.numeric import quantise, quotient, ratio
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str, values: list[str]) -> DataFrame:
@@ -36,18 +36,19 @@ def outcome(change: Column, direction: Column, band: float) -> Column:
     return F.when(change.isNotNull(), F.when(direction == "up", up).when(direction == "down", down).when(direction == "not_down", not_down).otherwise(flat))
 
 
-def evaluate(advice: DataFrame, n: int, band: float = 2.0) -> DataFrame:
+def evaluate(advice: DataFrame, n: int, band: float = 2.0, priced: bool = True) -> DataFrame:
     """Evaluates rows (start, position, direction, stop, target, ahead) on the first n bars ahead.
 
     Where stop and target are touched by one bar, the order within it is unknown: it is called ambiguous, and the exit is the
-    stop. Rows with fewer bars ahead are insufficient_data, those without a positive start error.
+    stop. Rows with fewer bars ahead are insufficient_data, those without a positive start error; where `priced` is False, these
+    are evaluated too, and what changes from 0 does so without end.
     """
     bars = F.slice("ahead", 1, n)
     end = F.get(bars, F.lit(n - 1))["close"]
     low_hit = lambda b: F.coalesce(b["low"] <= F.col("stop"), F.lit(False))
     high_hit = lambda b: F.coalesce(b["high"] >= F.col("target"), F.lit(False))
     touched = F.transform(bars, lambda b: low_hit(b) | high_hit(b))
-    status = F.when(~F.coalesce(F.col("start") > 0, F.lit(False)), "error").when(F.size("ahead") < n, "insufficient_data").otherwise("completed")
+    status = F.when(F.lit(priced) & ~F.coalesce(F.col("start") > 0, F.lit(False)), "error").when(F.size("ahead") < n, "insufficient_data").otherwise("completed")
     done = advice.withColumn("status", status).withColumn("hit", F.when(F.col("status") == "completed", F.array_position(touched, True).cast("int")))
     bar = F.when(F.col("hit") > 0, F.get("ahead", F.col("hit") - 1))
     done = done.withColumn("_bar", bar).withColumn("_low", low_hit(F.col("_bar"))).withColumn("_high", high_hit(F.col("_bar")))
@@ -55,9 +56,9 @@ def evaluate(advice: DataFrame, n: int, band: float = 2.0) -> DataFrame:
     first = F.when(ok, F.when(~long, "not_applicable").when(F.col("hit") == 0, "neither").when(F.col("_low") & F.col("_high"), "ambiguous").when(F.col("_low"), "stop_loss").otherwise("take_profit"))
     done = done.withColumn("first_hit", first).withColumn("end_close", F.when(ok, end))
     exit_price = F.when(F.col("first_hit").isin("ambiguous", "stop_loss"), F.col("stop")).when(F.col("first_hit") == "take_profit", F.col("target")).when(F.col("first_hit") == "neither", F.col("end_close"))
-    change = (F.col("end_close") - F.col("start")) / F.nullif("start", F.lit(0.0)) * 100
+    change = quotient(F.col("end_close") - F.col("start"), F.col("start")) * 100
     done = done.withColumn("change", change).withColumn("outcome", outcome(F.col("change"), F.col("direction"), abs(band)))
-    gain = F.when(~long, 0.0).otherwise((exit_price - F.col("start")) / F.nullif("start", F.lit(0.0)) * 100)
+    gain = F.when(~long, 0.0).otherwise(quotient(exit_price - F.col("start"), F.col("start")) * 100)
     return done.select(
         "*", F.when(ok, F.array_max(F.transform(bars, lambda b: b["high"]))).alias("max_high"), F.when(ok, F.array_min(F.transform(bars, lambda b: b["low"]))).alias("min_low"),
         exit_price.alias("exit_price"), F.when(ok, gain).alias("gain"), F.when(ok & long & (F.col("hit") > 0), F.col("_bar.day")).alias("hit_day"), F.when(F.col("outcome") != "neutral", F.col("outcome") == "win").alias("correct"),

@@ -36,3 +36,12 @@ def test_sentences_are_cut_once_for_all_their_contexts(spark):
     found = rows.select(F.explode(policy.sentence_contexts(sentences(F.col("t")), 1)).alias("c")).select("c.*").collect()
     assert [r.context for r in found[:2]] == ["Sentence 0 stands here. Sentence 1 stands here.", "Sentence 0 stands here. Sentence 1 stands here. Sentence 2 stands here."]
     assert len(found) == 4000 and time.time() - began < 4
+
+def test_advice_at_no_price_is_evaluated_where_asked(spark):
+    from marlstone.operators import backtest
+
+    kind = "start double, position string, direction string, stop double, target double, ahead array<struct<day:int,high:double,low:double,close:double>>"
+    rows = spark.createDataFrame([(0.0, "cash", "down", 0.0, 0.0, [(1, 5.0, 2.0, 3.0)])], kind)
+    one = backtest.evaluate(rows, 1, priced=False).first()
+    assert (one.status, one.change, one.outcome, one.gain, one.max_high) == ("completed", float("inf"), "loss", 0.0, 5.0)
+    assert backtest.evaluate(rows, 1).first().status == "error"
