@@ -45,3 +45,9 @@ def test_advice_at_no_price_is_evaluated_where_asked(spark):
     one = backtest.evaluate(rows, 1, priced=False).first()
     assert (one.status, one.change, one.outcome, one.gain, one.max_high) == ("completed", float("inf"), "loss", 0.0, 5.0)
     assert backtest.evaluate(rows, 1).first().status == "error"
+
+def test_entities_end_with_a_semicolon():
+    from marlstone.functions.articles import to_markdown
+
+    assert to_markdown("<h1>A &amp; B&amp</h1>") == "# A & B&amp\n"
+    assert to_markdown("<p>&lt;x&gt; &#39;y&#x27; R&D &copy</p>") == "<x> 'y' R&D &copy\n"
