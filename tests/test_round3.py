@@ -60,3 +60,9 @@ def test_a_close_after_none_is_a_change(spark, tmp_path):
     events = [(1, 7, datetime(2024, 1, 1), 0.0), (2, 7, datetime(2024, 1, 2), 1.0), (3, 7, datetime(2024, 1, 3), 1.1)]
     spark.createDataFrame(events, "event_id long, user_id long, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
     assert [(str(r.day), r.alert) for r in reports.price_alerts(spark, str(tmp_path)).collect()] == [("2024-01-02", "change")]
+
+def test_a_secret_may_follow_a_letter_that_is_not_ascii(spark):
+    from marlstone.functions.text import redacted
+
+    rows = spark.createDataFrame([("Ein FÜRSCHEINSCHACH!! Tag",), ("xABCDEFGHIJKLM ABCDEFGHIJKLMx",), ("ABCDEFGHIJKLM",)], "t string")
+    assert [r.t for r in rows.select(redacted(F.col("t")).alias("t")).collect()] == ["Ein FÜ[REDACTED]!! Tag", "xABCDEFGHIJKLM ABCDEFGHIJKLMx", "[REDACTED]"]
