@@ -66,3 +66,19 @@ def test_a_secret_may_follow_a_letter_that_is_not_ascii(spark):
 
     rows = spark.createDataFrame([("Ein FÜRSCHEINSCHACH!! Tag",), ("xABCDEFGHIJKLM ABCDEFGHIJKLMx",), ("ABCDEFGHIJKLM",)], "t string")
     assert [r.t for r in rows.select(redacted(F.col("t")).alias("t")).collect()] == ["Ein FÜ[REDACTED]!! Tag", "xABCDEFGHIJKLM ABCDEFGHIJKLMx", "[REDACTED]"]
+
+def test_related_pages_are_counted_by_terms_not_held_against_each_other(spark):
+    from marlstone.operators import catalog
+
+    words = ["alpha", "beta", "gamma", "delta", "x99", "longest"]
+    rows = [(k, words[k % 6], " ".join(words[j] for j in range(6) if (k >> j) & 1)) for k in range(64)] + [(None, "alpha", "beta gamma")]
+    pages = spark.createDataFrame(rows, "id long, title string, text string")
+    found = catalog.related(pages.filter("id % 4 = 0"), pages, "id", "title", "text")
+    terms = {k: ({t, *body.split()}, {t}) for k, t, body in rows[:-1]}
+    plain = {}
+    for a in range(0, 64, 4):
+        met = [(len(terms[a][0] & terms[b][0]) + len(terms[a][1] & terms[b][1]), b) for b in range(64) if a != b and (len(terms[a][0] & terms[b][0]) + len(terms[a][1] & terms[b][1]) >= 3 or {"x99", "longest"} & terms[a][0] & terms[b][0])]
+        plain |= {(a, b): (n, place) for place, (n, b) in enumerate(sorted(met, key=lambda m: (-m[0], m[1]))[:3], 1)}
+    assert {(r.id, r.other): (r.score, r.place) for r in found.collect()} == plain
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
