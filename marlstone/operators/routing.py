@@ -9,6 +9,7 @@ from marlstone.functions.arrays import let
 from marlstone.functions.numeric import quantise
 from marlstone.functions.text import tokens
 from marlstone.operators.policy import variants
+from marlstone.sources.tables import materialize
 
 #: Words that route nothing, those that say little, and what a match of a phrase and of a word weighs, by kind.
 STOP = (
@@ -26,6 +27,8 @@ GENERIC_WORD, STRONG, CHILD, MODERATE = 0.1, 5.0, 4.0, 2.0
 #: Words that ask for several domains, and a domain's least score, its lead, the weights of its terms and of the evidence's.
 CROSSING = ("关系", "关联", "结合", "对比", "比较", "区别", "差异", "vs", "versus", "compare", "comparison", "relationship", "between", "combine", "integration")
 LEAST, LEAD = 0.35, 0.15
+#: Letters of all needles up to which they are broadcast.
+BROADCAST = 16_000_000
 #: Domains at most: profiles of domains are a short list that goes to every row.
 DOMAINS = 200
 
@@ -39,46 +42,62 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def matches(texts: DataFrame, key: str, text: str, profiles: DataFrame) -> DataFrame:
-    """(key, wiki, kind, term, phrase, generic): the phrases and words of profiles (wiki, kind, phrase) that texts hold, each once.
-
-    A text's runs of as many words as some phrase has, and its words in all their forms, are made once for the row and joined with the
-    profiles' by equality; no profile is held against a text otherwise. A phrase of generic words or stop words alone tells nothing, but for a negative one.
-    """
+def _needles(profiles: DataFrame) -> DataFrame:
+    """(wiki, kind, term, phrase): the phrases and words of profiles (wiki, kind, phrase). A phrase of generic words or stop words alone tells nothing, but for a negative one."""
     told = profiles.filter("wiki IS NOT NULL AND kind IS NOT NULL").select("wiki", "kind", words(F.col("phrase")).alias("words")).filter(F.size("words") > 0)
-    phrases = told.select("wiki", "kind", F.array_join("words", " ").alias("term"), F.size("words").alias("n")).distinct()
     held = route_tokens(F.col("term"))
+    phrases = told.select("wiki", "kind", F.array_join("words", " ").alias("term"), F.lit(True).alias("phrase"))
     phrases = phrases.filter((F.col("kind") == "negative") | ((F.size(held) > 0) & ~((F.size(held) == 1) & F.get(held, F.lit(0)).isin(*GENERIC))))
-    lengths = sorted(r[0] for r in phrases.select("n").distinct().collect())
+    return phrases.union(told.select("wiki", "kind", F.explode(route_tokens(F.array_join("words", " "))).alias("term"), F.lit(False).alias("phrase"))).distinct()
+
+
+def _sought(texts: DataFrame, key: str, places: dict[str, Column], profiles: DataFrame) -> DataFrame:
+    """(key, at, wiki, kind, term, phrase, generic): the needles that each of some places of a row holds, by their names.
+
+    A text's runs of as many words as some phrase has, and its words in all their forms, are made once for the row and joined with the needles by equality; no
+    profile is held against a text otherwise. Needles of BROADCAST letters in all are broadcast, so that runs aren't shuffled; beyond that they are.
+    """
+    needles = materialize(_needles(profiles), "needles")
+    size = F.size(F.split("term", " "))
+    sizes = {r.n: r.letters for r in needles.groupBy(F.when(F.col("phrase"), size).alias("n")).agg(F.sum(F.length("term") + F.length("wiki")).alias("letters")).collect()}
+    if sum(sizes.values()) <= BROADCAST:
+        needles = F.broadcast(needles)
     of = lambda ws, m: F.when(F.size(ws) >= m, F.transform(F.sequence(F.lit(1), F.size(ws) - m + 1), lambda i: F.array_join(F.slice(ws, i, m), " "))).otherwise(F.array().cast("array<string>"))
-    runs = let(words(F.col(text)), lambda ws: F.array_distinct(F.flatten(F.array(*(of(ws, m) for m in lengths))))) if lengths else F.array().cast("array<string>")
-    found = texts.select(key, F.explode(runs).alias("term")).join(phrases.drop("n"), "term").select(key, "wiki", "kind", "term", F.lit(True).alias("phrase"), F.lit(False).alias("generic"))
-    own = told.select("wiki", "kind", F.explode(route_tokens(F.array_join("words", " "))).alias("term")).distinct()
-    forms = F.array_distinct(F.flatten(F.transform(route_tokens(F.col(text)), variants)))
-    single = texts.select(key, F.explode(forms).alias("term")).join(own, "term").select(key, "wiki", "kind", "term", F.lit(False).alias("phrase"), F.col("term").isin(*GENERIC).alias("generic"))
-    return found.union(single)
+    lengths = sorted(n for n in sizes if n is not None)
+    runs = lambda text: let(words(text), lambda ws: F.array_distinct(F.flatten(F.array(*(of(ws, m) for m in lengths))))) if lengths else F.array().cast("array<string>")
+    forms = lambda text: F.array_distinct(F.flatten(F.transform(route_tokens(text), variants)))
+    told = [F.struct(F.lit(at).alias("at"), F.lit(phrase).alias("phrase"), made(text).alias("terms")) for at, text in places.items() for phrase, made in ((True, runs), (False, forms))]
+    held = texts.select(key, F.inline(F.array(*told))).select(key, "at", "phrase", F.explode("terms").alias("term"))
+    return held.join(needles, ["term", "phrase"]).select(key, "at", "wiki", "kind", "term", "phrase", (~F.col("phrase") & F.col("term").isin(*GENERIC)).alias("generic"))
+
+
+def matches(texts: DataFrame, key: str, text: str, profiles: DataFrame) -> DataFrame:
+    """(key, wiki, kind, term, phrase, generic): the phrases and words of profiles (wiki, kind, phrase) that texts hold, each once."""
+    return _sought(texts, key, {"text": F.col(text)}, profiles).drop("at")
 
 
 def ranked(texts: DataFrame, key: str, text: str, focus: str, profiles: DataFrame) -> DataFrame:
     """(key, wiki, score, quality, hint, terms, negatives, place): the wikis whose profile a text meets, the best first, ties by name.
 
     What is out of a wiki's scope counts against it. A match is strong only by a phrase; how a text relates to a wiki also hangs on what its focus holds. Wikis
-    that a text shares nothing with score 0, and are no rows. Null texts are empty; keys are unique.
+    that a text shares nothing with score 0, and are no rows. Null texts are empty; keys are unique. Texts are dealt by their keys once: what they
+    hold, its sums and its order stay in a text's task, so that nothing as large as the result is shuffled.
     """
     c = F.col
-    positive, plain = c("kind") != "negative", c("generic")
+    positive, plain, own = c("kind") != "negative", c("generic"), c("at") == "text"
     weight = F.lit(0.0)
     for kind in PHRASES:
         weight = F.when(c("kind") == kind, F.when(c("phrase"), PHRASES[kind]).when(plain, PLAIN.get(kind, 0.0)).otherwise(WORDS[kind])).otherwise(weight)
-    found = matches(texts, key, text, profiles)
+    dealt = texts.select(key, text, focus).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    found = _sought(dealt, key, {"text": c(text), "focus": c(focus)}, profiles)
     scored = found.groupBy(key, "wiki").agg(
-        F.sum(weight.cast("decimal(12,2)")).alias("sum"), F.count_distinct(F.when(positive & plain, c("term"))).alias("generic"), F.max(positive & c("phrase")).alias("strong"),
-        F.array_sort(F.collect_set(F.when(positive, c("term")))).alias("terms"), F.array_sort(F.collect_set(F.when(~positive, c("term")))).alias("negatives"),
+        F.sum(F.when(own, weight.cast("decimal(12,2)"))).alias("sum"), F.size(F.collect_set(F.when(own & positive & plain, c("term")))).alias("generic"), F.max(own & positive & c("phrase")).alias("strong"),
+        F.array_sort(F.collect_set(F.when(own & positive, c("term")))).alias("terms"), F.array_sort(F.collect_set(F.when(own & ~positive, c("term")))).alias("negatives"),
+        F.count_if(~own & positive & ~plain).alias("focused"), F.max(own).alias("_own"),
     )
-    focused = matches(texts, key, focus, profiles).filter("kind <> 'negative' AND NOT generic").groupBy(key, "wiki").agg(F.count("*").alias("focused"))
-    joined = scored.join(focused, [key, "wiki"], "left").withColumn("score", F.greatest(F.lit(0.0), c("sum").cast("double") + c("generic") * GENERIC_WORD))
+    joined = scored.filter("_own").withColumn("score", F.greatest(F.lit(0.0), c("sum").cast("double") + c("generic") * GENERIC_WORD))
     quality = F.when(c("score") <= 0, "none").when((c("score") >= STRONG) & c("strong"), "strong").when(c("score") >= MODERATE, "moderate").otherwise("weak")
-    near = F.coalesce("focused", F.lit(0)) >= 1
+    near = c("focused") >= 1
     hint = F.when(c("score") <= 0, "unrelated").when((c("score") >= STRONG) & c("strong"), "same_scheme").when(near & (c("score") >= CHILD), "possible_child_profile").when(near & (c("score") >= MODERATE), "adjacent_family").otherwise("generic_overlap")
     told = joined.select(key, "wiki", quantise(c("score"), 2).alias("score"), quality.alias("quality"), hint.alias("hint"), "terms", "negatives")
     return told.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "wiki")))

@@ -82,3 +82,20 @@ def test_related_pages_are_counted_by_terms_not_held_against_each_other(spark):
     assert {(r.id, r.other): (r.score, r.place) for r in found.collect()} == plain
     plan = found._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+def test_routes_deal_texts_once_and_shuffle_no_matches(spark):
+    from marlstone.operators import routing
+
+    texts = spark.createDataFrame([(1, "macro economics and deep learning", "macro"), (2, "deep learning", None), (3, None, "deep")], "key int, text string, focus string")
+    profiles = spark.createDataFrame([("fin", "adjacent", "macro economics"), ("ml", "core", "deep learning"), ("ml", "negative", "macro")], "wiki string, kind string, phrase string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = routing.ranked(texts, "key", "text", "focus", profiles)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert {(r.key, r.wiki): (r.score, r.terms, r.hint) for r in found.collect()} == {
+            (1, "fin"): (3.1, ["economics", "macro", "macro economics"], "adjacent_family"), (1, "ml"): (0.0, ["deep", "deep learning", "learning"], "unrelated"), (2, "ml"): (5.2, ["deep", "deep learning", "learning"], "same_scheme"),
+        }
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
