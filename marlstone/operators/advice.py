@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlstone.functions.arrays import let
+
 #: Words of each intent, words that deny what follows, and words that may stand between.
 INTENTS = {
     "bearish": ("卖出", "减仓", "强烈卖出", "清仓", "strong sell", "sell", "reduce"),
@@ -21,33 +23,51 @@ _DENIED = "(?<!(?:" + "|".join(NEGATIONS) + ")" + _GAP + ")"
 
 def _pattern(intent: str) -> str:
     words = [rf"(?<![a-z0-9_]){w}(?![a-z0-9_])" if w.isascii() else w for w in INTENTS[intent]]
-    return f"{_DENIED}(?:{'|'.join(words)})"
+    # what denies a word is looked for only where a word stands
+    said = f"(?:{'|'.join(words)})"
+    return f"(?={said}){_DENIED}{said}"
 
 
 def intent_place(text: Column, intent: str) -> Column:
     """Where, from 1, an intent is first asked for without being denied; null where it isn't. A text that is just a word asks for it."""
-    low = F.trim(F.lower(F.coalesce(text, F.lit(""))))
-    before = F.get(F.split(low, _pattern(intent), 2), F.lit(0))
-    return F.when(low.isin(*INTENTS[intent]), 1).when(F.length(before) < F.length(low), F.length(before) + 1)
+
+    def of(low: Column) -> Column:
+        # a split would compile its pattern for each row, which takes longer than the search
+        rest = F.length(F.regexp_extract(low, f"(?s)(?:{_pattern(intent)}).*", 0))
+        return F.when(low.isin(*INTENTS[intent]), 1).otherwise(let(rest, lambda n: F.when(n > 0, F.length(low) - n + 1)))
+
+    return let(F.trim(F.lower(F.coalesce(text, F.lit("")))), of)
 
 
 def stance(text: Column) -> Column:
-    """bearish, else wait where that is said before bullish and hold, else bullish, hold or wait; null where nothing is asked for."""
-    place = {name: intent_place(text, name) for name in INTENTS}
-    first = place["wait"].isNotNull() & F.coalesce(place["wait"] < place["bullish"], F.lit(True)) & F.coalesce(place["wait"] < place["hold"], F.lit(True))
-    asked = lambda name: place[name].isNotNull()
-    return F.when(asked("bearish"), "bearish").when(first, "wait").when(asked("bullish"), "bullish").when(asked("hold"), "hold").when(asked("wait"), "wait")
+    """bearish, else wait where that is said before bullish and hold, else bullish, hold or wait; null where nothing is asked for. Each intent is sought once."""
+
+    def told(place: Column) -> Column:
+        first = place["wait"].isNotNull() & F.coalesce(place["wait"] < place["bullish"], F.lit(True)) & F.coalesce(place["wait"] < place["hold"], F.lit(True))
+        asked = lambda name: place[name].isNotNull()
+        return F.when(asked("bearish"), "bearish").when(first, "wait").when(asked("bullish"), "bullish").when(asked("hold"), "hold").when(asked("wait"), "wait")
+
+    return let(F.struct(*(intent_place(text, name).alias(name) for name in INTENTS)), told)
+
+
+def expected(asked: Column) -> Column:
+    """up, down, not_down or flat: what a stance expects of the price."""
+    return F.when(asked == "bearish", "down").when(asked == "bullish", "up").when(asked == "hold", "not_down").otherwise("flat")
+
+
+def held(asked: Column) -> Column:
+    """long for a stance to buy or hold, else cash."""
+    return F.when(F.coalesce(asked, F.lit("wait")).isin("bullish", "hold"), "long").otherwise("cash")
 
 
 def direction(text: Column) -> Column:
     """up, down, not_down or flat: what advice expects of the price."""
-    asked = stance(text)
-    return F.when(asked == "bearish", "down").when(asked == "bullish", "up").when(asked == "hold", "not_down").otherwise("flat")
+    return let(stance(text), expected)
 
 
 def position(text: Column) -> Column:
     """long for advice to buy or hold, else cash."""
-    return F.when(F.coalesce(stance(text), F.lit("wait")).isin("bullish", "hold"), "long").otherwise("cash")
+    return held(stance(text))
 
 
 def price(text: Column) -> Column:

@@ -106,7 +106,8 @@ def route_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def advice_stances(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.element_at(F.array(*(F.lit(a) for a, _, _ in ADVICE)), F.pmod("p_partkey", F.lit(len(ADVICE))).cast("int") + 1)
-    return table(spark, sf_dir, "part").select("p_partkey", A.direction(said).alias("direction"), A.position(said).alias("position"))
+    asked = table(spark, sf_dir, "part").select("p_partkey", A.stance(said).alias("asked"))
+    return asked.select("p_partkey", A.expected(F.col("asked")).alias("direction"), A.held(F.col("asked")).alias("position"))
 
 
 def price_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,14 @@ def test_routes_deal_texts_once_and_shuffle_no_matches(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+def test_advice_is_searched_once_for_each_intent(spark):
+    from marlstone.operators import advice
+
+    texts = ["Do not sell; hold", "wait, then buy", "\U0001f600 buy", "buy", "", None, "建议买入", "never sell. Reduce"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows.select(advice.intent_place(F.col("t"), "bullish").alias("place"), advice.direction(F.col("t")).alias("d"), advice.position(F.col("t")).alias("p")).collect()
+    assert [r.place for r in found] == [None, 12, 3, 1, None, None, 3, None]
+    assert [(r.d, r.p) for r in found[:2]] == [("not_down", "long"), ("flat", "cash")]
+    plan = rows.select(advice.stance(F.col("t")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and plan.count("regexp_extract(") == len(advice.INTENTS)
