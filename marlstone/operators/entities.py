@@ -5,8 +5,13 @@ Provenance stays rows: which chunk names a node (`concepts`), and which pages sp
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,16 +40,17 @@ def concept_name(value: Column) -> Column:
 
 
 def _told(title: Column, section: Column, headings: Column, links: Column, text: Column) -> Column:
-    """array<struct<label, kind, weight>>: all that a chunk names, in order: title, headings, links, names in capitals, words."""
-    one = lambda label, kind, weight: F.struct(label.alias("label"), kind.alias("kind"), F.lit(weight).alias("weight"))
+    """struct<named: array<struct<label, kind, weight, name>>, names: array<string>, words: array<string>>: all that a chunk names, in order: title, headings and links; names in capitals; words."""
+    one = lambda label, kind, weight: F.struct(F.trim(label).alias("label"), kind.alias("kind"), F.lit(weight).alias("weight"), concept_name(label).alias("name"))
     each = lambda labels, kind, weight: F.transform(F.coalesce(labels, F.array().cast("array<string>")), lambda x: one(x, F.lit(kind), weight))
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), "`[^`]+`", " ")
     last = F.coalesce(F.get(headings, F.size(headings) - 1), F.lit(""))
 
     def of(said: Column) -> Column:
-        words = F.filter(tokens(F.concat_ws(" ", F.coalesce(title, F.lit("")), last, said)), lambda t: (F.length(t) >= 4) & ~t.isin(*STOP))
+        words = tokens(F.concat_ws(" ", F.coalesce(title, F.lit("")), last, said), 4)
         targets = F.transform(links, lambda x: F.substring_index(x, "#", 1))
-        return F.concat(F.array(one(F.coalesce(title, F.lit("")), F.when(section == "concepts", "concept").otherwise("topic"), TITLE)), each(headings, "concept", HEADING), each(targets, "concept", LINK), each(F.regexp_extract_all(said, F.lit(_NAMES), F.lit(0)), "entity", NAME), each(words, "concept", WORD))
+        named = F.concat(F.array(one(F.coalesce(title, F.lit("")), F.when(section == "concepts", "concept").otherwise("topic"), TITLE)), each(headings, "concept", HEADING), each(targets, "concept", LINK))
+        return F.struct(named.alias("named"), F.regexp_extract_all(said, F.lit(_NAMES), F.lit(0)).alias("names"), words.alias("words"))
 
     return let(bare, of)
 
@@ -54,19 +60,74 @@ def ambiguous(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("slug").agg(F.min("section").alias("_a"), F.max("section").alias("_b")).filter("_a <> _b").select("slug")
 
 
+def _counted(chunks: DataFrame, most: int | None) -> DataFrame:
+    """(chunk, page, id, kind, label, name, weight, rank, seq): the concepts of each row, counted where the row is; the `most` heaviest of them, or all."""
+
+    known: dict[str, str] = {}
+
+    def plain_name(label: str) -> str:
+        """concept_name of ASCII letters and digits with single blanks or dashes between."""
+        if label not in known:
+            if len(known) >= 100_000:
+                known.clear()
+            known[label] = re.sub("([a-z])([A-Z])", r"\1 \2", label).lower().replace(" ", "-")
+        return known[label]
+
+    def concepts_of(named: list[dict], names: list[str], words: list[str]) -> list[tuple]:
+        found: dict[str, list] = {}
+        for seq, (label, kind, weight, name) in enumerate(chain((tuple(x.values()) for x in named), ((x, "entity", NAME, plain_name(x)) for x in names))):
+            if name is None or len(name) < 3 or name in STOP:
+                continue
+            id = ("topic:" if kind == "topic" else "concept:") + name
+            if id in found:
+                found[id][5] += weight
+            else:
+                found[id] = [id, kind, label, name, seq, weight]
+        # a token is in lower case and has letters, numbers and single blanks, so that only the blanks differ in its name
+        counts = Counter(words)
+        for word in STOP:
+            counts.pop(word, None)
+        for id, one in found.items():
+            if id.startswith("concept:"):
+                one[5] += WORD * counts.pop(one[3].replace("-", " "), 0)
+        least = sorted(counts.values(), reverse=True)[most - 1] if most is not None and len(counts) > most else 1
+        more = [(f"concept:{w.replace(' ', '-')}", "concept", w, w.replace(" ", "-"), -1, WORD * n) for w, n in counts.items() if n >= least]
+        ordered = sorted(chain(found.values(), more), key=lambda x: (-x[5], x[3], x[0]))[:most]
+        return [(id, kind, label, name, weight, rank, seq if seq >= 0 else len(named) + len(names) + words.index(label)) for rank, (id, kind, label, name, seq, weight) in enumerate(ordered, 1)]
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, owner = [], []
+            for row, held in enumerate(zip(*batch.columns[2:], strict=True)):
+                found = concepts_of(held[0].as_py(), *(x.values.to_pylist() for x in held[1:]))
+                made += found
+                owner += [row] * len(found)
+            at = pa.array(owner, pa.int64())
+            columns = list(zip(*made, strict=True)) or [[]] * 7
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["chunk", "page", "id", "kind", "label", "name", "weight", "rank", "seq"])
+
+    said = chunks.select("chunk", "page", _told(F.col("title"), F.col("section"), F.col("headings"), F.col("links"), F.col("text")).alias("x")).select("chunk", "page", "x.named", "x.names", "x.words")
+    kind = lambda c: chunks.schema[c].dataType.simpleString()
+    return said.mapInArrow(over, f"chunk {kind('chunk')}, page {kind('page')}, id string, kind string, label string, name string, weight double, rank int, seq int")
+
+
 def concepts(chunks: DataFrame) -> DataFrame:
     """(chunk, page, id, kind, label, name, weight, rank): the TOP concepts of each chunk (chunk, page, title, section, slug, headings, links, text), ties by name and id.
 
     Chunks of a slug that stands in several sections are left out. Short names and stop words are none. What names a concept first tells its kind and label. Null
-    texts, titles, headings and links are empty. Terms are counted within tasks before they are shuffled.
+    texts, titles, headings and links are empty. A chunk that is one row is counted and ranked where it is, so that neither texts nor words are shuffled; the concepts of one with
+    several rows, or without an id, are added up. Slugs and ids that are left out are written, so that Spark knows how few they are.
     """
-    kept = chunks.join(ambiguous(chunks), "slug", "left_anti")
-    said = kept.select("chunk", "page", F.posexplode(_told(F.col("title"), F.col("section"), F.col("headings"), F.col("links"), F.col("text"))).alias("seq", "x"))
-    named = said.select("chunk", "page", "seq", F.trim("x.label").alias("label"), "x.kind", "x.weight", concept_name(F.col("x.label")).alias("name"))
-    valid = named.filter((F.length("name") >= 3) & ~F.col("name").isin(*STOP)).withColumn("id", F.concat(F.when(F.col("kind") == "topic", "topic:").otherwise("concept:"), "name"))
-    counted = valid.groupBy("chunk", "page", "id", "name").agg(F.sum("weight").alias("weight"), F.min_by("label", "seq").alias("label"), F.min_by("kind", "seq").alias("kind"))
+    kept = chunks.join(materialize(ambiguous(chunks), "ambiguous"), "slug", "left_anti")
+    twice = materialize(chunks.groupBy("chunk").agg(F.count("*").alias("n")).filter("n > 1 OR chunk IS NULL").select(F.col("chunk").alias("_twice")), "twice")
+    same = F.col("chunk").eqNullSafe(F.col("_twice"))
+    columns = ["chunk", "page", "id", "kind", "label", "name", "weight", "rank"]
+    once = _counted(kept.join(twice, same, "left_anti"), TOP).select(*columns)
+    parts = _counted(kept.join(twice, same, "left_semi"), None)
+    added = parts.groupBy("chunk", "page", "id", "name").agg(F.sum("weight").alias("weight"), F.min_by("label", "seq").alias("label"), F.min_by("kind", "seq").alias("kind"))
     rank = F.row_number().over(Window.partitionBy("chunk").orderBy(F.desc("weight"), "name", "id"))
-    return counted.withColumn("rank", rank).filter(F.col("rank") <= TOP).select("chunk", "page", "id", "kind", "label", "name", "weight", "rank")
+    return once.union(added.withColumn("rank", rank).filter(F.col("rank") <= TOP).select(*columns))
 
 
 @dataclass(frozen=True)
@@ -127,7 +188,8 @@ def build(chunks: DataFrame, links: DataFrame, topics: DataFrame, entities: Data
     told = relations.join(pages, "page").select("page", "first", *_edge(entity("source"), entity("target"), "llm-relation", RELATED)).filter("a <> b").join(known.withColumnRenamed("id", "a"), "a", "left_semi").join(known.withColumnRenamed("id", "b"), "b", "left_semi")
     told = told.groupBy(*by, "weight").agg(F.count("*").alias("times"), F.count_distinct("first").alias("chunks"), F.count_distinct("page").alias("pages")).select(*by, "weight", "times", "chunks", "pages", F.lit(False).alias("routing_only"))
     every = edges.unionByName(linked).unionByName(topical).unionByName(told)
-    return Graph(nodes.drop("at"), every.select("a", "b", "kind", quantise(F.col("weight") * F.col("times"), 3).alias("weight"), "chunks", "pages", "routing_only"), mentions)
+    every = every.select("a", "b", "kind", quantise(F.col("weight") * F.col("times"), 3).alias("weight"), "chunks", "pages", "routing_only")
+    return Graph(nodes.drop("at"), materialize(every, "edges"), mentions)
 
 
 def seeds(graph: Graph, query: list[str], lexical: DataFrame) -> DataFrame:
