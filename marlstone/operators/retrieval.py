@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.arrays import let
+from marlstone.functions.counts import word_counts
 from marlstone.functions.numeric import cosine, quantise
 from marlstone.functions.text import tokens
 from marlstone.sources.tables import materialize, shared_dir
@@ -37,7 +37,7 @@ def lexical_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 @dataclass(frozen=True)
 class Index:
-    """A written inverted index: postings (term, key, tf, length), in order of terms within each file, and what a score needs of the corpus."""
+    """A written inverted index: postings (term, key, tf, length), in order of terms within each batch of a file, and what a score needs of the corpus."""
 
     postings: DataFrame
     key: str
@@ -47,15 +47,14 @@ class Index:
 
 
 def index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Index:
-    """The index of a corpus: one scan of its texts, one shuffle of a row for each term of a document.
+    """The index of a corpus: one scan of its texts, whose terms are counted where they are, so that nothing is shuffled.
 
-    Files are in the order of their terms, so that a question reads the pages of its terms alone; a frequent term's rows lie in all files alike. A
+    Rows of a batch of texts are in the order of their terms, so that a question reads the pages of its terms alone; a frequent term's rows lie in all files alike. A
     document without terms counts, with a length of 1. Null keys are kept, null texts are empty.
     """
-    held = let(tokens(F.col(text)), lambda words: F.transform(words, lambda w: F.struct(w.alias("term"), F.size(words).alias("length"))))
-    counted = docs.select(key, F.inline_outer(held)).groupBy(key, "term", "length").agg(F.count("term").cast("int").alias("tf"))
+    counted = word_counts(docs.select(key, tokens(F.col(text)).alias("_words")), "_words").select(key, "term", F.greatest("length", F.lit(1)).alias("length"), "tf")
     path = f"{shared_dir(docs.sparkSession)}/postings-{uuid.uuid4().hex}"
-    counted.sortWithinPartitions("term").write.parquet(path)
+    counted.write.parquet(path)
     postings, n = docs.sparkSession.read.schema(counted.schema).parquet(path), docs.count()
     words, empty = postings.agg(F.sum("tf"), F.count_if(F.col("term").isNull())).first()
     return Index(postings, key, path, max(1, n), max(1.0, ((words or 0) + empty) / max(1, n)))

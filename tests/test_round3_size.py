@@ -40,3 +40,13 @@ def test_edges_of_a_graph_are_written_once(spark):
     from marlstone.plans import entities
 
     assert "Join" not in plan_of(entities.entity_edges(spark, SMALL)) and "Aggregate" not in plan_of(entities.entity_edges(spark, SMALL))
+
+
+def test_words_are_counted_in_their_rows(spark):
+    from marlstone.functions.counts import word_counts
+
+    rows = spark.createDataFrame([(1, ["b", "a", "b"]), (None, ["a"]), (2, []), (3, None)], "key long, words array<string>").repartition(2)
+    found = word_counts(rows, "words")
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, [(1, "a", 1, 3), (1, "b", 2, 3), (None, "a", 1, 1), (2, None, 0, 0), (3, None, 0, 0)]))
+    assert word_counts(rows.limit(0), "words").count() == 0
+    assert plan_of(word_counts(rows.coalesce(1), "words")).count("Exchange") <= 1
