@@ -25,8 +25,8 @@ RRF_K, ORIGINAL_WEIGHT, EXPANDED_WEIGHT = 60, 1.0, 0.7
 GRAPH_CAP = 0.22
 #: Hits of a page of results at most.
 PAGE = 10_000
-#: Vectors of a block.
-BLOCK = 1024
+#: Vectors of a block, and blocks of queries whose best a task holds at once.
+BLOCK, HELD = 1024, 256
 
 
 def lexical_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -122,37 +122,61 @@ def _blocks(rows: DataFrame, name: str) -> DataFrame:
 def _matched(rows: DataFrame, queries: DataFrame, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray], positive: bool) -> DataFrame:
     """(query, key, weight, similarity, score) of the k rows (key, weight, v) that score best for each query (key, v), ties by weight and key.
 
-    A stated set of queries is held against all rows, block by block, as products of matrices of bounded size: Spark broadcasts the blocks of a side only
-    where they are few, and else pairs partitions. A task keeps k rows of a query for as long as its block goes on, and only those are shuffled.
+    A stated set of queries is held against all rows, block by block, as products of matrices of bounded size. Blocks of queries are written, so that Spark knows
+    how few they are: it broadcasts them or, beyond that, pairs partitions. A task keeps the k best of each query of HELD blocks at most, in whatever order blocks meet, sorts only what is better than
+    the last of these, and only those are shuffled.
     """
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, held = None, None
+        kept: dict[bytes, list[np.ndarray]] = {}
         for batch in batches:
             for r in range(len(batch)):
                 q, x = ([column[r].as_buffer() for column in batch.columns[at : at + 4]] for at in (0, 4))
-                ids, keys, weight = np.frombuffer(q[0], np.int64), np.frombuffer(x[0], np.int64), np.frombuffer(x[1], float)
-                if asked is not None and (len(ids) != len(asked) or (ids != asked).any()):
-                    yield told(asked, held)
-                    held = None
-                if held is None:
-                    asked, held = ids, [np.empty((len(ids), 0), t) for t in (np.int64, float, float, float)]
-                left, right = (np.frombuffer(s[3], float).reshape(n, -1) for s, n in ((q, len(ids)), (x, len(keys))))
+                asked, keys, weight = q[0].to_pybytes(), np.frombuffer(x[0], np.int64), np.frombuffer(x[1], float)
+                n = len(asked) // 8
+                if asked not in kept:
+                    if len(kept) >= HELD:
+                        first = next(iter(kept))
+                        yield told(first, kept.pop(first))
+                    kept[asked] = [np.empty(0, t) for t in (np.int64, np.int64, float, float, float)]
+                left, right = (np.frombuffer(s[3], float).reshape(m, -1) for s, m in ((q, n), (x, len(keys))))
                 width = min(left.shape[1], right.shape[1])
                 alike = left[:, :width] @ right[:, :width].T
-                alike[np.frombuffer(q[2], np.int64)[:, None] != np.frombuffer(x[2], np.int64)[None, :]] = 0.0
-                alike = np.where(alike >= EMBEDDING_LEAST, alike, 0.0)
-                wide = lambda a: np.broadcast_to(a, alike.shape)
-                held = [np.concatenate([a, b], axis=1) for a, b in zip(held, (wide(keys), wide(weight), alike, score(alike, wide(weight))), strict=True)]
-                order = np.lexsort((held[0], -held[1], -held[3]), axis=1)[:, :k]
-                held = [np.take_along_axis(a, order, 1) for a in held]
-        if held is not None:
+                sizes = [np.frombuffer(s[2], np.int64) for s in (q, x)]
+                if sizes[0].min() != sizes[0].max() or (sizes[1] != sizes[0][0]).any():
+                    alike[sizes[0][:, None] != sizes[1][None, :]] = 0.0
+                alike[alike < EMBEDDING_LEAST] = 0.0
+                kept[asked] = joined(kept[asked], n, keys, weight, alike, score(alike, weight))
+        for asked, held in kept.items():
             yield told(asked, held)
 
-    def told(ids: np.ndarray, held: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, held[0].shape[1])), *(pa.array(a.reshape(-1)) for a in held)], ["query", "key", "weight", "similarity", "score"])
-
-    pairs = _blocks(queries, "q").crossJoin(_blocks(rows, "x"))
+    def joined(held: list[np.ndarray], n: int, keys: np.ndarray, weight: np.ndarray, alike: np.ndarray, now: np.ndarray) -> list[np.ndarray]:
+        """The k best (query's place, key, weight, similarity, score) of each query, of those held, in order, and a block's."""
+        last = np.full(n, -1)
+        last[held[0]] = np.arange(len(held[0]))
+        full = np.bincount(held[0], minlength=n) >= k
+        least = np.full(n, -np.inf)
+        least[full] = held[4][last[full]]
+        row, col = np.nonzero(now >= least[:, None])
+        level = full[row] & (now[row, col] == least[row])
+        heavy, small = held[2][last[row[level]]], held[1][last[row[level]]]
+        worse = np.zeros(len(row), bool)
+        worse[level] = (weight[col[level]] < heavy) | ((weight[col[level]] == heavy) & (keys[col[level]] >= small))
+        row, col = row[~worse], col[~worse]
+        if not len(row):
+            return held
+        every = [np.concatenate([a, b]) for a, b in zip(held, (row, keys[col], weight[col], alike[row, col], now[row, col]), strict=True)]
+        order = np.lexsort((every[1], -every[2], -every[4], every[0]))
+        every = [a[order] for a in every]
+        place = np.arange(len(order)) - np.searchsorted(every[0], every[0])
+        return [a[place < k] for a in every]
+
+    def told(asked: bytes, held: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(asked, np.int64)[held[0]]), *(pa.array(a) for a in held[1:])], ["query", "key", "weight", "similarity", "score"])
+
+    # full blocks of queries in few files: a product runs a task for each pair of partitions, and makes one side's blocks anew in each
+    asked = materialize(_blocks(queries.hint("rebalance"), "q"), "asked")
+    pairs = asked.crossJoin(_blocks(rows, "x"))
     found = pairs.mapInArrow(best, "query long, key long, weight double, similarity double, score double").filter("score > 0" if positive else "true")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc("weight"), "key"))
     return found.withColumn("place", place).filter(F.col("place") <= k)
