@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,3 +37,21 @@ def word_counts(rows: DataFrame, words: str, term: str = "term", tf: str = "tf",
 
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept]
     return rows.select(*kept, words).mapInArrow(over, ", ".join([*fields, f"{term} string", f"{tf} int", f"{length} int"]))
+
+
+def commonest(rows: DataFrame, words: str, n: int, top: str = "top") -> DataFrame:
+    """rows with the n commonest words of an array as an array<struct<n, t>>, n negative, ties by word, in place of it. Null arrays are empty; a row's words are counted in one pass."""
+    kept = [c for c in rows.columns if c != words]
+    kind = pa.list_(pa.struct([("n", pa.int32()), ("t", pa.string())]))
+
+    def best(held: pa.ListScalar) -> list[dict]:
+        counts = Counter(held.values.to_pylist() if held.is_valid else ())
+        least = sorted(counts.values(), reverse=True)[n - 1] if len(counts) > n else 1
+        return [{"n": k, "t": t} for k, t in sorted((-k, t) for t, k in counts.items() if k >= least)[:n]]
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([best(x) for x in batch.column(len(kept))], kind)], [*kept, top])
+
+    fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept]
+    return rows.select(*kept, words).mapInArrow(over, ", ".join([*fields, f"{top} array<struct<n:int,t:string>>"]))

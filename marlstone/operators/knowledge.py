@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.counts import commonest
 from marlstone.functions.numeric import quantise
 from marlstone.functions.text import tokens
 
@@ -15,14 +16,9 @@ CLAIM_STRONG, CLAIM_PARTIAL = 0.65, 0.35
 def term_graph(chunks: DataFrame, key: str, text: str, n: int = 8) -> tuple[DataFrame, DataFrame]:
     """Nodes (term, weight) and edges (a, b, weight) of the n commonest terms of each chunk; a chunk gives at most n (n - 1) / 2 edges.
 
-    Each chunk's terms are counted and chosen within its row, so that only chosen terms are exploded.
+    Each chunk's terms are counted and chosen within its row, in one pass, so that only chosen terms are exploded.
     """
-
-    def best(words: Column) -> Column:
-        counted = F.transform(F.array_distinct(words), lambda t: F.struct((-F.size(F.filter(words, lambda w: w == t))).alias("n"), t.alias("t")))
-        return F.slice(F.array_sort(counted), 1, n)
-
-    found = chunks.select(key, F.get(F.transform(F.array(tokens(F.col(text))), best), F.lit(0)).alias("top"))
+    found = commonest(chunks.select(key, tokens(F.col(text)).alias("_words")), "_words", n)
     nodes = found.select(F.explode("top").alias("x")).groupBy(F.col("x.t").alias("term")).agg(F.sum(-F.col("x.n")).alias("weight"))
     pairs = F.flatten(F.transform("top", lambda a: F.transform(F.filter("top", lambda b: b["t"] > a["t"]), lambda b: F.struct(a["t"].alias("a"), b["t"].alias("b")))))
     edges = found.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("weight"))

@@ -105,3 +105,18 @@ def test_tasks_pass_on_the_best_of_a_query_once(spark):
             todo += [at.children().apply(k) for k in range(at.children().size())]
     # one partition of rows: blocks, and the best of each query
     assert max(passed) == 2048 * 5
+
+
+def test_terms_of_a_long_text_are_counted_in_one_pass(spark):
+    """Each term was held against all words of its text."""
+    import time
+
+    from marlstone.operators import knowledge
+
+    text = " ".join(f"word{k}x{j}" for k in range(20000) for j in range(1 + (k % 20000 == 7)))
+    rows = spark.createDataFrame([(1, text + " tie1 tie1 tie2 tie2 both both both"), (2, None), (3, "")], "id long, text string")
+    nodes, edges = knowledge.term_graph(rows, "id", "text", 3)
+    began = time.time()
+    assert {(r.term, r.weight) for r in nodes.collect()} == {("both", 3), ("tie1", 2), ("tie2", 2)}
+    assert time.time() - began < 8
+    assert {(r.a, r.b, r.weight) for r in edges.collect()} == {("both", "tie1", 1), ("both", "tie2", 1), ("tie1", "tie2", 1)}
