@@ -8,7 +8,9 @@ text's statistics, which then scores every text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -224,6 +226,9 @@ class Classifier:
         return cast, self.model.posterior(cast), 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
+_SIGNS = {c: k for k, c in enumerate("-0+")}
+
+
 def _pattern(cast: np.ndarray) -> pa.Array:
     return pa.array(["".join(x) for x in np.array(["-", "0", "+"])[cast]], pa.string())
 
@@ -246,10 +251,24 @@ def _taught(texts: pa.Array) -> pa.Array:
 NO_MODEL = LabelModel(np.eye(1 + len(LABELLERS))[0] * 0.99 + 1e-4, np.ones((len(LABELLERS), 1 + len(LABELLERS), 3)))
 
 
+def _learn(model: LabelModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights and bias of the scorer, from the sample's votes and vectors."""
+    held = list(batches)
+    cast, x, at = [], np.empty((sum(b.num_rows for b in held), BUCKETS), np.float32), 0
+    for batch in held:
+        for votes_, vector in zip(*(batch.column(c) for c in ("votes", "vector")), strict=True):
+            x[at] = np.frombuffer(vector.as_buffer(), np.float16)
+            cast.append([_SIGNS[c] for c in votes_.as_py()])
+            at += 1
+    good = model.posterior(np.array(cast, int).reshape(len(x), -1)) if at else np.zeros(0)
+    weight, bias = train(x, good.astype(np.float32))
+    yield pa.RecordBatch.from_pydict({"weight": pa.array([weight.tobytes()], pa.binary()), "bias": pa.array([float(bias)], pa.float64())})
+
+
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE) -> Classifier:
     """Learn from texts alone: votes of all of them, and the scorer from at most `sample` of them by a hash.
 
-    At most 3 ** len(LABELLERS) vote patterns, and the sample's vectors (8 kB each), come to the driver. Null texts count as
+    At most 3 ** len(LABELLERS) vote patterns, and the weights, come to the driver; the sample's vectors (8 kB each) go to one task. Null texts count as
     empty; repeated rows count, and are drawn together. From an empty table nothing is learnt, and all is good.
     """
     text, drawn = F.col(text_column), F.pmod(F.xxhash64(F.col(id_column), F.col(text_column)), F.lit(1 << 40))
@@ -257,17 +276,15 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     patterns = docs.select(cast(text).alias("votes")).groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
     if not patterns:
         return Classifier(NO_MODEL, np.zeros(BUCKETS, np.float32), 0.0)
-    key = {c: k for k, c in enumerate("-0+")}
-    rows, counts = np.array([[key[c] for c in r.votes] for r in patterns]), np.array([r.n for r in patterns], float)
+    rows, counts = np.array([[_SIGNS[c] for c in r.votes] for r in patterns]), np.array([r.n for r in patterns], float)
     model = estimate(rows, counts)
     share = min(1.0, 1.25 * sample / counts.sum() + 1e-9)
     taught = F.arrow_udf(_taught, StructType().add("votes", "string").add("vector", "binary"))
     some = docs.select(text.alias("text"), drawn.alias("drawn")).filter(F.col("drawn") <= F.lit(int(share * (1 << 40))))
     # vectors are made where the texts are; ties of `drawn` are texts of one id, whose votes and vectors decide
-    taken = some.select("drawn", taught("text").alias("x")).select("drawn", "x.votes", "x.vector").orderBy("drawn", "votes", "vector").limit(sample).collect()
-    x = np.stack([np.frombuffer(r.vector, np.float16) for r in taken]).astype(np.float32)
-    posterior = model.posterior(np.array([[key[c] for c in r.votes] for r in taken]))
-    weight, bias = train(x, posterior.astype(np.float32))
+    taken = some.select("drawn", taught("text").alias("x")).select("drawn", "x.votes", "x.vector").orderBy("drawn", "votes", "vector").limit(sample)
+    learnt = taken.mapInArrow(partial(_learn, model), "weight binary, bias double").first()
+    weight, bias = (np.frombuffer(learnt.weight, np.float32), learnt.bias) if learnt else (np.zeros(BUCKETS, np.float32), 0.0)
     return Classifier(model, weight, bias)
 
 
