@@ -27,6 +27,8 @@ GRAPH_CAP = 0.22
 PAGE = 10_000
 #: Vectors of a block, and blocks of queries whose best a task holds at once.
 BLOCK, HELD = 1024, 256
+#: Rows of numbers up to which they are broadcast.
+BROADCAST = 100_000
 
 
 def lexical_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -281,14 +283,24 @@ def within_budget(ranked: DataFrame, characters: int, each: int = 360, order: tu
     return cut.withColumn("so_far", so_far).drop("place").filter(F.col("so_far") <= characters)
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Rows of numbers to be broadcast if they are no more than BROADCAST; else as they are."""
+    return F.broadcast(rows) if rows.limit(BROADCAST + 1).count() <= BROADCAST else rows
+
+
 def graph_boosts(seeds: DataFrame, edges: DataFrame, cap: float = GRAPH_CAP) -> DataFrame:
     """(node, boost) of the neighbours of seeds (node) over edges (a, b), two hops out: .12 along an edge, .08 against it,
-    .04 and .025 on the second hop; sums over seeds are capped, seeds get none."""
-    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(True).alias("out")).union(edges.select(F.col("b").alias("x"), F.col("a").alias("y"), F.lit(False).alias("out"))).distinct()
-    first = seeds.distinct().join(both, seeds.node == both.x).select(F.col("node").alias("seed"), F.col("y").alias("node"), F.when(F.col("out"), 12).otherwise(8).alias("near"))
-    first = first.join(seeds.distinct(), "node", "left_anti")
-    second = first.select("seed", F.col("node").alias("x")).distinct().join(both, "x").select("seed", F.col("y").alias("node"), F.when(F.col("out"), 4).otherwise(2.5).alias("near"))
-    second = second.join(seeds.distinct(), "node", "left_anti").join(first.select("seed", "node").distinct(), ["seed", "node"], "left_anti")
+    .04 and .025 on the second hop; sums over seeds are capped, seeds get none. Repeated edges count once.
+
+    Edges are sought out by the nodes of a hop before repeated ones go, so that no task holds edges that nothing leads to.
+    """
+    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(True).alias("out")).union(edges.select(F.col("b").alias("x"), F.col("a").alias("y"), F.lit(False).alias("out")))
+    begun = _few(seeds.distinct())
+    first = both.join(begun.withColumnRenamed("node", "x"), "x").distinct().select(F.col("x").alias("seed"), F.col("y").alias("node"), F.when(F.col("out"), 12).otherwise(8).alias("near"))
+    first = materialize(first.join(begun, "node", "left_anti").select("seed", "node", "near"), "graph-hop")
+    met = _few(first.select("seed", "node").distinct())
+    hop = both.join(_few(first.select(F.col("node").alias("x")).distinct()), "x", "left_semi").join(begun, F.col("y") == F.col("node"), "left_anti").distinct()
+    second = hop.join(met.withColumnRenamed("node", "x"), "x").select("seed", F.col("y").alias("node"), F.when(F.col("out"), 4).otherwise(2.5).alias("near")).join(met, ["seed", "node"], "left_anti")
     summed = first.select("node", "near").union(second.select("node", "near")).groupBy("node").agg(F.sum(F.col("near").cast("decimal(12,3)")).alias("points"))
     return summed.select("node", F.least(F.lit(cap), F.col("points").cast("double") / 100).alias("boost"))
 

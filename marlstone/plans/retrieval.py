@@ -77,13 +77,17 @@ def evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.within_budget(best, characters, order=(F.desc("score"), "doc_id")).select("doc_id", "score", F.length("text").cast("long").alias("n_chars"), F.col("so_far").cast("long").alias("so_far"))
 
 
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).filter("a <> b")
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).filter("a <> b").distinct()
+    return _links(spark, sf_dir).distinct()
 
 
 def graph_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.range(1, 6).withColumnRenamed("id", "node")
-    return R.graph_boosts(seeds, _edges(spark, sf_dir))
+    return R.graph_boosts(seeds, _links(spark, sf_dir))
 
 
 def rerank_search(spark: SparkSession, sf_dir: str) -> DataFrame:

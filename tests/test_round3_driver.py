@@ -1,4 +1,4 @@
-"""What of a fit comes to the driver."""
+"""What of a fit comes to the driver, and what tasks hold of graphs, streams and JSON."""
 
 from pyspark.sql import DataFrame
 
@@ -28,3 +28,19 @@ def test_a_fit_without_a_drawn_text(spark):
     docs = spark.range(400).selectExpr("7L AS doc_id", "'plain words of one text' AS text")
     found = quality.fit(docs, sample=1)
     assert found.weight.shape == (quality.BUCKETS,)
+
+
+def test_only_edges_of_a_hop_are_deduplicated(spark, monkeypatch):
+    from marlstone.operators import retrieval as R
+
+    # 1 -> 2 -> 3, 4 -> 2, 1 -> 2 again; 50,000 edges that nothing leads to; a null end counts as a node
+    near = [(1, 2), (1, 2), (2, 3), (4, 2), (2, None), (3, 5)]
+    edges = spark.createDataFrame(near, "a long, b long").union(spark.range(50_000).selectExpr("id + 100", "id + 100000")).repartition(2)
+    seeds = spark.createDataFrame([(1,), (1,)], "node long")
+    want = {(2, 0.12), (3, 0.04), (4, 0.025), (None, 0.04)}
+    for most in (R.BROADCAST, 0):
+        monkeypatch.setattr(R, "BROADCAST", most)
+        frame = R.graph_boosts(seeds, edges)
+        assert {tuple(r) for r in frame.collect()} == want
+    monkeypatch.undo()
+    assert "LeftSemi" in R.graph_boosts(seeds, edges)._jdf.queryExecution().optimizedPlan().toString()
