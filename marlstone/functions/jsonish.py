@@ -9,6 +9,20 @@ from marlstone.functions.arrays import let, running
 
 #: Strings (an end may be missing), strings in single quotes, comments, marks, and bare words up to the next mark or line.
 _PIECES = r"""(?s)"(?:[^"\\]|\\.)*+(?:"|\\?$)|(?<=[\s{\[,:])'(?:[^'\\\n]|\\.)*+'(?=\s*[,:}\]])|//[^\n]*|/\*.*?(?:\*/|$)|[{}\[\],:]|[^\s{}\[\],:"][^{}\[\],:"\n]*"""
+#: A well-formed object of so many levels at a text's beginning, which mending would leave as it is but for spaces; no part is tried twice.
+_STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
+_LEVELS = 4
+
+
+def _sound(levels: int) -> str:
+    value = _STRING + r"|-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+|true|false|null"
+    for level in range(levels):
+        each = r"(?:,[ \n]*+(?![}}\]])|(?=[}}\]]))"
+        object_ = rf"\{{[ \n]*+(?:{_STRING}[ \n]*+:[ \n]*+(?:{value})[ \n]*+{each})*+\}}".replace("}}", "}")
+        value = object_ if level == levels - 1 else rf"{value}|{object_}|\[[ \n]*+(?:(?:{value})[ \n]*+{each})*+\]".replace("}}", "}")
+    return f"^({value})"
+
+
 _NUMBER = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"
 #: Fields in which a service wraps what a model wrote.
 WRAPPED = ("$.text", "$.answer", "$.response", "$.generated_text", "$.choices[0].text", "$.choices[0].message.content")
@@ -61,6 +75,12 @@ def _step(state: Column, item: Column) -> tuple[Column, Column]:
     return F.struct(stack.alias("open"), then.alias("at"), more.alias("some")), out
 
 
+def _begun(text: Column) -> Column:
+    """A text from where its object begins; empty where it has none."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*([{\[].*)$", 1)
+    return F.when(fenced != "", fenced).when(F.regexp_like(text, F.lit(r"^\s*\[")), text).otherwise(F.regexp_extract(text, r"(?s)(\{.*)$", 1))
+
+
 def mended(text: Column) -> Column:
     """The JSON object in a text, well-formed; null where the text has no opening brace.
 
@@ -68,9 +88,7 @@ def mended(text: Column) -> Column:
     quotes and bare words are quoted, words of Python are put in JSON's; commas are set anew, so that none is missing, double or trailing; keys without a value get null, closing brackets
     that nothing opened go, and what stands open at the end, a string too, is closed. Bare words after the last bracket are what the model said besides. One pass over a text's pieces.
     """
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*([{\[].*)$", 1)
-    plain = F.when(fenced != "", fenced).when(F.regexp_like(text, F.lit(r"^\s*\[")), text).otherwise(F.regexp_extract(text, r"(?s)(\{.*)$", 1))
-    found = F.nullif(F.regexp_replace(plain, r"(?s)([}\]])[^{}\[\],:\"]*$", "$1"), F.lit(""))
+    found = F.nullif(F.regexp_replace(_begun(text), r"(?s)([}\]])[^{}\[\],:\"]*$", "$1"), F.lit(""))
     end = F.array(F.struct(F.lit("$").alias("kind"), F.lit("").alias("key"), F.lit("").alias("value")))
     pieces = F.concat(F.transform(F.regexp_extract_all(found, F.lit(_PIECES), F.lit(0)), _piece), end)
     zero = F.struct(F.lit("").alias("open"), F.lit("v").alias("at"), F.lit(False).alias("some"))
@@ -89,5 +107,8 @@ def unwrapped(text: Column) -> Column:
 
 
 def read_json(text: Column, schema: str) -> Column:
-    """A value of the schema from what a model wrote; null where there is no object, fields that aren't there or of another kind are null."""
-    return F.from_json(mended(text), schema)
+    """A value of the schema from what a model wrote; null where there is no object, fields that aren't there or of another kind are null.
+
+    What is well-formed is taken as it stands, so that only the rest is mended piece by piece.
+    """
+    return F.from_json(F.coalesce(F.nullif(F.regexp_extract(_begun(text), _sound(_LEVELS), 1), F.lit("")), mended(text)), schema)
