@@ -15,6 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from marlstone.operators.folds import fold
 
 FAILURES, COOLDOWN = 3, 300.0
+#: Groups that the keys of a stream are dealt to; as long as a stream's state lives, it stays.
+GROUPS = 4096
 
 
 def _timed(rows: DataFrame, at: str) -> DataFrame:
@@ -37,25 +39,38 @@ def ttl_dedup(events: DataFrame, keys: list[str], at: str, tie: str, ttl: float)
 def ttl_dedup_stream(events: DataFrame, keys: list[str], at: str, tie: str, ttl: float, late: str = "1 hour") -> DataFrame:
     """The sent events of a stream; the state of a key is when it was last sent, and it goes once the watermark is `ttl` past that.
 
-    A micro-batch's events of a key are taken in order of time; what comes later than `late` after its time is dropped.
+    A micro-batch's events of a key are taken in order of time; what comes later than `late` after its time is dropped. Keys are dealt to GROUPS groups
+    by their hash, and a group is called once for all its keys: what a call costs doesn't grow with the keys.
     """
     names = [f.name for f in events.schema]
 
-    def over(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def over(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed = state.getCurrentWatermarkMs()
+        sent = dict(zip(*state.get, strict=True)) if state.exists else {}
+        kept = None
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames), ignore_index=True)
+            times = rows[at].to_numpy().astype("int64") / {"ns": 1e9, "us": 1e6}[rows[at].dt.unit]
+            own, chosen = rows["_key"].tolist(), []
+            for k in rows[[at, tie]].sort_values([at, tie]).index.tolist():
+                key, when = own[k], times[k]
+                last = sent.get(key)
+                if last is None or when - last >= ttl:
+                    sent[key] = float(when)
+                    chosen.append(k)
+            kept = rows.iloc[chosen][names]
+        sent = {key: last for key, last in sent.items() if int((last + ttl) * 1000) > passed}
+        if sent:
+            state.update((list(sent), list(sent.values())))
+            state.setTimeoutTimestamp(int((min(sent.values()) + ttl) * 1000))
+        elif state.exists:
             state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows, kept = pd.concat(list(frames)).sort_values([at, tie]), []
-        for k, when in enumerate(rows[at].astype("int64") / {"ns": 1e9, "us": 1e6}[rows[at].dt.unit]):
-            if last is None or when - last >= ttl:
-                last = when
-                kept.append(k)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(int((last + ttl) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield rows.iloc[kept][names]
-
-    return events.withWatermark(at, late).groupBy(*keys).applyInPandasWithState(over, events.schema, "last double", "append", GroupStateTimeout.EventTimeTimeout)
+        if kept is not None:
+            yield kept
+
+    key = F.to_json(F.struct(*keys), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    dealt = events.withWatermark(at, late).withColumn("_key", key).withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(GROUPS)))
+    return dealt.groupBy("_group").applyInPandasWithState(over, events.schema, "keys array<string>, last array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def circuit(calls: DataFrame, source: str, at: str, tie: str, ok: str, failures: int = FAILURES, cooldown: float = COOLDOWN) -> DataFrame:
