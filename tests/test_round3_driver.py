@@ -87,3 +87,9 @@ def F_sorted(name):
     from pyspark.sql import functions as F
 
     return F.sort_array(F.collect_list(name))
+
+
+def test_titles_of_claims_are_made_once(spark):
+    from marlstone.plans import knowledge
+
+    assert knowledge.merged_claims(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
