@@ -40,6 +40,8 @@ BASE, PRIOR, CONFIDENCE, COUNTS = {"exact": 8, "candidate": 2}, 8, {"high": 4, "
 ANCHOR, TEMPLATES = 8, 10_000
 #: Letters of all needles up to which they are broadcast, and how many beginnings of needles a text's runs are compared with in its own row.
 BROADCAST, IN_ROW = 4_000_000, 2_000
+#: Templates up to which a question is held against each of them in its own row, and how many questions make a task.
+CROSSED, ASKED = 100, 2_000
 
 #: Dimensions of a profile, points of a term and the most of a dimension, and the weights of dimensions in roles, in the order in which roles are tried.
 DIMENSIONS = ("purpose", "content", "structure", "style", "constraints")
@@ -54,12 +56,15 @@ ROLES = {
 
 def said(text: Column) -> Column:
     """Lower case, straight quotes, single spaces; null is empty."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "‘’“”", "''\"\"")
+    plain = F.lower(F.coalesce(text, F.lit("")))
+    for curly, straight in zip("‘’“”", "''\"\"", strict=True):
+        plain = F.replace(plain, F.lit(curly), F.lit(straight))
     return F.trim(F.regexp_replace(plain, r"[\s ]+", " "))
 
 
 def query_tokens(text: Column) -> Column:
-    return grams(said(text), STOP)
+    """Words and runs of a text; quotes and spaces are parts of none, so they stay as they are."""
+    return grams(text, STOP)
 
 
 def contained(texts: DataFrame, key: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
@@ -93,8 +98,47 @@ def _small(rows: DataFrame, *texts: str) -> DataFrame:
 
 
 def _asked(questions: DataFrame, key: str, question: str) -> DataFrame:
-    """(key, _q), by key: what is found in a question stays in its task, so that only questions are shuffled, not what they have in common with fields."""
-    return questions.select(key, said(F.col(question)).alias("_q")).filter("_q <> ''").repartition(key)
+    """(key, _q, _terms), by key, in tasks of about ASKED questions: what is found in a question stays in its task, so that only questions are shuffled, not what they have in common with fields."""
+    tasks = max(questions.sparkSession.sparkContext.defaultParallelism, questions.count() // ASKED + 1)
+    asked = questions.select(key, said(F.col(question)).alias("_q")).filter("_q <> ''").repartition(tasks, key)
+    return asked.withColumn("_terms", query_tokens(F.col("_q")))
+
+
+def _sought(asked: DataFrame, key: str, told: DataFrame) -> DataFrame:
+    """(key, _t): questions and the numbers of the templates that they share a word or a phrase with, each once."""
+    each = told.select("_t", F.inline("_fields"))
+    texts = _small(each.select("_text", "_t").distinct(), "_text")
+    terms = _small(told.select("_t", F.explode("_words").alias("term")), "term")
+    shared = asked.select(key, F.explode("_terms").alias("term")).join(terms, "term").select(key, "_t")
+    asked = asked.select(key, "_q")
+    within = contained(asked, key, "_q", texts, "_text").join(texts, "_text").select(key, "_t")
+    # What is held by a field is no longer than the longest.
+    short = asked.filter(F.length("_q") <= (each.agg(F.max(F.length("_text"))).first()[0] or 0))
+    around = contained(each.select("_text", F.col("_text").alias("_in")).distinct(), "_text", "_in", short, "_q").join(texts, "_text").join(short, "_q").select(key, "_t")
+    same = asked.join(texts.withColumnRenamed("_text", "_q"), "_q").select(key, "_t")
+    return shared.union(within).union(around.repartition(key)).union(same).distinct()
+
+
+def _met(questions: DataFrame, key: str, question: str, fields: DataFrame) -> DataFrame:
+    """(key, _q, target, tokens, _text, more): the fields (target, _text, _tokens, more) of a template beside each question that shares a word or a phrase with any of them, and the words of the field that the question has.
+
+    Each question is held against CROSSED templates in its own row, so that nothing it has in common with them is shuffled, sorted or kept; of more templates it meets those that are sought for it.
+    A template is one row, so its words are sought in a question once for all its fields.
+    """
+    rest = [F.col(c) for c in fields.columns if c != "target"]
+    told = fields.distinct().groupBy("target").agg(F.collect_list(F.struct(*rest)).alias("_fields"))
+    told = told.withColumn("_words", F.array_distinct(F.flatten(F.transform("_fields", lambda x: x["_tokens"])))).withColumn("_t", F.monotonically_increasing_id())
+    told = materialize(told, "template-fields")
+    size = told.agg(F.count("*").alias("n"), F.sum(F.aggregate("_fields", F.lit(0), lambda n, x: n + F.length(x["_text"]) + 64)).alias("letters")).first()
+    asked = _asked(questions, key, question)
+    if size.n <= CROSSED and (size.letters or 0) <= BROADCAST:
+        pairs = asked.crossJoin(F.broadcast(told.drop("_t")))
+    else:
+        pairs = _sought(asked, key, told).join(asked, key).join(F.broadcast(told) if (size.letters or 0) <= BROADCAST else told, "_t")
+    held = pairs.select(key, "_q", "target", F.array_intersect("_words", "_terms").alias("_held"), "_fields")
+    shared = F.transform("_fields", lambda x: F.array_intersect(x["_tokens"], F.col("_held")))
+    each = held.select(key, "_q", "target", F.inline(F.arrays_zip(F.col("_fields").alias("_field"), shared.alias("tokens"))))
+    return each.select(key, "_q", "target", *(F.col(f"_field.{c}") for c in fields.columns if c not in ("target", "_tokens")), "tokens")
 
 
 def points(questions: DataFrame, key: str, question: str, fields: DataFrame, reasons: bool = True) -> DataFrame:
@@ -102,35 +146,21 @@ def points(questions: DataFrame, key: str, question: str, fields: DataFrame, rea
 
     A field scores by its phrase, where the question holds it or is held by it, and by its words that the question has, up to the field's cap. What speaks against an
     item counts by its phrase, else by its words. A question that is just the text of a case adds to it. Null texts and fields of no known part are left out, repeated rows count once;
-    keys are unique. Fields are numbered and written once, so that a pair is two numbers. Without reasons there is no column of tokens; they are only counted.
+    keys are unique. Templates are written once. Without reasons there is no column of tokens; they are only counted.
     """
     c = F.col
-    spec = F.create_map(*(x for (part, field), (a, b, cap) in FIELDS.items() for x in (F.lit(f"{part}/{field}"), F.array(F.lit(a), F.lit(b), F.lit(cap)))))
+    spec = F.create_map(*(x for (part, field), (a, b, cap) in FIELDS.items() for x in (F.lit(f"{part}/{field}"), F.struct(F.lit(a).alias("phrase"), F.lit(b).alias("word"), F.lit(cap).alias("cap")))))
     told = fields.select("target", "part", "item", "field", said(c("text")).alias("_text"), F.try_element_at(spec, F.concat_ws("/", "part", "field")).alias("_spec"))
-    told = told.filter("_text <> '' AND _spec IS NOT NULL").distinct().withColumn("_id", F.monotonically_increasing_id())
-    told = _small(materialize(told, "template-fields"), "_text")
-    asked = _asked(questions, key, question)
-    yes, no = F.lit(True), F.lit(False)
-    words = asked.select(key, F.explode(query_tokens(c("_q"))).alias("term"))
-    terms = _small(told.select("_id", F.explode(query_tokens(c("_text"))).alias("term")), "term")
-    shared = words.join(terms, "term").select(key, "_id", "term", no.alias("phrase"), no.alias("same"))
-    nothing = F.lit(None).cast("string").alias("term")
-    within = contained(asked, key, "_q", told, "_text").join(told.select("_text", "_id"), "_text").select(key, "_id", nothing, yes.alias("phrase"), no.alias("same"))
-    helpful = told.filter(c("_spec")[0] > 0)
-    # What is held by a field is no longer than the longest.
-    longest = helpful.agg(F.max(F.length("_text"))).first()[0] or 0
-    short = asked.filter(F.length("_q") <= longest)
-    around = contained(helpful.select("_text", c("_text").alias("_in")).distinct(), "_text", "_in", short, "_q").join(helpful.select("_text", "_id"), "_text").join(short, "_q")
-    around = around.select(key, "_id", nothing, yes.alias("phrase"), no.alias("same")).repartition(key)
-    cases = told.filter(c("part").isin(*SAME) & c("field").isin("title", "preview", "prompt"))
-    same = asked.join(cases.select("_id", c("_text").alias("_q")), "_q").select(key, "_id", nothing, no.alias("phrase"), yes.alias("same"))
-    tokens = F.array_sort(F.collect_set("term")) if reasons else F.count("term")
-    found = shared.union(within).union(around).union(same).groupBy(key, "_id").agg(tokens.alias("tokens"), F.max("phrase").alias("phrase"), F.max("same").alias("same")).join(told, "_id")
-    n = (F.size("tokens") if reasons else c("tokens")).cast("int")
-    first = F.when(c("phrase"), c("_spec")[0]).otherwise(0)
-    good = F.least(first + F.greatest(F.lit(0), F.least(c("_spec")[2] - first, n * c("_spec")[1])), c("_spec")[2])
-    bad = F.when(c("phrase"), c("_spec")[0]).otherwise(F.greatest(c("_spec")[2], n * c("_spec")[1]))
-    return found.select(key, "target", "part", "item", "field", F.when(c("_spec")[0] > 0, good).otherwise(bad).alias("points"), "phrase", "same", *(["tokens"] if reasons else []))
+    told = told.filter("_text <> '' AND _spec IS NOT NULL").withColumn("_tokens", F.array_sort(query_tokens(c("_text"))))
+    within = (F.length("_text") > 1) & F.contains("_q", "_text")
+    # The length of a question is counted letter by letter, so it comes last.
+    around = (c("_spec.phrase") > 0) & F.contains("_text", "_q") & (F.length("_q") > 1)
+    same = c("part").isin(*SAME) & c("field").isin("title", "preview", "prompt") & (c("_q") == c("_text"))
+    found = _met(questions, key, question, told).withColumn("phrase", within | around).withColumn("same", F.coalesce(same, F.lit(False))).withColumn("_n", F.size("tokens"))
+    found = found.filter("_n > 0 OR phrase OR same")
+    good = F.least(F.when(c("phrase"), c("_spec.phrase")).otherwise(0) + c("_n") * c("_spec.word"), c("_spec.cap"))
+    bad = F.when(c("phrase"), c("_spec.phrase")).otherwise(F.greatest(c("_spec.cap"), c("_n") * c("_spec.word")))
+    return found.select(key, "target", "part", "item", "field", F.when(c("_spec.phrase") > 0, good).otherwise(bad).alias("points"), "phrase", "same", *(["tokens"] if reasons else []))
 
 
 def catalogue(templates: DataFrame, items: DataFrame) -> DataFrame:
@@ -154,10 +184,9 @@ def item_scores(found: DataFrame, key: str) -> DataFrame:
 
 def rule_points(questions: DataFrame, key: str, question: str, rules: DataFrame) -> DataFrame:
     """(key, target, part, item, score) of rules (target, rule, term, points): a rule adds its points once where a question holds any of its terms, or has it as a word. A guard's penalty is its template's base."""
-    told = _small(rules.select("target", "rule", "points", said(F.col("term")).alias("_text")).filter("_text <> ''").distinct(), "_text")
-    asked = _asked(questions, key, question)
-    words = asked.select(key, F.explode(query_tokens(F.col("_q"))).alias("_text"))
-    met = contained(asked, key, "_q", told, "_text").union(words).join(told, "_text").select(key, "target", "rule", "points").distinct()
+    told = rules.select("target", "rule", "points", said(F.col("term")).alias("_text")).filter("_text <> ''").withColumn("_tokens", F.array("_text"))
+    held = _met(questions, key, question, told).filter((F.size("tokens") > 0) | ((F.length("_text") > 1) & F.contains("_q", "_text")))
+    met = held.select(key, "target", "rule", "points").distinct()
     return met.groupBy(key, "target").agg(F.sum("points").alias("score")).select(key, "target", F.lit("own").alias("part"), F.lit("").alias("item"), "score")
 
 

@@ -61,8 +61,8 @@ def _entries(words: DataFrame) -> DataFrame:
 
 def template_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templates of sources, by their commonest words."""
-    asked = _questions(spark, sf_dir)
-    found = _told(T.points(asked, "id", "text", _fields(_words(spark, sf_dir))), asked)
+    # Nothing of it is shuffled or sorted, so rows go by the digest from the start.
+    found = T.points(_questions(spark, sf_dir), "asked", "text", _fields(_words(spark, sf_dir)))
     return found.withColumn("points", F.col("points").cast("long")).withColumn("tokens", F.array_join("tokens", ","))
 
 
