@@ -192,13 +192,28 @@ def rule_points(questions: DataFrame, key: str, question: str, rules: DataFrame)
 
 def item_ranks(questions: DataFrame, key: str, scored: DataFrame, entries: DataFrame, part: str) -> DataFrame:
     """(key, target, item, score, place): the best items of a part for a question, as many as count, ties by item; only templates that a question shares an item of the part with."""
-    base = entries.filter(F.col("part") == part).groupBy("target", "part", "item").agg(F.sum("base").alias("base"))
-    pairs = scored.filter(F.col("part") == part).select(key, "target").distinct().join(base, "target").join(scored, [key, "target", "part", "item"], "left")
-    total = pairs.select(key, "target", "item", (F.col("base") + F.coalesce("score", F.lit(0))).alias("score"))
+    c = F.col
+    item = lambda score, known: F.collect_list(F.struct("item", c(score).cast("long").alias("score"), F.lit(known).alias("known")))
+    held = entries.filter(c("part") == part).groupBy("target", "item").agg(F.sum("base").alias("base")).groupBy("target").agg(item("base", True).alias("_base"))
+    more = scored.filter(c("part") == part).groupBy(key, "target").agg(item("score", False).alias("_more"))
+    pairs = more.join(held, "target").select(key, "target", F.inline(F.concat("_more", "_base"))).groupBy(key, "target", "item")
+    # What is added to an item without a name is no one's.
+    total = pairs.agg(F.sum(F.when(c("known") | c("item").isNotNull(), c("score"))).alias("score"), F.max("known").alias("known")).filter("known").drop("known")
     placed = total.withColumn("place", F.row_number().over(Window.partitionBy(key, "target").orderBy(F.desc("score"), "item")))
     return placed.filter(F.col("place") <= PARTS[part][0]).join(questions.select(key), key, "left_semi")
 
 
+def _total(items: Column) -> Column:
+    """A template's score by those of its items, array<struct<part, score>>: all of its own, and the best of each part, as many and as much as PARTS says."""
+
+    def best(part: str, top: int, most: int, least: int) -> Column:
+        each = F.transform(F.filter(items, lambda x: x["part"] == part), lambda x: F.greatest(F.least(x["score"], F.lit(most)), F.lit(least)))
+        return F.slice(F.sort_array(each, asc=False), 1, top)
+
+    own = F.transform(F.filter(items, lambda x: ~F.coalesce(x["part"].isin(*PARTS), F.lit(False))), lambda x: x["score"])
+    return F.aggregate(F.concat(own, *(best(part, *rule) for part, rule in PARTS.items())), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
 def ranked(questions: DataFrame, key: str, scored: DataFrame, entries: DataFrame, n: int) -> DataFrame:
     """(key, target, score, place): the n best templates above 0 for each question, ties by target.
 
@@ -209,20 +224,16 @@ def ranked(questions: DataFrame, key: str, scored: DataFrame, entries: DataFrame
     base = entries.groupBy("target", "part", "item").agg(F.sum("base").alias("base"))
 
     def totals(rows: DataFrame, by: list[str]) -> DataFrame:
-        top, most, least = (F.coalesce(*(F.when(F.col("part") == part, rule[k]) for part, rule in PARTS.items()), F.lit(other)) for k, other in ((0, 1 << 30), (1, 1 << 30), (2, -(1 << 30))))
-        best = F.sort_array(F.collect_list(F.greatest(F.least("score", most), least)), asc=False)
-        part = rows.groupBy(*by, "part").agg(best.alias("all")).select(*by, F.aggregate(F.slice("all", F.lit(1), top), F.lit(0).cast("long"), lambda s, x: s + x).alias("sum"))
-        return part.groupBy(*by).agg(F.sum("sum").alias("score"))
+        return rows.groupBy(*by).agg(F.collect_list(F.struct("part", "score")).alias("_all")).select(*by, _total(F.col("_all")).alias("score"))
 
     fixed = totals(base.withColumnRenamed("base", "score"), ["target"])
     order = lambda score: F.struct((-score).alias("below"), F.col("target"))
     one = fixed.agg(F.array_sort(F.collect_list(order(F.col("score")))).alias("_all"))
     one = one.select(F.when(F.size("_all") <= TEMPLATES, F.col("_all")).otherwise(F.raise_error(F.lit(f"more than {TEMPLATES} templates"))).alias("_fixed"))
-    added = scored.groupBy(key, "target", "part", "item").agg(F.sum("score").alias("more"))
     item = lambda score, known: F.collect_list(F.struct("part", "item", F.col(score).cast("long").alias("score"), F.lit(known).alias("known")))
     held = base.groupBy("target").agg(item("base", True).alias("_base"))
     held = F.broadcast(held) if base.count() * 64 <= BROADCAST else held
-    every = added.groupBy(key, "target").agg(item("more", False).alias("_more")).join(held, "target").select(key, "target", F.inline(F.concat("_more", "_base")))
+    every = scored.groupBy(key, "target").agg(item("score", False).alias("_more")).join(held, "target").select(key, "target", F.inline(F.concat("_more", "_base")))
     pairs = every.groupBy(key, "target", "part", "item").agg(F.sum("score").alias("score"), F.max("known").alias("known")).filter("known")
     own = totals(pairs, [key, "target"])
     met = own.groupBy(key).agg(F.collect_list(order(F.col("score"))).alias("_met"))

@@ -41,8 +41,9 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(target, k, term): the 24 commonest words of each source's documents, from 0."""
     docs = table(spark, sf_dir, "documents").filter("source IS NOT NULL")
     counted = docs.select(F.col("source").alias("target"), F.explode(T.query_tokens(F.col("text"))).alias("term")).groupBy("target", "term").agg(F.count("*").alias("n"))
-    ranked = counted.withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("n"), "term")) - 1)
-    return materialize(ranked.filter(F.col("k") < 24).select("target", "k", "term"), "template-words")
+    # Places are compared as they are numbered: then each task passes on the first 24 of a source, not all of its words.
+    ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("n"), "term"))).filter("place <= 24")
+    return materialize(ranked.select("target", (F.col("place") - 1).alias("k"), "term"), "template-words")
 
 
 def _fields(words: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def template_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scored(spark: SparkSession, asked: DataFrame, words: DataFrame) -> DataFrame:
     places = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(k).alias("k"), F.lit(n).alias("points")) for rule, k, n in RULES))
     rules = words.join(F.broadcast(spark.range(1).select(F.inline(places))), "k").select("target", "rule", "term", "points")
-    return materialize(T.item_scores(T.points(asked, "id", "text", _fields(words), reasons=False), "id").union(T.rule_points(asked, "id", "text", rules)), "template-scores")
+    return T.item_scores(T.points(asked, "id", "text", _fields(words), reasons=False), "id").union(T.rule_points(asked, "id", "text", rules))
 
 
 def template_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +83,7 @@ def _items(part: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         words = _words(spark, sf_dir)
         asked = _questions(spark, sf_dir)
-        scored = materialize(T.item_scores(T.points(asked, "id", "text", _fields(words), reasons=False), "id"), "template-items")
+        scored = T.item_scores(T.points(asked, "id", "text", _fields(words), reasons=False), "id")
         found = _told(T.item_ranks(asked, "id", scored, _entries(words), part), asked)
         return found.withColumn("place", F.col("place").cast("long"))
 

@@ -46,3 +46,24 @@ def test_templates_are_sought_where_they_are_many(spark, monkeypatch, crossed):
     rules = spark.createDataFrame([("t1", "r", "lue", 3), ("t1", "r", "blue", 3), ("t1", "s", "x", 4), ("t2", "r", "图表", 5), ("t2", "r", None, 5)], "target string, rule string, term string, points int")
     scored = {(r.id, r.target): r.score for r in T.rule_points(asked.filter("id >= 90"), "id", "q", rules).collect()}
     assert scored == {(91, "t1"): 3, (92, "t1"): 3, (93, "t1"): 3, (93, "t2"): 5}
+
+
+def test_words_of_a_source_are_ranked_before_they_are_shuffled(spark, monkeypatch):
+    """All words of all sources were shuffled by source and sorted there, for 24 of each."""
+    from marlstone.plans import scoring
+
+    plans, write = [], scoring.materialize
+    monkeypatch.setattr(scoring, "materialize", lambda df, name: plans.append((name, plan_of(df))) or write(df, name))
+    assert scoring.template_ranks(spark, SMALL).count() > 0
+    plan = dict(plans)["template-words"]
+    assert plan.count("WindowGroupLimit") == 2 and "translate" not in plan
+    # what a question adds to items isn't written and dealt out again
+    assert [name for name, _ in plans] == ["template-words", "template-questions"]
+
+
+def test_items_without_a_name_and_of_no_known_part(spark):
+    scored = spark.createDataFrame([(1, "t", "exact", "a", 5), (1, "t", "exact", None, 9), (1, "t", "exact", "gone", 7), (1, "u", "own", "", 3), (2, "u", "exact", "a", 1), (2, "none", "exact", "a", 1)], "id long, target string, part string, item string, score int")
+    entries = spark.createDataFrame([("t", "exact", "a", 8), ("t", "exact", "b", 8), ("t", "exact", None, 2), ("u", "exact", "a", 30), ("u", "own", "", 1), ("u", "odd", "x", 2), ("u", "odd", "y", 2)], "target string, part string, item string, base long")
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    assert {tuple(r) for r in T.item_ranks(asked, "id", scored, entries, "exact").collect()} == {(1, "t", "a", 13, 1), (1, "t", "b", 8, 2), (1, "t", None, 2, 3), (2, "u", "a", 31, 1)}
+    assert {tuple(r) for r in T.ranked(asked, "id", scored, entries, 5).collect()} == {(1, "t", 32, 1), (1, "u", 26, 2), (2, "u", 23, 1), (2, "t", 18, 2), (3, "u", 23, 1), (3, "t", 18, 2)}
