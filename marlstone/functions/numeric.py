@@ -12,14 +12,22 @@ def quantise(x: Column, digits: int = 4) -> Column:
     return F.floor(x * scale + 0.5).cast("double") / scale
 
 
+def quantise_any(x: Column, digits: int = 4) -> Column:
+    """x as quantise has it, also where it is infinite, no number, or too large for whole numbers of 64 bits."""
+    scale = float(10**digits)
+    held = x * scale + 0.5
+    return F.when(F.abs(held) < 2.0**62, F.floor(held).cast("double")).otherwise(held) / scale
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is null or 0."""
     return F.when(b != 0, a.cast("double") / b)
 
 
 def quotient(a: Column, b: Column) -> Column:
-    """a / b of doubles as IEEE has it: by 0 infinite, of 0 no number."""
-    over = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a.isNotNull(), float("nan"))
+    """a / b of doubles as IEEE has it: by 0 infinite, by the sign of both, of 0 no number."""
+    same = (a > 0) == (b.cast("string") != "-0.0")
+    over = F.when(F.isnan(a) | (a == 0), float("nan")).when(same, float("inf")).when(a.isNotNull(), float("-inf"))
     return F.when(b == 0, over).otherwise(a.cast("double") / F.nullif(b, F.lit(0.0)))
 
 

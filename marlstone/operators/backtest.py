@@ -22,9 +22,10 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: st
 
 
 def forward(bars: DataFrame, n: int) -> DataFrame:
-    """bars with an array of the next n bars of the code, in order."""
-    w = Window.partitionBy("code").orderBy("day").rowsBetween(1, n)
-    return bars.withColumn("ahead", F.collect_list(F.struct("day", "high", "low", "close")).over(w))
+    """bars with an array of the next n bars of the code, in order, those without a day last; none without a code."""
+    w = Window.partitionBy("code").orderBy(F.asc_nulls_last("day")).rowsBetween(1, n)
+    ahead = F.collect_list(F.when(F.col("code").isNotNull(), F.struct("day", "high", "low", "close"))).over(w)
+    return bars.withColumn("ahead", ahead)
 
 
 def outcome(change: Column, direction: Column, band: float) -> Column:
