@@ -29,6 +29,8 @@ CROSSING = ("关系", "关联", "结合", "对比", "比较", "区别", "差异"
 LEAST, LEAD = 0.35, 0.15
 #: Letters of all needles up to which they are broadcast.
 BROADCAST = 16_000_000
+#: Bits of a whole number that tell which terms were found, and pairs of a text and a wiki that a task has at most.
+BITS, PAIRS = 63, 1 << 20
 #: Domains at most: profiles of domains are a short list that goes to every row.
 DOMAINS = 200
 
@@ -45,35 +47,78 @@ def words(text: Column) -> Column:
 def _needles(profiles: DataFrame) -> DataFrame:
     """(wiki, kind, term, phrase): the phrases and words of profiles (wiki, kind, phrase). A phrase of generic words or stop words alone tells nothing, but for a negative one."""
     told = profiles.filter("wiki IS NOT NULL AND kind IS NOT NULL").select("wiki", "kind", words(F.col("phrase")).alias("words")).filter(F.size("words") > 0)
-    held = route_tokens(F.col("term"))
-    phrases = told.select("wiki", "kind", F.array_join("words", " ").alias("term"), F.lit(True).alias("phrase"))
-    phrases = phrases.filter((F.col("kind") == "negative") | ((F.size(held) > 0) & ~((F.size(held) == 1) & F.get(held, F.lit(0)).isin(*GENERIC))))
-    return phrases.union(told.select("wiki", "kind", F.explode(route_tokens(F.array_join("words", " "))).alias("term"), F.lit(False).alias("phrase"))).distinct()
+    told = told.select("wiki", "kind", F.array_join("words", " ").alias("phrase")).withColumn("held", route_tokens(F.col("phrase")))
+    of = lambda term, phrase: F.struct(term.alias("term"), F.lit(phrase).alias("phrase"))
+    telling = (F.col("kind") == "negative") | ((F.size("held") > 0) & ~((F.size("held") == 1) & F.get("held", F.lit(0)).isin(*GENERIC)))
+    both = F.concat(F.filter(F.array(of(F.col("phrase"), True)), lambda _: telling), F.transform("held", lambda term: of(term, False)))
+    return told.select("wiki", "kind", F.inline(both)).distinct()
 
 
-def _sought(texts: DataFrame, key: str, places: dict[str, Column], profiles: DataFrame) -> DataFrame:
-    """(key, at, wiki, kind, term, phrase, generic): the needles that each of some places of a row holds, by their names.
+def _runs(text: Column, lengths: list[int]) -> Column:
+    """The runs of so many words that a text holds, each once; one of a word more than another is made of that."""
+
+    def more(ws: Column, left: list[int], made: list[Column]) -> Column:
+        if not left:
+            return F.array_distinct(F.flatten(F.array(*made))) if made else F.array().cast("array<string>")
+        m = left[0]
+        if m == 1:
+            run = ws
+        elif m == 2 or m - 1 in lengths:
+            run = F.array_compact(F.zip_with(ws if m == 2 else made[-1], F.slice(ws, m, F.greatest(F.size(ws), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)))
+        else:
+            run = F.when(F.size(ws) >= m, F.transform(F.sequence(F.lit(1), F.size(ws) - m + 1), lambda i: F.array_join(F.slice(ws, i, m), " "))).otherwise(F.array().cast("array<string>"))
+        return let(run, lambda r: more(ws, left[1:], [*made, r]))
+
+    return let(words(text), lambda ws: more(ws, lengths, []))
+
+
+def _sought(texts: DataFrame, key: str, places: dict[str, Column], needles: DataFrame, lengths: list[int]) -> DataFrame:
+    """The needles (term, phrase, ...) that each of some places of a row holds, by their names, with the row's key and `at`.
 
     A text's runs of as many words as some phrase has, and its words in all their forms, are made once for the row and joined with the needles by equality; no
-    profile is held against a text otherwise. Needles of BROADCAST letters in all are broadcast, so that runs aren't shuffled; beyond that they are.
+    profile is held against a text otherwise.
     """
-    needles = materialize(_needles(profiles), "needles")
+    forms = lambda text: F.array_distinct(F.flatten(F.transform(F.array_distinct(route_tokens(text)), variants)))
+    told = [F.struct(F.lit(at).alias("at"), F.lit(phrase).alias("phrase"), made.alias("terms")) for at, text in places.items() for phrase, made in ((True, _runs(text, lengths)), (False, forms(text)))]
+    held = texts.select(key, F.inline(F.array(*told))).select(key, "at", "phrase", F.explode("terms").alias("term"))
+    return held.join(needles, ["term", "phrase"])
+
+
+def _measured(needles: DataFrame) -> tuple[list[int], bool]:
+    """How many words phrases have, and whether needles have few letters enough to be broadcast, so that runs aren't shuffled; beyond that they are."""
     size = F.size(F.split("term", " "))
     sizes = {r.n: r.letters for r in needles.groupBy(F.when(F.col("phrase"), size).alias("n")).agg(F.sum(F.length("term") + F.length("wiki")).alias("letters")).collect()}
-    if sum(sizes.values()) <= BROADCAST:
-        needles = F.broadcast(needles)
-    of = lambda ws, m: F.when(F.size(ws) >= m, F.transform(F.sequence(F.lit(1), F.size(ws) - m + 1), lambda i: F.array_join(F.slice(ws, i, m), " "))).otherwise(F.array().cast("array<string>"))
-    lengths = sorted(n for n in sizes if n is not None)
-    runs = lambda text: let(words(text), lambda ws: F.array_distinct(F.flatten(F.array(*(of(ws, m) for m in lengths))))) if lengths else F.array().cast("array<string>")
-    forms = lambda text: F.array_distinct(F.flatten(F.transform(route_tokens(text), variants)))
-    told = [F.struct(F.lit(at).alias("at"), F.lit(phrase).alias("phrase"), made(text).alias("terms")) for at, text in places.items() for phrase, made in ((True, runs), (False, forms))]
-    held = texts.select(key, F.inline(F.array(*told))).select(key, "at", "phrase", F.explode("terms").alias("term"))
-    return held.join(needles, ["term", "phrase"]).select(key, "at", "wiki", "kind", "term", "phrase", (~F.col("phrase") & F.col("term").isin(*GENERIC)).alias("generic"))
+    return sorted(n for n in sizes if n is not None), sum(sizes.values()) <= BROADCAST
 
 
 def matches(texts: DataFrame, key: str, text: str, profiles: DataFrame) -> DataFrame:
     """(key, wiki, kind, term, phrase, generic): the phrases and words of profiles (wiki, kind, phrase) that texts hold, each once."""
-    return _sought(texts, key, {"text": F.col(text)}, profiles).drop("at")
+    needles = materialize(_needles(profiles), "needles")
+    lengths, few = _measured(needles)
+    found = _sought(texts, key, {"text": F.col(text)}, F.broadcast(needles) if few else needles, lengths)
+    return found.select(key, "wiki", "kind", "term", "phrase", (~F.col("phrase") & F.col("term").isin(*GENERIC)).alias("generic"))
+
+
+def _wikis(needles: DataFrame) -> DataFrame:
+    """(id, wiki, positives, negatives): wikis numbered in the order of their names, each with its terms in order, as array<struct<part, bit, term>>: a term's own bit, and the number of the whole number that has it."""
+    sets = needles.groupBy("wiki").agg(*(F.array_sort(F.collect_set(F.when(test, F.col("term")))).alias(name) for name, test in (("positives", F.col("kind") != "negative"), ("negatives", F.col("kind") == "negative"))))
+    place = lambda n: F.struct(F.floor(n / BITS).cast("int").alias("part"), F.element_at(F.array(*(F.lit(1 << k).cast("long") for k in range(BITS))), (n % BITS + 1).cast("int")).alias("bit"))
+    numbered = lambda name, after: F.transform(name, lambda t, k: let(place(k + after), lambda p: F.struct(p["part"].alias("part"), p["bit"].alias("bit"), t.alias("term")))).alias(name)
+    return sets.orderBy("wiki").select(F.monotonically_increasing_id().alias("id"), "wiki", numbered("positives", F.lit(0)), numbered("negatives", F.size("positives")))
+
+
+def _weighed(needles: DataFrame, wikis: DataFrame) -> DataFrame:
+    """(term, phrase, id, weight, generic, strong, near, places): what finding a wiki's phrase or word tells: its weight in hundredths, and whether it is a generic word, a phrase, or no generic word in its scope; its terms' bits."""
+    c = F.col
+    weight = F.lit(0)
+    for kind in PHRASES:
+        plain = round(100 * PLAIN.get(kind, 0.0))
+        weight = F.when(c("kind") == kind, F.when(c("phrase"), round(100 * PHRASES[kind])).when(c("term").isin(*GENERIC), plain).otherwise(round(100 * WORDS[kind]))).otherwise(weight)
+    positive, plain = c("kind") != "negative", ~c("phrase") & c("term").isin(*GENERIC)
+    flag = lambda test: F.max(test.cast("int"))
+    told = needles.groupBy("wiki", "term", "phrase").agg(F.sum(weight.cast("long")).alias("weight"), flag(positive & plain).alias("generic"), flag(positive & c("phrase")).alias("strong"), flag(positive & ~plain).alias("near"), flag(positive).alias("positive"), flag(~positive).alias("negative"))
+    own = lambda name: F.filter(f"{name}s", lambda x: (c(name) == 1) & (x["term"] == c("term")))
+    return told.join(wikis, "wiki").select("term", "phrase", "id", "weight", "generic", "strong", "near", F.concat(own("positive"), own("negative")).alias("places"))
 
 
 def ranked(texts: DataFrame, key: str, text: str, focus: str, profiles: DataFrame) -> DataFrame:
@@ -81,26 +126,34 @@ def ranked(texts: DataFrame, key: str, text: str, focus: str, profiles: DataFram
 
     What is out of a wiki's scope counts against it. A match is strong only by a phrase; how a text relates to a wiki also hangs on what its focus holds. Wikis
     that a text shares nothing with score 0, and are no rows. Null texts are empty; keys are unique. Texts are dealt by their keys once: what they
-    hold, its sums and its order stay in a text's task, so that nothing as large as the result is shuffled.
+    hold, its sums and its order stay in a text's task, so that nothing as large as the result is shuffled. Until they are put out, wikis are numbers, and the terms
+    that were found are bits. A task has PAIRS of a text and a wiki at most, or a text.
     """
     c = F.col
-    positive, plain, own = c("kind") != "negative", c("generic"), c("at") == "text"
-    weight = F.lit(0.0)
-    for kind in PHRASES:
-        weight = F.when(c("kind") == kind, F.when(c("phrase"), PHRASES[kind]).when(plain, PLAIN.get(kind, 0.0)).otherwise(WORDS[kind])).otherwise(weight)
-    dealt = texts.select(key, text, focus).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-    found = _sought(dealt, key, {"text": c(text), "focus": c(focus)}, profiles)
-    scored = found.groupBy(key, "wiki").agg(
-        F.sum(F.when(own, weight.cast("decimal(12,2)"))).alias("sum"), F.size(F.collect_set(F.when(own & positive & plain, c("term")))).alias("generic"), F.max(own & positive & c("phrase")).alias("strong"),
-        F.array_sort(F.collect_set(F.when(own & positive, c("term")))).alias("terms"), F.array_sort(F.collect_set(F.when(own & ~positive, c("term")))).alias("negatives"),
-        F.count_if(~own & positive & ~plain).alias("focused"), F.max(own).alias("_own"),
-    )
-    joined = scored.filter("_own").withColumn("score", F.greatest(F.lit(0.0), c("sum").cast("double") + c("generic") * GENERIC_WORD))
-    quality = F.when(c("score") <= 0, "none").when((c("score") >= STRONG) & c("strong"), "strong").when(c("score") >= MODERATE, "moderate").otherwise("weak")
-    near = c("focused") >= 1
-    hint = F.when(c("score") <= 0, "unrelated").when((c("score") >= STRONG) & c("strong"), "same_scheme").when(near & (c("score") >= CHILD), "possible_child_profile").when(near & (c("score") >= MODERATE), "adjacent_family").otherwise("generic_overlap")
-    told = joined.select(key, "wiki", quantise(c("score"), 2).alias("score"), quality.alias("quality"), hint.alias("hint"), "terms", "negatives")
-    return told.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "wiki")))
+    needles = materialize(_needles(profiles), "needles")
+    lengths, few = _measured(needles)
+    wikis = materialize(_wikis(needles), "wikis")
+    n, parts = wikis.agg(F.count("*"), F.coalesce(F.max(F.floor((F.size("positives") + F.size("negatives") - 1) / BITS)), F.lit(0)) + 1).first()
+    near = lambda small: F.broadcast(small) if few else small
+    mask = lambda k: F.aggregate(F.filter("places", lambda x: x["part"] == k), F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(x["bit"])).alias(f"bits{k}")
+    told = materialize(_weighed(needles, near(wikis)).select("term", "phrase", "id", "weight", "generic", "strong", "near", *map(mask, range(parts))), "weighed")
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() * n // PAIRS))
+    found = _sought(texts.select(key, text, focus).repartition(tasks, key), key, {"text": c(text), "focus": c(focus)}, near(told), lengths)
+    own = c("at") == "text"
+    bits = [f"bits{k}" for k in range(parts)]
+    scored = found.groupBy(key, "id").agg(
+        F.sum(F.when(own, c("weight"))).alias("sum"), F.sum(F.when(own, c("generic"))).alias("generic"), F.max(F.when(own, c("strong"))).alias("strong"), F.max(F.when(~own, c("near"))).alias("near"),
+        *(F.bit_or(F.when(own, c(b))).alias(b) for b in bits),
+    ).filter("sum IS NOT NULL")
+    scored = scored.withColumn("score", F.greatest(F.lit(0.0), c("sum") / 100.0 + c("generic") * GENERIC_WORD))
+    strong, child = (c("score") >= STRONG) & (c("strong") == 1), c("near") == 1
+    quality = F.when(c("score") <= 0, "none").when(strong, "strong").when(c("score") >= MODERATE, "moderate").otherwise("weak")
+    hint = F.when(c("score") <= 0, "unrelated").when(strong, "same_scheme").when(child & (c("score") >= CHILD), "possible_child_profile").when(child & (c("score") >= MODERATE), "adjacent_family").otherwise("generic_overlap")
+    told = scored.select(key, "id", quantise(c("score"), 2).alias("score"), quality.alias("quality"), hint.alias("hint"), *bits)
+    placed = told.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id")))
+    held = lambda x: x["bit"].bitwiseAND(F.get(F.array(*bits), x["part"]) if parts > 1 else c("bits0")) != 0
+    terms = lambda name: F.transform(F.filter(name, held), lambda x: x["term"])
+    return placed.join(near(wikis), "id").select(key, "wiki", "score", "quality", "hint", terms("positives").alias("terms"), terms("negatives").alias("negatives"), "place")
 
 
 # --- domains -------------------------------------------------------------------------------------

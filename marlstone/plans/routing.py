@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
+from marlstone.functions.arrays import let
 from marlstone.operators import routing as G
 from marlstone.plans import content
 from marlstone.plans import sql as S
-from marlstone.sources.tables import table
+from marlstone.sources.tables import materialize, table
 
 #: Words of a profile's phrases, by kind: from where in a title, and how many.
 SLICES = {"core": (1, 3), "adjacent": (4, 2), "alias": (6, 1), "negative": (7, 2)}
@@ -24,9 +25,9 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wiki_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as sources; every 20th page's title tells the scope of a wiki: its core, what is near it, another name, and what is out of it."""
     pages = _pages(spark, sf_dir)
-    ws = G.words(F.col("title"))
-    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.array_join(F.slice(ws, at, n), " ").alias("phrase")) for kind, (at, n) in SLICES.items()))
-    profiles = pages.filter("page_id % 20 = 0").select(F.concat(F.lit("wiki-"), F.col("page_id").cast("string")).alias("wiki"), F.inline(kinds))
+    kinds = let(G.words(F.col("title")), lambda ws: F.array(*(F.struct(F.lit(kind).alias("kind"), F.array_join(F.slice(ws, at, n), " ").alias("phrase")) for kind, (at, n) in SLICES.items())))
+    titles = materialize(pages.filter("page_id % 20 = 0").select("page_id", "title"), "titles")  # else a filter on what is inlined reads the titles of all pages
+    profiles = titles.select(F.concat(F.lit("wiki-"), F.col("page_id").cast("string")).alias("wiki"), F.inline(kinds))
     found = G.ranked(pages, "page_id", "text", "title", profiles)
     return found.select("page_id", "wiki", "score", "quality", "hint", F.array_join("terms", ",").alias("terms"), F.array_join("negatives", ",").alias("negatives"), F.col("place").cast("long").alias("place"))
 
