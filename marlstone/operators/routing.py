@@ -29,8 +29,8 @@ CROSSING = ("关系", "关联", "结合", "对比", "比较", "区别", "差异"
 LEAST, LEAD = 0.35, 0.15
 #: Letters of all needles up to which they are broadcast.
 BROADCAST = 16_000_000
-#: Bits of a whole number that tell which terms were found, and pairs of a text and a wiki that a task has at most.
-BITS, PAIRS = 63, 1 << 20
+#: Bits of a whole number that tell which terms were found, a multiple of those that are looked up at once; pairs of a text and a wiki that a task has at most.
+BITS, CHUNK, PAIRS = 63, 3, 1 << 20
 #: Domains at most: profiles of domains are a short list that goes to every row.
 DOMAINS = 200
 
@@ -78,7 +78,7 @@ def _sought(texts: DataFrame, key: str, places: dict[str, Column], needles: Data
     A text's runs of as many words as some phrase has, and its words in all their forms, are made once for the row and joined with the needles by equality; no
     profile is held against a text otherwise.
     """
-    forms = lambda text: F.array_distinct(F.flatten(F.transform(F.array_distinct(route_tokens(text)), variants)))
+    forms = lambda text: F.array_distinct(F.flatten(F.transform(route_tokens(F.array_join(F.array_distinct(words(text)), " ")), variants)))
     told = [F.struct(F.lit(at).alias("at"), F.lit(phrase).alias("phrase"), made.alias("terms")) for at, text in places.items() for phrase, made in ((True, _runs(text, lengths)), (False, forms(text)))]
     held = texts.select(key, F.inline(F.array(*told))).select(key, "at", "phrase", F.explode("terms").alias("term"))
     return held.join(needles, ["term", "phrase"])
@@ -100,15 +100,16 @@ def matches(texts: DataFrame, key: str, text: str, profiles: DataFrame) -> DataF
 
 
 def _wikis(needles: DataFrame) -> DataFrame:
-    """(id, wiki, positives, negatives): wikis numbered in the order of their names, each with its terms in order, as array<struct<part, bit, term>>: a term's own bit, and the number of the whole number that has it."""
+    """(id, wiki, positives, negatives): wikis, numbered in the order of their names, each with the terms in and out of its scope, in order."""
     sets = needles.groupBy("wiki").agg(*(F.array_sort(F.collect_set(F.when(test, F.col("term")))).alias(name) for name, test in (("positives", F.col("kind") != "negative"), ("negatives", F.col("kind") == "negative"))))
-    place = lambda n: F.struct(F.floor(n / BITS).cast("int").alias("part"), F.element_at(F.array(*(F.lit(1 << k).cast("long") for k in range(BITS))), (n % BITS + 1).cast("int")).alias("bit"))
-    numbered = lambda name, after: F.transform(name, lambda t, k: let(place(k + after), lambda p: F.struct(p["part"].alias("part"), p["bit"].alias("bit"), t.alias("term")))).alias(name)
-    return sets.orderBy("wiki").select(F.monotonically_increasing_id().alias("id"), "wiki", numbered("positives", F.lit(0)), numbered("negatives", F.size("positives")))
+    return sets.orderBy("wiki").select(F.monotonically_increasing_id().alias("id"), "*")
 
 
-def _weighed(needles: DataFrame, wikis: DataFrame) -> DataFrame:
-    """(term, phrase, id, weight, generic, strong, near, places): what finding a wiki's phrase or word tells: its weight in hundredths, and whether it is a generic word, a phrase, or no generic word in its scope; its terms' bits."""
+def _weighed(needles: DataFrame, wikis: DataFrame, out: int, parts: int) -> DataFrame:
+    """(term, phrase, id, weight, generic, strong, near, bits0, ...): what finding a wiki's phrase or word tells: its weight in hundredths, and whether it is a generic word, a phrase, or no generic word in its scope.
+
+    A term's bit is its place among its wiki's; terms out of scope begin at bit `out`.
+    """
     c = F.col
     weight = F.lit(0)
     for kind in PHRASES:
@@ -116,9 +117,18 @@ def _weighed(needles: DataFrame, wikis: DataFrame) -> DataFrame:
         weight = F.when(c("kind") == kind, F.when(c("phrase"), round(100 * PHRASES[kind])).when(c("term").isin(*GENERIC), plain).otherwise(round(100 * WORDS[kind]))).otherwise(weight)
     positive, plain = c("kind") != "negative", ~c("phrase") & c("term").isin(*GENERIC)
     flag = lambda test: F.max(test.cast("int"))
-    told = needles.groupBy("wiki", "term", "phrase").agg(F.sum(weight.cast("long")).alias("weight"), flag(positive & plain).alias("generic"), flag(positive & c("phrase")).alias("strong"), flag(positive & ~plain).alias("near"), flag(positive).alias("positive"), flag(~positive).alias("negative"))
-    own = lambda name: F.filter(f"{name}s", lambda x: (c(name) == 1) & (x["term"] == c("term")))
-    return told.join(wikis, "wiki").select("term", "phrase", "id", "weight", "generic", "strong", "near", F.concat(own("positive"), own("negative")).alias("places"))
+    told = needles.groupBy("wiki", "term", "phrase").agg(F.sum(weight.cast("long")).alias("weight"), flag(positive & plain).alias("generic"), flag(positive & c("phrase")).alias("strong"), flag(positive & ~plain).alias("near"), flag(positive).alias("in"), flag(~positive).alias("out"))
+    told = told.join(wikis, "wiki").withColumn("_in", F.when(c("in") == 1, F.array_position("positives", c("term")) - 1)).withColumn("_out", F.when(c("out") == 1, F.array_position("negatives", c("term")) - 1 + out))
+    of = lambda at, k: F.when(F.floor(c(at) / BITS) == k, F.get(F.array(*(F.lit(1 << n) for n in range(BITS))).cast("array<bigint>"), (c(at) % BITS).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return told.select("term", "phrase", "id", "weight", "generic", "strong", "near", *((of("_in", k) + of("_out", k)).alias(f"bits{k}") for k in range(parts)))
+
+
+def _sets(terms: str) -> Column:
+    """For each CHUNK of some terms, which of them any set of its bits stands for: array<array<array<string>>>."""
+    bits = F.array(*(F.lit(1 << n) for n in range(CHUNK)))
+    one = lambda some: F.transform(F.slice(F.array(*map(F.lit, range(1 << CHUNK))), F.lit(1), F.get(F.array(*(F.lit(1 << n) for n in range(CHUNK + 1))), F.size(some))), lambda m: F.filter(some, lambda _, k: F.get(bits, k).bitwiseAND(m) != 0))
+    chunks = F.sequence(F.lit(1), F.size(terms), F.lit(CHUNK))
+    return F.when(F.size(terms) > 0, F.transform(chunks, lambda at: one(F.slice(terms, at, CHUNK)))).otherwise(F.array().cast("array<array<array<string>>>"))
 
 
 def ranked(texts: DataFrame, key: str, text: str, focus: str, profiles: DataFrame) -> DataFrame:
@@ -133,10 +143,10 @@ def ranked(texts: DataFrame, key: str, text: str, focus: str, profiles: DataFram
     needles = materialize(_needles(profiles), "needles")
     lengths, few = _measured(needles)
     wikis = materialize(_wikis(needles), "wikis")
-    n, parts = wikis.agg(F.count("*"), F.coalesce(F.max(F.floor((F.size("positives") + F.size("negatives") - 1) / BITS)), F.lit(0)) + 1).first()
+    n, *most = wikis.agg(F.count("*"), *(F.coalesce(F.max(F.ceil(F.size(name) / CHUNK)), F.lit(0)) for name in ("positives", "negatives"))).first()
     near = lambda small: F.broadcast(small) if few else small
-    mask = lambda k: F.aggregate(F.filter("places", lambda x: x["part"] == k), F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(x["bit"])).alias(f"bits{k}")
-    told = materialize(_weighed(needles, near(wikis)).select("term", "phrase", "id", "weight", "generic", "strong", "near", *map(mask, range(parts))), "weighed")
+    parts = max(1, -(-sum(most) * CHUNK // BITS))
+    told = materialize(_weighed(needles, near(wikis), most[0] * CHUNK, parts), "weighed")
     tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() * n // PAIRS))
     found = _sought(texts.select(key, text, focus).repartition(tasks, key), key, {"text": c(text), "focus": c(focus)}, near(told), lengths)
     own = c("at") == "text"
@@ -151,9 +161,11 @@ def ranked(texts: DataFrame, key: str, text: str, focus: str, profiles: DataFram
     hint = F.when(c("score") <= 0, "unrelated").when(strong, "same_scheme").when(child & (c("score") >= CHILD), "possible_child_profile").when(child & (c("score") >= MODERATE), "adjacent_family").otherwise("generic_overlap")
     told = scored.select(key, "id", quantise(c("score"), 2).alias("score"), quality.alias("quality"), hint.alias("hint"), *bits)
     placed = told.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id")))
-    held = lambda x: x["bit"].bitwiseAND(F.get(F.array(*bits), x["part"]) if parts > 1 else c("bits0")) != 0
-    terms = lambda name: F.transform(F.filter(name, held), lambda x: x["term"])
-    return placed.join(near(wikis), "id").select(key, "wiki", "score", "quality", "hint", terms("positives").alias("terms"), terms("negatives").alias("negatives"), "place")
+    chosen = lambda k: F.shiftright(f"bits{k * CHUNK // BITS}", k * CHUNK % BITS).bitwiseAND(F.lit((1 << CHUNK) - 1)).cast("int")
+    none = F.array().cast("array<string>")
+    terms = lambda name, at, m: F.concat(none, *(F.coalesce(F.get(F.get(name, F.lit(k)), chosen(at + k)), none) for k in range(m)))
+    sets = wikis.select("id", "wiki", *(_sets(name).alias(name) for name in ("positives", "negatives")))
+    return placed.join(near(sets), "id").select(key, "wiki", "score", "quality", "hint", terms("positives", 0, most[0]).alias("terms"), terms("negatives", *most).alias("negatives"), "place")
 
 
 # --- domains -------------------------------------------------------------------------------------
